@@ -266,3 +266,98 @@ GROUP BY c.trace_id""",
 )
 def q_trace_summary(spark, sf_dir):
     return traces.trace_summaries(fx.logs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- ingest
+
+from logsmith.operators import enrich  # noqa: E402
+from logsmith.schema import LEVELS  # noqa: E402
+
+
+def _duck_level(expr: str) -> str:
+    parts = " ".join(
+        f"WHEN lower(trim({expr})) = '{name.lower()}' OR trim({expr}) = '{code}' THEN '{name}'" for name, code in LEVELS
+    )
+    return f"CASE {parts} ELSE 'Info' END"
+
+
+def _duck_entry(rec: str, id_expr: str) -> str:
+    """Stored-entry columns of a parsed JSON record in DuckDB."""
+    s = lambda f: f"json_extract_string({rec}, '$.{f}')"
+    e = lambda f: f"coalesce({s(f)}, '')"
+    return f"""{id_expr} AS id, received_at AS timestamp,
+ {_duck_level(s('level'))} AS level,
+ {e('appName')} AS app_name, {e('message')} AS message,
+ coalesce(CAST(json_extract({rec}, '$.metadata') AS VARCHAR), '{{}}') AS metadata,
+ {e('exceptionType')} AS exception_type, {e('exceptionMessage')} AS exception_message,
+ {e('exceptionStacktrace')} AS exception_stacktrace, {e('source')} AS source,
+ {e('requestMethod')} AS request_method, {e('requestPath')} AS request_path,
+ coalesce(CAST(json_extract({rec}, '$.statusCode') AS INTEGER), 0) AS status_code,
+ coalesce(CAST(json_extract({rec}, '$.durationMs') AS DOUBLE), 0.0) AS duration_ms,
+ {e('userId')} AS user_id, {e('traceId')} AS trace_id, {e('spanId')} AS span_id,
+ coalesce(nullif({s('host')}, ''), client_ip, '') AS host,
+ coalesce({s('environment')}, 'production') AS environment,
+ p.id AS project_id, p.name AS project_name, received_at AS created_at"""
+
+
+_DUCK_DEDUP = """, dedup AS (
+ SELECT id, name, api_key, created_at, expires_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY api_key ORDER BY created_at DESC, id DESC) AS rn FROM {src}) WHERE rn = 1)
+"""
+_DUCK_VALID = "p.id IS NOT NULL AND (p.expires_at IS NULL OR p.expires_at >= r.received_at)"
+
+
+@register(
+    "ingest_accepted",
+    fx.duck_with("raw_logs", "projects")
+    + _DUCK_DEDUP.format(src="projects")
+    + f"""SELECT {_duck_entry('r.body', 'CAST(r.raw_id AS VARCHAR)')}
+FROM raw_logs r LEFT JOIN dedup p ON r.api_key = p.api_key
+WHERE {_DUCK_VALID}""",
+)
+def q_ingest_accepted(spark, sf_dir):
+    classified = enrich.ingest_records(fx.raw_logs(spark, sf_dir), fx.projects(spark, sf_dir))
+    return enrich.to_logs(classified)
+
+
+@register(
+    "ingest_rejected",
+    fx.duck_with("raw_logs", "projects")
+    + _DUCK_DEDUP.format(src="projects")
+    + """SELECT r.raw_id, r.api_key, r.received_at,
+ CASE WHEN r.api_key IS NULL OR r.api_key = '' THEN 'missing_key' WHEN p.id IS NULL THEN 'unknown_key'
+      WHEN p.expires_at < r.received_at THEN 'expired_key' WHEN r.body IS NULL OR NOT json_valid(r.body) THEN 'malformed' END AS reason
+FROM raw_logs r LEFT JOIN dedup p ON r.api_key = p.api_key
+WHERE reason IS NOT NULL""",
+)
+def q_ingest_rejected(spark, sf_dir):
+    classified = enrich.ingest_records(fx.raw_logs(spark, sf_dir), fx.projects(spark, sf_dir))
+    return enrich.rejected(classified)
+
+
+@register(
+    "ingest_batch",
+    fx.duck_with("raw_batches", "projects")
+    + _DUCK_DEDUP.format(src="projects")
+    + """, items AS (
+ SELECT raw_id, received_at, api_key, client_ip,
+  unnest(json_extract(body, '$.logs[*]')) AS rec, unnest(range(CAST(json_array_length(body, '$.logs') AS BIGINT))) AS pos
+ FROM raw_batches)
+"""
+    + f"""SELECT {_duck_entry('r.rec', "CAST(r.raw_id AS VARCHAR) || '-' || CAST(r.pos AS VARCHAR)")}
+FROM items r LEFT JOIN dedup p ON r.api_key = p.api_key
+WHERE {_DUCK_VALID}""",
+)
+def q_ingest_batch(spark, sf_dir):
+    classified = enrich.ingest_batches(fx.raw_batches(spark, sf_dir), fx.projects(spark, sf_dir))
+    return enrich.to_logs(classified, id_col="entry_id")
+
+
+@register(
+    "api_key_dedupe",
+    fx.duck_with("project_history")
+    + _DUCK_DEDUP.format(src="project_history")
+    + "SELECT * FROM dedup",
+)
+def q_api_key_dedupe(spark, sf_dir):
+    return enrich.dedupe_keys(fx.project_history(spark, sf_dir))

@@ -129,10 +129,64 @@ def duck_views() -> dict[str, str]:
 def duck_with(*names: str) -> str:
     """``WITH`` clause defining the named views (dependencies first)."""
     views = duck_views()
-    order = []
+    views["raw_batches"] = DUCK_RAW_BATCHES
+    views["project_history"] = duck_project_history()
+    deps = {"app_logs": ["logs"], "raw_batches": ["raw_logs"], "project_history": ["projects"]}
+    order: list[str] = []
     for n in names:
-        if n == "app_logs" and "logs" not in order:
-            order.append("logs")
+        for d in deps.get(n, []):
+            if d not in order:
+                order.append(d)
         if n not in order:
             order.append(n)
     return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in order) + "\n"
+
+
+# Batch envelopes: raw records of one key, in blocks of 256 consecutive ids, posted as one
+# ``{"logs": [...]}`` body (so every group holds at most 256 records).
+BATCH_BLOCK = 256
+
+
+def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_batches``: ``raw_id`` (first id of the batch), ``received_at`` (last), ``api_key``,
+    ``client_ip`` (smallest), ``body`` (envelope, records in id order)."""
+    from pyspark.sql import functions as F
+
+    raw = raw_logs(spark, sf_dir)
+    bodies = F.transform(F.array_sort(F.collect_list(F.struct("raw_id", "body"))), lambda s: s["body"])
+    return (
+        raw.groupBy("api_key", F.floor(F.col("raw_id") / BATCH_BLOCK).alias("_blk"))
+        .agg(
+            F.min("raw_id").alias("raw_id"),
+            F.max("received_at").alias("received_at"),
+            F.min("client_ip").alias("client_ip"),
+            F.concat(F.lit('{"logs":['), F.array_join(bodies, ","), F.lit("]}")).alias("body"),
+        )
+        .select("raw_id", "received_at", "api_key", "client_ip", "body")
+    )
+
+
+DUCK_RAW_BATCHES = f"""SELECT min(raw_id) AS raw_id, max(received_at) AS received_at, api_key, min(client_ip) AS client_ip,
+ '{{"logs":[' || string_agg(body, ',' ORDER BY raw_id) || ']}}' AS body
+FROM raw_logs GROUP BY api_key, raw_id // {BATCH_BLOCK}"""
+
+# Project history: the base projects plus later re-registrations of region-2 keys (which
+# win) and earlier ones of region-3 keys (which lose), for last-write-wins dedupe.
+_PROJECT_VERSIONS = """
+SELECT concat('p', CAST(n_nationkey AS STRING), '-v2') AS id,
+ concat(n_name, ' (renamed)') AS name,
+ concat('lfdev_key_', CAST(n_nationkey AS STRING)) AS api_key,
+ CASE n_regionkey WHEN 2 THEN {TS}'2024-01-15 00:00:00' ELSE {TS}'2023-11-01 00:00:00' END AS created_at,
+ CAST(NULL AS TIMESTAMP_NTZ) AS expires_at
+FROM {nation} WHERE n_regionkey IN (2, 3)
+"""
+
+
+def project_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql(_spark_text(_PROJECT_VERSIONS), nation=table(spark, sf_dir, "nation"))
+    return projects(spark, sf_dir).unionByName(extra)
+
+
+def duck_project_history() -> str:
+    text = duck_text(_PROJECT_VERSIONS, nation="nation").replace("TIMESTAMP_NTZ", "TIMESTAMP")
+    return f"SELECT * FROM projects UNION ALL {text}"
