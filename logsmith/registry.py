@@ -361,3 +361,263 @@ def q_ingest_batch(spark, sf_dir):
 )
 def q_api_key_dedupe(spark, sf_dir):
     return enrich.dedupe_keys(fx.project_history(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- request log
+
+from logsmith.operators import requests as reqs  # noqa: E402
+from logsmith.operators.filters import AppLogFilter  # noqa: E402
+from logsmith.schema import APP_LOG_PAGE_COLUMNS  # noqa: E402
+
+_DUCK_REQUEST_LOG = """, redacted AS (
+ SELECT *, CASE WHEN instr(request_path, '?') > 0
+   THEN substr(request_path, 1, instr(request_path, '?') - 1)
+        || regexp_replace(substr(request_path, instr(request_path, '?')), '(apiKey|token|key|secret)=[^&]*', '\\1=***', 'gi')
+   ELSE request_path END AS p
+ FROM requests),
+request_log AS (
+ SELECT id, timestamp,
+  CASE WHEN exception IS NOT NULL OR status_code >= 500 THEN 'Error' WHEN status_code >= 400 THEN 'Warning' ELSE 'Information' END AS level,
+  'HTTP' AS category,
+  concat(request_method, ' ', p, ' -> ', CAST(status_code AS VARCHAR), ' (', CAST(CAST(floor(duration_ms) AS BIGINT) AS VARCHAR), 'ms)') AS message,
+  CASE WHEN len(string_split(exception, chr(10))) > 5
+       THEN array_to_string(string_split(exception, chr(10))[1:5], chr(10)) || chr(10) || '... (truncated)'
+       ELSE exception END AS exception,
+  request_method, p AS request_path, status_code, round(duration_ms, 2) AS duration_ms, timestamp AS created_at
+ FROM redacted WHERE NOT regexp_matches(p, '^/(css|js|lib|images|favicon)'))
+"""
+
+
+@register("request_log", fx.duck_with("requests") + _DUCK_REQUEST_LOG + "SELECT * FROM request_log")
+def q_request_log(spark, sf_dir):
+    return reqs.request_log(fx.requests(spark, sf_dir))
+
+
+@register(
+    "request_status_summary",
+    fx.duck_with("requests") + _DUCK_REQUEST_LOG
+    + """SELECT level, CASE WHEN status_code >= 500 THEN '5xx' WHEN status_code >= 400 THEN '4xx'
+   WHEN status_code >= 200 AND status_code < 300 THEN '2xx' ELSE 'other' END AS status_class,
+ count(*) AS requests, round(avg(duration_ms), 3) AS avg_duration_ms
+FROM request_log GROUP BY 1, 2""",
+)
+def q_request_status_summary(spark, sf_dir):
+    return reqs.status_summary(reqs.request_log(fx.requests(spark, sf_dir)))
+
+
+APP_FILTER = AppLogFilter(levels="Warning,Error", search="POST", time_from="2024-01-03 00:00:00",
+                          time_to="2024-01-25 18:00:00")
+
+
+@register(
+    "app_log_page",
+    fx.duck_with("app_logs")
+    + f"""SELECT {_cols(APP_LOG_PAGE_COLUMNS)} FROM app_logs
+WHERE level IN ('Warning', 'Error') AND contains(lower(message), 'post')
+ AND timestamp >= TIMESTAMP '2024-01-03 00:00:00' AND timestamp <= TIMESTAMP '2024-01-25 18:00:00'
+ORDER BY timestamp DESC, id LIMIT 100 OFFSET 100""",
+)
+def q_app_log_page(spark, sf_dir):
+    return search.app_log_page(fx.app_logs(spark, sf_dir), APP_FILTER, page=2, page_size=100)
+
+
+@register(
+    "app_log_count",
+    fx.duck_with("app_logs")
+    + """SELECT count(*) AS total_count, 100 AS page_size, CAST(ceil(count(*) / 100.0) AS INTEGER) AS total_pages
+FROM app_logs WHERE level IN ('Warning', 'Error') AND contains(lower(message), 'post')
+ AND timestamp >= TIMESTAMP '2024-01-03 00:00:00' AND timestamp <= TIMESTAMP '2024-01-25 18:00:00'""",
+)
+def q_app_log_count(spark, sf_dir):
+    return search.app_log_count(fx.app_logs(spark, sf_dir), APP_FILTER, page_size=100)
+
+
+@register(
+    "rate_audit",
+    fx.duck_with("requests") + _DUCK_REQUEST_LOG
+    + """, b AS (SELECT time_bucket(INTERVAL '15 minutes', timestamp, TIMESTAMP '1970-01-01') AS window_start, timestamp, id
+  FROM request_log),
+r AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY timestamp, id) AS rn FROM b)
+SELECT window_start, window_start + INTERVAL 15 MINUTE AS window_end, count(*) AS requests,
+ least(count(*), 5) AS permitted, greatest(count(*) - 5, 0) AS rejected,
+ max(timestamp) FILTER (WHERE rn = 6) AS first_rejected_at
+FROM r GROUP BY window_start""",
+)
+def q_rate_audit(spark, sf_dir):
+    return reqs.rate_audit(reqs.request_log(fx.requests(spark, sf_dir)), policy="login")
+
+
+# ---------------------------------------------------------------- projects
+
+from logsmith.operators import projects as proj  # noqa: E402
+
+_AS_OF_TS = f"TIMESTAMP '{AS_OF}'"
+
+
+@register(
+    "project_status",
+    fx.duck_with("projects")
+    + f"""SELECT id, name,
+ CASE WHEN length(api_key) > 12 THEN substr(api_key, 1, 8) || '...' || right(api_key, 4) ELSE api_key END AS masked_key,
+ created_at, expires_at,
+ CASE WHEN expires_at < {_AS_OF_TS} THEN 'Expired' ELSE 'Active' END AS status,
+ CAST(trunc(date_diff('microsecond', {_AS_OF_TS}, expires_at) / 86400000000.0) AS INTEGER) AS days_left,
+ coalesce(expires_at >= {_AS_OF_TS} AND date_diff('microsecond', {_AS_OF_TS}, expires_at) < 604800000000, false) AS expiry_warning,
+ CASE WHEN expires_at IS NULL THEN 'Never'
+      WHEN expires_at < {_AS_OF_TS} THEN 'Expired ' || strftime(expires_at, '%Y-%m-%d')
+      ELSE strftime(expires_at, '%Y-%m-%d') || ' (' || CAST(CAST(trunc(date_diff('microsecond', {_AS_OF_TS}, expires_at) / 86400000000.0) AS INTEGER) AS VARCHAR) || 'd left)' END AS expiry_label
+FROM projects ORDER BY created_at, id""",
+)
+def q_project_status(spark, sf_dir):
+    return proj.project_status(fx.projects(spark, sf_dir), AS_OF)
+
+
+@register(
+    "project_rename",
+    fx.duck_with("projects")
+    + "SELECT id, CASE WHEN id = 'p3' THEN 'CANADA (renamed)' ELSE name END AS name, api_key, created_at, expires_at FROM projects",
+)
+def q_project_rename(spark, sf_dir):
+    return proj.rename_project(fx.projects(spark, sf_dir), "p3", "CANADA (renamed)")
+
+
+@register("project_delete", fx.duck_with("projects") + "SELECT * FROM projects WHERE id <> 'p5'")
+def q_project_delete(spark, sf_dir):
+    return proj.delete_project(fx.projects(spark, sf_dir), "p5")
+
+
+@register(
+    "project_insert",
+    fx.duck_with("projects")
+    + f"""SELECT * FROM projects UNION ALL
+SELECT 'p-new', 'NEW PROJECT', 'lfdev_key_new_0123456789', {_AS_OF_TS}, {_AS_OF_TS} + INTERVAL 30 DAY""",
+)
+def q_project_insert(spark, sf_dir):
+    return proj.insert_project(spark, fx.projects(spark, sf_dir), "p-new", "NEW PROJECT", "lfdev_key_new_0123456789",
+                               AS_OF, expiry_days=30)
+
+
+# ---------------------------------------------------------------- retention (M1, M3)
+
+from logsmith.operators import retention  # noqa: E402
+
+
+@register(
+    "retention_delete",
+    fx.duck_with("logs")
+    + "SELECT id, timestamp, level, app_name FROM logs WHERE timestamp >= TIMESTAMP '2024-01-21 00:00:00'",
+)
+def q_retention_delete(spark, sf_dir):
+    return retention.delete_older_than(fx.logs(spark, sf_dir), AS_OF, 10).select("id", "timestamp", "level", "app_name")
+
+
+@register(
+    "retention_ttl",
+    fx.duck_with("logs")
+    + "SELECT id, created_at, level, app_name FROM logs WHERE created_at > TIMESTAMP '2024-01-24 00:00:00'",
+)
+def q_retention_ttl(spark, sf_dir):
+    return retention.ttl_expire(fx.logs(spark, sf_dir), AS_OF, 7).select("id", "created_at", "level", "app_name")
+
+
+# ---------------------------------------------------------------- selection, exports, display (J3, S8-S10, E5 ...)
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from logsmith.operators import export  # noqa: E402
+
+
+def _error_trace_selection(logs_df):
+    """Ids of every log row that belongs to a trace containing an Error or Fatal entry."""
+    bad = logs_df.where(F.col("level").isin("Error", "Fatal") & (F.col("trace_id") != "")).select("trace_id")
+    return logs_df.join(bad.distinct(), "trace_id", "left_semi").select("id")
+
+
+_DUCK_SELECTED = """, selected AS (SELECT * FROM logs WHERE id IN (SELECT id FROM logs WHERE trace_id IN (
+  SELECT trace_id FROM logs WHERE level IN ('Error', 'Fatal') AND trace_id <> '')))
+"""
+
+
+@register(
+    "selected_logs",
+    fx.duck_with("logs") + _DUCK_SELECTED + "SELECT id, timestamp, level, app_name, trace_id FROM selected",
+)
+def q_selected_logs(spark, sf_dir):
+    logs_df = fx.logs(spark, sf_dir)
+    sel = enrich.select_by_ids(logs_df, _error_trace_selection(logs_df))
+    return sel.select("id", "timestamp", "level", "app_name", "trace_id")
+
+
+def _duck_short_level() -> str:
+    from logsmith.functions.levels import LEVEL_SHORT
+
+    whens = " ".join(f"WHEN '{n}' THEN '{s}'" for (n, _), s in zip(LEVELS, LEVEL_SHORT))
+    return f"CASE level {whens} ELSE 'INF' END"
+
+
+@register(
+    "export_lines",
+    fx.duck_with("logs") + _DUCK_SELECTED
+    + f"""SELECT id, '[' || strftime(timestamp, '%Y-%m-%d %H:%M:%S.%g') || '] ' || {_duck_short_level()} || ' '
+ || CASE WHEN coalesce(app_name, '') <> '' THEN '[' || app_name || ']' ELSE '' END || ' ' || coalesce(message, '')
+ || CASE WHEN coalesce(metadata, '') <> '' THEN ' | ' || metadata ELSE '' END AS line
+FROM selected""",
+)
+def q_export_lines(spark, sf_dir):
+    logs_df = fx.logs(spark, sf_dir)
+    return export.log_lines(enrich.select_by_ids(logs_df, _error_trace_selection(logs_df)))
+
+
+def _duck_q(c: str, nl: bool = False) -> str:
+    v = f"replace(coalesce({c}, ''), '\"', '\"\"')"
+    if nl:
+        v = f"replace({v}, chr(10), '\\n')"
+    return f"'\"' || {v} || '\"'"
+
+
+def _duck_num(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL OR {c} = 0 THEN '' WHEN {c} = floor({c}) THEN CAST(CAST(floor({c}) AS BIGINT) AS VARCHAR)"
+            f" ELSE CAST({c} AS VARCHAR) END")
+
+
+@register(
+    "export_csv_rows",
+    fx.duck_with("logs") + _DUCK_SELECTED
+    + f"""SELECT id, concat_ws(',', id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g'), level, {_duck_q('app_name')},
+ coalesce(environment, ''), coalesce(host, ''), {_duck_q('message', True)}, coalesce(source, ''), coalesce(user_id, ''),
+ coalesce(exception_type, ''), {_duck_q('exception_message')}, coalesce(request_method, ''), coalesce(request_path, ''),
+ {_duck_num('status_code')}, {_duck_num('duration_ms')}, coalesce(trace_id, ''), {_duck_q('metadata')}) AS line
+FROM selected""",
+)
+def q_export_csv_rows(spark, sf_dir):
+    logs_df = fx.logs(spark, sf_dir)
+    return export.csv_lines(enrich.select_by_ids(logs_df, _error_trace_selection(logs_df)))
+
+
+@register(
+    "export_json_records",
+    fx.duck_with("logs") + _DUCK_SELECTED
+    + """SELECT id, timestamp, level, app_name AS appName, message, metadata, exception_type AS exceptionType,
+ exception_message AS exceptionMessage, source, request_method AS requestMethod, request_path AS requestPath,
+ status_code AS statusCode, duration_ms AS durationMs, user_id AS userId, trace_id AS traceId, span_id AS spanId,
+ host, environment, project_id AS projectId, project_name AS projectName
+FROM selected""",
+)
+def q_export_json_records(spark, sf_dir):
+    logs_df = fx.logs(spark, sf_dir)
+    return export.json_records(enrich.select_by_ids(logs_df, _error_trace_selection(logs_df)))
+
+
+@register(
+    "log_display",
+    fx.duck_with("logs")
+    + f"""SELECT id, coalesce(nullif(project_name, ''), app_name) AS display_name,
+ CASE WHEN s < 60 THEN CAST(s AS VARCHAR) || 's ago' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm ago'
+      WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || 'h ago' ELSE CAST(s // 86400 AS VARCHAR) || 'd ago' END AS age,
+ CASE WHEN json_valid(metadata) THEN CAST(json(metadata) AS VARCHAR) ELSE metadata END AS metadata_json,
+ json_extract_string(metadata, '$.k') AS metadata_k,
+ CASE WHEN instr(e, '@') <= 2 THEN '***@***' ELSE substr(e, 1, 1) || '***@' || substr(e, instr(e, '@') + 1) END AS masked_email
+FROM (SELECT *, date_sub('second', timestamp, {_AS_OF_TS}) AS s, user_id || '@' || host AS e FROM logs)""",
+)
+def q_log_display(spark, sf_dir):
+    return export.log_display(fx.logs(spark, sf_dir), AS_OF)

@@ -131,7 +131,8 @@ def duck_with(*names: str) -> str:
     views = duck_views()
     views["raw_batches"] = DUCK_RAW_BATCHES
     views["project_history"] = duck_project_history()
-    deps = {"app_logs": ["logs"], "raw_batches": ["raw_logs"], "project_history": ["projects"]}
+    views["requests"] = duck_requests()
+    deps = {"app_logs": ["logs"], "raw_batches": ["raw_logs"], "project_history": ["projects"], "requests": ["logs"]}
     order: list[str] = []
     for n in names:
         for d in deps.get(n, []):
@@ -190,3 +191,24 @@ def project_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duck_project_history() -> str:
     text = duck_text(_PROJECT_VERSIONS, nation="nation").replace("TIMESTAMP_NTZ", "TIMESTAMP")
     return f"SELECT * FROM projects UNION ALL {text}"
+
+
+# Request records behind the request log: every ``logs`` row is one request; rows of the
+# Trace level are treated as static-file fetches, and error rows carry a stack trace of
+# (status - 496) frames so both short and long traces occur.
+_REQUESTS = """
+SELECT id, timestamp, request_method,
+ CASE WHEN level = 'Trace' THEN concat('/images/', user_id, '.png') ELSE request_path END AS request_path,
+ status_code, duration_ms,
+ CASE WHEN exception_type <> '' THEN concat(exception_type, ': ', exception_message,
+   repeat(concat(chr(10), '   at ', source, '.Handle()'), status_code - 496)) END AS exception
+FROM {logs}
+"""
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_spark_text(_REQUESTS), logs=logs(spark, sf_dir))
+
+
+def duck_requests() -> str:
+    return duck_text(_REQUESTS, logs="logs")
