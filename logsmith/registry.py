@@ -621,3 +621,99 @@ FROM (SELECT *, date_sub('second', timestamp, {_AS_OF_TS}) AS s, user_id || '@'
 )
 def q_log_display(spark, sf_dir):
     return export.log_display(fx.logs(spark, sf_dir), AS_OF)
+
+
+# ---------------------------------------------------------------- streaming
+# Each streaming key writes its derived input (in several files) under the session's
+# checkpoint folder, drains it with an availableNow trigger and reads the sink back.
+# Processing-time stamps are dropped from the result (they differ per run).
+
+from logsmith.session import scratch_path  # noqa: E402
+from logsmith.streaming import ingest as s_ingest, rate as s_rate, tail as s_tail  # noqa: E402
+from logsmith.schema import LOGS_SCHEMA  # noqa: E402
+
+STREAM_FILE_ROWS = 2000
+
+
+def _stage_input(df: DataFrame, path: str) -> None:
+    df.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(path)
+
+
+def _await(q) -> None:
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+_INGEST_COLS = [f.name for f in LOGS_SCHEMA.fields if f.name not in ("timestamp", "created_at")]
+
+
+@register(
+    "stream_ingest",
+    fx.duck_with("raw_logs", "projects")
+    + _DUCK_DEDUP.format(src="projects")
+    + f"""SELECT {_cols(_INGEST_COLS)} FROM (SELECT {_duck_entry('r.body', 'CAST(r.raw_id AS VARCHAR)')}
+FROM raw_logs r LEFT JOIN dedup p ON r.api_key = p.api_key
+WHERE {_DUCK_VALID})""",
+)
+def q_stream_ingest(spark, sf_dir):
+    base = scratch_path(spark, "stream-ingest")
+    _stage_input(fx.raw_logs(spark, sf_dir), f"{base}/raw")
+    q = s_ingest.start_log_ingest(
+        spark, f"{base}/raw", lambda: fx.projects(spark, sf_dir), f"{base}/logs", f"{base}/rejected",
+        f"{base}/_checkpoint", available_now=True, max_files_per_trigger=2,
+    )
+    _await(q)
+    return spark.read.parquet(f"{base}/logs").select(*_INGEST_COLS)
+
+
+_APP_COLS_NO_STAMP = [c for c in ("id", "timestamp", "level", "category", "message", "exception", "request_method",
+                                  "request_path", "status_code", "duration_ms")]
+
+
+@register(
+    "stream_app_logs",
+    fx.duck_with("requests") + _DUCK_REQUEST_LOG + f"SELECT {_cols(_APP_COLS_NO_STAMP)} FROM request_log",
+)
+def q_stream_app_logs(spark, sf_dir):
+    base = scratch_path(spark, "stream-app-logs")
+    src = fx.requests(spark, sf_dir)
+    _stage_input(src, f"{base}/requests")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/requests")
+    _await(s_ingest.start_request_ingest(spark, stream, f"{base}/app_logs", f"{base}/_checkpoint",
+                                         available_now=True))
+    return spark.read.parquet(f"{base}/app_logs").select(*_APP_COLS_NO_STAMP)
+
+
+TAIL_FILTER = LogFilter(levels="Warning,Error,Fatal", app_name="svc-3")
+
+
+@register(
+    "stream_tail",
+    fx.duck_with("logs")
+    + f"""SELECT {_cols(LOG_PAGE_COLUMNS)} FROM logs WHERE level IN ('Warning', 'Error', 'Fatal') AND app_name = 'svc-3'
+ORDER BY timestamp DESC, id LIMIT 100""",
+)
+def q_stream_tail(spark, sf_dir):
+    base = scratch_path(spark, "stream-tail")
+    _stage_input(fx.logs(spark, sf_dir), f"{base}/logs")
+    stream = spark.readStream.schema(LOGS_SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{base}/logs")
+    _await(s_tail.start_tail(spark, stream, TAIL_FILTER, f"{base}/tail", f"{base}/_checkpoint", available_now=True))
+    return s_tail.newest(spark.read.parquet(f"{base}/tail").select(*LOG_PAGE_COLUMNS), 100)
+
+
+@register(
+    "stream_rate_audit",
+    fx.duck_with("requests") + _DUCK_REQUEST_LOG
+    + """, b AS (SELECT time_bucket(INTERVAL '15 minutes', timestamp, TIMESTAMP '1970-01-01') AS window_start FROM request_log)
+SELECT window_start, window_start + INTERVAL 15 MINUTE AS window_end, count(*) AS requests,
+ least(count(*), 5) AS permitted, greatest(count(*) - 5, 0) AS rejected
+FROM b GROUP BY window_start""",
+)
+def q_stream_rate_audit(spark, sf_dir):
+    base = scratch_path(spark, "stream-rate")
+    src = reqs.request_log(fx.requests(spark, sf_dir))
+    _stage_input(src, f"{base}/app_logs")
+    stream = spark.readStream.schema(src.schema).parquet(f"{base}/app_logs")
+    _await(s_rate.start_rate_audit(spark, stream, f"{base}/counts", f"{base}/_checkpoint", available_now=True))
+    return s_rate.latest_counts(spark.read.parquet(f"{base}/counts"))
