@@ -35,15 +35,23 @@ def dedupe_keys(projects: DataFrame) -> DataFrame:
     )
 
 
-def classify(records: DataFrame, projects: DataFrame, key: str = "api_key", at: str = "received_at") -> DataFrame:
-    """Adds ``project_id``, ``project_name`` and ``reject_reason`` (null = accepted)."""
+def key_lookup(projects: DataFrame) -> DataFrame:
+    """Deduplicated key -> project side of the enrichment join, broadcast when proven small."""
     p = dedupe_keys(projects).select(
         F.col("api_key").alias("_pkey"),
         F.col("id").alias("project_id"),
         F.col("name").alias("project_name"),
         F.col("expires_at").alias("_expires"),
     )
-    joined = records.join(bounded_broadcast(p), F.col(key) == F.col("_pkey"), "left")
+    return bounded_broadcast(p)
+
+
+def classify(records: DataFrame, projects: DataFrame | None = None, key: str = "api_key", at: str = "received_at",
+             lookup: DataFrame | None = None) -> DataFrame:
+    """Adds ``project_id``, ``project_name`` and ``reject_reason`` (null = accepted).
+    Pass ``lookup`` (from ``key_lookup``) to reuse an already checked project side."""
+    p = lookup if lookup is not None else key_lookup(projects)
+    joined = records.join(p, F.col(key) == F.col("_pkey"), "left")
     reason = (
         F.when(F.col(key).isNull() | (F.col(key) == ""), F.lit("missing_key"))
         .when(F.col("_pkey").isNull(), F.lit("unknown_key"))
@@ -88,7 +96,9 @@ def ingest_batches(raw: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def select_by_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows whose id is in ``ids`` (left semi join; the id set is broadcast only when
-    proven small, otherwise both sides shuffle on the id)."""
-    keys = ids.select(F.col(id_col).alias("_sel_id")).distinct()
-    return df.join(bounded_broadcast(keys), F.col(id_col) == F.col("_sel_id"), "left_semi")
+    """Rows whose id is in ``ids`` — a left semi join. The id set is usually derived
+    (a selection, another query), so no size is known before it runs: both sides shuffle on
+    the id and AQE turns the join into a broadcast only from the measured size of the
+    materialised id set (``spark.sql.adaptive.autoBroadcastJoinThreshold``)."""
+    keys = ids.select(F.col(id_col).alias("_sel_id"))
+    return df.join(keys, F.col(id_col) == F.col("_sel_id"), "left_semi")

@@ -1,9 +1,10 @@
 """Request log: records of HTTP requests -> ``app_logs`` rows (E9-E12, F16, S7), a status
 summary (E17) and the fixed-window rate audit (T5, batch form).
 
-Everything is a per-row projection except the audit, which is a partial/final aggregate
-per window plus a map-side-limited top-(N+1) per window (``WindowGroupLimit``), so a
-window that receives a third of all requests never reaches one task in full.
+Everything is a per-row projection except the audit: a partial/final count per window and
+a map-side-limited top-(N+1) per window (``WindowGroupLimit``), merged by a second small
+aggregate (no join). A window that receives a third of all requests never reaches one
+task in full.
 """
 
 from __future__ import annotations
@@ -87,14 +88,19 @@ def rate_audit(requests: DataFrame, policy: str = "login", permit: int | None =
     minutes = window_minutes or default_minutes
     b = requests.select(window_start(ts, minutes).alias("window_start"), F.col(ts).alias("_ts"),
                         F.col(tiebreak).alias("_tb"))
-    counts = b.groupBy("window_start").agg(F.count(F.lit(1)).alias("requests"))
+    counts = b.groupBy("window_start").agg(
+        F.count(F.lit(1)).alias("requests"), F.lit(None).cast("timestamp_ntz").alias("first_rejected_at"))
     w = Window.partitionBy("window_start").orderBy("_ts", "_tb")
     over = (
         b.withColumn("_rn", F.row_number().over(w))
+        .where(F.col("_rn") <= permit + 1)
         .where(F.col("_rn") == permit + 1)
-        .select("window_start", F.col("_ts").alias("first_rejected_at"))
+        .select("window_start", F.lit(0).cast("bigint").alias("requests"), F.col("_ts").alias("first_rejected_at"))
     )
-    return counts.join(over, "window_start", "left").select(
+    # two pre-aggregated inputs merged by a second (small) aggregate instead of a join
+    merged = counts.unionByName(over).groupBy("window_start").agg(
+        F.sum("requests").alias("requests"), F.max("first_rejected_at").alias("first_rejected_at"))
+    return merged.select(
         "window_start",
         F.expr(f"timestampadd(MINUTE, {minutes}, window_start)").alias("window_end"),
         "requests",

@@ -4,18 +4,17 @@ summary (A10), computed for one trace or for all traces at once.
 Plan for all traces (one hash partitioning on ``trace_id`` shared by W1, W2 and A10):
 
 1. drop the empty trace id (it would be one giant key and means "no trace");
-2. salted partial cap: ``row_number() <= cap`` per ``(trace_id, salt)`` where ``salt`` is a
-   deterministic hash of the row id. Spark runs a map-side ``WindowGroupLimit`` before the
-   shuffle and the final one after it, so a hot trace holding a third of all rows is cut
-   to ``cap`` rows per salt bucket by many tasks instead of being sorted by one;
-3. final cap per ``trace_id`` over at most ``cap * salt_buckets`` candidates per trace —
-   exact, because the first ``cap`` rows of a trace are among the first ``cap`` rows of
-   their salt bucket;
-4. offsets (a window min) and the summary (a group-by) reuse that partitioning, and every
-   per-trace list is bounded by ``cap``.
-
-The salt is ``xxhash64(id)``, not ``rand()``: a re-run task after executor loss must put
-each row in the same bucket.
+2. ``row_number() <= cap`` per trace. Spark plans it as a map-side partial
+   ``WindowGroupLimit`` before the shuffle and a final one after it, so every map task
+   sends at most ``cap`` rows of any trace — a hot trace holding a third of all rows
+   reaches its reducer as at most ``cap x (map tasks)`` rows, never in full;
+3. when ``cap x (map tasks)`` would exceed the per-task row budget, the cap runs as a tree:
+   first per ``(trace_id, bucket)`` with ``bucket = input task % B``, so each first-level
+   reducer sees ``cap x tasks / B`` rows and the final reducer ``cap x B`` rows. The result
+   is exact: a trace's first ``cap`` rows are among the first ``cap`` rows of their bucket.
+   The bucket is the input task index, which a re-run task reproduces (unlike ``rand()``);
+4. offsets (a window min) and the summary (a group-by) reuse the ``trace_id`` partitioning,
+   and every per-trace list is bounded by ``cap``.
 """
 
 from __future__ import annotations
@@ -30,7 +29,8 @@ from logsmith.schema import TRACE_COLUMNS
 # Entries kept per trace; Error and Fatal count as errors in a trace.
 TRACE_CAP = 500
 ERROR_CODE = 4
-DEFAULT_SALT_BUCKETS = 16
+# Rows one window task may receive for a single trace before the cap runs as a tree.
+ROWS_PER_TASK_BUDGET = 4_000_000
 
 _ORDER = ("timestamp", "id")
 
@@ -40,24 +40,36 @@ def _offset_ms(partition_col: str = "trace_id"):
     return F.timestamp_diff("MICROSECOND", first, F.col("timestamp")).cast("double") / F.lit(1000.0)
 
 
-def capped_traces(df: DataFrame, cap: int = TRACE_CAP, salt_buckets: int = DEFAULT_SALT_BUCKETS) -> DataFrame:
-    """W2 for every trace: the first ``cap`` entries by ``(timestamp, id)`` with ``entry_no``."""
+def tree_buckets(df: DataFrame, cap: int, budget: int = ROWS_PER_TASK_BUDGET) -> int:
+    """First-level buckets B of the capped top-k: 1 (single stage) while ``cap x tasks``
+    fits the budget, else enough buckets that both levels stay within it."""
+    tasks = df.rdd.getNumPartitions()
+    worst = cap * tasks
+    if worst <= budget:
+        return 1
+    return min(max(2, -(-worst // budget)), max(2, budget // cap))
+
+
+def capped_traces(df: DataFrame, cap: int = TRACE_CAP, buckets: int | None = None) -> DataFrame:
+    """W2 for every trace: the first ``cap`` entries by ``(timestamp, id)`` with ``entry_no``.
+    ``buckets`` forces the first tree level (``None`` = sized from the input tasks)."""
     base = df.where(F.col("trace_id") != "")
-    if salt_buckets and salt_buckets > 1:
-        salted = Window.partitionBy("trace_id", "_salt").orderBy(*_ORDER)
+    b = tree_buckets(base, cap) if buckets is None else buckets
+    if b > 1:
+        level1 = Window.partitionBy("trace_id", "_bucket").orderBy(*_ORDER)
         base = (
-            base.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt_buckets)))
-            .withColumn("_rn", F.row_number().over(salted))
+            base.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(b)))
+            .withColumn("_rn", F.row_number().over(level1))
             .where(F.col("_rn") <= cap)
-            .drop("_rn", "_salt")
+            .drop("_rn", "_bucket")
         )
     per_trace = Window.partitionBy("trace_id").orderBy(*_ORDER)
     return base.withColumn("entry_no", F.row_number().over(per_trace)).where(F.col("entry_no") <= cap)
 
 
-def trace_timelines(df: DataFrame, cap: int = TRACE_CAP, salt_buckets: int = DEFAULT_SALT_BUCKETS) -> DataFrame:
+def trace_timelines(df: DataFrame, cap: int = TRACE_CAP, buckets: int | None = None) -> DataFrame:
     """W1 + W2 for all traces: trace projection + ``entry_no`` + ``offset_ms``."""
-    capped = capped_traces(df.select("trace_id", *TRACE_COLUMNS), cap, salt_buckets)
+    capped = capped_traces(df.select("trace_id", *TRACE_COLUMNS), cap, buckets)
     return capped.select("trace_id", *TRACE_COLUMNS, "entry_no", _offset_ms().alias("offset_ms"))
 
 
@@ -88,10 +100,10 @@ def summarize_traces(capped: DataFrame) -> DataFrame:
     )
 
 
-def trace_summaries(df: DataFrame, cap: int = TRACE_CAP, salt_buckets: int = DEFAULT_SALT_BUCKETS) -> DataFrame:
+def trace_summaries(df: DataFrame, cap: int = TRACE_CAP, buckets: int | None = None) -> DataFrame:
     """A10 for every trace (computed after the cap, like the single-trace view)."""
     return summarize_traces(capped_traces(df.select("trace_id", "id", "timestamp", "level", "app_name"), cap,
-                                          salt_buckets))
+                                          buckets))
 
 
 def trace_summary(df: DataFrame, trace_id: str, cap: int = TRACE_CAP) -> DataFrame:

@@ -1,0 +1,22 @@
+"""Input parallelism guard.
+
+A scan gets one task per input split; a table stored as one file with one row group (as
+the small test tables are) becomes ONE task however many cores exist, and every per-row
+expression downstream runs single-threaded. ``spread`` adds a round-robin exchange only in
+that case — when the scan has fewer splits than the session's default parallelism. A large
+input (thousands of splits) is returned unchanged, so no shuffle is added at scale.
+Filters and column pruning still reach the scan (they are pushed below the exchange).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if target <= 1:
+        return df
+    current = df.rdd.getNumPartitions()
+    return df.repartition(target) if current < target else df

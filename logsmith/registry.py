@@ -633,10 +633,15 @@ from logsmith.streaming import ingest as s_ingest, rate as s_rate, tail as s_tai
 from logsmith.schema import LOGS_SCHEMA  # noqa: E402
 
 STREAM_FILE_ROWS = 2000
+# A staged backlog is drained in this many micro-batches whatever its size.
+STREAM_BATCHES = 4
 
 
-def _stage_input(df: DataFrame, path: str) -> None:
+def _stage_input(df: DataFrame, path: str) -> int:
+    """Write the derived input; return ``maxFilesPerTrigger`` for a STREAM_BATCHES drain."""
     df.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(path)
+    files = len(df.sparkSession.read.parquet(path).inputFiles())
+    return max(1, -(-files // STREAM_BATCHES))
 
 
 def _await(q) -> None:
@@ -658,10 +663,10 @@ WHERE {_DUCK_VALID})""",
 )
 def q_stream_ingest(spark, sf_dir):
     base = scratch_path(spark, "stream-ingest")
-    _stage_input(fx.raw_logs(spark, sf_dir), f"{base}/raw")
+    per_trigger = _stage_input(fx.raw_logs(spark, sf_dir), f"{base}/raw")
     q = s_ingest.start_log_ingest(
         spark, f"{base}/raw", lambda: fx.projects(spark, sf_dir), f"{base}/logs", f"{base}/rejected",
-        f"{base}/_checkpoint", available_now=True, max_files_per_trigger=2,
+        f"{base}/_checkpoint", available_now=True, max_files_per_trigger=per_trigger,
     )
     _await(q)
     return spark.read.parquet(f"{base}/logs").select(*_INGEST_COLS)
@@ -678,8 +683,8 @@ _APP_COLS_NO_STAMP = [c for c in ("id", "timestamp", "level", "category", "messa
 def q_stream_app_logs(spark, sf_dir):
     base = scratch_path(spark, "stream-app-logs")
     src = fx.requests(spark, sf_dir)
-    _stage_input(src, f"{base}/requests")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/requests")
+    per_trigger = _stage_input(src, f"{base}/requests")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{base}/requests")
     _await(s_ingest.start_request_ingest(spark, stream, f"{base}/app_logs", f"{base}/_checkpoint",
                                          available_now=True))
     return spark.read.parquet(f"{base}/app_logs").select(*_APP_COLS_NO_STAMP)
@@ -696,8 +701,8 @@ ORDER BY timestamp DESC, id LIMIT 100""",
 )
 def q_stream_tail(spark, sf_dir):
     base = scratch_path(spark, "stream-tail")
-    _stage_input(fx.logs(spark, sf_dir), f"{base}/logs")
-    stream = spark.readStream.schema(LOGS_SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{base}/logs")
+    per_trigger = _stage_input(fx.logs(spark, sf_dir), f"{base}/logs")
+    stream = spark.readStream.schema(LOGS_SCHEMA).option("maxFilesPerTrigger", per_trigger).parquet(f"{base}/logs")
     _await(s_tail.start_tail(spark, stream, TAIL_FILTER, f"{base}/tail", f"{base}/_checkpoint", available_now=True))
     return s_tail.newest(spark.read.parquet(f"{base}/tail").select(*LOG_PAGE_COLUMNS), 100)
 

@@ -92,8 +92,11 @@ def duck_text(text: str, **tables: str) -> str:
     return out.replace("\x00", "{").replace("\x01", "}")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_input: bool = True) -> DataFrame:
+    from logsmith.plans.parallelism import spread
+
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_input else df
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

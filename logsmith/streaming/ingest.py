@@ -1,8 +1,9 @@
 """Streaming ingest.
 
 ``readStream`` (file source; any streaming source with the raw schema works) -> stateless
-parse -> ``foreachBatch``: the project table is re-read and joined per micro-batch (key
-changes are picked up, like the reference's cache refresh), each batch gets ONE
+parse -> ``foreachBatch``: the micro-batch is joined with a size-checked, persisted project
+lookup that is re-read from the table once a minute (key changes are picked up within that
+period, like a refreshed key cache), each batch gets ONE
 processing-time stamp taken on the driver (T4), and the outputs are written to the
 ``(month, batch_id)`` partitions with dynamic overwrite. A batch replayed after a failure
 rewrites exactly its own partitions, so the sink holds no duplicates; the checkpoint
@@ -48,12 +49,42 @@ def write_batch_partitions(df: DataFrame, path: str, batch_id: int, ts_col: str
      .partitionBy("month", "batch_id").parquet(path))
 
 
-def log_ingest_batch(projects_loader: Callable[[], DataFrame], logs_path: str, rejected_path: str):
+# The project key table is re-read at most this often (seconds).
+PROJECT_REFRESH_SECONDS = 60
+
+
+class ProjectLookup:
+    """Size-checked, persisted key -> project side for the stream-static join, re-read from
+    the project table once it is older than ``refresh_seconds`` (new / expired / renamed keys
+    are seen within that period). A lost cached block is recomputed from the table."""
+
+    def __init__(self, loader: Callable[[], DataFrame], refresh_seconds: float = PROJECT_REFRESH_SECONDS):
+        self.loader = loader
+        self.refresh_seconds = refresh_seconds
+        self._df: DataFrame | None = None
+        self._loaded = 0.0
+
+    def get(self) -> DataFrame:
+        import time
+
+        now = time.monotonic()
+        if self._df is None or now - self._loaded >= self.refresh_seconds:
+            old = self._df
+            self._df = enrich.key_lookup(self.loader()).persist()
+            self._loaded = now
+            if old is not None:
+                old.unpersist()
+        return self._df
+
+
+def log_ingest_batch(projects_loader: Callable[[], DataFrame], logs_path: str, rejected_path: str,
+                     refresh_seconds: float = PROJECT_REFRESH_SECONDS):
     """The ``foreachBatch`` body of T1."""
+    lookup = ProjectLookup(projects_loader, refresh_seconds)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         stamp = F.lit(fmt_ts(batch_stamp())).cast("timestamp_ntz")
-        classified = enrich.classify(batch.withColumn("_stamp", stamp), projects_loader()).persist()
+        classified = enrich.classify(batch.withColumn("_stamp", stamp), lookup=lookup.get()).persist()
         try:
             accepted = enrich.to_logs(classified, at="_stamp").select(*[f.name for f in LOGS_SCHEMA.fields])
             write_batch_partitions(accepted, logs_path, batch_id)

@@ -52,7 +52,16 @@ def test_broadcast_refused_over_bound(spark):
 
 def test_trace_cap_is_map_side_limited(spark):
     p = plan_text(traces.trace_timelines(fx.logs(spark, SF)))
-    assert p.count("WindowGroupLimit") >= 4 and "Partial" in p
+    assert p.count("WindowGroupLimit") >= 2 and "Partial" in p
+    tree = plan_text(traces.trace_timelines(fx.logs(spark, SF), buckets=4))
+    assert tree.count("WindowGroupLimit") >= 4 and "spark_partition_id" in tree.lower()
+
+
+def test_tree_buckets_sizing(spark):
+    df = spark.range(10).repartition(64)
+    assert traces.tree_buckets(df, 500, budget=4_000_000) == 1
+    b = traces.tree_buckets(df, 500, budget=10_000)
+    assert b > 1 and 500 * 64 / b <= 10_000 * 1.01 and 500 * b <= 10_000
 
 
 def test_no_python_in_any_registered_plan(spark):

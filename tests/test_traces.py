@@ -40,8 +40,8 @@ def test_fatal_counts_as_error_warning_does_not(spark):
 def test_cap_501(spark):
     entries = [(i, f"svc-{i % 3}", "Info") for i in range(501)]
     df = spark.createDataFrame(rows(entries, "big"), COLS)
-    for salt in (0, 16):
-        tl = traces.trace_timelines(df, salt_buckets=salt)
+    for salt in (1, 4):
+        tl = traces.trace_timelines(df.repartition(4), buckets=salt)
         assert tl.count() == 500
         assert tl.agg(F.max("offset_ms")).first()[0] == 499.0
     s = traces.trace_summaries(df).first()
@@ -54,8 +54,10 @@ def test_hot_trace_equals_brute_force(spark):
     hot = [(i // 3, f"svc-{i % 7}", "Error" if i == 1500 else "Info") for i in range(3000)]
     small = [(i, "x", "Info") for i in range(5)]
     data = rows(hot, "hot") + rows(small, "cold") + [("empty-1", BASE, "Info", "a", "m", "{}", "", "", "")]
-    df = spark.createDataFrame(data, COLS)
+    df = spark.createDataFrame(data, COLS).repartition(6)
     got = {(r.trace_id, r.id, r.entry_no, r.offset_ms) for r in traces.trace_timelines(df, cap=500).collect()}
+    tree = {(r.trace_id, r.id, r.entry_no, r.offset_ms) for r in traces.trace_timelines(df, cap=500, buckets=4).collect()}
+    assert tree == got
     expect = set()
     by_trace = {}
     for r in data:
