@@ -722,3 +722,52 @@ def q_stream_rate_audit(spark, sf_dir):
     stream = spark.readStream.schema(src.schema).parquet(f"{base}/app_logs")
     _await(s_rate.start_rate_audit(spark, stream, f"{base}/counts", f"{base}/_checkpoint", available_now=True))
     return s_rate.latest_counts(spark.read.parquet(f"{base}/counts"))
+
+
+# ---------------------------------------------------------------- stored layout (S1, S2, S6, S7, S12, M1 on storage)
+# These keys write the derived table in the stored layout under the session's checkpoint
+# folder (a new path per run) and query it back through the declared-schema scans, so
+# month pruning and pushed filters are exercised.
+
+from logsmith.sources import sinks  # noqa: E402
+
+STORED_FILTER = LogFilter(levels="Error,Fatal", app_name="svc-3", time_from="2024-01-20 00:00:00",
+                          time_to="2024-01-25 23:59:59")
+
+
+@register(
+    "stored_log_search",
+    fx.duck_with("logs")
+    + f"""SELECT {_cols(LOG_PAGE_COLUMNS)} FROM logs
+WHERE level IN ('Error', 'Fatal') AND app_name = 'svc-3'
+ AND timestamp >= TIMESTAMP '2024-01-20 00:00:00' AND timestamp <= TIMESTAMP '2024-01-25 23:59:59'
+ORDER BY timestamp DESC, id LIMIT 200""",
+)
+def q_stored_log_search(spark, sf_dir):
+    path = scratch_path(spark, "stored-logs")
+    sinks.write_logs(fx.logs(spark, sf_dir), path, rewrite=True)
+    return search.log_page(sinks.read_logs(spark, path), STORED_FILTER, page=1, page_size=200)
+
+
+@register(
+    "stored_app_log_page",
+    fx.duck_with("requests") + _DUCK_REQUEST_LOG
+    + f"""SELECT {_cols(APP_LOG_PAGE_COLUMNS)} FROM request_log WHERE level = 'Error'
+ORDER BY timestamp DESC, id LIMIT 50 OFFSET 150""",
+)
+def q_stored_app_log_page(spark, sf_dir):
+    path = scratch_path(spark, "stored-app-logs")
+    sinks.write_app_logs(reqs.request_log(fx.requests(spark, sf_dir)), path)
+    return search.app_log_page(sinks.read_app_logs(spark, path), AppLogFilter(level="Error"), page=4, page_size=50)
+
+
+@register(
+    "retention_rewrite",
+    fx.duck_with("logs")
+    + "SELECT id, timestamp, level, app_name FROM logs WHERE timestamp >= TIMESTAMP '2024-01-21 00:00:00'",
+)
+def q_retention_rewrite(spark, sf_dir):
+    path = scratch_path(spark, "retention")
+    sinks.write_logs(fx.logs(spark, sf_dir), path, rewrite=True)
+    retention.apply_retention(spark, path, AS_OF, 10, scratch_path(spark, "retention-stage"))
+    return sinks.read_logs(spark, path).select("id", "timestamp", "level", "app_name")
