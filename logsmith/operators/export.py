@@ -18,8 +18,11 @@ CSV_HEADER = ("id", "timestamp", "level", "appName", "environment", "host", "mes
               "traceId", "metadata")
 
 
-def _iso_ms(col: str = "timestamp") -> Column:
-    return F.date_format(F.col(col), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+def _iso_json(col: str = "timestamp") -> Column:
+    """Timestamp as the log API serialises it: ISO-8601, fraction without trailing zeros."""
+    frac = F.regexp_replace(F.date_format(F.col(col), "SSS"), "0+$", "")
+    return F.concat(F.date_format(F.col(col), "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
 
 
 def log_lines(df: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def csv_lines(df: DataFrame) -> DataFrame:
     """One CSV line per row in the 17-column layout (text fields that may hold commas
     are always quoted; quotes doubled; newlines in the message written as ``\\n``)."""
     fields = [
-        F.col("id"), _iso_ms("timestamp"), F.col("level"), _quoted("app_name"), _blank_if_empty("environment"),
+        F.col("id"), _iso_json("timestamp"), F.col("level"), _quoted("app_name"), _blank_if_empty("environment"),
         _blank_if_empty("host"), _quoted("message", newline_escape=True), _blank_if_empty("source"),
         _blank_if_empty("user_id"), _blank_if_empty("exception_type"), _quoted("exception_message"),
         _blank_if_empty("request_method"), _blank_if_empty("request_path"), _number("status_code"),

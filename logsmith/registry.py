@@ -583,7 +583,9 @@ def _duck_num(c: str) -> str:
 @register(
     "export_csv_rows",
     fx.duck_with("logs") + _DUCK_SELECTED
-    + f"""SELECT id, concat_ws(',', id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g'), level, {_duck_q('app_name')},
+    + f"""SELECT id, concat_ws(',', id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
+   || CASE WHEN rtrim(strftime(timestamp, '%g'), '0') <> '' THEN '.' || rtrim(strftime(timestamp, '%g'), '0') ELSE '' END,
+ level, {_duck_q('app_name')},
  coalesce(environment, ''), coalesce(host, ''), {_duck_q('message', True)}, coalesce(source, ''), coalesce(user_id, ''),
  coalesce(exception_type, ''), {_duck_q('exception_message')}, coalesce(request_method, ''), coalesce(request_path, ''),
  {_duck_num('status_code')}, {_duck_num('duration_ms')}, coalesce(trace_id, ''), {_duck_q('metadata')}) AS line

@@ -64,3 +64,5 @@ def test_export_line_format(spark):
     line = export.csv_lines(df).first().line
     assert line == ('x1,2024-01-02T03:04:05.678,Warning,"",production,,"said ""hi""\\nbye",,,,"",GET,/p,,12.5,t,"{}"')
     assert export.csv_header_line().startswith("id,timestamp,level,appName")
+    whole = spark.createDataFrame([row[:1] + (dt.datetime(2024, 1, 2, 3, 4, 5, 500000),) + row[2:]], LOGS_SCHEMA)
+    assert export.csv_lines(whole).first().line.startswith("x1,2024-01-02T03:04:05.5,")
