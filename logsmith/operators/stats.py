@@ -53,3 +53,32 @@ def distinct_apps(df: DataFrame) -> DataFrame:
 def distinct_environments(df: DataFrame) -> DataFrame:
     """Sorted distinct non-empty environments."""
     return df.where(F.col("environment") != "").select("environment").distinct().orderBy("environment")
+
+
+def dashboard(df: DataFrame, as_of) -> DataFrame:
+    """A2-A6 in ONE scan and one aggregate: ``GROUPING SETS ((app_name), ())``. The row with
+    ``scope = 'total'`` carries the dashboard scalars, the ``scope = 'app'`` rows the per-app
+    counts (rank them with ``top_apps_from``). The result has one row per app plus one."""
+    recent = df.where(conjunction(lookback(df, as_of, STATS_HOURS)))
+    last_hour = conjunction(lookback(df, as_of, RATE_HOURS))
+    agg = recent.groupingSets([["app_name"], []], "app_name").agg(
+        F.grouping_id().alias("_gid"),
+        F.count(F.lit(1)).alias("log_count"),
+        F.count_if(F.col("level") == "Error").alias("error_count"),
+        F.count_if(F.col("level") == "Warning").alias("warning_count"),
+        F.count_if(last_hour).alias("last_hour_count"),
+    )
+    return agg.select(
+        F.when(F.col("_gid") == 0, F.lit("app")).otherwise(F.lit("total")).alias("scope"),
+        "app_name",
+        "log_count",
+        "error_count",
+        "warning_count",
+        (F.col("last_hour_count") / F.lit(RATE_MINUTES)).alias("logs_per_minute"),
+    )
+
+
+def top_apps_from(dash: DataFrame, limit: int = TOP_APPS) -> DataFrame:
+    """A6 from a ``dashboard`` result."""
+    return (dash.where(F.col("scope") == "app").select("app_name", "log_count", "error_count")
+            .orderBy(F.col("log_count").desc(), F.col("app_name").asc()).limit(limit))

@@ -773,3 +773,17 @@ def q_retention_rewrite(spark, sf_dir):
     sinks.write_logs(fx.logs(spark, sf_dir), path, rewrite=True)
     retention.apply_retention(spark, path, AS_OF, 10, scratch_path(spark, "retention-stage"))
     return sinks.read_logs(spark, path).select("id", "timestamp", "level", "app_name")
+
+
+@register(
+    "dashboard_rollup",
+    fx.duck_with("logs")
+    + f"""SELECT CASE WHEN GROUPING(app_name) = 0 THEN 'app' ELSE 'total' END AS scope, app_name,
+ count(*) AS log_count, count(*) FILTER (WHERE level = 'Error') AS error_count,
+ count(*) FILTER (WHERE level = 'Warning') AS warning_count,
+ CAST(count(*) FILTER (WHERE timestamp > {H1_SQL}) AS DOUBLE) / 60.0 AS logs_per_minute
+FROM logs WHERE timestamp > {H24_SQL}
+GROUP BY GROUPING SETS ((app_name), ())""",
+)
+def q_dashboard_rollup(spark, sf_dir):
+    return stats.dashboard(fx.logs(spark, sf_dir), AS_OF)
