@@ -18,17 +18,30 @@ from logsmith.schema import APP_LOGS_SCHEMA, LOGS_SCHEMA, LOGS_STORED_SCHEMA, ad
 CLUSTER_KEYS = ("app_name", "level", "timestamp")
 # File sizing of the stored tables.
 MAX_RECORDS_PER_FILE = 2_000_000
+TARGET_PARTITION_BYTES = 512 * 1024 * 1024
 
 
 def with_month(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     return df.withColumn("month", month_key(ts))
 
 
+def rewrite_partitions(df: DataFrame) -> int:
+    """Output tasks of a full rewrite: the input size over ~512 MB per task (Catalyst's
+    size estimate; no job), at least ``spark.sql.shuffle.partitions``."""
+    from logsmith.plans.broadcast import estimated_bytes
+
+    floor_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    est = estimated_bytes(df)
+    by_size = -(-est // TARGET_PARTITION_BYTES) if est else 0
+    return max(floor_n, int(by_size))
+
+
 def clustered(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """S12 for a full rewrite: range partitions over (month, app, level, ts), sorted."""
+    """S12 for a full rewrite: range partitions over (month, app, level, ts), sorted. Range
+    bounds come from a sample of the keys, so a hot app is split by timestamp across tasks."""
     df = df if "month" in df.columns else with_month(df)
     keys = ("month",) + CLUSTER_KEYS
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or rewrite_partitions(df)
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
