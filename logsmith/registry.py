@@ -398,7 +398,8 @@ def q_request_log(spark, sf_dir):
     fx.duck_with("requests") + _DUCK_REQUEST_LOG
     + """SELECT level, CASE WHEN status_code >= 500 THEN '5xx' WHEN status_code >= 400 THEN '4xx'
    WHEN status_code >= 200 AND status_code < 300 THEN '2xx' ELSE 'other' END AS status_class,
- count(*) AS requests, round(avg(duration_ms), 3) AS avg_duration_ms
+ count(*) AS requests,
+ CAST(sum(CAST(round(duration_ms * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS avg_duration_ms
 FROM request_log GROUP BY 1, 2""",
 )
 def q_request_status_summary(spark, sf_dir):
