@@ -63,9 +63,20 @@ def month_dirs(spark: SparkSession, path: str) -> dict[int, str]:
     return out
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def apply_retention(spark: SparkSession, path: str, as_of, days: int, stage_path: str) -> dict:
     """M1 on a stored month-partitioned table: drop months wholly before the cutoff and
-    rewrite the straddling month through ``stage_path``. Returns what was done."""
+    rewrite the straddling month through ``stage_path``. Returns what was done.
+
+    Restartable: dropping expired months is idempotent, and a completed stage (its
+    ``_SUCCESS`` marker) is reused, so a run killed between staging and the partition
+    overwrite resumes from the stage instead of re-reading a half-rewritten month. Use one
+    ``stage_path`` per (table, cutoff)."""
     days = guard(days, DAYS_RANGE, "days")
     c = cutoff(as_of, days)
     edge = month_of(c)
@@ -80,8 +91,9 @@ def apply_retention(spark: SparkSession, path: str, as_of, days: int, stage_path
             dropped.append(m)
     rewritten = []
     if edge in dirs:
-        kept = spark.read.parquet(path).where(F.col("month") == edge).where(F.col("timestamp") >= ts_lit(c))
-        kept.write.mode("overwrite").partitionBy("month").parquet(stage_path)
+        if not _exists(spark, f"{stage_path}/_SUCCESS"):
+            kept = spark.read.parquet(path).where(F.col("month") == edge).where(F.col("timestamp") >= ts_lit(c))
+            kept.write.mode("overwrite").partitionBy("month").parquet(stage_path)
         staged = spark.read.parquet(stage_path)
         if staged.limit(1).count() == 0:
             p = jvm.org.apache.hadoop.fs.Path(dirs[edge])

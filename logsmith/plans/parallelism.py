@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
+    try:
+        sc = df.sparkSession.sparkContext
+        target = min_partitions or sc.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view of the plan (e.g. Spark Connect): leave as is
+        return df
     if target <= 1:
         return df
-    current = df.rdd.getNumPartitions()
     return df.repartition(target) if current < target else df

@@ -788,3 +788,27 @@ GROUP BY GROUPING SETS ((app_name), ())""",
 )
 def q_dashboard_rollup(spark, sf_dir):
     return stats.dashboard(fx.logs(spark, sf_dir), AS_OF)
+
+
+@register(
+    "request_log_levels",
+    fx.duck_with("requests") + _DUCK_REQUEST_LOG
+    + "SELECT id, status_code, exception IS NOT NULL AS has_exception, level, message FROM request_log",
+)
+def q_request_log_levels(spark, sf_dir):
+    """E9 + E12 (+ F16): level and summary line per logged request."""
+    logged = reqs.request_log(fx.requests(spark, sf_dir))
+    return logged.select("id", "status_code", F.col("exception").isNotNull().alias("has_exception"), "level",
+                         "message")
+
+
+@register(
+    "request_log_redacted",
+    fx.duck_with("requests") + _DUCK_REQUEST_LOG
+    + "SELECT id, request_path, exception FROM request_log WHERE request_path LIKE '%=***%' OR exception LIKE '%(truncated)'",
+)
+def q_request_log_redacted(spark, sf_dir):
+    """E10 + E11: requests whose query string was redacted or whose stack trace was cut."""
+    logged = reqs.request_log(fx.requests(spark, sf_dir))
+    return logged.where(F.col("request_path").contains("=***") | F.col("exception").endswith("(truncated)")).select(
+        "id", "request_path", "exception")

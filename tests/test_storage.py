@@ -66,3 +66,15 @@ def test_export_line_format(spark):
     assert export.csv_header_line().startswith("id,timestamp,level,appName")
     whole = spark.createDataFrame([row[:1] + (dt.datetime(2024, 1, 2, 3, 4, 5, 500000),) + row[2:]], LOGS_SCHEMA)
     assert export.csv_lines(whole).first().line.startswith("x1,2024-01-02T03:04:05.5,")
+
+
+def test_retention_resumes_from_completed_stage(spark, tmp_dir):
+    path, stage = f"{tmp_dir}/logs", f"{tmp_dir}/stage"
+    write_logs(fx.logs(spark, SF), path, rewrite=True)
+    # a first attempt staged the month and then died before the overwrite
+    kept = read_logs(spark, path).where(F.col("timestamp") >= F.lit("2024-01-21 00:00:00").cast("timestamp_ntz"))
+    kept.write.partitionBy("month").parquet(stage)
+    expect = sorted(r.id for r in kept.collect())
+    res = retention.apply_retention(spark, path, AS_OF, 10, stage)
+    assert res["rewritten_months"] == [202401]
+    assert sorted(r.id for r in read_logs(spark, path).collect()) == expect
