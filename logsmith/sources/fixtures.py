@@ -92,10 +92,21 @@ def duck_text(text: str, **tables: str) -> str:
     return out.replace("\x00", "{").replace("\x01", "}")
 
 
+# Declared schemas of the driver's input tables used by the views (declared,
+# not inferred: no footer-reading job per scan).
+SOURCE_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread_input: bool = True) -> DataFrame:
     from logsmith.plans.parallelism import spread
 
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in SOURCE_SCHEMAS:
+        reader = reader.schema(SOURCE_SCHEMAS[name])
+    df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if spread_input else df
 
 
