@@ -9,8 +9,6 @@ task in full.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +123,3 @@ def permitted_requests(requests: DataFrame, policy: str = "login", ts: str = "ti
         .where(F.col("_rn") <= permit)
         .drop("_w", "_rn")
     )
-
-
-def as_minutes(td: dt.timedelta) -> int:
-    return int(td.total_seconds() // 60)

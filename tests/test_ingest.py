@@ -3,7 +3,6 @@
 import datetime as dt
 import json
 
-from pyspark.sql import functions as F
 
 from logsmith.operators import enrich
 from logsmith.schema import PROJECTS_SCHEMA, RAW_LOGS_SCHEMA

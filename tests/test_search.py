@@ -85,3 +85,19 @@ def test_app_log_levels_before_paging(spark):
     assert len(page) == 20 and {r.level for r in page} == {"Warning", "Error"}
     with pytest.raises(ValueError):
         filter_app_logs(df, AppLogFilter(levels="Info"))
+
+
+def test_rate_audit_and_permitted_requests(spark):
+    from logsmith.operators import requests as reqs
+    base = dt.datetime(2024, 1, 30, 10, 0, 0)
+    # 8 requests in the first 15-minute window (two share a timestamp), 2 in the next
+    ts = [base + dt.timedelta(seconds=s) for s in (1, 2, 2, 3, 4, 5, 6, 7)] + [base + dt.timedelta(minutes=20)] * 2
+    df = spark.createDataFrame([(f"{i:02d}", t) for i, t in enumerate(ts)], "id string, timestamp timestamp_ntz")
+    audit = {r.window_start: r for r in reqs.rate_audit(df, "login").collect()}
+    w0 = audit[base]
+    assert (w0.requests, w0.permitted, w0.rejected, w0.first_rejected_at) == (8, 5, 3, base + dt.timedelta(seconds=5))
+    w1 = audit[base + dt.timedelta(minutes=15)]
+    assert (w1.requests, w1.permitted, w1.rejected, w1.first_rejected_at) == (2, 2, 0, None)
+    assert w0.window_end == base + dt.timedelta(minutes=15)
+    allowed = sorted(r.id for r in reqs.permitted_requests(df, "login").collect())
+    assert allowed == ["00", "01", "02", "03", "04", "08", "09"]

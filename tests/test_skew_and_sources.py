@@ -3,14 +3,13 @@ envelope edge cases, and a live processing-time stream."""
 
 import datetime as dt
 import json
-import time
 
 from pyspark.sql import functions as F
 
 from logsmith.operators import enrich, patterns, stats
 from logsmith.schema import PROJECTS_SCHEMA, RAW_LOGS_SCHEMA
 from logsmith.sources import fixtures as fx
-from logsmith.streaming import ingest as s_ingest, tail as s_tail
+from logsmith.streaming import tail as s_tail
 from logsmith.operators.filters import LogFilter
 from logsmith.schema import LOGS_SCHEMA
 
