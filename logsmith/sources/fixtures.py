@@ -100,13 +100,19 @@ SOURCE_SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_input: bool = True) -> DataFrame:
+# Only the fact table is spread over the cores; dimension tables are tiny.
+SPREAD_TABLES = ("events",)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_input: bool | None = None) -> DataFrame:
     from logsmith.plans.parallelism import spread
 
     reader = spark.read
     if name in SOURCE_SCHEMAS:
         reader = reader.schema(SOURCE_SCHEMAS[name])
     df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread_input is None:
+        spread_input = name in SPREAD_TABLES
     return spread(df) if spread_input else df
 
 
