@@ -1,10 +1,11 @@
 """Input parallelism guard.
 
 A scan gets one task per input split; a table stored as one file with one row group (as
-the small test tables are) becomes ONE task however many cores exist, and every per-row
-expression downstream runs single-threaded. ``spread`` adds a round-robin exchange only in
-that case — when the scan has fewer splits than the session's default parallelism. A large
-input (thousands of splits) is returned unchanged, so no shuffle is added at scale.
+the small test tables are, or one unsplittable compressed file) becomes ONE task however
+many cores exist, and every per-row expression downstream runs single-threaded.
+``spread`` adds a round-robin exchange only in that pathological case — a scan with fewer
+than ``FEW_SPLITS`` splits. Any input with a real file layout (even a few GB) already has
+at least that many splits and is returned unchanged, so no shuffle is added at scale.
 Filters and column pruning still reach the scan (they are pushed below the exchange).
 """
 
@@ -13,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+# A scan with fewer splits than this is spread over the cores.
+FEW_SPLITS = 4
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     try:
         sc = df.sparkSession.sparkContext
@@ -20,6 +25,6 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         current = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view of the plan (e.g. Spark Connect): leave as is
         return df
-    if target <= 1:
+    if target <= 1 or current >= FEW_SPLITS or current >= target:
         return df
-    return df.repartition(target) if current < target else df
+    return df.repartition(target)
