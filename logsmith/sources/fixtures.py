@@ -50,6 +50,13 @@ SELECT concat('p', CAST(n_nationkey AS STRING)) AS id,
  {TS}'2023-12-01 00:00:00' AS created_at,
  CASE n_regionkey WHEN 0 THEN {TS}'2024-01-10 00:00:00' WHEN 1 THEN {TS}'2024-02-05 00:00:00' ELSE NULL END AS expires_at
 FROM {nation}
+UNION ALL
+SELECT concat('s', CAST(s_suppkey AS STRING)) AS id,
+ s_name AS name,
+ concat('lfdev_key_s', CAST(s_suppkey AS STRING)) AS api_key,
+ {TS}'2023-12-15 00:00:00' AS created_at,
+ CASE s_nationkey % 3 WHEN 0 THEN {TS}'2024-01-20 00:00:00' WHEN 1 THEN {TS}'2024-02-03 12:00:00' ELSE NULL END AS expires_at
+FROM {supplier}
 """
 
 _RAW_LOGS = """
@@ -97,6 +104,7 @@ def duck_text(text: str, **tables: str) -> str:
 SOURCE_SCHEMAS = {
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
 }
 
 
@@ -122,8 +130,10 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``projects`` (one row per ``nation`` row)."""
-    return spark.sql(_spark_text(_PROJECTS), nation=table(spark, sf_dir, "nation"))
+    """``projects``: one row per ``nation`` row (the keys used by ``raw_logs``) plus one per
+    ``supplier`` row (keys ``lfdev_key_s<n>``), so the registry grows with the data."""
+    return spark.sql(_spark_text(_PROJECTS), nation=table(spark, sf_dir, "nation"),
+                     supplier=table(spark, sf_dir, "supplier"))
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +150,7 @@ def duck_views() -> dict[str, str]:
     """DuckDB text of the four views, to be used as CTEs over the driver's views."""
     return {
         "logs": duck_text(_LOGS, events="events"),
-        "projects": duck_text(_PROJECTS, nation="nation"),
+        "projects": duck_text(_PROJECTS, nation="nation", supplier="supplier"),
         "raw_logs": duck_text(_RAW_LOGS, events="events"),
         "app_logs": duck_text(_APP_LOGS, logs="logs"),
     }
@@ -191,8 +201,9 @@ DUCK_RAW_BATCHES = f"""SELECT min(raw_id) AS raw_id, max(received_at) AS receive
  '{{"logs":[' || string_agg(body, ',' ORDER BY raw_id) || ']}}' AS body
 FROM raw_logs GROUP BY api_key, raw_id // {BATCH_BLOCK}"""
 
-# Project history: the base projects plus later re-registrations of region-2 keys (which
-# win) and earlier ones of region-3 keys (which lose), for last-write-wins dedupe.
+# Project history: the base projects plus re-registrations of existing keys — region-2
+# nation keys and every fourth supplier key later (they win), region-3 nation keys and
+# the next supplier keys earlier (they lose) — for last-write-wins dedupe.
 _PROJECT_VERSIONS = """
 SELECT concat('p', CAST(n_nationkey AS STRING), '-v2') AS id,
  concat(n_name, ' (renamed)') AS name,
@@ -200,16 +211,24 @@ SELECT concat('p', CAST(n_nationkey AS STRING), '-v2') AS id,
  CASE n_regionkey WHEN 2 THEN {TS}'2024-01-15 00:00:00' ELSE {TS}'2023-11-01 00:00:00' END AS created_at,
  CAST(NULL AS TIMESTAMP_NTZ) AS expires_at
 FROM {nation} WHERE n_regionkey IN (2, 3)
+UNION ALL
+SELECT concat('s', CAST(s_suppkey AS STRING), '-v2') AS id,
+ concat(s_name, ' (renamed)') AS name,
+ concat('lfdev_key_s', CAST(s_suppkey AS STRING)) AS api_key,
+ CASE s_suppkey % 4 WHEN 0 THEN {TS}'2024-01-25 00:00:00' ELSE {TS}'2023-11-01 00:00:00' END AS created_at,
+ CAST(NULL AS TIMESTAMP_NTZ) AS expires_at
+FROM {supplier} WHERE s_suppkey % 4 IN (0, 1)
 """
 
 
 def project_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.sql(_spark_text(_PROJECT_VERSIONS), nation=table(spark, sf_dir, "nation"))
+    extra = spark.sql(_spark_text(_PROJECT_VERSIONS), nation=table(spark, sf_dir, "nation"),
+                      supplier=table(spark, sf_dir, "supplier"))
     return projects(spark, sf_dir).unionByName(extra)
 
 
 def duck_project_history() -> str:
-    text = duck_text(_PROJECT_VERSIONS, nation="nation").replace("TIMESTAMP_NTZ", "TIMESTAMP")
+    text = duck_text(_PROJECT_VERSIONS, nation="nation", supplier="supplier").replace("TIMESTAMP_NTZ", "TIMESTAMP")
     return f"SELECT * FROM projects UNION ALL {text}"
 
 
