@@ -201,23 +201,23 @@ DUCK_RAW_BATCHES = f"""SELECT min(raw_id) AS raw_id, max(received_at) AS receive
  '{{"logs":[' || string_agg(body, ',' ORDER BY raw_id) || ']}}' AS body
 FROM raw_logs GROUP BY api_key, raw_id // {BATCH_BLOCK}"""
 
-# Project history: the base projects plus re-registrations of existing keys — region-2
-# nation keys and every fourth supplier key later (they win), region-3 nation keys and
-# the next supplier keys earlier (they lose) — for last-write-wins dedupe.
+# Project history: the base projects plus a second registration of EVERY key — later
+# than the first for region-2 nation keys and even supplier keys (the new one wins),
+# earlier for all others (the old one stays) — for last-write-wins dedupe.
 _PROJECT_VERSIONS = """
 SELECT concat('p', CAST(n_nationkey AS STRING), '-v2') AS id,
  concat(n_name, ' (renamed)') AS name,
  concat('lfdev_key_', CAST(n_nationkey AS STRING)) AS api_key,
  CASE n_regionkey WHEN 2 THEN {TS}'2024-01-15 00:00:00' ELSE {TS}'2023-11-01 00:00:00' END AS created_at,
  CAST(NULL AS TIMESTAMP_NTZ) AS expires_at
-FROM {nation} WHERE n_regionkey IN (2, 3)
+FROM {nation}
 UNION ALL
 SELECT concat('s', CAST(s_suppkey AS STRING), '-v2') AS id,
  concat(s_name, ' (renamed)') AS name,
  concat('lfdev_key_s', CAST(s_suppkey AS STRING)) AS api_key,
- CASE s_suppkey % 4 WHEN 0 THEN {TS}'2024-01-25 00:00:00' ELSE {TS}'2023-11-01 00:00:00' END AS created_at,
+ CASE s_suppkey % 2 WHEN 0 THEN {TS}'2024-01-25 00:00:00' ELSE {TS}'2023-11-01 00:00:00' END AS created_at,
  CAST(NULL AS TIMESTAMP_NTZ) AS expires_at
-FROM {supplier} WHERE s_suppkey % 4 IN (0, 1)
+FROM {supplier}
 """
 
 
