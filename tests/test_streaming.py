@@ -47,3 +47,35 @@ def test_replayed_batch_overwrites_its_partition(spark, tmp_dir):
         s_ingest.write_batch_partitions(df, f"{tmp_dir}/sink", 7)
     assert spark.read.parquet(f"{tmp_dir}/sink").count() == 1
     assert os.path.isdir(f"{tmp_dir}/sink/month=202401/batch_id=7")
+
+
+def test_failed_batch_is_replayed_without_duplicates(spark, tmp_dir):
+    from logsmith.sources.ingest import parse_records
+
+    raw = fx.raw_logs(spark, SF)
+    raw.write.option("maxRecordsPerFile", 25).parquet(f"{tmp_dir}/raw")
+    loader = lambda: fx.projects(spark, SF)
+    run = s_ingest.log_ingest_batch(loader, f"{tmp_dir}/logs", f"{tmp_dir}/rej")
+    state = {"failed": False}
+
+    def flaky(batch, batch_id):
+        run(batch, batch_id)  # output written ...
+        if not state["failed"]:  # ... then the driver dies before the batch commits
+            state["failed"] = True
+            raise RuntimeError("injected failure after writing the batch")
+
+    parsed = parse_records(s_ingest.read_raw_stream(spark, f"{tmp_dir}/raw", max_files_per_trigger=2))
+    q = (parsed.writeStream.foreachBatch(flaky).option("checkpointLocation", f"{tmp_dir}/ckpt")
+         .trigger(availableNow=True).start())
+    try:
+        q.awaitTermination()
+    except Exception:  # noqa: BLE001 - the injected failure
+        pass
+    assert state["failed"]
+    q = s_ingest.start_log_ingest(spark, f"{tmp_dir}/raw", loader, f"{tmp_dir}/logs", f"{tmp_dir}/rej",
+                                  f"{tmp_dir}/ckpt", available_now=True, max_files_per_trigger=2)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{tmp_dir}/logs")
+    batch = enrich.to_logs(enrich.ingest_records(raw, fx.projects(spark, SF)))
+    assert out.count() == out.select("id").distinct().count() == batch.count()
+    assert spark.read.parquet(f"{tmp_dir}/rej").count() + out.count() == raw.count()
