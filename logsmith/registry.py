@@ -10,13 +10,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from logsmith.functions.time import fmt_ts, preset_range
+from logsmith.operators import enrich, export, patterns, retention, search, stats, traces
+from logsmith.operators import projects as proj
+from logsmith.operators import requests as reqs
+from logsmith.operators.filters import AppLogFilter, LogFilter
+from logsmith.schema import APP_LOG_PAGE_COLUMNS, LEVELS, LOG_PAGE_COLUMNS, LOGS_SCHEMA, TRACE_COLUMNS
+from logsmith.session import scratch_path
 from logsmith.sources import fixtures as fx
+from logsmith.sources import sinks
 from logsmith.sources.fixtures import AS_OF
-from logsmith.operators import patterns, search, stats, traces
-from logsmith.operators.filters import LogFilter
-from logsmith.functions.time import preset_range, fmt_ts
-from logsmith.schema import LOG_PAGE_COLUMNS, TRACE_COLUMNS
+from logsmith.streaming import ingest as s_ingest
+from logsmith.streaming import rate as s_rate
+from logsmith.streaming import tail as s_tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,7 +46,7 @@ def _cols(names) -> str:
     return ", ".join(names)
 
 
-AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
+_AS_OF_TS = f"TIMESTAMP '{AS_OF}'"
 H24_SQL = "TIMESTAMP '2024-01-30 00:00:00'"  # as_of - 24 h
 H1_SQL = "TIMESTAMP '2024-01-30 23:00:00'"  # as_of - 1 h
 
@@ -270,9 +278,6 @@ def q_trace_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- ingest
 
-from logsmith.operators import enrich  # noqa: E402
-from logsmith.schema import LEVELS  # noqa: E402
-
 
 def _duck_level(expr: str) -> str:
     parts = " ".join(
@@ -365,9 +370,6 @@ def q_api_key_dedupe(spark, sf_dir):
 
 # ---------------------------------------------------------------- request log
 
-from logsmith.operators import requests as reqs  # noqa: E402
-from logsmith.operators.filters import AppLogFilter  # noqa: E402
-from logsmith.schema import APP_LOG_PAGE_COLUMNS  # noqa: E402
 
 _DUCK_REQUEST_LOG = """, redacted AS (
  SELECT *, CASE WHEN instr(request_path, '?') > 0
@@ -450,10 +452,6 @@ def q_rate_audit(spark, sf_dir):
 
 # ---------------------------------------------------------------- projects
 
-from logsmith.operators import projects as proj  # noqa: E402
-
-_AS_OF_TS = f"TIMESTAMP '{AS_OF}'"
-
 
 @register(
     "project_status",
@@ -500,8 +498,6 @@ def q_project_insert(spark, sf_dir):
 
 # ---------------------------------------------------------------- retention (M1, M3)
 
-from logsmith.operators import retention  # noqa: E402
-
 
 @register(
     "retention_delete",
@@ -523,10 +519,6 @@ def q_retention_ttl(spark, sf_dir):
 
 # ---------------------------------------------------------------- selection, exports, display (J3, S8-S10, E5 ...)
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from logsmith.operators import export  # noqa: E402
-
 
 def _error_trace_selection(logs_df):
     """Ids of every log row that belongs to a trace containing an Error or Fatal entry."""
@@ -631,9 +623,6 @@ def q_log_display(spark, sf_dir):
 # checkpoint folder, drains it with an availableNow trigger and reads the sink back.
 # Processing-time stamps are dropped from the result (they differ per run).
 
-from logsmith.session import scratch_path  # noqa: E402
-from logsmith.streaming import ingest as s_ingest, rate as s_rate, tail as s_tail  # noqa: E402
-from logsmith.schema import LOGS_SCHEMA  # noqa: E402
 
 STREAM_FILE_ROWS = 2000
 # A staged backlog is drained in this many micro-batches whatever its size.
@@ -732,7 +721,6 @@ def q_stream_rate_audit(spark, sf_dir):
 # folder (a new path per run) and query it back through the declared-schema scans, so
 # month pruning and pushed filters are exercised.
 
-from logsmith.sources import sinks  # noqa: E402
 
 STORED_FILTER = LogFilter(levels="Error,Fatal", app_name="svc-3", time_from="2024-01-20 00:00:00",
                           time_to="2024-01-25 23:59:59")
