@@ -2,7 +2,8 @@
 
 Stored layout (S12): partitioned by ``month``; within a month, files are range-partitioned
 and sorted by ``(app_name, level, timestamp)`` so Parquet row-group min/max statistics skip
-data for app / level / time predicates (the role of the reference's primary key). Range
+data for app / level / time predicates (the role of the reference's primary key), and
+``trace_id`` carries a bloom filter for trace lookups. Range
 partitioning samples the keys, so a hot app is split across tasks instead of landing in
 one. Appends (streaming micro-batches) only sort within their partitions.
 """
@@ -52,6 +53,11 @@ def write_logs(df: DataFrame, path: str, mode: str = "append", rewrite: bool = F
     rows = with_month(rows).select(*[f.name for f in LOGS_STORED_SCHEMA.fields])
     rows = clustered(rows, partitions) if rewrite else rows.sortWithinPartitions("month", *CLUSTER_KEYS)
     (rows.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+     # trace lookups are equality on a high-cardinality key that min/max statistics cannot
+     # skip: a bloom filter per row group lets the scan skip row groups without the trace
+     # (Parquet writes it once a row group's values overflow the dictionary; below that,
+     # dictionary filtering skips the row group instead)
+     .option("parquet.bloom.filter.enabled#trace_id", "true")
      .partitionBy("month").parquet(path))
 
 
