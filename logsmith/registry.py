@@ -225,7 +225,7 @@ def q_log_patterns_errors(spark, sf_dir):
 
 _TRACE_CTE = f""", ranked AS (
  SELECT trace_id, {_cols(TRACE_COLUMNS)},
-  row_number() OVER (PARTITION BY trace_id ORDER BY timestamp, id) AS entry_no
+  CAST(row_number() OVER (PARTITION BY trace_id ORDER BY timestamp, id) AS INTEGER) AS entry_no
  FROM logs WHERE trace_id <> '' {{extra}}),
 capped AS (SELECT * FROM ranked WHERE entry_no <= 500)
 """
