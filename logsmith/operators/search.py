@@ -3,8 +3,9 @@
 
 A page is ``orderBy(timestamp desc, id).offset(o).limit(n)``, which Spark plans as one
 distributed ``TakeOrderedAndProject`` (each task keeps its top ``o+n`` rows; no full sort,
-no shuffle of the table). Deep offsets cost ``o+n`` rows per task, so ``log_page_after``
-offers keyset paging on ``(timestamp, id)`` whose cost does not grow with the page number.
+no shuffle of the table). With very many input tasks the final merge gets a tree level
+(``plans.topk``). Deep offsets cost ``o+n`` rows per task, so ``log_page_after`` offers
+keyset paging on ``(timestamp, id)`` whose cost does not grow with the page number.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from logsmith.functions.time import ts_lit
 from logsmith.operators.filters import AppLogFilter, LogFilter, clamp_page, filter_app_logs, filter_logs
+from logsmith.plans.topk import ordered_page
 from logsmith.schema import APP_LOG_PAGE_COLUMNS, LOG_PAGE_COLUMNS
 
 
@@ -37,11 +39,7 @@ def log_page(df: DataFrame, f: LogFilter | None = None, page: int | None = 1, pa
              columns=LOG_PAGE_COLUMNS) -> DataFrame:
     """K3/K4: one page, newest first (ties broken by ``id``)."""
     p, size = clamp_page(page, page_size)
-    q = filter_logs(df, f).select(*columns).orderBy(*newest_first())
-    offset = (p - 1) * size
-    if offset:
-        q = q.offset(offset)
-    return q.limit(size)
+    return ordered_page(filter_logs(df, f).select(*columns), newest_first(), (p - 1) * size, size)
 
 
 def log_page_after(df: DataFrame, f: LogFilter | None, after_ts, after_id: str, page_size: int | None = 50,
@@ -68,8 +66,4 @@ def app_log_page(df: DataFrame, f: AppLogFilter | None = None, page: int | None
                  columns=APP_LOG_PAGE_COLUMNS) -> DataFrame:
     """K5: request-log page; multi-level filtering happens before paging."""
     p, size = clamp_page(page, page_size)
-    q = filter_app_logs(df, f).select(*columns).orderBy(*newest_first())
-    offset = (p - 1) * size
-    if offset:
-        q = q.offset(offset)
-    return q.limit(size)
+    return ordered_page(filter_app_logs(df, f).select(*columns), newest_first(), (p - 1) * size, size)

@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 
 from logsmith.functions.levels import level_code
 from logsmith.operators.filters import trace_only
+from logsmith.plans.topk import by_input_task, tree_buckets
 from logsmith.schema import TRACE_COLUMNS
 
 # Entries kept per trace; Error and Fatal count as errors in a trace.
 TRACE_CAP = 500
 ERROR_CODE = 4
-# Rows one window task may receive for a single trace before the cap runs as a tree.
-ROWS_PER_TASK_BUDGET = 4_000_000
 
 _ORDER = ("timestamp", "id")
 
@@ -40,19 +39,6 @@ def _offset_ms(partition_col: str = "trace_id"):
     return F.timestamp_diff("MICROSECOND", first, F.col("timestamp")).cast("double") / F.lit(1000.0)
 
 
-def tree_buckets(df: DataFrame, cap: int, budget: int = ROWS_PER_TASK_BUDGET) -> int:
-    """First-level buckets B of the capped top-k: 1 (single stage) while ``cap x tasks``
-    fits the budget, else enough buckets that both levels stay within it."""
-    try:
-        tasks = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): assume a large input
-        tasks = budget
-    worst = cap * tasks
-    if worst <= budget:
-        return 1
-    return min(max(2, -(-worst // budget)), max(2, budget // cap))
-
-
 def capped_traces(df: DataFrame, cap: int = TRACE_CAP, buckets: int | None = None) -> DataFrame:
     """W2 for every trace: the first ``cap`` entries by ``(timestamp, id)`` with ``entry_no``.
     ``buckets`` forces the first tree level (``None`` = sized from the input tasks)."""
@@ -61,7 +47,7 @@ def capped_traces(df: DataFrame, cap: int = TRACE_CAP, buckets: int | None = Non
     if b > 1:
         level1 = Window.partitionBy("trace_id", "_bucket").orderBy(*_ORDER)
         base = (
-            base.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(b)))
+            base.withColumn("_bucket", by_input_task(b))
             .withColumn("_rn", F.row_number().over(level1))
             .where(F.col("_rn") <= cap)
             .drop("_rn", "_bucket")

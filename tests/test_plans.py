@@ -59,7 +59,7 @@ def test_trace_cap_is_map_side_limited(spark):
 
 def test_tree_buckets_sizing(spark):
     df = spark.range(10).repartition(64)
-    assert traces.tree_buckets(df, 500, budget=4_000_000) == 1
+    assert traces.tree_buckets(df, 500) == 1
     b = traces.tree_buckets(df, 500, budget=10_000)
     assert b > 1 and 500 * 64 / b <= 10_000 * 1.01 and 500 * b <= 10_000
 
@@ -70,3 +70,15 @@ def test_no_python_in_any_registered_plan(spark):
             continue
         p = plan_text(q(spark, SF))
         assert "PythonUDF" not in p and "EvalPython" not in p and "BatchEvalPython" not in p, name
+
+
+def test_page_tree_equals_plain(spark):
+    from logsmith.plans.topk import ordered_page
+    from logsmith.operators.search import newest_first
+    df = fx.logs(spark, SF).repartition(6)
+    plain = [r.id for r in ordered_page(df, newest_first(), 7, 20, buckets=1).collect()]
+    tree_df = ordered_page(df, newest_first(), 7, 20, buckets=3)
+    assert [r.id for r in tree_df.collect()] == plain
+    assert "WindowGroupLimit" in plan_text(tree_df) and "TakeOrderedAndProject" in plan_text(tree_df)
+    auto = ordered_page(df, newest_first(), 7, 20, budget=50)  # 27 x 6 tasks > 50 -> tree
+    assert [r.id for r in auto.collect()] == plain and "WindowGroupLimit" in plan_text(auto)
