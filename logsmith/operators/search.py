@@ -48,7 +48,7 @@ def log_page_after(df: DataFrame, f: LogFilter | None, after_ts, after_id: str,
     _, size = clamp_page(1, page_size)
     t = ts_lit(after_ts)
     after = (F.col("timestamp") < t) | ((F.col("timestamp") == t) & (F.col("id") > after_id))
-    return filter_logs(df, f).where(after).select(*columns).orderBy(*newest_first()).limit(size)
+    return ordered_page(filter_logs(df, f).where(after).select(*columns), newest_first(), 0, size)
 
 
 def app_log_count(df: DataFrame, f: AppLogFilter | None = None, page_size: int | None = None) -> DataFrame:

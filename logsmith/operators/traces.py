@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from logsmith.functions.levels import level_code
 from logsmith.operators.filters import trace_only
-from logsmith.plans.topk import by_input_task, tree_buckets
+from logsmith.plans.topk import by_input_task, ordered_page, tree_buckets
 from logsmith.schema import TRACE_COLUMNS
 
 # Entries kept per trace; Error and Fatal count as errors in a trace.
@@ -65,7 +65,8 @@ def trace_timelines(df: DataFrame, cap: int = TRACE_CAP, buckets: int | None = N
 def trace_timeline(df: DataFrame, trace_id: str, cap: int = TRACE_CAP) -> DataFrame:
     """F17 + P3 + W1 + W2 for one trace: a filtered top-``cap`` (``TakeOrderedAndProject``)
     then offsets over at most ``cap`` rows."""
-    top = trace_only(df, trace_id).select("trace_id", *TRACE_COLUMNS).orderBy(*_ORDER).limit(cap)
+    top = ordered_page(trace_only(df, trace_id).select("trace_id", *TRACE_COLUMNS),
+                       [F.col(c).asc() for c in _ORDER], 0, cap)
     w = Window.partitionBy("trace_id").orderBy(*_ORDER)
     return top.select("trace_id", *TRACE_COLUMNS, F.row_number().over(w).alias("entry_no"),
                       _offset_ms().alias("offset_ms"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logsmith.operators.filters import LogFilter, filter_logs
 from logsmith.operators.search import newest_first
+from logsmith.plans.topk import ordered_page
 from logsmith.streaming.ingest import write_batch_partitions
 
 # Rows kept by the tail view and its refresh period.
@@ -31,4 +32,4 @@ def start_tail(spark: SparkSession, logs_stream: DataFrame, f: LogFilter | None,
 
 def newest(sink: DataFrame, n: int = TAIL_ROWS) -> DataFrame:
     """The tail view: newest ``n`` rows (``TakeOrderedAndProject``)."""
-    return sink.orderBy(*newest_first()).limit(n)
+    return ordered_page(sink, newest_first(), 0, n)
