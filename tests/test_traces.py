@@ -71,3 +71,18 @@ def test_hot_trace_equals_brute_force(spark):
     assert got == expect
     s = {r.trace_id: r for r in traces.trace_summaries(df, cap=500).collect()}
     assert set(s) == {"hot", "cold"} and s["hot"].entry_count == 500 and not s["hot"].has_errors
+
+
+def test_offsets_are_wall_clock_in_any_session_zone(spark):
+    # 2024-03-10 02:00-03:00 does not exist in America/Los_Angeles; NTZ arithmetic must not care
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        t1, t2 = dt.datetime(2024, 3, 10, 1, 59, 59), dt.datetime(2024, 3, 10, 3, 0, 1)
+        data = [("a", t1, "Info", "x", "m", "{}", "", "", "dst"), ("b", t2, "Error", "y", "m", "{}", "", "", "dst")]
+        df = spark.createDataFrame(data, COLS)
+        offs = [r.offset_ms for r in traces.trace_timeline(df, "dst").orderBy("entry_no").collect()]
+        assert offs == [0.0, 3602000.0]
+        assert traces.trace_summary(df, "dst").first().total_duration_ms == 3602000.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
