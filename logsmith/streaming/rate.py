@@ -1,10 +1,12 @@
 """T5 on a stream: fixed-window request counts with a watermark.
 
-Event time must be a zoned ``TIMESTAMP`` for ``withWatermark``; the NTZ column is cast
-for the window and the window start is cast back. The query runs in update mode so state
-is evicted once the watermark passes a window; each micro-batch writes the windows it
-changed to its own ``batch_id`` partition, and ``latest_counts`` keeps the newest count
-per window (a partial/final aggregate, not a scan of raw requests).
+Event time must be a zoned ``TIMESTAMP`` for ``withWatermark``. The NTZ wall clock is
+turned into microseconds since the epoch (zone-free) and read as a UTC instant, so windows
+are the same wall-clock buckets as the batch audit in any session time zone. The query
+runs in update mode so state is evicted once the watermark passes a window; each
+micro-batch writes the windows it changed to its own ``batch_id`` partition, and
+``latest_counts`` keeps the newest count per window (a partial/final aggregate, not a scan
+of raw requests).
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsmith.functions.time import EPOCH_SQL
 from logsmith.operators.requests import RATE_POLICIES
 
 # Lateness tolerated before a window is final.
@@ -20,16 +23,14 @@ WATERMARK_DELAY = "1 hour"
 
 def window_counts(requests_stream: DataFrame, policy: str = "login", ts: str = "timestamp") -> DataFrame:
     permit, minutes = RATE_POLICIES[policy]
-    ev = requests_stream.withColumn("_event_time", F.col(ts).cast("timestamp"))
+    wall_micros = F.expr(f"timestampdiff(MICROSECOND, {EPOCH_SQL}, `{ts}`)")
+    ev = requests_stream.withColumn("_event_time", F.timestamp_micros(wall_micros))
+    to_wall = lambda c: F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), {EPOCH_SQL})")
     return (
         ev.withWatermark("_event_time", WATERMARK_DELAY)
         .groupBy(F.window("_event_time", f"{minutes} minutes").alias("w"))
         .agg(F.count(F.lit(1)).alias("requests"))
-        .select(
-            F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-            F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-            "requests",
-        )
+        .select(to_wall("w.start").alias("window_start"), to_wall("w.end").alias("window_end"), "requests")
     )
 
 
