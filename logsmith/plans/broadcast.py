@@ -23,7 +23,8 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimised plan (no job). Used only as a cheap
     first gate: when even the estimate is too big, no proof job is run."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(v if isinstance(v, int) else v.toString())
     except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
         return None
 

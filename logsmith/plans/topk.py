@@ -21,13 +21,30 @@ from pyspark.sql import functions as F
 ROWS_PER_TASK_BUDGET = 4_000_000
 
 
-def tree_buckets(df: DataFrame, k: int, budget: int = ROWS_PER_TASK_BUDGET) -> int:
+def _as_int(v) -> int:
+    """A Scala ``BigInt`` (or a plain number) from py4j as a Python int."""
+    return int(v if isinstance(v, int) else v.toString())
+
+
+def input_tasks(df: DataFrame) -> int:
+    """Estimated scan tasks of ``df``: total size of its leaf relations (file sizes from the
+    optimised plan) over ``spark.sql.files.maxPartitionBytes``. Planning only — unlike
+    ``df.rdd``, which under AQE would execute every upstream shuffle stage to find out."""
+    jdf = df._jdf
+    leaves = jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(_as_int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(1, -(-total // max(split, 1)))
+
+
+def tree_buckets(df: DataFrame, k: int, budget: int = ROWS_PER_TASK_BUDGET, tasks: int | None = None) -> int:
     """First-level buckets B: 1 while ``k x tasks`` fits the budget, else enough buckets that
     both levels (``k x tasks / B`` and ``k x B`` rows) stay within it where possible."""
-    try:
-        tasks = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): assume a large input
-        tasks = budget
+    if tasks is None:
+        try:
+            tasks = max(input_tasks(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        except Exception:  # noqa: BLE001 - no plan access (e.g. Spark Connect): assume a large input
+            tasks = budget
     worst = k * tasks
     if worst <= budget:
         return 1

@@ -59,8 +59,8 @@ def test_trace_cap_is_map_side_limited(spark):
 
 def test_tree_buckets_sizing(spark):
     df = spark.range(10).repartition(64)
-    assert traces.tree_buckets(df, 500) == 1
-    b = traces.tree_buckets(df, 500, budget=10_000)
+    assert traces.tree_buckets(df, 500, tasks=64) == 1
+    b = traces.tree_buckets(df, 500, budget=10_000, tasks=64)
     assert b > 1 and 500 * 64 / b <= 10_000 * 1.01 and 500 * b <= 10_000
 
 
@@ -80,5 +80,14 @@ def test_page_tree_equals_plain(spark):
     tree_df = ordered_page(df, newest_first(), 7, 20, buckets=3)
     assert [r.id for r in tree_df.collect()] == plain
     assert "WindowGroupLimit" in plan_text(tree_df) and "TakeOrderedAndProject" in plan_text(tree_df)
-    auto = ordered_page(df, newest_first(), 7, 20, budget=50)  # 27 x 6 tasks > 50 -> tree
+    auto = ordered_page(df, newest_first(), 7, 20, budget=50)  # 27 x (>= 8) tasks > 50 -> tree
     assert [r.id for r in auto.collect()] == plain and "WindowGroupLimit" in plan_text(auto)
+
+
+def test_input_tasks_is_planning_only(spark):
+    from logsmith.plans.topk import input_tasks
+    tracker = spark.sparkContext.statusTracker()
+    jobs_before = tracker.getJobIdsForGroup()
+    n = input_tasks(fx.logs(spark, SF).where("level = 'Error'").groupBy("app_name").count())
+    assert n >= 1
+    assert tracker.getJobIdsForGroup() == jobs_before
