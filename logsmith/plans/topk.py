@@ -51,6 +51,14 @@ def tree_buckets(df: DataFrame, k: int, budget: int = ROWS_PER_TASK_BUDGET, task
     return min(max(2, -(-worst // budget)), max(2, budget // max(k, 1)))
 
 
+def group_limit_threshold(df: DataFrame) -> int:
+    """Largest k for which Spark inserts the map-side ``WindowGroupLimit``."""
+    try:
+        return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    except Exception:  # noqa: BLE001
+        return 1000
+
+
 def by_input_task(buckets: int) -> Column:
     return F.pmod(F.spark_partition_id(), F.lit(buckets))
 
@@ -60,6 +68,10 @@ def ordered_page(df: DataFrame, order: Sequence[Column], offset: int, n: int, bu
     """Rows ``offset .. offset+n`` of ``df`` in ``order`` (``order`` must be a total order)."""
     k = offset + n
     b = tree_buckets(df, k, budget) if buckets is None else buckets
+    if b > 1 and k > group_limit_threshold(df):
+        # without the map-side limit the first level would shuffle every row: keep the
+        # plain top-k (deep pages should use keyset paging instead)
+        b = 1
     if b > 1:
         w = Window.partitionBy("_topk_bucket").orderBy(*order)
         df = (

@@ -91,3 +91,11 @@ def test_input_tasks_is_planning_only(spark):
     n = input_tasks(fx.logs(spark, SF).where("level = 'Error'").groupBy("app_name").count())
     assert n >= 1
     assert tracker.getJobIdsForGroup() == jobs_before
+
+
+def test_tree_only_within_group_limit_threshold(spark):
+    from logsmith.plans.topk import ordered_page
+    from logsmith.operators.search import newest_first
+    df = fx.logs(spark, SF)
+    deep = ordered_page(df, newest_first(), 1500, 10, buckets=4)  # k = 1510 > 1000
+    assert "WindowGroupLimit" not in plan_text(deep) and "TakeOrderedAndProject" in plan_text(deep)
