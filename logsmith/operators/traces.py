@@ -15,6 +15,9 @@ Plan for all traces (one hash partitioning on ``trace_id`` shared by W1, W2 and
    The bucket is the input task index, which a re-run task reproduces (unlike ``rand()``);
 4. offsets (a window min) and the summary (a group-by) reuse the ``trace_id`` partitioning,
    and every per-trace list is bounded by ``cap``.
+
+Spark inserts the map-side limit for ``cap`` up to ``spark.sql.optimizer.
+windowGroupLimitThreshold`` (default 1000); the fixed cap of 500 is within it.
 """
 
 from __future__ import annotations
