@@ -100,3 +100,19 @@ def export_json(df: DataFrame, path: str) -> None:
 def export_text(lines: DataFrame, path: str, col: str = "line") -> None:
     """S9/S10 writer for pre-formatted lines."""
     lines.select(col).write.mode("errorifexists").text(path)
+
+
+def compact_month(spark: SparkSession, landing_path: str, table_path: str, month: int,
+                  partitions: int | None = None) -> None:
+    """Move one closed month from the streaming landing sink (one directory per
+    micro-batch) into the stored table as a clustered rewrite of that month. Dynamic
+    partition overwrite replaces exactly ``month=<month>``, and ids are deterministic, so
+    re-running after a failure yields the same month. Drop the landing month afterwards."""
+    landing = spark.read.parquet(landing_path).where(F.col("month") == month)
+    rows = landing.drop("batch_id")
+    rows = add_missing_columns(rows, LOGS_SCHEMA, LOG_DEFAULTS)
+    rows = clustered(with_month(rows), partitions).select(*[f.name for f in LOGS_STORED_SCHEMA.fields])
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+     .option("parquet.bloom.filter.enabled#trace_id", "true")
+     .partitionBy("month").parquet(table_path))

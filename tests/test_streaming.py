@@ -79,3 +79,21 @@ def test_failed_batch_is_replayed_without_duplicates(spark, tmp_dir):
     batch = enrich.to_logs(enrich.ingest_records(raw, fx.projects(spark, SF)))
     assert out.count() == out.select("id").distinct().count() == batch.count()
     assert spark.read.parquet(f"{tmp_dir}/rej").count() + out.count() == raw.count()
+
+
+def test_compact_landing_month_into_table(spark, tmp_dir):
+    from logsmith.sources.sinks import compact_month, read_logs
+
+    raw = fx.raw_logs(spark, SF)
+    raw.write.option("maxRecordsPerFile", 20).parquet(f"{tmp_dir}/raw")
+    q = s_ingest.start_log_ingest(spark, f"{tmp_dir}/raw", lambda: fx.projects(spark, SF), f"{tmp_dir}/landing",
+                                  f"{tmp_dir}/rej", f"{tmp_dir}/ckpt", available_now=True, max_files_per_trigger=2)
+    q.awaitTermination()
+    landing = spark.read.parquet(f"{tmp_dir}/landing")
+    months = sorted(r.month for r in landing.select("month").distinct().collect())
+    for _ in range(2):  # idempotent
+        for m in months:
+            compact_month(spark, f"{tmp_dir}/landing", f"{tmp_dir}/table", m)
+    table = read_logs(spark, f"{tmp_dir}/table")
+    assert table.count() == landing.count() == table.select("id").distinct().count()
+    assert sorted(r.id for r in table.collect()) == sorted(r.id for r in landing.collect())
