@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from logsmith.functions.time import fmt_ts, preset_range
 from logsmith.operators import enrich, export, patterns, retention, search, stats, traces
+from logsmith.operators.batch_ingest import run_batch_ingest
 from logsmith.operators import projects as proj
 from logsmith.operators import requests as reqs
 from logsmith.operators.filters import AppLogFilter, LogFilter
@@ -800,3 +801,12 @@ def q_request_log_redacted(spark, sf_dir):
     logged = reqs.request_log(fx.requests(spark, sf_dir))
     return logged.where(F.col("request_path").contains("=***") | F.col("exception").endswith("(truncated)")).select(
         "id", "request_path", "exception")
+
+
+@register("ingest_to_table", ORACLE["ingest_accepted"])
+def q_ingest_to_table(spark, sf_dir):
+    """S4 + J1/J2 + S6 as a batch job: classified once into a stage, then stored."""
+    base = scratch_path(spark, "ingest-job")
+    run_batch_ingest(spark, fx.raw_logs(spark, sf_dir), fx.projects(spark, sf_dir), f"{base}/logs", f"{base}/rejected",
+                     f"{base}/stage")
+    return sinks.read_logs(spark, f"{base}/logs").select(*[f.name for f in LOGS_SCHEMA.fields])

@@ -115,3 +115,19 @@ def test_select_by_ids(spark):
     df = spark.createDataFrame([(str(i), i) for i in range(10)], "id string, v int")
     ids = spark.createDataFrame([("3",), ("5",), ("5",), ("42",)], "id string")
     assert sorted(r.v for r in enrich.select_by_ids(df, ids).collect()) == [3, 5]
+
+
+def test_batch_ingest_job_stages_once(spark, tmp_dir):
+    from logsmith.operators.batch_ingest import run_batch_ingest
+    from logsmith.sources import fixtures as fx
+    from logsmith.sources.sinks import read_logs
+
+    sf = "/root/testdata/sf0.001"
+    raw, proj = fx.raw_logs(spark, sf), fx.projects(spark, sf)
+    res = run_batch_ingest(spark, raw, proj, f"{tmp_dir}/logs", f"{tmp_dir}/rej", f"{tmp_dir}/stage")
+    stored = read_logs(spark, f"{tmp_dir}/logs")
+    expect = enrich.to_logs(enrich.ingest_records(raw, proj))
+    assert res["accepted"] == stored.count() == expect.count()
+    assert res["rejected"] == spark.read.parquet(f"{tmp_dir}/rej").count() == raw.count() - expect.count()
+    cols = ["id", "level", "app_name", "message", "metadata", "host", "environment", "status_code", "project_id"]
+    assert sorted(map(tuple, stored.select(*cols).collect())) == sorted(map(tuple, expect.select(*cols).collect()))
