@@ -19,12 +19,21 @@ MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
+# Spark reports "unknown" sizes (e.g. data from a local collection) as Long.MaxValue.
+UNKNOWN_SIZE = 2 ** 62
+
+
+def known_size(v) -> int | None:
+    """A py4j size (``BigInt`` or number) as int, ``None`` when Spark does not know it."""
+    n = int(v if isinstance(v, int) else v.toString())
+    return None if n >= UNKNOWN_SIZE else n
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimised plan (no job). Used only as a cheap
-    first gate: when even the estimate is too big, no proof job is run."""
+    """Catalyst's size estimate of the optimised plan (no job); ``None`` when unknown.
+    Used only as a cheap first gate: when even the estimate is too big, no proof job runs."""
     try:
-        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(v if isinstance(v, int) else v.toString())
+        return known_size(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
         return None
 

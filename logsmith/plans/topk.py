@@ -17,22 +17,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsmith.plans.broadcast import known_size
+
 # Rows one task may receive for one group (or one top-k merge) before a tree level is added.
 ROWS_PER_TASK_BUDGET = 4_000_000
 
 
-def _as_int(v) -> int:
-    """A Scala ``BigInt`` (or a plain number) from py4j as a Python int."""
-    return int(v if isinstance(v, int) else v.toString())
-
-
 def input_tasks(df: DataFrame) -> int:
     """Estimated scan tasks of ``df``: total size of its leaf relations (file sizes from the
     optimised plan) over ``spark.sql.files.maxPartitionBytes``. Planning only — unlike
     ``df.rdd``, which under AQE would execute every upstream shuffle stage to find out."""
     jdf = df._jdf
     leaves = jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = sum(_as_int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    sizes = [known_size(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    total = sum(x for x in sizes if x is not None)  # leaves of unknown size (local data) count 0
     split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return max(1, -(-total // max(split, 1)))
 

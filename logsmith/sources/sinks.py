@@ -20,6 +20,7 @@ CLUSTER_KEYS = ("app_name", "level", "timestamp")
 # File sizing of the stored tables.
 MAX_RECORDS_PER_FILE = 2_000_000
 TARGET_PARTITION_BYTES = 512 * 1024 * 1024
+MAX_REWRITE_PARTITIONS = 100_000
 
 
 def with_month(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -34,7 +35,7 @@ def rewrite_partitions(df: DataFrame) -> int:
     floor_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     est = estimated_bytes(df)
     by_size = -(-est // TARGET_PARTITION_BYTES) if est else 0
-    return max(floor_n, int(by_size))
+    return min(max(floor_n, int(by_size)), MAX_REWRITE_PARTITIONS)
 
 
 def clustered(df: DataFrame, partitions: int | None = None) -> DataFrame:
