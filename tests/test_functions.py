@@ -120,3 +120,24 @@ def test_guards_and_clamps():
     assert canonical_levels("error, FATAL ,bogus,", strict=False) == ["Error", "Fatal"]
     with pytest.raises(ValueError):
         canonical_levels("error,bogus", strict=True)
+
+
+def test_expiry_status_edges(spark):
+    from logsmith.operators.projects import project_status
+    from logsmith.schema import PROJECTS_SCHEMA
+    as_of = dt.datetime(2024, 1, 31)
+    rows = [
+        ("a", "A", "lfdev_key_aaaaaaaaaa", dt.datetime(2023, 12, 1), None),
+        ("b", "B", "k", dt.datetime(2023, 12, 1), as_of),  # expires exactly now: still active, 0 days
+        ("c", "C", "k2", dt.datetime(2023, 12, 1), as_of - dt.timedelta(seconds=1)),  # expired
+        ("d", "D", "k3", dt.datetime(2023, 12, 1), as_of + dt.timedelta(days=6, hours=23)),  # 6 d left, warning
+        ("e", "E", "k4", dt.datetime(2023, 12, 1), as_of + dt.timedelta(days=7)),  # 7 d left, no warning
+    ]
+    got = {r.id: r for r in project_status(spark.createDataFrame(rows, PROJECTS_SCHEMA), as_of).collect()}
+    assert (got["a"].status, got["a"].expiry_label, got["a"].expiry_warning, got["a"].masked_key) == (
+        "Active", "Never", False, "lfdev_ke...aaaa")
+    assert (got["b"].status, got["b"].days_left, got["b"].expiry_warning, got["b"].expiry_label) == (
+        "Active", 0, True, "2024-01-31 (0d left)")
+    assert (got["c"].status, got["c"].expiry_label, got["c"].expiry_warning) == ("Expired", "Expired 2024-01-30", False)
+    assert (got["d"].days_left, got["d"].expiry_warning) == (6, True)
+    assert (got["e"].days_left, got["e"].expiry_warning) == (7, False)
