@@ -97,3 +97,15 @@ def test_compact_landing_month_into_table(spark, tmp_dir):
     table = read_logs(spark, f"{tmp_dir}/table")
     assert table.count() == landing.count() == table.select("id").distinct().count()
     assert sorted(r.id for r in table.collect()) == sorted(r.id for r in landing.collect())
+
+
+def test_stream_ingest_from_json_lines(spark, tmp_dir):
+    raw = fx.raw_logs(spark, SF)
+    raw.write.option("maxRecordsPerFile", 40).json(f"{tmp_dir}/raw")
+    q = s_ingest.start_log_ingest(spark, f"{tmp_dir}/raw", lambda: fx.projects(spark, SF), f"{tmp_dir}/logs",
+                                  f"{tmp_dir}/rej", f"{tmp_dir}/ckpt", fmt="json", available_now=True,
+                                  max_files_per_trigger=1)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{tmp_dir}/logs")
+    batch = enrich.to_logs(enrich.ingest_records(raw, fx.projects(spark, SF)))
+    assert sorted(map(tuple, out.select(*COLS).collect())) == sorted(map(tuple, batch.select(*COLS).collect()))
