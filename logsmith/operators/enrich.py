@@ -35,15 +35,17 @@ def dedupe_keys(projects: DataFrame) -> DataFrame:
     )
 
 
-def key_lookup(projects: DataFrame) -> DataFrame:
-    """Deduplicated key -> project side of the enrichment join, broadcast when proven small."""
+def key_lookup(projects: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Deduplicated key -> project side of the enrichment join, broadcast when proven small
+    (within ``max_rows`` / ``max_bytes``, defaults of ``plans.broadcast``)."""
     p = dedupe_keys(projects).select(
         F.col("api_key").alias("_pkey"),
         F.col("id").alias("project_id"),
         F.col("name").alias("project_name"),
         F.col("expires_at").alias("_expires"),
     )
-    return bounded_broadcast(p)
+    bounds = {k: v for k, v in (("max_rows", max_rows), ("max_bytes", max_bytes)) if v is not None}
+    return bounded_broadcast(p, **bounds)
 
 
 def classify(records: DataFrame, projects: DataFrame | None = None, key: str = "api_key", at: str = "received_at",
