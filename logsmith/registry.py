@@ -712,6 +712,8 @@ def q_stream_rate_audit(spark, sf_dir):
     base = scratch_path(spark, "stream-rate")
     src = reqs.request_log(fx.requests(spark, sf_dir))
     _stage_input(src, f"{base}/app_logs")
+    # the staged files are not in time order, so the backlog is drained in one micro-batch
+    # (a multi-batch drain would need a watermark delay covering the whole month)
     stream = spark.readStream.schema(src.schema).parquet(f"{base}/app_logs")
     _await(s_rate.start_rate_audit(spark, stream, f"{base}/counts", f"{base}/_checkpoint", available_now=True))
     return s_rate.latest_counts(spark.read.parquet(f"{base}/counts"))

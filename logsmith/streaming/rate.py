@@ -21,13 +21,16 @@ from logsmith.operators.requests import RATE_POLICIES
 WATERMARK_DELAY = "1 hour"
 
 
-def window_counts(requests_stream: DataFrame, policy: str = "login", ts: str = "timestamp") -> DataFrame:
+def window_counts(requests_stream: DataFrame, policy: str = "login", ts: str = "timestamp",
+                  watermark_delay: str = WATERMARK_DELAY) -> DataFrame:
+    """Requests per fixed window. Rows later than ``watermark_delay`` behind the newest
+    event are dropped by the watermark, so the delay must cover the source's disorder."""
     permit, minutes = RATE_POLICIES[policy]
     wall_micros = F.expr(f"timestampdiff(MICROSECOND, {EPOCH_SQL}, `{ts}`)")
     ev = requests_stream.withColumn("_event_time", F.timestamp_micros(wall_micros))
     to_wall = lambda c: F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), {EPOCH_SQL})")
     return (
-        ev.withWatermark("_event_time", WATERMARK_DELAY)
+        ev.withWatermark("_event_time", watermark_delay)
         .groupBy(F.window("_event_time", f"{minutes} minutes").alias("w"))
         .agg(F.count(F.lit(1)).alias("requests"))
         .select(to_wall("w.start").alias("window_start"), to_wall("w.end").alias("window_end"), "requests")
@@ -35,12 +38,13 @@ def window_counts(requests_stream: DataFrame, policy: str = "login", ts: str = "
 
 
 def start_rate_audit(spark: SparkSession, requests_stream: DataFrame, sink_path: str, checkpoint: str,
-                     policy: str = "login", available_now: bool = False):
+                     policy: str = "login", available_now: bool = False, watermark_delay: str = WATERMARK_DELAY):
     def run(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink_path))
 
-    w = (window_counts(requests_stream, policy).writeStream.outputMode("update").foreachBatch(run)
+    w = (window_counts(requests_stream, policy, watermark_delay=watermark_delay).writeStream.outputMode("update")
+         .foreachBatch(run)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
