@@ -812,3 +812,17 @@ def q_ingest_to_table(spark, sf_dir):
     run_batch_ingest(spark, fx.raw_logs(spark, sf_dir), fx.projects(spark, sf_dir), f"{base}/logs", f"{base}/rejected",
                      f"{base}/stage")
     return sinks.read_logs(spark, f"{base}/logs").select(*[f.name for f in LOGS_SCHEMA.fields])
+
+
+@register("stream_rate_audit_first_rejected", ORACLE["rate_audit"])
+def q_stream_rate_audit_first_rejected(spark, sf_dir):
+    """T5 on a stream with the first rejected arrival: per-partition pre-reduction, then a
+    watermark-timed stateful merge; drained in several micro-batches. The staged files are
+    not in time order, so the watermark delay covers the whole month."""
+    base = scratch_path(spark, "stream-rate-first")
+    src = reqs.request_log(fx.requests(spark, sf_dir))
+    per_trigger = _stage_input(src, f"{base}/app_logs")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{base}/app_logs")
+    _await(s_rate.start_first_rejected_audit(spark, stream, f"{base}/audit", f"{base}/_checkpoint", available_now=True,
+                                             watermark_delay="31 days"))
+    return s_rate.latest_audit(spark.read.parquet(f"{base}/audit"))

@@ -63,3 +63,133 @@ def latest_counts(sink: DataFrame, policy: str = "login") -> DataFrame:
         F.least(F.col("requests"), F.lit(permit).cast("bigint")).alias("permitted"),
         F.greatest(F.col("requests") - permit, F.lit(0).cast("bigint")).alias("rejected"),
     )
+
+
+# ---------------------------------------------------------------- first rejected arrival
+
+def _window_micros(minutes: int) -> int:
+    return minutes * 60 * 1_000_000
+
+
+def _reduce_partition(permit: int, minutes: int):
+    """Stateless pre-reduction of one input partition of a micro-batch: per window the
+    request count and the ``permit + 1`` earliest arrivals (wall-clock micros, id). A hot
+    window leaves each task as one small row, never as raw requests."""
+    import pandas as pd
+
+    keep, width = permit + 1, _window_micros(minutes)
+
+    def run(batches):
+        acc: dict[int, tuple[int, list]] = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf.assign(_w=(pdf["wall_us"] // width) * width)
+            for w, g in pdf.groupby("_w"):
+                n = len(g)
+                top = g
+                if n > keep:  # smallest times (ties kept), then the exact (time, id) order
+                    top = g.nsmallest(keep, "wall_us", keep="all").sort_values(["wall_us", "id"]).head(keep)
+                cnt, cand = acc.get(int(w), (0, []))
+                cand = sorted(cand + list(zip(top["wall_us"].astype("int64").tolist(), top["id"].astype(str).tolist())))
+                acc[int(w)] = (cnt + n, cand[:keep])
+        if acc:
+            keys = list(acc)
+            yield pd.DataFrame({
+                "window_us": keys,
+                "event_time": pd.to_datetime(keys, unit="us", utc=True),
+                "cnt": [acc[k][0] for k in keys],
+                "cand_us": [[c[0] for c in acc[k][1]] for k in keys],
+                "cand_id": [[c[1] for c in acc[k][1]] for k in keys],
+            })
+
+    return run
+
+
+def _merge_window(permit: int, minutes: int):
+    """Stateful merge per window (``applyInPandasWithState``): state = count + the
+    ``permit + 1`` earliest arrivals, evicted once the watermark passes the window end."""
+    import pandas as pd
+
+    keep, width = permit + 1, _window_micros(minutes)
+
+    def run(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists:
+            st = state.get
+            cnt, cand = int(st[0]), [(int(a), str(b)) for a, b in zip(st[1], st[2])]
+        else:
+            cnt, cand = 0, []
+        window_us = None
+        for pdf in pdfs:
+            window_us = int(pdf["window_us"].iloc[0])
+            cnt += int(pdf["cnt"].sum())
+            for us_list, id_list in zip(pdf["cand_us"], pdf["cand_id"]):
+                cand += [(int(a), str(b)) for a, b in zip(us_list, id_list)]
+        end_ms = (window_us + width) // 1000
+        if end_ms <= state.getCurrentWatermarkMs():
+            return  # late rows for a window the watermark has closed: dropped
+        cand = sorted(cand)[:keep]
+        state.update((cnt, [c[0] for c in cand], [c[1] for c in cand]))
+        state.setTimeoutTimestamp(end_ms)
+        first = cand[keep - 1][0] if len(cand) >= keep else None
+        yield pd.DataFrame({"window_us": [window_us], "requests": [cnt], "first_rejected_us": [first]},
+                           ).astype({"first_rejected_us": "Int64"})
+
+    return run
+
+
+def window_first_rejected(requests_stream: DataFrame, policy: str = "login", ts: str = "timestamp",
+                          tiebreak: str = "id", watermark_delay: str = WATERMARK_DELAY) -> DataFrame:
+    """T5 on a stream with the first rejected arrival per window (update mode). Rows later
+    than ``watermark_delay`` behind the newest event are dropped."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    permit, minutes = RATE_POLICIES[policy]
+    wall = requests_stream.select(F.expr(f"timestampdiff(MICROSECOND, {EPOCH_SQL}, `{ts}`)").alias("wall_us"),
+                                  F.col(tiebreak).cast("string").alias("id"))
+    partials = wall.mapInPandas(
+        _reduce_partition(permit, minutes),
+        "window_us long, event_time timestamp, cnt long, cand_us array<long>, cand_id array<string>")
+    merged = (partials.withWatermark("event_time", watermark_delay).groupBy("window_us")
+              .applyInPandasWithState(_merge_window(permit, minutes),
+                                      "window_us long, requests long, first_rejected_us long",
+                                      "cnt long, cand_us array<long>, cand_id array<string>", "update",
+                                      GroupStateTimeout.EventTimeTimeout))
+    to_wall = lambda c: F.expr(f"timestampadd(MICROSECOND, {c}, {EPOCH_SQL})")
+    return merged.select(
+        to_wall("window_us").alias("window_start"),
+        to_wall(f"window_us + {_window_micros(minutes)}").alias("window_end"),
+        "requests",
+        to_wall("first_rejected_us").alias("first_rejected_at"),
+    )
+
+
+def start_first_rejected_audit(spark: SparkSession, requests_stream: DataFrame, sink_path: str, checkpoint: str,
+                               policy: str = "login", available_now: bool = False,
+                               watermark_delay: str = WATERMARK_DELAY):
+    def run(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink_path))
+
+    out = window_first_rejected(requests_stream, policy, watermark_delay=watermark_delay)
+    w = out.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+def latest_audit(sink: DataFrame, policy: str = "login") -> DataFrame:
+    """Newest row per window across micro-batches, with permitted / rejected."""
+    permit, _ = RATE_POLICIES[policy]
+    last = sink.groupBy("window_start", "window_end").agg(
+        F.max_by(F.struct("requests", "first_rejected_at"), "batch_id").alias("_last"))
+    return last.select(
+        "window_start",
+        "window_end",
+        F.col("_last.requests").alias("requests"),
+        F.least(F.col("_last.requests"), F.lit(permit).cast("bigint")).alias("permitted"),
+        F.greatest(F.col("_last.requests") - permit, F.lit(0).cast("bigint")).alias("rejected"),
+        F.col("_last.first_rejected_at").alias("first_rejected_at"),
+    )
