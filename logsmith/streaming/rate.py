@@ -67,6 +67,9 @@ def latest_counts(sink: DataFrame, policy: str = "login") -> DataFrame:
 
 # ---------------------------------------------------------------- first rejected arrival
 
+_DAY_US = 86_400_000_000
+
+
 def _window_micros(minutes: int) -> int:
     return minutes * 60 * 1_000_000
 
@@ -97,6 +100,7 @@ def _reduce_partition(permit: int, minutes: int):
             keys = list(acc)
             yield pd.DataFrame({
                 "window_us": keys,
+                "day_us": [k // _DAY_US * _DAY_US for k in keys],
                 "event_time": pd.to_datetime(keys, unit="us", utc=True),
                 "cnt": [acc[k][0] for k in keys],
                 "cand_us": [[c[0] for c in acc[k][1]] for k in keys],
@@ -106,9 +110,14 @@ def _reduce_partition(permit: int, minutes: int):
     return run
 
 
-def _merge_window(permit: int, minutes: int):
-    """Stateful merge per window (``applyInPandasWithState``): state = count + the
-    ``permit + 1`` earliest arrivals, evicted once the watermark passes the window end."""
+def _merge_day(permit: int, minutes: int):
+    """Stateful merge per day (``applyInPandasWithState``): the state of a day holds, per
+    window of that day, the count and the ``permit + 1`` earliest arrivals (so it is bounded
+    by the windows of one day, not by traffic). Windows the watermark has closed are
+    dropped as late; the day is evicted once the watermark passes its end. Emits the
+    windows changed in the micro-batch."""
+    import json
+
     import pandas as pd
 
     keep, width = permit + 1, _window_micros(minutes)
@@ -117,26 +126,26 @@ def _merge_window(permit: int, minutes: int):
         if state.hasTimedOut:
             state.remove()
             return
-        if state.exists:
-            st = state.get
-            cnt, cand = int(st[0]), [(int(a), str(b)) for a, b in zip(st[1], st[2])]
-        else:
-            cnt, cand = 0, []
-        window_us = None
+        book = json.loads(state.get[0]) if state.exists else {}
+        watermark = state.getCurrentWatermarkMs()
+        touched = set()
         for pdf in pdfs:
-            window_us = int(pdf["window_us"].iloc[0])
-            cnt += int(pdf["cnt"].sum())
-            for us_list, id_list in zip(pdf["cand_us"], pdf["cand_id"]):
-                cand += [(int(a), str(b)) for a, b in zip(us_list, id_list)]
-        end_ms = (window_us + width) // 1000
-        if end_ms <= state.getCurrentWatermarkMs():
-            return  # late rows for a window the watermark has closed: dropped
-        cand = sorted(cand)[:keep]
-        state.update((cnt, [c[0] for c in cand], [c[1] for c in cand]))
-        state.setTimeoutTimestamp(end_ms)
-        first = cand[keep - 1][0] if len(cand) >= keep else None
-        yield pd.DataFrame({"window_us": [window_us], "requests": [cnt], "first_rejected_us": [first]},
-                           ).astype({"first_rejected_us": "Int64"})
+            for w, c, us_list, id_list in zip(pdf["window_us"], pdf["cnt"], pdf["cand_us"], pdf["cand_id"]):
+                w = int(w)
+                if (w + width) // 1000 <= watermark:
+                    continue  # late rows for a closed window
+                cnt, cand = book.get(str(w), [0, []])
+                merged = sorted([(int(a), str(b)) for a, b in cand] + [(int(a), str(b)) for a, b in zip(us_list, id_list)])
+                book[str(w)] = [cnt + int(c), [list(x) for x in merged[:keep]]]
+                touched.add(w)
+        if not touched:
+            return
+        state.update((json.dumps(book),))
+        state.setTimeoutTimestamp((int(key[0]) + _DAY_US) // 1000)
+        ws = sorted(touched)
+        firsts = [book[str(w)][1][keep - 1][0] if len(book[str(w)][1]) >= keep else None for w in ws]
+        yield pd.DataFrame({"window_us": ws, "requests": [book[str(w)][0] for w in ws],
+                            "first_rejected_us": pd.array(firsts, dtype="Int64")})
 
     return run
 
@@ -152,12 +161,11 @@ def window_first_rejected(requests_stream: DataFrame, policy: str = "login", ts:
                                   F.col(tiebreak).cast("string").alias("id"))
     partials = wall.mapInPandas(
         _reduce_partition(permit, minutes),
-        "window_us long, event_time timestamp, cnt long, cand_us array<long>, cand_id array<string>")
-    merged = (partials.withWatermark("event_time", watermark_delay).groupBy("window_us")
-              .applyInPandasWithState(_merge_window(permit, minutes),
+        "window_us long, day_us long, event_time timestamp, cnt long, cand_us array<long>, cand_id array<string>")
+    merged = (partials.withWatermark("event_time", watermark_delay).groupBy("day_us")
+              .applyInPandasWithState(_merge_day(permit, minutes),
                                       "window_us long, requests long, first_rejected_us long",
-                                      "cnt long, cand_us array<long>, cand_id array<string>", "update",
-                                      GroupStateTimeout.EventTimeTimeout))
+                                      "book string", "update", GroupStateTimeout.EventTimeTimeout))
     to_wall = lambda c: F.expr(f"timestampadd(MICROSECOND, {c}, {EPOCH_SQL})")
     return merged.select(
         to_wall("window_us").alias("window_start"),
