@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+import shutil
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,6 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (once per context), for clusters and working folders
+    where it is not installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_logsmith_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='logsmith-')}/logsmith", "zip", root, "logsmith")
+        sc.addPyFile(archive)
+        sc._logsmith_shipped = True
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``query(spark, ...)`` with the package on the executors."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship_package(spark)
+        return query(spark, *args)
+
+    return run
+
+
 def utf8(col: Column | str) -> Column:
     """A text column as UTF-8 bytes, null as the empty string (no decoding in Python)."""
     c = F.col(col) if isinstance(col, str) else col

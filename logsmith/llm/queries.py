@@ -7,8 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logsmith.llm.bpe import with_bpe
-from logsmith.llm.common import table
+from logsmith.llm.chat import format_conversations, read_back
+from logsmith.llm.common import shipped, table
+from logsmith.llm.decontam import find_contamination
+from logsmith.llm.line_dedup import dedup_lines
+from logsmith.llm.quality import COUNTS, judge
+from logsmith.llm.simhash import near_duplicates
 from logsmith.llm.token_counts import with_token_counts
+from logsmith.llm.toxicity import train, with_toxicity
+from logsmith.llm.warc import archive_pages
 
 #: Documents of more tokens do not fit the context of the model that is trained.
 TOKEN_LIMIT = 2048
@@ -26,6 +33,46 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"  # control strings inside texts
+    more = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    made = format_conversations(talks, public_tokenizers.path("byte_bpe_50k.json"))
+    back = made.withColumn("r", read_back(F.col("formatted"), F.col("loss_spans")))
+    return back.select(
+        "conv_id",
+        "r.n_turns",
+        "r.turns_sha256",
+        "r.loss_chars",
+        "r.loss_sha256",
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.aggregate("loss_tokens", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"]).alias("n_loss_tokens"),
+    )
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = near_duplicates(table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_pages(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = with_bpe(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -34,9 +81,36 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {
-    "op1_token_counts": op1_token_counts,
-    "op8_bpe": op8_bpe,
-}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    scorer = train(docs, labels.where(~held_out))
+    return with_toxicity(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_ALL = [
+    op1_token_counts,
+    op2_line_dedup,
+    op3_chat,
+    op4_simhash,
+    op5_warc,
+    op6_quality,
+    op8_bpe,
+    op9_toxicity,
+    op10_decontamination,
+]
+QUERIES = {query.__name__: shipped(query) for query in _ALL}
 
 ORACLE: dict[str, str] = {}
