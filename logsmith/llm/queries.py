@@ -13,6 +13,7 @@ from logsmith.llm.decontam import find_contamination
 from logsmith.llm.line_dedup import dedup_lines
 from logsmith.llm.quality import COUNTS, judge
 from logsmith.llm.simhash import near_duplicates
+from logsmith.llm.suffix_dedup import remove_repeats
 from logsmith.llm.token_counts import with_token_counts
 from logsmith.llm.toxicity import train, with_toxicity
 from logsmith.llm.warc import archive_pages
@@ -73,6 +74,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = with_bpe(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -107,6 +113,7 @@ _ALL = [
     op4_simhash,
     op5_warc,
     op6_quality,
+    op7_suffix_dedup,
     op8_bpe,
     op9_toxicity,
     op10_decontamination,
