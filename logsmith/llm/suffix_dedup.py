@@ -74,9 +74,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def _gram(depth: int) -> int:
+    return max(1, depth // 6)
+
+
 def regions(text: bytes, depth: int) -> Iterator[tuple[int, int, int]]:
     """(least hash, first start, number of starts) of each region of a text."""
-    gram = max(1, depth // 6)
+    gram = _gram(depth)
     for begin in range(0, len(text) - depth + 1, CHUNK_BYTES):
         data = np.frombuffer(text, np.uint8, min(len(text) - begin, CHUNK_BYTES + depth - 1), begin)
         least = sliding_least(gram_hashes(data, gram), depth - gram + 1)
@@ -213,15 +217,18 @@ def find_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, sh
     document that has any."""
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_col).alias("text_hash"), utf8(text_col).alias("data"))
     cut = rows.select("id", "text_hash", F.explode(_regions_of(F.col("data"), depth)).alias("g")).select("id", "text_hash", "g.*")
-    met = cut.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # a gram is in at most so many strings in a row; longer regions meet it again in themselves
+    reach = depth - _gram(depth) + 1
+    met = cut.groupBy("h").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(f"c > 1 or n > {reach}").select("h")
     likely = staged(cut.join(met, "h", "left_semi"), "suffix-regions")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "start")
     distinct = staged(
         likely.groupBy("h", "r1", "r2", "n").agg(F.count("*").alias("times"), F.min(place).alias("at")), "suffix-distinct"
     )
-    # groups in which some region occurs once but is not alone
+    # groups in which some region occurs once but is not alone, or long
     size = F.sum(F.col("n") + depth)
-    groups = distinct.groupBy("h").agg(F.count("*").alias("k"), F.min("times").alias("least"), size.alias("size")).where("k > 1 and least = 1")
+    counts = [F.count("*").alias("k"), F.min("times").alias("least"), F.max("n").alias("n"), size.alias("size")]
+    groups = distinct.groupBy("h").agg(*counts).where(f"(k > 1 or n > {reach}) and least = 1")
     wanted = staged(
         distinct.join(groups.select("h", "size"), "h").select("h", "r1", "r2", "n", "size", "at.id", "at.text_hash", "at.start"),
         "suffix-wanted",
