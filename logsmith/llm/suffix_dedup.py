@@ -78,39 +78,46 @@ def _gram(depth: int) -> int:
     return max(1, depth // 6)
 
 
-def regions(text: bytes, depth: int) -> Iterator[tuple[int, int, int]]:
-    """(least hash, first start, number of starts) of each region of a text."""
+def regions(text: bytes, depth: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(least hash, first start, number of starts, whether the hash is met again nearby) of each
+    region of a text. Only where it is met again can a region repeat a string in itself."""
     gram = _gram(depth)
     for begin in range(0, len(text) - depth + 1, CHUNK_BYTES):
         data = np.frombuffer(text, np.uint8, min(len(text) - begin, CHUNK_BYTES + depth - 1), begin)
-        least = sliding_least(gram_hashes(data, gram), depth - gram + 1)
+        hashes = gram_hashes(data, gram)
+        least = sliding_least(hashes, depth - gram + 1)
         first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
         count = np.diff(np.append(first, len(least)))
-        yield from zip(least[first].view(np.int64).tolist(), (first + begin).tolist(), count.tolist())
+        # grams that are the least of some string: by 16 bits first, then all of them
+        maybe = np.zeros(1 << 16, bool)
+        maybe[least[first] & np.uint64(0xFFFF)] = True
+        found = hashes[maybe[hashes & np.uint64(0xFFFF)]]
+        values, times = np.unique(found[np.isin(found, least[first])], return_counts=True)
+        again = np.isin(least[first], values[times > 1])
+        yield from zip(least[first].view(np.int64).tolist(), (first + begin).tolist(), count.tolist(), again.tolist())
 
 
-_REGION = pa.struct([("h", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+_REGION = pa.struct([("h", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("again", pa.bool_())])
 
 
 def _regions_of(data: Column, depth: int) -> Column:
     """All regions of a text, with a 128-bit hash of their bytes."""
 
-    @F.arrow_udf("array<struct<h: bigint, r1: bigint, r2: bigint, start: bigint, n: bigint>>")
+    @F.arrow_udf("array<struct<h: bigint, r1: bigint, r2: bigint, start: bigint, n: bigint, again: boolean>>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            offsets, columns = [0], [[], [], []]
+            offsets, columns = [0], [[], [], [], []]
             digests = bytearray()
             for x in batch:
                 text = x.as_py()
-                for h, start, n in regions(text, depth):
-                    columns[0].append(h)
-                    columns[1].append(start)
-                    columns[2].append(n)
+                for h, start, n, again in regions(text, depth):
+                    for column, value in zip(columns, (h, start, n, again)):
+                        column.append(value)
                     digests += xxhash.xxh3_128_digest(text[start : start + n + depth - 1])
                 offsets.append(len(columns[0]))
             r = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
-            arrays = [columns[0], r[:, 0], r[:, 1], columns[1], columns[2]]
-            rows = pa.StructArray.from_arrays([pa.array(a, pa.int64()) for a in arrays], fields=list(_REGION))
+            arrays = [columns[0], r[:, 0], r[:, 1], *columns[1:]]
+            rows = pa.StructArray.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, _REGION)], fields=list(_REGION))
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
     return cut(data)
@@ -217,18 +224,16 @@ def find_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, sh
     document that has any."""
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_col).alias("text_hash"), utf8(text_col).alias("data"))
     cut = rows.select("id", "text_hash", F.explode(_regions_of(F.col("data"), depth)).alias("g")).select("id", "text_hash", "g.*")
-    # a gram is in at most so many strings in a row; longer regions meet it again in themselves
-    reach = depth - _gram(depth) + 1
-    met = cut.groupBy("h").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(f"c > 1 or n > {reach}").select("h")
+    met = cut.groupBy("h").agg(F.count("*").alias("c"), F.max("again").alias("again")).where("c > 1 or again").select("h")
     likely = staged(cut.join(met, "h", "left_semi"), "suffix-regions")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "start")
     distinct = staged(
-        likely.groupBy("h", "r1", "r2", "n").agg(F.count("*").alias("times"), F.min(place).alias("at")), "suffix-distinct"
+        likely.groupBy("h", "r1", "r2", "n").agg(F.count("*").alias("times"), F.max("again").alias("again"), F.min(place).alias("at")), "suffix-distinct"
     )
-    # groups in which some region occurs once but is not alone, or long
+    # groups in which some region occurs once but is not alone, or meets its gram again
     size = F.sum(F.col("n") + depth)
-    counts = [F.count("*").alias("k"), F.min("times").alias("least"), F.max("n").alias("n"), size.alias("size")]
-    groups = distinct.groupBy("h").agg(*counts).where(f"(k > 1 or n > {reach}) and least = 1")
+    counts = [F.count("*").alias("k"), F.min("times").alias("least"), F.max("again").alias("again"), size.alias("size")]
+    groups = distinct.groupBy("h").agg(*counts).where("(k > 1 or again) and least = 1")
     wanted = staged(
         distinct.join(groups.select("h", "size"), "h").select("h", "r1", "r2", "n", "size", "at.id", "at.text_hash", "at.start"),
         "suffix-wanted",
