@@ -54,8 +54,6 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "r.loss_chars",
         "r.loss_sha256",
         F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.aggregate("loss_tokens", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"]).alias("n_loss_tokens"),
     )
 
 
@@ -120,4 +118,96 @@ _ALL = [
 ]
 QUERIES = {query.__name__: shipped(query) for query in _ALL}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # lines of 20 characters or more; neighbours share the first or the last half of the shorter one
+    "op2_line_dedup": """
+WITH l AS (
+  SELECT doc_id, pos, string_split(text, chr(10))[pos] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)
+), long AS (SELECT doc_id, pos, line, length(line) AS n FROM l WHERE length(line) >= 20),
+d AS (
+  SELECT line, n, doc_id, pos FROM long
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1
+), k AS (
+  SELECT line, n, doc_id, pos, m, side,
+    CASE side WHEN 0 THEN left(line, (m // 2)::INT) ELSE right(line, (m - m // 2)::INT) END AS half
+  FROM d, (VALUES (0), (1)) s(side), (VALUES (0), (1)) j(less), LATERAL (SELECT n - less AS m)
+), pairs AS (
+  SELECT DISTINCT a.line, b.line AS earlier, a.n, b.n AS bn
+  FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND (b.doc_id, b.pos) < (a.doc_id, a.pos)
+  WHERE abs(a.n - b.n) <= 1
+), met AS (
+  SELECT line, earlier, n, bn, coalesce(list_position(list_transform(
+    range(1, least(n, bn) + 1), lambda i: substr(line, i, 1) = substr(earlier, i, 1)), false), least(n, bn) + 1) - 1 AS p
+  FROM pairs
+), near AS (
+  SELECT DISTINCT line FROM met
+  WHERE CASE WHEN n = bn THEN substr(line, p + 2) = substr(earlier, p + 2)
+    WHEN n > bn THEN substr(line, p + 2) = substr(earlier, p + 1) ELSE substr(line, p + 1) = substr(earlier, p + 2) END
+), kept AS (
+  SELECT l.doc_id, l.pos, l.line,
+    length(l.line) < 20 OR (d.line IS NOT NULL AND d.line NOT IN (SELECT line FROM near)) AS keep
+  FROM l LEFT JOIN d ON d.line = l.line AND d.doc_id = l.doc_id AND d.pos = l.pos
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS text_sha256
+FROM kept GROUP BY doc_id
+""",
+    "op3_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, length(role || text) + length(regexp_replace(role, '(<\|endoftext\|>|</?s>|\[/?INST\]|\\)', 'x\1', 'g'))
+    - length(role) + length(regexp_replace(text, '(<\|endoftext\|>|</?s>|\[/?INST\]|\\)', 'x\1', 'g')) - length(text) AS chars
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(chars + 17))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+    "op5_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first,
+    list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', substr(hex, i, 1)) - 1), 4, '0')),
+      'string_agg', '') AS bits
+  FROM p
+)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, 5 * i + j + 1, 1)::INT << (4 - j)))::INT, 1)), 'string_agg', '')
+    AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+""",
+    "op10_decontamination": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS size, array_to_string(list_slice(words, p, p + least(10, len(words)) - 1), ' ') AS win
+  FROM (SELECT item_id, words, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS p FROM b WHERE len(words) > 0)
+), dw AS (
+  SELECT doc_id, p, size, array_to_string(list_slice(words, p, p + size - 1), ' ') AS win
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS p
+    FROM w, (SELECT DISTINCT size FROM bw) WHERE len(words) >= size)
+), hits AS (SELECT DISTINCT doc_id, p, dw.size, item_id FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
+words_hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS k FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+}
