@@ -19,6 +19,12 @@ def metadata_text(raw="metadata") -> Column:
     return F.coalesce(_col(raw), F.lit("{}"))
 
 
+def json_text(text: Column, value: Column) -> Column:
+    """JSON text of a field: ``text`` as ``from_json`` gives it for a STRING field, but a JSON
+    string (told by ``value``, the same field as VARIANT) with its quotes."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.to_json(value)).otherwise(text)
+
+
 def metadata_display(raw="metadata") -> Column:
     """E5: normalised JSON when it parses, else the raw text."""
     m = _col(raw)

@@ -27,13 +27,14 @@ def level_code(level="level") -> Column:
 def parse_level(raw="level") -> Column:
     """Free text -> canonical level name.
 
-    Case-insensitive name or the digits 0-5; anything else (unknown names, other numbers,
-    comma lists, null) becomes ``Info``."""
+    Case-insensitive name or an integer 0-5 (``4``, ``04``, ``+4``); anything else (unknown
+    names, other numbers, comma lists, null) becomes ``Info``."""
     t = F.trim(_col(raw))
     low = F.lower(t)
+    number = F.when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("int"))
     expr = None
     for name, code in LEVELS:
-        cond = (low == name.lower()) | (t == str(code))
+        cond = (low == name.lower()) | (number == code)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr.otherwise(F.lit("Info"))
 

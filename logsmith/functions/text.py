@@ -46,15 +46,16 @@ def cut_stack(text="exception") -> Column:
 
 
 def request_summary(method="request_method", path="request_path", status="status_code", duration="duration_ms") -> Column:
-    """``METHOD path -> status (Nms)`` with whole milliseconds."""
+    """``METHOD path -> status (Nms)`` with whole milliseconds; null parts are empty."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     return F.concat(
-        _col(method),
+        part(_col(method)),
         F.lit(" "),
-        _col(path),
+        part(_col(path)),
         F.lit(" -> "),
-        _col(status).cast("string"),
+        part(_col(status)),
         F.lit(" ("),
-        F.floor(_col(duration)).cast("bigint").cast("string"),
+        part(F.floor(_col(duration)).cast("bigint")),
         F.lit("ms)"),
     )
 

@@ -22,12 +22,13 @@ def _col(c) -> Column:
 
 
 def as_datetime(value) -> dt.datetime:
-    """Driver-side parameter -> naive datetime (accepts ``datetime``, ``date`` or ISO text)."""
-    if isinstance(value, dt.datetime):
-        return value.replace(tzinfo=None)
-    if isinstance(value, dt.date):
-        return dt.datetime(value.year, value.month, value.day)
-    return dt.datetime.fromisoformat(str(value).replace("T", " ")).replace(tzinfo=None)
+    """Driver-side parameter -> naive UTC datetime (accepts ``datetime``, ``date`` or ISO text;
+    a value with an offset is converted to UTC, one without is UTC)."""
+    if not isinstance(value, dt.datetime):
+        if isinstance(value, dt.date):
+            return dt.datetime(value.year, value.month, value.day)
+        value = dt.datetime.fromisoformat(str(value))
+    return value.astimezone(dt.timezone.utc).replace(tzinfo=None) if value.tzinfo else value
 
 
 def fmt_ts(value) -> str:

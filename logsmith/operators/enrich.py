@@ -4,9 +4,9 @@ selection by id set (J3).
 Ingest rows are classified by ONE left join against the deduplicated project table:
 a row is accepted when its key exists and has not expired at receive time, and otherwise
 gets a rejection reason (missing / unknown / expired key, then malformed body). Accepted
-and rejected outputs are two filters of the same join. The project side is broadcast only
-behind a size proof (``plans.broadcast``); a huge project table falls back to a shuffle
-join where AQE's skew handling splits a hot key.
+and rejected outputs are two filters of the same join. Rows without a key match nothing and
+are spread by their own id, so they never meet in one task. AQE broadcasts the project side
+when its measured size allows and splits a hot key otherwise.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsmith.plans.broadcast import bounded_broadcast
 from logsmith.schema import LOGS_SCHEMA
-from logsmith.sources.ingest import log_entry_columns, parse_batches, parse_records, stamp_ms
+from logsmith.sources.ingest import explode_batches, log_entry_columns, parse_envelopes, parse_records, stamp_ms
 
 # Rejection reasons, in the order they are checked.
 REJECT_REASONS = ("missing_key", "unknown_key", "expired_key", "malformed")
@@ -24,7 +23,7 @@ REJECT_REASONS = ("missing_key", "unknown_key", "expired_key", "malformed")
 
 def dedupe_keys(projects: DataFrame) -> DataFrame:
     """One row per ``api_key`` — the latest by ``(created_at, id)``. A partial/final
-    hash aggregate (``max`` of a struct), so duplicates of one key combine map-side."""
+    aggregate (``max`` of a struct, sort-based), so duplicates of one key combine map-side."""
     latest = F.max(F.struct("created_at", "id", "name", "expires_at")).alias("_last")
     return projects.groupBy("api_key").agg(latest).select(
         F.col("_last.id").alias("id"),
@@ -35,27 +34,27 @@ def dedupe_keys(projects: DataFrame) -> DataFrame:
     )
 
 
-def key_lookup(projects: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """Deduplicated key -> project side of the enrichment join, broadcast when proven small
-    (within ``max_rows`` / ``max_bytes``, defaults of ``plans.broadcast``)."""
-    p = dedupe_keys(projects).select(
+def key_lookup(projects: DataFrame) -> DataFrame:
+    """Deduplicated key -> project side of the enrichment join."""
+    return dedupe_keys(projects).select(
         F.col("api_key").alias("_pkey"),
         F.col("id").alias("project_id"),
         F.col("name").alias("project_name"),
         F.col("expires_at").alias("_expires"),
     )
-    bounds = {k: v for k, v in (("max_rows", max_rows), ("max_bytes", max_bytes)) if v is not None}
-    return bounded_broadcast(p, **bounds)
 
 
 def classify(records: DataFrame, projects: DataFrame | None = None, key: str = "api_key", at: str = "received_at",
-             lookup: DataFrame | None = None) -> DataFrame:
+             lookup: DataFrame | None = None, id_col: str = "raw_id") -> DataFrame:
     """Adds ``project_id``, ``project_name`` and ``reject_reason`` (null = accepted).
-    Pass ``lookup`` (from ``key_lookup``) to reuse an already checked project side."""
-    p = lookup if lookup is not None else key_lookup(projects)
-    joined = records.join(p, F.col(key) == F.col("_pkey"), "left")
+    Pass ``lookup`` (from ``key_lookup``) to reuse a project side."""
+    p = (lookup if lookup is not None else key_lookup(projects)).where(F.coalesce(F.col("_pkey"), F.lit("")) != "")
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    # a key that no project has, different for each row, in place of a missing one
+    join_key = F.when(blank, F.concat(F.lit("\u0000"), F.col(id_col).cast("string"))).otherwise(F.col(key))
+    joined = records.join(p, join_key == F.col("_pkey"), "left")
     reason = (
-        F.when(F.col(key).isNull() | (F.col(key) == ""), F.lit("missing_key"))
+        F.when(blank, F.lit("missing_key"))
         .when(F.col("_pkey").isNull(), F.lit("unknown_key"))
         .when(F.col("_expires") < F.col(at), F.lit("expired_key"))
         .when(F.col("malformed"), F.lit("malformed"))
@@ -93,8 +92,9 @@ def ingest_records(raw: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def ingest_batches(raw: DataFrame, projects: DataFrame) -> DataFrame:
-    """S5 + J1/J2: classified batch ingest (one row per array element)."""
-    return classify(parse_batches(raw), projects)
+    """S5 + J1/J2: classified batch ingest: a row per element of an accepted envelope, one row
+    for a rejected envelope (also an empty one)."""
+    return explode_batches(classify(parse_envelopes(raw), projects))
 
 
 def select_by_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

@@ -50,10 +50,12 @@ def _blank_if_empty(col: str) -> Column:
 
 
 def _number(col: str) -> Column:
-    """Numbers as a script would print them: 0 / null -> empty, whole values without '.0'."""
-    c = F.col(col)
-    whole = c == F.floor(c)
-    txt = F.when(whole, F.floor(c).cast("bigint").cast("string")).otherwise(c.cast("string"))
+    """Numbers as a script prints them: 0 / null -> empty, whole values without '.0', plain
+    decimals from 1e-6 on, below that ``1e-7``."""
+    c = F.col(col).cast("double")
+    plain = F.regexp_replace(c.cast("decimal(38,17)").cast("string"), "\\.?0+$", "")
+    tiny = F.replace(F.lower(F.regexp_replace(c.cast("string"), "\\.0E", "E")), F.lit("e+"), F.lit("e"))
+    txt = F.when(F.abs(c) < 1e-6, tiny).otherwise(plain)
     return F.when(c.isNull() | (c == 0), F.lit("")).otherwise(txt)
 
 

@@ -207,8 +207,8 @@ STATIC_PATH_REGEX = "^/(css|js|lib|images|favicon)"
 
 
 def exclude_static(df: DataFrame, col: str = "request_path") -> DataFrame:
-    """F16: drop requests for static files."""
-    return df.where(~F.col(col).rlike(STATIC_PATH_REGEX))
+    """F16: drop requests for static files (a request without a path is none)."""
+    return df.where(~F.coalesce(F.col(col).rlike(STATIC_PATH_REGEX), F.lit(False)))
 
 
 def trace_only(df: DataFrame, trace_id: str) -> DataFrame:

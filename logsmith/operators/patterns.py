@@ -1,14 +1,15 @@
 """Recurring-message pattern mining (E1 + A7).
 
-``groupBy(pattern, level, app_name)`` with count / min / max / min(message): every
-aggregate is algebraic, so each task pre-aggregates before the shuffle and a hot pattern
-(one message repeated by a third of all rows) ships one partial row per task. HAVING and
-the top-k are a filter and a ``TakeOrderedAndProject``.
+``groupBy(pattern, level, app_name)`` with count / min / max of fixed-width values is a hash
+aggregate that combines map-side, so a hot pattern (one message repeated by a third of all
+rows) ships one partial row per task. HAVING and the top-k are a filter and a
+``TakeOrderedAndProject``. The sample message is then fetched for the winners only (at most
+``limit`` <= 1000 rows, broadcast): the smallest message among their first-seen rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsmith.functions.text import pattern_mask
@@ -48,17 +49,19 @@ def log_patterns(df: DataFrame, as_of, hours: int = DEFAULT_HOURS, level: str |
         preds.append(F.col("level").isin(lvls))
     if app_name:
         preds.append(F.col("app_name") == app_name)
-    return (
-        df.where(conjunction(preds))
-        .groupBy(pattern_mask("message").alias("pattern"), "level", "app_name")
-        .agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.min("timestamp").alias("first_seen"),
-            F.max("timestamp").alias("last_seen"),
-            F.min("message").alias("sample_message"),
-        )
+    keys = ["pattern", "level", "app_name"]
+    rows = df.where(conjunction(preds)).select(pattern_mask("message").alias("pattern"), "level", "app_name", "timestamp", "message")
+    order = [F.col("cnt").desc(), *keys]
+    winners = (
+        rows.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
         .where(F.col("cnt") >= min_count)
-        .orderBy(F.col("cnt").desc(), "pattern", "level", "app_name")
+        .orderBy(*order)
         .limit(limit)
-        .select("pattern", "cnt", "level", "app_name", "first_seen", "last_seen", "sample_message")
     )
+    named = F.broadcast(winners.select(*(F.col(k).alias(f"_{k}") for k in keys), "cnt", "first_seen", "last_seen"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("timestamp") == F.col("first_seen")]
+    met = rows.join(named, conjunction(same)).withColumn(
+        "_n", F.row_number().over(Window.partitionBy(*(f"_{k}" for k in keys)).orderBy("message")))
+    return met.where(F.col("_n") == 1).orderBy(*order).select(
+        "pattern", "cnt", "level", "app_name", "first_seen", "last_seen", F.col("message").alias("sample_message"))

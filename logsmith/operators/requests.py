@@ -1,10 +1,10 @@
 """Request log: records of HTTP requests -> ``app_logs`` rows (E9-E12, F16, S7), a status
 summary (E17) and the fixed-window rate audit (T5, batch form).
 
-Everything is a per-row projection except the audit: a partial/final count per window and
-a map-side-limited top-(N+1) per window (``WindowGroupLimit``), merged by a second small
-aggregate (no join). A window that receives a third of all requests never reaches one
-task in full.
+Everything is a per-row projection except the audit. It ranks by counting: requests per window
+and second combine map-side, a running sum over the seconds of a window tells in which of them
+request N+1 falls, and only the rows of that second are put in order. No window's requests meet
+in one task, whatever the permit.
 """
 
 from __future__ import annotations
@@ -80,28 +80,53 @@ def window_start(col: str, minutes: int) -> Column:
     )
 
 
+def _policy(policy: str, permit: int | None, window_minutes: int | None) -> tuple[int, int]:
+    default_permit, default_minutes = RATE_POLICIES[policy]
+    permit = default_permit if permit is None else permit
+    minutes = default_minutes if window_minutes is None else window_minutes
+    if permit < 0 or minutes < 1:
+        raise ValueError("permit must not be negative and a window lasts at least one minute")
+    return permit, minutes
+
+
+def _second(col: str) -> Column:
+    return F.expr(f"timestampdiff(SECOND, {EPOCH_SQL}, `{col}`)")
+
+
+def _running(b: DataFrame) -> DataFrame:
+    """Requests per window and second of ``b`` (window_start, _ts) with those before them."""
+    per = b.groupBy("window_start", _second("_ts").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("window_start").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
+
+
+def _limit_second(running: DataFrame, permit: int) -> DataFrame:
+    """(window_start, _limit_s, _k): the second in which request N+1 of a window falls, and its
+    rank there."""
+    return running.where((F.col("_before") <= permit) & (F.col("_before") + F.col("_n") > permit)).select(
+        "window_start", F.col("_s").alias("_limit_s"), (F.lit(permit) + 1 - F.col("_before")).alias("_k"))
+
+
 def rate_audit(requests: DataFrame, policy: str = "login", permit: int | None = None,
                window_minutes: int | None = None, ts: str = "timestamp", tiebreak: str = "id") -> DataFrame:
     """T5: replay a fixed-window limiter over recorded requests. Per window: ``requests``,
-    ``permitted``, ``rejected`` and ``first_rejected_at`` (arrival of the first request
-    over the limit, ties by ``tiebreak``)."""
-    default_permit, default_minutes = RATE_POLICIES[policy]
-    permit = permit or default_permit
-    minutes = window_minutes or default_minutes
-    b = requests.select(window_start(ts, minutes).alias("window_start"), F.col(ts).alias("_ts"),
-                        F.col(tiebreak).alias("_tb"))
-    counts = b.groupBy("window_start").agg(
-        F.count(F.lit(1)).alias("requests"), F.lit(None).cast("timestamp_ntz").alias("first_rejected_at"))
-    w = Window.partitionBy("window_start").orderBy("_ts", "_tb")
-    over = (
-        b.withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= permit + 1)
-        .where(F.col("_rn") == permit + 1)
-        .select("window_start", F.lit(0).cast("bigint").alias("requests"), F.col("_ts").alias("first_rejected_at"))
-    )
-    # two pre-aggregated inputs merged by a second (small) aggregate instead of a join
-    merged = counts.unionByName(over).groupBy("window_start").agg(
-        F.sum("requests").alias("requests"), F.max("first_rejected_at").alias("first_rejected_at"))
+    ``permitted``, ``rejected`` and ``first_rejected_at`` (arrival of the first request over the
+    limit, the (N+1)-th by time)."""
+    permit, minutes = _policy(policy, permit, window_minutes)
+    b = requests.select(window_start(ts, minutes).alias("window_start"), F.col(ts).alias("_ts"))
+    running = _running(b)
+    counts = running.groupBy("window_start").agg(F.sum("_n").alias("requests"))
+    limit = _limit_second(running, permit).withColumnRenamed("window_start", "_w")
+    in_second = b.join(limit, (F.col("window_start") == F.col("_w")) & (_second("_ts") == F.col("_limit_s")))
+    # equal arrivals count together, so a burst of one instant is one row here
+    at = in_second.groupBy("window_start", "_ts", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("window_start").orderBy("_ts"))
+    first = at.withColumn("_upto", upto).where(F.col("_upto") >= F.col("_k")).groupBy("window_start").agg(
+        F.min("_ts").alias("first_rejected_at"))
+    return _audit_columns(counts.join(first, "window_start", "left"), permit, minutes)
+
+
+def _audit_columns(merged: DataFrame, permit: int, minutes: int) -> DataFrame:
     return merged.select(
         "window_start",
         F.expr(f"timestampadd(MINUTE, {minutes}, window_start)").alias("window_end"),
@@ -112,14 +137,16 @@ def rate_audit(requests: DataFrame, policy: str = "login", permit: int | None =
     )
 
 
-def permitted_requests(requests: DataFrame, policy: str = "login", ts: str = "timestamp",
-                       tiebreak: str = "id") -> DataFrame:
-    """The requests a fixed-window limiter lets through (first N per window)."""
-    permit, minutes = RATE_POLICIES[policy]
-    w = Window.partitionBy("_w").orderBy(ts, tiebreak)
-    return (
-        requests.withColumn("_w", window_start(ts, minutes))
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= permit)
-        .drop("_w", "_rn")
-    )
+def permitted_requests(requests: DataFrame, policy: str = "login", ts: str = "timestamp", tiebreak: str = "id",
+                       permit: int | None = None, window_minutes: int | None = None) -> DataFrame:
+    """The requests a fixed-window limiter lets through (first N per window, ties by
+    ``tiebreak``): those of the seconds before the one the limit falls in, and the first ones
+    of that second."""
+    permit, minutes = _policy(policy, permit, window_minutes)
+    rows = requests.withColumn("_w", window_start(ts, minutes)).withColumn("_s", _second(ts))
+    limit = _limit_second(_running(rows.select(F.col("_w").alias("window_start"), F.col(ts).alias("_ts"))), permit)
+    placed = rows.join(limit, F.col("_w") == F.col("window_start"), "left")
+    before = placed.where(F.col("_limit_s").isNull() | (F.col("_s") < F.col("_limit_s")))
+    order = Window.partitionBy("_w").orderBy(ts, tiebreak)
+    at_limit = placed.where(F.col("_s") == F.col("_limit_s")).withColumn("_rn", F.row_number().over(order))
+    return before.select(requests.columns).unionByName(at_limit.where(F.col("_rn") < F.col("_k")).select(requests.columns))

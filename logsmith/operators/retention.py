@@ -1,15 +1,17 @@
-"""Retention: delete older than N days (M1), delete all (M2), insert-time TTL (M3), and
-the month-partition rewrite that applies them to a stored table.
-
-On a month-partitioned table whole expired months are dropped as directories; only the
-month that straddles the cutoff is rewritten (read -> filter -> staged copy in the shared
-checkpoint folder -> dynamic partition overwrite of that month). No path is overwritten
-while it is being read.
+"""Retention: delete older than N days (M1), delete all (M2), insert-time TTL (M3), and the
+partition rewrite that applies them to a stored table or to the streaming landing sink.
+
+Partitions (``month=`` of the table, ``batch_id=/month=`` of the landing sink) whose rows have
+all expired are dropped as directories; those with some expired rows are rewritten: filter ->
+a stage of this run in the shared checkpoint folder -> a ``swap pending`` note beside the table
+-> dynamic partition overwrite -> note removed. No path is overwritten while it is being read,
+and a stage is used only by the run that made it, or by the next one if its swap was pending.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,60 +49,133 @@ def ttl_expire(df: DataFrame, as_of, ttl_days: int | None = None, col: str = "cr
     return df.where(F.col(col) > ts_lit(cutoff(as_of, days)))
 
 
+PENDING = "_retention_pending"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def partition_dirs(spark: SparkSession, path: str) -> dict[tuple, str]:
+    """``(month,)`` or ``(batch_id, month)`` -> directory of a stored table or landing sink."""
+    p, fs = _fs(spark, path)
+    out: dict[tuple, str] = {}
+
+    def walk(at, key: tuple) -> None:
+        for st in fs.listStatus(at):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("month="):
+                out[(*key, int(name.split("=", 1)[1]))] = st.getPath().toString()
+            elif st.isDirectory() and name.startswith("batch_id="):
+                walk(st.getPath(), (int(name.split("=", 1)[1]),))
+
+    if fs.exists(p):
+        walk(p, ())
+    return out
+
+
 def month_dirs(spark: SparkSession, path: str) -> dict[int, str]:
     """``month=yyyymm`` partition directories of a stored table."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    out: dict[int, str] = {}
-    if not fs.exists(p):
-        return out
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("month="):
-            out[int(name.split("=", 1)[1])] = st.getPath().toString()
-    return out
+    return {key[0]: d for key, d in partition_dirs(spark, path).items() if len(key) == 1}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _drop(spark: SparkSession, directory: str) -> None:
+    p, fs = _fs(spark, directory)
+    fs.delete(p, True)
 
 
-def apply_retention(spark: SparkSession, path: str, as_of, days: int, stage_path: str) -> dict:
-    """M1 on a stored month-partitioned table: drop months wholly before the cutoff and
-    rewrite the straddling month through ``stage_path``. Returns what was done.
+def delete_all_stored(spark: SparkSession, path: str) -> int:
+    """M2 on a stored table: every partition goes, the table stays (empty). Returns how many."""
+    dirs = partition_dirs(spark, path)
+    for d in dirs.values():
+        _drop(spark, d)
+    return len(dirs)
 
-    Restartable: dropping expired months is idempotent, and a completed stage (its
-    ``_SUCCESS`` marker) is reused, so a run killed between staging and the partition
-    overwrite resumes from the stage instead of re-reading a half-rewritten month. Use one
-    ``stage_path`` per (table, cutoff)."""
+
+def _pending(spark: SparkSession, path: str) -> str | None:
+    """The stage whose swap a run has announced and not finished."""
+    p, fs = _fs(spark, f"{path}/{PENDING}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _note(spark: SparkSession, path: str, stage: str) -> None:
+    p, fs = _fs(spark, f"{path}/{PENDING}")
+    out = fs.create(p, True)
+    out.write(bytearray(stage.encode()))
+    out.close()
+
+
+def _rewrite(spark: SparkSession, path: str, keep, edges: list[tuple], stage_root: str) -> tuple[list, list]:
+    """Keep the rows of the partitions ``edges`` that pass ``keep``; returns the partitions that
+    were rewritten and those that became empty."""
+    names = ["batch_id", "month"][-len(edges[0]):]
+    here = F.struct(*(F.col(n).cast("bigint") for n in names))
+    wanted = here.isin([F.struct(*(F.lit(v).cast("bigint") for v in e)) for e in edges])
+    rows = spark.read.parquet(path).where(wanted)
+    if (earlier := _pending(spark, path)) is not None:
+        # a swap of an earlier run may have stopped half-way: its stage has what it kept
+        old = spark.read.parquet(earlier)
+        ids = rows.select(F.col("id").alias("_id"), *(F.col(n).alias(f"_{n}") for n in names))
+        same = [F.col("id") == F.col("_id"), *(F.col(n) == F.col(f"_{n}") for n in names)]
+        rows = rows.unionByName(old.join(ids, same, "left_anti"), allowMissingColumns=True)
+    stage = f"{stage_root}/{uuid.uuid4().hex}"
+    rows.where(keep).write.partitionBy(*names).parquet(stage)
+    left = sorted(partition_dirs(spark, stage))
+    _note(spark, path, stage)
+    if left:
+        (spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*names).parquet(path))
+    dirs = partition_dirs(spark, path)
+    empty = [e for e in edges if e not in left]
+    for e in empty:
+        if e in dirs:
+            _drop(spark, dirs[e])
+    _drop(spark, f"{path}/{PENDING}")
+    return left, empty
+
+
+def apply_retention(spark: SparkSession, path: str, as_of, days: int, stage_path: str) -> dict:
+    """M1 on a stored table or a landing sink: drop months wholly before the cutoff and rewrite
+    the partitions of the month that straddles it through a new folder under ``stage_path``.
+    Safe to repeat and to restart: rows that arrived since are kept."""
     days = guard(days, DAYS_RANGE, "days")
     c = cutoff(as_of, days)
     edge = month_of(c)
-    dirs = month_dirs(spark, path)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    dropped = []
-    for m, d in sorted(dirs.items()):
-        if m < edge:
-            p = jvm.org.apache.hadoop.fs.Path(d)
-            p.getFileSystem(conf).delete(p, True)
-            dropped.append(m)
-    rewritten = []
-    if edge in dirs:
-        if not _exists(spark, f"{stage_path}/_SUCCESS"):
-            kept = spark.read.parquet(path).where(F.col("month") == edge).where(F.col("timestamp") >= ts_lit(c))
-            kept.write.mode("overwrite").partitionBy("month").parquet(stage_path)
-        staged = spark.read.parquet(stage_path)
-        if staged.limit(1).count() == 0:
-            p = jvm.org.apache.hadoop.fs.Path(dirs[edge])
-            p.getFileSystem(conf).delete(p, True)
-            dropped.append(edge)
-        else:
-            (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("month").parquet(path))
-            rewritten.append(edge)
-    return {"dropped_months": dropped, "rewritten_months": rewritten, "cutoff": c}
+    dirs = partition_dirs(spark, path)
+    dropped = sorted(k for k in dirs if k[-1] < edge)
+    for k in dropped:
+        _drop(spark, dirs[k])
+    edges = sorted(k for k in dirs if k[-1] == edge)
+    rewritten: list = []
+    if edges:
+        rewritten, empty = _rewrite(spark, path, F.col("timestamp") >= ts_lit(c), edges, stage_path)
+        dropped += empty
+    plain = lambda keys: [k[0] if len(k) == 1 else k for k in keys]
+    return {"dropped_months": plain(dropped), "rewritten_months": plain(rewritten), "cutoff": c}
+
+
+def apply_ttl(spark: SparkSession, path: str, as_of, stage_path: str, ttl_days: int | None = None,
+              col: str = "created_at") -> dict:
+    """M3 on a stored table (``logs`` or ``app_logs``): rows whose ``col`` has passed its TTL go.
+    A month is judged by its own rows, since insert time and event time differ: a row per
+    partition with its expired rows and its rows comes to the driver."""
+    days = ttl_days if ttl_days and ttl_days > 0 else DEFAULT_TTL_DAYS
+    keep = F.col(col) > ts_lit(cutoff(as_of, days))
+    dirs = partition_dirs(spark, path)
+    if not dirs:
+        return {"dropped_months": [], "rewritten_months": []}
+    names = ["batch_id", "month"][-len(next(iter(dirs))):]
+    counts = spark.read.parquet(path).groupBy(*names).agg(F.count_if(~keep).alias("old"), F.count(F.lit(1)).alias("n")).collect()
+    whole = [tuple(r[n] for n in names) for r in counts if r["old"] == r["n"]]
+    some = sorted(tuple(r[n] for n in names) for r in counts if 0 < r["old"] < r["n"])
+    for k in whole:
+        _drop(spark, dirs[k])
+    rewritten, empty = _rewrite(spark, path, keep, some, stage_path) if some else ([], [])
+    return {"dropped_months": sorted(whole) + empty, "rewritten_months": rewritten}

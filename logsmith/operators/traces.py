@@ -1,23 +1,20 @@
 """Distributed traces: timeline with offsets (W1), the 500-entry cap (W2) and the per-trace
 summary (A10), computed for one trace or for all traces at once.
 
-Plan for all traces (one hash partitioning on ``trace_id`` shared by W1, W2 and A10):
+Timelines of all traces:
 
 1. drop the empty trace id (it would be one giant key and means "no trace");
-2. ``row_number() <= cap`` per trace. Spark plans it as a map-side partial
-   ``WindowGroupLimit`` before the shuffle and a final one after it, so every map task
-   sends at most ``cap`` rows of any trace — a hot trace holding a third of all rows
-   reaches its reducer as at most ``cap x (map tasks)`` rows, never in full;
-3. when ``cap x (map tasks)`` would exceed the per-task row budget, the cap runs as a tree:
-   first per ``(trace_id, bucket)`` with ``bucket = input task % B``, so each first-level
-   reducer sees ``cap x tasks / B`` rows and the final reducer ``cap x B`` rows. The result
-   is exact: a trace's first ``cap`` rows are among the first ``cap`` rows of their bucket.
-   The bucket is the input task index, which a re-run task reproduces (unlike ``rand()``);
-4. offsets (a window min) and the summary (a group-by) reuse the ``trace_id`` partitioning,
-   and every per-trace list is bounded by ``cap``.
-
-Spark inserts the map-side limit for ``cap`` up to ``spark.sql.optimizer.
-windowGroupLimitThreshold`` (default 1000); the fixed cap of 500 is within it.
+2. the first ``cap + 1`` entries per ``(trace_id, input task % B)``, then per trace. Spark plans
+   each ``row_number() <= k`` as a map-side ``WindowGroupLimit`` before its shuffle, so a task
+   sends at most ``cap + 1`` rows of any trace, a first-level reducer sees ``cap x tasks / B`` of
+   them and the final one ``cap x B``: a hot trace never reaches a task in full. The result is
+   exact, and the bucket (the input task) is reproduced by a re-run task;
+3. offsets (a window min) reuse the ``trace_id`` partitioning, and ``truncated`` tells that the
+   trace has more than ``cap`` entries.
+
+Spark inserts the map-side limit up to ``spark.sql.optimizer.windowGroupLimitThreshold``
+(default 1000); a larger cap is refused. Summaries need no entries: they are two algebraic
+aggregates, per (trace, app) and per trace, over all rows.
 """
 
 from __future__ import annotations
@@ -26,8 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsmith.functions.levels import level_code
-from logsmith.operators.filters import trace_only
-from logsmith.plans.topk import by_input_task, ordered_page, tree_buckets
+from logsmith.operators.filters import conjunction, time_bounds, trace_only
+from logsmith.plans.topk import by_input_task, group_limit_threshold
 from logsmith.schema import TRACE_COLUMNS
 
 # Entries kept per trace; Error and Fatal count as errors in a trace.
@@ -42,63 +39,65 @@ def _offset_ms(partition_col: str = "trace_id"):
     return F.timestamp_diff("MICROSECOND", first, F.col("timestamp")).cast("double") / F.lit(1000.0)
 
 
-def capped_traces(df: DataFrame, cap: int = TRACE_CAP, buckets: int | None = None) -> DataFrame:
-    """W2 for every trace: the first ``cap`` entries by ``(timestamp, id)`` with ``entry_no``.
-    ``buckets`` forces the first tree level (``None`` = sized from the input tasks)."""
-    base = df.where(F.col("trace_id") != "")
-    b = tree_buckets(base, cap) if buckets is None else buckets
-    if b > 1:
-        level1 = Window.partitionBy("trace_id", "_bucket").orderBy(*_ORDER)
-        base = (
-            base.withColumn("_bucket", by_input_task(b))
-            .withColumn("_rn", F.row_number().over(level1))
-            .where(F.col("_rn") <= cap)
-            .drop("_rn", "_bucket")
-        )
+# First-level groups of a trace.
+TRACE_BUCKETS = 16
+
+
+def capped_traces(df: DataFrame, cap: int = TRACE_CAP, buckets: int = TRACE_BUCKETS) -> DataFrame:
+    """W2 for every trace: the first ``cap`` entries by ``(timestamp, id)`` with ``entry_no`` and
+    ``truncated`` (the trace has more)."""
+    if not 0 < cap < group_limit_threshold(df):
+        raise ValueError(f"cap must be from 1 to {group_limit_threshold(df) - 1}")
+    level1 = Window.partitionBy("trace_id", "_bucket").orderBy(*_ORDER)
+    base = (
+        df.where(F.col("trace_id") != "")
+        .withColumn("_bucket", by_input_task(buckets))
+        .withColumn("_rn", F.row_number().over(level1))
+        .where(F.col("_rn") <= cap + 1)
+        .drop("_rn", "_bucket")
+    )
     per_trace = Window.partitionBy("trace_id").orderBy(*_ORDER)
-    return base.withColumn("entry_no", F.row_number().over(per_trace)).where(F.col("entry_no") <= cap)
+    first = base.withColumn("entry_no", F.row_number().over(per_trace)).where(F.col("entry_no") <= cap + 1)
+    more = F.max("entry_no").over(Window.partitionBy("trace_id")) > cap
+    return first.withColumn("truncated", more).where(F.col("entry_no") <= cap)
 
 
-def trace_timelines(df: DataFrame, cap: int = TRACE_CAP, buckets: int | None = None) -> DataFrame:
-    """W1 + W2 for all traces: trace projection + ``entry_no`` + ``offset_ms``."""
+def trace_timelines(df: DataFrame, cap: int = TRACE_CAP, buckets: int = TRACE_BUCKETS) -> DataFrame:
+    """W1 + W2 for all traces: trace projection + ``entry_no``, ``offset_ms``, ``truncated``."""
     capped = capped_traces(df.select("trace_id", *TRACE_COLUMNS), cap, buckets)
-    return capped.select("trace_id", *TRACE_COLUMNS, "entry_no", _offset_ms().alias("offset_ms"))
+    return capped.select("trace_id", *TRACE_COLUMNS, "entry_no", _offset_ms().alias("offset_ms"), "truncated")
 
 
-def trace_timeline(df: DataFrame, trace_id: str, cap: int = TRACE_CAP) -> DataFrame:
-    """F17 + P3 + W1 + W2 for one trace: a filtered top-``cap`` (``TakeOrderedAndProject``)
-    then offsets over at most ``cap`` rows."""
-    top = ordered_page(trace_only(df, trace_id).select("trace_id", *TRACE_COLUMNS),
-                       [F.col(c).asc() for c in _ORDER], 0, cap)
-    w = Window.partitionBy("trace_id").orderBy(*_ORDER)
-    return top.select("trace_id", *TRACE_COLUMNS, F.row_number().over(w).alias("entry_no"),
-                      _offset_ms().alias("offset_ms"))
+def trace_timeline(df: DataFrame, trace_id: str, cap: int = TRACE_CAP, time_from=None, time_to=None) -> DataFrame:
+    """F17 + P3 + W1 + W2 for one trace; time bounds (inclusive seconds) spare the months outside
+    them."""
+    rows = trace_only(df, trace_id).where(conjunction(time_bounds(df, "timestamp", time_from, time_to)))
+    return trace_timelines(rows, cap)
 
 
-def summarize_traces(capped: DataFrame) -> DataFrame:
-    """A10 over capped entries: bounds, duration, services in first-seen order, error flag."""
-    ordered_apps = F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col("entry_no"), F.col("app_name")))), lambda s: s["app_name"]
+def trace_summaries(df: DataFrame) -> DataFrame:
+    """A10 for every trace, over all of its entries: bounds, duration, services in first-seen
+    order, error flag."""
+    rows = df.where(F.col("trace_id") != "")
+    per_app = rows.groupBy("trace_id", "app_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct("timestamp", "id")).alias("first"),
+        F.max("timestamp").alias("last_ts"),
+        F.bool_or(level_code("level") >= ERROR_CODE).alias("bad"),
     )
-    services = F.array_distinct(ordered_apps)
-    first_ts, last_ts = F.min("timestamp"), F.max("timestamp")
-    return capped.groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("entry_count"),
+    first_ts, last_ts = F.min("first.timestamp"), F.max("last_ts")
+    services = F.transform(F.array_sort(F.collect_list(F.struct("first", "app_name"))), lambda s: s["app_name"])
+    return per_app.groupBy("trace_id").agg(
+        F.sum("n").alias("entry_count"),
         first_ts.alias("first_ts"),
         last_ts.alias("last_ts"),
         (F.timestamp_diff("MICROSECOND", first_ts, last_ts).cast("double") / F.lit(1000.0)).alias("total_duration_ms"),
         F.array_join(services, ",").alias("services"),
         F.size(services).alias("service_count"),
-        F.bool_or(level_code("level") >= ERROR_CODE).alias("has_errors"),
+        F.bool_or("bad").alias("has_errors"),
     )
 
 
-def trace_summaries(df: DataFrame, cap: int = TRACE_CAP, buckets: int | None = None) -> DataFrame:
-    """A10 for every trace (computed after the cap, like the single-trace view)."""
-    return summarize_traces(capped_traces(df.select("trace_id", "id", "timestamp", "level", "app_name"), cap,
-                                          buckets))
-
-
-def trace_summary(df: DataFrame, trace_id: str, cap: int = TRACE_CAP) -> DataFrame:
+def trace_summary(df: DataFrame, trace_id: str) -> DataFrame:
     """A10 for one trace."""
-    return summarize_traces(trace_timeline(df, trace_id, cap))
+    return trace_summaries(trace_only(df, trace_id))

@@ -1,23 +1,10 @@
-"""Size-checked broadcast.
-
-A side is broadcast only after a proof that it is small: one early-terminating job reads
-at most ``max_rows + 1`` rows and sums their byte width. Past either bound the frame is
-returned unchanged and the join stays a shuffle (sort-merge) join, which AQE may still
-convert at run time from real statistics.
-"""
+"""Sizes known to the planner. Joins carry no broadcast hint: AQE broadcasts a side when its
+measured size is within ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and splits hot keys
+otherwise."""
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Default ceilings of a broadcast side.
-MAX_BROADCAST_ROWS = 2_000_000
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-
 
 # Spark reports "unknown" sizes (e.g. data from a local collection) as Long.MaxValue.
 UNKNOWN_SIZE = 2 ** 62
@@ -30,29 +17,5 @@ def known_size(v) -> int | None:
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimised plan (no job); ``None`` when unknown.
-    Used only as a cheap first gate: when even the estimate is too big, no proof job runs."""
-    try:
-        return known_size(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
-        return None
-
-
-def measured_size(df: DataFrame, max_rows: int) -> tuple[int, int]:
-    """(rows, bytes) of ``df``, reading at most ``max_rows + 1`` rows."""
-    width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
-    row_bytes = functools.reduce(operator.add, width, F.lit(0)) + F.lit(8 * len(df.columns))
-    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes).alias("b")).first()
-    return int(r["n"]), int(r["b"] or 0)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` when ``df`` is proven within both bounds, else ``df``."""
-    est = estimated_bytes(df)
-    if est is not None and est > 4 * max_bytes:
-        return df
-    rows, size = measured_size(df, max_rows)
-    if rows <= max_rows and size <= max_bytes:
-        return F.broadcast(df)
-    return df
+    """Catalyst's size estimate of the optimised plan (no job); ``None`` when unknown."""
+    return known_size(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -1,84 +1,106 @@
-"""Top-k whose final merge stays bounded.
-
-Spark plans ``orderBy(...).limit(k)`` as ``TakeOrderedAndProject``: every task keeps its
-top ``k`` rows and ONE task merges ``k x (tasks)`` rows. With hundreds of thousands of input
-tasks that merge alone can reach hundreds of millions of rows. ``tree_buckets`` sizes a
-first level: rows are grouped by ``input task % B`` and each group keeps its top ``k`` with
-a map-side-limited ``row_number`` (``WindowGroupLimit``), so the final top-k reads only
-``k x B`` rows. While ``k x tasks`` fits the per-task budget, ``B`` is 1 and the plan is the
-plain ``TakeOrderedAndProject``. The bucket is the input task index, which a re-run task
+"""Top-k and deep pages whose merges stay bounded.
+
+Spark plans ``orderBy(...).limit(k)`` as ``TakeOrderedAndProject``: every task keeps its top
+``k`` rows and ONE task merges ``k x (tasks)`` rows. So the page always runs as a tree: rows
+are grouped by ``input task % B`` (``B`` = ``spark.sql.shuffle.partitions``) and each group
+keeps its top ``k`` with a map-side-limited ``row_number`` (``WindowGroupLimit``); the final
+top-k reads at most ``k x B`` rows. The bucket is the input task index, which a re-run task
 reproduces.
+
+A page that ends beyond the map-side limit's threshold is found by ranks instead: counts per
+day, then per second of the day it starts in, tell which seconds hold it and how many rows
+come before them; only the rows of these seconds are sorted.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsmith.plans.broadcast import known_size
-
-# Rows one task may receive for one group (or one top-k merge) before a tree level is added.
-ROWS_PER_TASK_BUDGET = 4_000_000
-
-
-def input_tasks(df: DataFrame) -> int:
-    """Estimated scan tasks of ``df``: total size of its leaf relations (file sizes from the
-    optimised plan) over ``spark.sql.files.maxPartitionBytes``. Planning only — unlike
-    ``df.rdd``, which under AQE would execute every upstream shuffle stage to find out."""
-    jdf = df._jdf
-    leaves = jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [known_size(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    total = sum(x for x in sizes if x is not None)  # leaves of unknown size (local data) count 0
-    split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return max(1, -(-total // max(split, 1)))
-
-
-def tree_buckets(df: DataFrame, k: int, budget: int = ROWS_PER_TASK_BUDGET, tasks: int | None = None) -> int:
-    """First-level buckets B: 1 while ``k x tasks`` fits the budget, else enough buckets that
-    both levels (``k x tasks / B`` and ``k x B`` rows) stay within it where possible."""
-    if tasks is None:
-        try:
-            tasks = max(input_tasks(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        except Exception:  # noqa: BLE001 - no plan access (e.g. Spark Connect): assume a large input
-            tasks = budget
-    worst = k * tasks
-    if worst <= budget:
-        return 1
-    return min(max(2, -(-worst // budget)), max(2, budget // max(k, 1)))
+from logsmith.functions.time import EPOCH_SQL, ts_lit
 
 
 def group_limit_threshold(df: DataFrame) -> int:
     """Largest k for which Spark inserts the map-side ``WindowGroupLimit``."""
-    try:
-        return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    except Exception:  # noqa: BLE001
-        return 1000
+    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
 
 
 def by_input_task(buckets: int) -> Column:
     return F.pmod(F.spark_partition_id(), F.lit(buckets))
 
 
-def ordered_page(df: DataFrame, order: Sequence[Column], offset: int, n: int, buckets: int | None = None,
-                 budget: int = ROWS_PER_TASK_BUDGET) -> DataFrame:
-    """Rows ``offset .. offset+n`` of ``df`` in ``order`` (``order`` must be a total order)."""
+def _slice(counts: list[tuple[int, int]], offset: int, n: int) -> tuple[int, int, int]:
+    """First and last key (in page order) that hold rows ``offset .. offset+n``, and the rows
+    before the first of them."""
+    before, first, skipped = 0, None, 0
+    last = counts[-1][0]
+    for key, count in counts:
+        if first is None and before + count > offset:
+            first, skipped = key, before
+        if before + count >= offset + n:
+            last = key
+            break
+        before += count
+    return (last if first is None else first), last, (before if first is None else skipped)
+
+
+def _counts(df: DataFrame, unit: str, ts: str) -> list[tuple[int, int]]:
+    key = F.expr(f"floor(timestampdiff(SECOND, {EPOCH_SQL}, `{ts}`) / {86400 if unit == 'day' else 1})")
+    rows = df.groupBy(key.cast("bigint").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return sorted(((r["k"], r["n"]) for r in rows), reverse=True)
+
+
+def _at(seconds: int) -> dt.datetime:
+    return dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds)
+
+
+def _between(df: DataFrame, ts: str, start: int, end: int) -> DataFrame:
+    """Rows of the seconds ``start .. end-1`` (plain comparisons, so scans prune)."""
+    return df.where((F.col(ts) >= ts_lit(_at(start))) & (F.col(ts) < ts_lit(_at(end))))
+
+
+def deep_page(df: DataFrame, order: Sequence[Column], offset: int, n: int, ts: str = "timestamp") -> DataFrame:
+    """Rows ``offset .. offset+n`` of ``df`` in ``order`` (newest ``ts`` first) by counting: a
+    row per day, then one per second of at most the days the page starts and ends in, come to
+    the driver."""
+    days = _counts(df, "day", ts)
+    if not days:
+        return df.limit(0)
+    first, last, skipped = _slice(days, offset, n)
+    start, end = last * 86400, (first + 1) * 86400
+    for day in sorted({first, last}, reverse=True):
+        seconds = _counts(_between(df, ts, day * 86400, (day + 1) * 86400), "second", ts)
+        if day == first:
+            high, low, before = _slice(seconds, offset - skipped, n)
+            end = high + 1
+            skipped += before
+            if first == last:
+                start = low
+        else:
+            in_days_before = sum(c for k, c in days if k > day)
+            start = _slice(seconds, 0, max(1, offset + n - in_days_before))[1]
+    q = _between(df, ts, start, end).orderBy(*order)
+    return (q.offset(offset - skipped) if offset > skipped else q).limit(n)
+
+
+def ordered_page(df: DataFrame, order: Sequence[Column], offset: int, n: int, ts: str = "timestamp") -> DataFrame:
+    """Rows ``offset .. offset+n`` of ``df`` in ``order`` (a total order; newest ``ts`` first
+    where the page is deep)."""
     k = offset + n
-    b = tree_buckets(df, k, budget) if buckets is None else buckets
-    if b > 1 and k > group_limit_threshold(df):
-        # without the map-side limit the first level would shuffle every row: keep the
-        # plain top-k (deep pages should use keyset paging instead)
-        b = 1
-    if b > 1:
-        w = Window.partitionBy("_topk_bucket").orderBy(*order)
-        df = (
-            df.withColumn("_topk_bucket", by_input_task(b))
-            .withColumn("_topk_rn", F.row_number().over(w))
-            .where(F.col("_topk_rn") <= k)
-            .drop("_topk_bucket", "_topk_rn")
-        )
-    q = df.orderBy(*order)
+    if k > group_limit_threshold(df):
+        return deep_page(df, order, offset, n, ts)
+    w = Window.partitionBy("_topk_bucket").orderBy(*order)
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = (
+        df.withColumn("_topk_bucket", by_input_task(buckets))
+        .withColumn("_topk_rn", F.row_number().over(w))
+        .where(F.col("_topk_rn") <= k)
+        .drop("_topk_bucket", "_topk_rn")
+    )
+    q = kept.orderBy(*order)
     if offset:
         q = q.offset(offset)
     return q.limit(n)

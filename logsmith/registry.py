@@ -165,7 +165,7 @@ def q_log_search_literal(spark, sf_dir):
 WHERE timestamp >= TIMESTAMP '2024-01-10 10:15:30' AND timestamp <= TIMESTAMP '2024-01-12 08:00:59'""",
 )
 def q_log_time_range(spark, sf_dir):
-    f = LogFilter(time_from="2024-01-10 10:15:30.750", time_to="2024-01-12 08:00:59.999")
+    f = LogFilter(time_from="2024-01-10T13:15:30.750+03:00", time_to="2024-01-12T03:00:59.999-05:00")
     return search.filter_logs(fx.logs(spark, sf_dir), f).select("id", "timestamp", "level", "app_name")
 
 
@@ -197,7 +197,8 @@ def q_log_level_intersection(spark, sf_dir):
 # ---------------------------------------------------------------- patterns
 
 _PATTERN_SELECT = """SELECT regexp_replace(substring(message, 1, 100), '[0-9]+', '*', 'g') AS pattern, count(*) AS cnt,
- level, app_name, min(timestamp) AS first_seen, max(timestamp) AS last_seen, min(message) AS sample_message
+ level, app_name, min(timestamp) AS first_seen, max(timestamp) AS last_seen,
+ min(struct_pack(t := timestamp, m := message)).m AS sample_message
 FROM logs WHERE timestamp > TIMESTAMP '{start}' {extra}
 GROUP BY pattern, level, app_name HAVING count(*) >= {min_count}
 ORDER BY cnt DESC, pattern, level, app_name LIMIT {limit}"""
@@ -228,7 +229,7 @@ _TRACE_CTE = f""", ranked AS (
  SELECT trace_id, {_cols(TRACE_COLUMNS)},
   CAST(row_number() OVER (PARTITION BY trace_id ORDER BY timestamp, id) AS INTEGER) AS entry_no
  FROM logs WHERE trace_id <> '' {{extra}}),
-capped AS (SELECT * FROM ranked WHERE entry_no <= 500)
+capped AS (SELECT *, max(entry_no) OVER (PARTITION BY trace_id) > 500 AS truncated FROM ranked QUALIFY entry_no <= 500)
 """
 
 
@@ -237,7 +238,8 @@ capped AS (SELECT * FROM ranked WHERE entry_no <= 500)
     fx.duck_with("logs")
     + _TRACE_CTE.format(extra="")
     + f"""SELECT trace_id, {_cols(TRACE_COLUMNS)}, entry_no,
- CAST(date_diff('microsecond', min(timestamp) OVER (PARTITION BY trace_id), timestamp) AS DOUBLE) / 1000.0 AS offset_ms
+ CAST(date_diff('microsecond', min(timestamp) OVER (PARTITION BY trace_id), timestamp) AS DOUBLE) / 1000.0 AS offset_ms,
+ truncated
 FROM capped""",
 )
 def q_trace_timeline(spark, sf_dir):
@@ -252,7 +254,8 @@ LOOKUP_TRACE = "trace-48"
     fx.duck_with("logs")
     + _TRACE_CTE.format(extra=f"AND trace_id = '{LOOKUP_TRACE}'")
     + f"""SELECT trace_id, {_cols(TRACE_COLUMNS)}, entry_no,
- CAST(date_diff('microsecond', min(timestamp) OVER (PARTITION BY trace_id), timestamp) AS DOUBLE) / 1000.0 AS offset_ms
+ CAST(date_diff('microsecond', min(timestamp) OVER (PARTITION BY trace_id), timestamp) AS DOUBLE) / 1000.0 AS offset_ms,
+ truncated
 FROM capped""",
 )
 def q_trace_lookup(spark, sf_dir):
@@ -263,14 +266,14 @@ def q_trace_lookup(spark, sf_dir):
     "trace_summary",
     fx.duck_with("logs")
     + _TRACE_CTE.format(extra="")
-    + """, firsts AS (SELECT trace_id, app_name, min(entry_no) AS first_no FROM capped GROUP BY trace_id, app_name),
+    + """, firsts AS (SELECT trace_id, app_name, min(entry_no) AS first_no FROM ranked GROUP BY trace_id, app_name),
 svc AS (SELECT trace_id, string_agg(app_name, ',' ORDER BY first_no) AS services, CAST(count(*) AS INTEGER) AS service_count
         FROM firsts GROUP BY trace_id)
-SELECT c.trace_id, count(*) AS entry_count, min(timestamp) AS first_ts, max(timestamp) AS last_ts,
+SELECT c.trace_id, CAST(count(*) AS BIGINT) AS entry_count, min(timestamp) AS first_ts, max(timestamp) AS last_ts,
  CAST(date_diff('microsecond', min(timestamp), max(timestamp)) AS DOUBLE) / 1000.0 AS total_duration_ms,
  any_value(s.services) AS services, any_value(s.service_count) AS service_count,
  bool_or(level IN ('Error', 'Fatal')) AS has_errors
-FROM capped c JOIN svc s ON c.trace_id = s.trace_id
+FROM ranked c JOIN svc s ON c.trace_id = s.trace_id
 GROUP BY c.trace_id""",
 )
 def q_trace_summary(spark, sf_dir):
@@ -282,7 +285,8 @@ def q_trace_summary(spark, sf_dir):
 
 def _duck_level(expr: str) -> str:
     parts = " ".join(
-        f"WHEN lower(trim({expr})) = '{name.lower()}' OR trim({expr}) = '{code}' THEN '{name}'" for name, code in LEVELS
+        f"WHEN lower(trim({expr})) = '{name.lower()}' OR (regexp_full_match(trim({expr}), '[+-]?[0-9]+')"
+        f" AND TRY_CAST(trim({expr}) AS INTEGER) = {code}) THEN '{name}'" for name, code in LEVELS
     )
     return f"CASE {parts} ELSE 'Info' END"
 
@@ -310,15 +314,25 @@ _DUCK_DEDUP = """, dedup AS (
  SELECT id, name, api_key, created_at, expires_at FROM (
   SELECT *, row_number() OVER (PARTITION BY api_key ORDER BY created_at DESC, id DESC) AS rn FROM {src}) WHERE rn = 1)
 """
+_DUCK_OBJECT = "(body IS NOT NULL AND json_valid(body) AND ltrim(body) LIKE '{%')"
+_DUCK_OK = f", ok AS (SELECT * FROM raw_logs WHERE {_DUCK_OBJECT})\n"
 _DUCK_VALID = "p.id IS NOT NULL AND (p.expires_at IS NULL OR p.expires_at >= r.received_at)"
 
 
+_DUCK_REASON = """SELECT r.raw_id, r.api_key, r.received_at,
+ CASE WHEN r.api_key IS NULL OR r.api_key = '' THEN 'missing_key' WHEN p.id IS NULL THEN 'unknown_key'
+      WHEN p.expires_at < r.received_at THEN 'expired_key' WHEN NOT {ok} THEN 'malformed' END AS reason
+FROM {src} r LEFT JOIN dedup p ON r.api_key = p.api_key
+WHERE reason IS NOT NULL"""
+
+
 @register(
     "ingest_accepted",
     fx.duck_with("raw_logs", "projects")
     + _DUCK_DEDUP.format(src="projects")
+    + _DUCK_OK
     + f"""SELECT {_duck_entry('r.body', 'CAST(r.raw_id AS VARCHAR)')}
-FROM raw_logs r LEFT JOIN dedup p ON r.api_key = p.api_key
+FROM ok r LEFT JOIN dedup p ON r.api_key = p.api_key
 WHERE {_DUCK_VALID}""",
 )
 def q_ingest_accepted(spark, sf_dir):
@@ -330,11 +344,7 @@ def q_ingest_accepted(spark, sf_dir):
     "ingest_rejected",
     fx.duck_with("raw_logs", "projects")
     + _DUCK_DEDUP.format(src="projects")
-    + """SELECT r.raw_id, r.api_key, r.received_at,
- CASE WHEN r.api_key IS NULL OR r.api_key = '' THEN 'missing_key' WHEN p.id IS NULL THEN 'unknown_key'
-      WHEN p.expires_at < r.received_at THEN 'expired_key' WHEN r.body IS NULL OR NOT json_valid(r.body) THEN 'malformed' END AS reason
-FROM raw_logs r LEFT JOIN dedup p ON r.api_key = p.api_key
-WHERE reason IS NOT NULL""",
+    + _DUCK_REASON.format(src="raw_logs", ok=_DUCK_OBJECT),
 )
 def q_ingest_rejected(spark, sf_dir):
     classified = enrich.ingest_records(fx.raw_logs(spark, sf_dir), fx.projects(spark, sf_dir))
@@ -348,7 +358,7 @@ def q_ingest_rejected(spark, sf_dir):
     + """, items AS (
  SELECT raw_id, received_at, api_key, client_ip,
   unnest(json_extract(body, '$.logs[*]')) AS rec, unnest(range(CAST(json_array_length(body, '$.logs') AS BIGINT))) AS pos
- FROM raw_batches)
+ FROM raw_batches WHERE body NOT LIKE '%,null]}')
 """
     + f"""SELECT {_duck_entry('r.rec', "CAST(r.raw_id AS VARCHAR) || '-' || CAST(r.pos AS VARCHAR)")}
 FROM items r LEFT JOIN dedup p ON r.api_key = p.api_key
@@ -359,6 +369,17 @@ def q_ingest_batch(spark, sf_dir):
     return enrich.to_logs(classified, id_col="entry_id")
 
 
+@register(
+    "ingest_batch_rejected",
+    fx.duck_with("raw_batches", "projects")
+    + _DUCK_DEDUP.format(src="projects")
+    + _DUCK_REASON.format(src="raw_batches", ok="(r.body NOT LIKE '%,null]}')"),
+)
+def q_ingest_batch_rejected(spark, sf_dir):
+    """J2 on batches: a row per rejected envelope (bad key, also of an empty one; null element)."""
+    return enrich.rejected(enrich.ingest_batches(fx.raw_batches(spark, sf_dir), fx.projects(spark, sf_dir)))
+
+
 @register(
     "api_key_dedupe",
     fx.duck_with("project_history")
@@ -387,7 +408,7 @@ request_log AS (
        THEN array_to_string(string_split(exception, chr(10))[1:5], chr(10)) || chr(10) || '... (truncated)'
        ELSE exception END AS exception,
   request_method, p AS request_path, status_code, round(duration_ms, 2) AS duration_ms, timestamp AS created_at
- FROM redacted WHERE NOT regexp_matches(p, '^/(css|js|lib|images|favicon)'))
+ FROM redacted WHERE NOT coalesce(regexp_matches(p, '^/(css|js|lib|images|favicon)'), false))
 """
 
 
@@ -490,10 +511,10 @@ def q_project_delete(spark, sf_dir):
     "project_insert",
     fx.duck_with("projects")
     + f"""SELECT * FROM projects UNION ALL
-SELECT 'p-new', 'NEW PROJECT', 'lfdev_key_new_0123456789', {_AS_OF_TS}, {_AS_OF_TS} + INTERVAL 30 DAY""",
+SELECT 'p-new', 'NEW PROJECT', 'demo_key_new_0123456789', {_AS_OF_TS}, {_AS_OF_TS} + INTERVAL 30 DAY""",
 )
 def q_project_insert(spark, sf_dir):
-    return proj.insert_project(spark, fx.projects(spark, sf_dir), "p-new", "NEW PROJECT", "lfdev_key_new_0123456789",
+    return proj.insert_project(spark, fx.projects(spark, sf_dir), "p-new", "NEW PROJECT", "demo_key_new_0123456789",
                                AS_OF, expiry_days=30)
 
 
@@ -521,25 +542,37 @@ def q_retention_ttl(spark, sf_dir):
 # ---------------------------------------------------------------- selection, exports, display (J3, S8-S10, E5 ...)
 
 
-def _error_trace_selection(logs_df):
-    """Ids of every log row that belongs to a trace containing an Error or Fatal entry."""
-    bad = logs_df.where(F.col("level").isin("Error", "Fatal") & (F.col("trace_id") != "")).select("trace_id")
-    return logs_df.join(bad.distinct(), "trace_id", "left_semi").select("id")
+def _selected(spark, sf_dir):
+    """The log rows that a list of ids names (the keys of urgent orders)."""
+    ids = fx.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("id"))
+    return enrich.select_by_ids(fx.logs(spark, sf_dir), ids)
 
 
-_DUCK_SELECTED = """, selected AS (SELECT * FROM logs WHERE id IN (SELECT id FROM logs WHERE trace_id IN (
-  SELECT trace_id FROM logs WHERE level IN ('Error', 'Fatal') AND trace_id <> '')))
+_DUCK_SELECTED = """, selected AS (SELECT * FROM logs WHERE id IN (
+  SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT'))
 """
 
 
+@register(
+    "error_trace_logs",
+    fx.duck_with("logs")
+    + """SELECT id, timestamp, level, app_name, trace_id FROM logs WHERE trace_id IN (
+  SELECT trace_id FROM logs WHERE level IN ('Error', 'Fatal') AND trace_id <> '')""",
+)
+def q_error_trace_logs(spark, sf_dir):
+    """Every row of a trace that has an Error or Fatal entry; rows without a trace are dropped
+    before the join, on both sides."""
+    rows = fx.logs(spark, sf_dir).where(F.col("trace_id") != "")
+    bad = rows.where(F.col("level").isin("Error", "Fatal")).select("trace_id").distinct()
+    return rows.join(bad, "trace_id", "left_semi").select("id", "timestamp", "level", "app_name", "trace_id")
+
+
 @register(
     "selected_logs",
     fx.duck_with("logs") + _DUCK_SELECTED + "SELECT id, timestamp, level, app_name, trace_id FROM selected",
 )
 def q_selected_logs(spark, sf_dir):
-    logs_df = fx.logs(spark, sf_dir)
-    sel = enrich.select_by_ids(logs_df, _error_trace_selection(logs_df))
-    return sel.select("id", "timestamp", "level", "app_name", "trace_id")
+    return _selected(spark, sf_dir).select("id", "timestamp", "level", "app_name", "trace_id")
 
 
 def _duck_short_level() -> str:
@@ -558,8 +591,7 @@ def _duck_short_level() -> str:
 FROM selected""",
 )
 def q_export_lines(spark, sf_dir):
-    logs_df = fx.logs(spark, sf_dir)
-    return export.log_lines(enrich.select_by_ids(logs_df, _error_trace_selection(logs_df)))
+    return export.log_lines(_selected(spark, sf_dir))
 
 
 def _duck_q(c: str, nl: bool = False) -> str:
@@ -586,8 +618,7 @@ def _duck_num(c: str) -> str:
 FROM selected""",
 )
 def q_export_csv_rows(spark, sf_dir):
-    logs_df = fx.logs(spark, sf_dir)
-    return export.csv_lines(enrich.select_by_ids(logs_df, _error_trace_selection(logs_df)))
+    return export.csv_lines(_selected(spark, sf_dir))
 
 
 @register(
@@ -600,8 +631,7 @@ def q_export_csv_rows(spark, sf_dir):
 FROM selected""",
 )
 def q_export_json_records(spark, sf_dir):
-    logs_df = fx.logs(spark, sf_dir)
-    return export.json_records(enrich.select_by_ids(logs_df, _error_trace_selection(logs_df)))
+    return export.json_records(_selected(spark, sf_dir))
 
 
 @register(
@@ -625,16 +655,18 @@ def q_log_display(spark, sf_dir):
 # Processing-time stamps are dropped from the result (they differ per run).
 
 
-STREAM_FILE_ROWS = 2000
-# A staged backlog is drained in this many micro-batches whatever its size.
-STREAM_BATCHES = 4
+# A micro-batch takes about this much, and one file at least.
+STREAM_TRIGGER = 256 * 1024
+
+
+def _stage_input(df: DataFrame, path: str) -> None:
+    """Write the derived input: as many files as shuffle partitions, each a random share of the
+    rows, so micro-batches are out of order."""
+    df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
 
 
-def _stage_input(df: DataFrame, path: str) -> int:
-    """Write the derived input; return ``maxFilesPerTrigger`` for a STREAM_BATCHES drain."""
-    df.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(path)
-    files = len(df.sparkSession.read.parquet(path).inputFiles())
-    return max(1, -(-files // STREAM_BATCHES))
+def _stream(spark: SparkSession, schema, path: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", STREAM_TRIGGER).parquet(path)
 
 
 def _await(q) -> None:
@@ -650,16 +682,17 @@ _INGEST_COLS = [f.name for f in LOGS_SCHEMA.fields if f.name not in ("timestamp"
     "stream_ingest",
     fx.duck_with("raw_logs", "projects")
     + _DUCK_DEDUP.format(src="projects")
+    + _DUCK_OK
     + f"""SELECT {_cols(_INGEST_COLS)} FROM (SELECT {_duck_entry('r.body', 'CAST(r.raw_id AS VARCHAR)')}
-FROM raw_logs r LEFT JOIN dedup p ON r.api_key = p.api_key
+FROM ok r LEFT JOIN dedup p ON r.api_key = p.api_key
 WHERE {_DUCK_VALID})""",
 )
 def q_stream_ingest(spark, sf_dir):
     base = scratch_path(spark, "stream-ingest")
-    per_trigger = _stage_input(fx.raw_logs(spark, sf_dir), f"{base}/raw")
+    _stage_input(fx.raw_logs(spark, sf_dir), f"{base}/raw")
     q = s_ingest.start_log_ingest(
         spark, f"{base}/raw", lambda: fx.projects(spark, sf_dir), f"{base}/logs", f"{base}/rejected",
-        f"{base}/_checkpoint", available_now=True, max_files_per_trigger=per_trigger,
+        f"{base}/_checkpoint", available_now=True, max_bytes_per_trigger=STREAM_TRIGGER,
     )
     _await(q)
     return spark.read.parquet(f"{base}/logs").select(*_INGEST_COLS)
@@ -676,8 +709,8 @@ _APP_COLS_NO_STAMP = [c for c in ("id", "timestamp", "level", "category", "messa
 def q_stream_app_logs(spark, sf_dir):
     base = scratch_path(spark, "stream-app-logs")
     src = fx.requests(spark, sf_dir)
-    per_trigger = _stage_input(src, f"{base}/requests")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{base}/requests")
+    _stage_input(src, f"{base}/requests")
+    stream = _stream(spark, src.schema, f"{base}/requests")
     _await(s_ingest.start_request_ingest(spark, stream, f"{base}/app_logs", f"{base}/_checkpoint",
                                          available_now=True))
     return spark.read.parquet(f"{base}/app_logs").select(*_APP_COLS_NO_STAMP)
@@ -694,10 +727,10 @@ ORDER BY timestamp DESC, id LIMIT 100""",
 )
 def q_stream_tail(spark, sf_dir):
     base = scratch_path(spark, "stream-tail")
-    per_trigger = _stage_input(fx.logs(spark, sf_dir), f"{base}/logs")
-    stream = spark.readStream.schema(LOGS_SCHEMA).option("maxFilesPerTrigger", per_trigger).parquet(f"{base}/logs")
+    _stage_input(fx.logs(spark, sf_dir), f"{base}/logs")
+    stream = _stream(spark, LOGS_SCHEMA, f"{base}/logs")
     _await(s_tail.start_tail(spark, stream, TAIL_FILTER, f"{base}/tail", f"{base}/_checkpoint", available_now=True))
-    return s_tail.newest(spark.read.parquet(f"{base}/tail").select(*LOG_PAGE_COLUMNS), 100)
+    return s_tail.newest(s_tail.read_tail(spark, f"{base}/tail", LOGS_SCHEMA).select(*LOG_PAGE_COLUMNS), 100)
 
 
 @register(
@@ -712,11 +745,9 @@ def q_stream_rate_audit(spark, sf_dir):
     base = scratch_path(spark, "stream-rate")
     src = reqs.request_log(fx.requests(spark, sf_dir))
     _stage_input(src, f"{base}/app_logs")
-    # the staged files are not in time order, so the backlog is drained in one micro-batch
-    # (a multi-batch drain would need a watermark delay covering the whole month)
-    stream = spark.readStream.schema(src.schema).parquet(f"{base}/app_logs")
-    _await(s_rate.start_rate_audit(spark, stream, f"{base}/counts", f"{base}/_checkpoint", available_now=True))
-    return s_rate.latest_counts(spark.read.parquet(f"{base}/counts"))
+    _await(s_rate.start_rate_audit(spark, _stream(spark, src.schema, f"{base}/app_logs"), f"{base}/counts",
+                                   f"{base}/_checkpoint", available_now=True))
+    return s_rate.counts(spark.read.parquet(f"{base}/counts"))
 
 
 # ---------------------------------------------------------------- stored layout (S1, S2, S6, S7, S12, M1 on storage)
@@ -816,13 +847,235 @@ def q_ingest_to_table(spark, sf_dir):
 
 @register("stream_rate_audit_first_rejected", ORACLE["rate_audit"])
 def q_stream_rate_audit_first_rejected(spark, sf_dir):
-    """T5 on a stream with the first rejected arrival: per-partition pre-reduction, then a
-    watermark-timed stateful merge; drained in several micro-batches. The staged files are
-    not in time order, so the watermark delay covers the whole month."""
+    """T5 on a stream with the first rejected arrival, drained in out-of-order micro-batches."""
     base = scratch_path(spark, "stream-rate-first")
     src = reqs.request_log(fx.requests(spark, sf_dir))
-    per_trigger = _stage_input(src, f"{base}/app_logs")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{base}/app_logs")
-    _await(s_rate.start_first_rejected_audit(spark, stream, f"{base}/audit", f"{base}/_checkpoint", available_now=True,
-                                             watermark_delay="31 days"))
-    return s_rate.latest_audit(spark.read.parquet(f"{base}/audit"))
+    _stage_input(src, f"{base}/app_logs")
+    _await(s_rate.start_rate_audit(spark, _stream(spark, src.schema, f"{base}/app_logs"), f"{base}/audit",
+                                   f"{base}/_checkpoint", available_now=True))
+    return s_rate.audit(spark.read.parquet(f"{base}/audit"))
+
+
+@register(
+    "permitted_requests",
+    fx.duck_with("requests") + _DUCK_REQUEST_LOG
+    + """SELECT id, timestamp FROM request_log
+QUALIFY row_number() OVER (PARTITION BY time_bucket(INTERVAL '1 minutes', timestamp, TIMESTAMP '1970-01-01') ORDER BY timestamp, id) <= 2""",
+)
+def q_permitted_requests(spark, sf_dir):
+    """T5: the requests that a limiter of two a minute lets through."""
+    logged = reqs.request_log(fx.requests(spark, sf_dir))
+    return reqs.permitted_requests(logged, permit=2, window_minutes=1).select("id", "timestamp")
+
+
+@register(
+    "log_page_deep",
+    fx.duck_with("logs") + "SELECT id, timestamp, level FROM logs ORDER BY timestamp DESC, id LIMIT 500 OFFSET 2000",
+)
+def q_log_page_deep(spark, sf_dir):
+    """K3 past the map-side limit: the page is found by counts."""
+    return search.log_page(fx.logs(spark, sf_dir), None, page=5, page_size=500).select("id", "timestamp", "level")
+
+
+@register(
+    "log_page_after",
+    fx.duck_with("logs")
+    + """SELECT id, timestamp, level FROM logs WHERE timestamp < TIMESTAMP '2024-01-15 12:00:00'
+ORDER BY timestamp DESC, id LIMIT 100""",
+)
+def q_log_page_after(spark, sf_dir):
+    """K3 by keyset: the page after a given (time, id)."""
+    last = "\uffff"  # after every id of that instant
+    return search.log_page_after(fx.logs(spark, sf_dir), None, "2024-01-15 12:00:00", last, 100).select("id", "timestamp", "level")
+
+
+@register("trace_summary_one", fx.duck_with("logs") + """SELECT trace_id, CAST(count(*) AS BIGINT) AS entry_count,
+ bool_or(level IN ('Error', 'Fatal')) AS has_errors FROM logs WHERE trace_id = 'trace-long' GROUP BY trace_id""")
+def q_trace_summary_one(spark, sf_dir):
+    return traces.trace_summary(fx.logs(spark, sf_dir), "trace-long").select("trace_id", "entry_count", "has_errors")
+
+
+# ---------------------------------------------------------------- storage that survives re-runs
+
+
+_STORED_COLS = ["id", "timestamp", "level", "app_name"]
+
+
+@register("ingest_to_table_rerun", ORACLE["ingest_accepted"])
+def q_ingest_to_table_rerun(spark, sf_dir):
+    """The same job run twice stores each record once."""
+    base = scratch_path(spark, "ingest-rerun")
+    for _ in range(2):
+        run_batch_ingest(spark, fx.raw_logs(spark, sf_dir), fx.projects(spark, sf_dir), f"{base}/logs",
+                         f"{base}/rejected", f"{base}/stage")
+    return sinks.read_logs(spark, f"{base}/logs").select(*[f.name for f in LOGS_SCHEMA.fields])
+
+
+def _landed(df: DataFrame, path: str) -> None:
+    """Rows of the landing sink, as two micro-batches write them."""
+    for k in (0, 1):
+        s_ingest.write_batch_partitions(df.where(F.col("id").cast("bigint") % 2 == k), path, k)
+
+
+@register("compact_mixed_month", fx.duck_with("logs") + f"SELECT {_cols(_STORED_COLS)} FROM logs")
+def q_compact_mixed_month(spark, sf_dir):
+    """Months that hold batch-ingested rows take in what streamed, twice."""
+    base = scratch_path(spark, "compact")
+    rows = fx.logs(spark, sf_dir)
+    sinks.write_logs(rows.where("id % 3 = 0"), f"{base}/table")
+    _landed(rows.where("id % 3 <> 1 OR id % 2 = 0"), f"{base}/landing")
+    sinks.write_logs(rows.where("id % 3 = 1 AND id % 2 = 1"), f"{base}/table")
+    for run in range(2):
+        for (month,) in spark.read.parquet(f"{base}/landing").select("month").distinct().collect():
+            sinks.compact_month(spark, f"{base}/landing", f"{base}/table", month, f"{base}/stage-{run}-{month}")
+    return sinks.read_logs(spark, f"{base}/table").select(*_STORED_COLS)
+
+
+@register(
+    "compact_app_logs",
+    fx.duck_with("requests") + _DUCK_REQUEST_LOG + "SELECT id, timestamp, level, status_code, duration_ms FROM request_log",
+)
+def q_compact_app_logs(spark, sf_dir):
+    """S7 + T2: request-log batches folded into the stored request log."""
+    base = scratch_path(spark, "compact-app")
+    _landed(reqs.request_log(fx.requests(spark, sf_dir)), f"{base}/landing")
+    for (month,) in spark.read.parquet(f"{base}/landing").select("month").distinct().collect():
+        sinks.compact_month(spark, f"{base}/landing", f"{base}/table", month, f"{base}/stage-{month}", app_logs=True)
+    return sinks.read_app_logs(spark, f"{base}/table").select("id", "timestamp", "level", "status_code", "duration_ms")
+
+
+_DUCK_KEPT = fx.duck_with("logs") + "SELECT id, timestamp, level, app_name FROM logs WHERE timestamp >= TIMESTAMP '2024-01-21 00:00:00'"
+
+
+@register("retention_after_append", _DUCK_KEPT)
+def q_retention_after_append(spark, sf_dir):
+    """M1 run again after more rows arrived: they are judged, not lost."""
+    base = scratch_path(spark, "retention-append")
+    rows = fx.logs(spark, sf_dir)
+    for k in (0, 1):
+        sinks.write_logs(rows.where(F.col("id").cast("bigint") % 2 == k), f"{base}/logs")
+        retention.apply_retention(spark, f"{base}/logs", AS_OF, 10, f"{base}/stage")
+    return sinks.read_logs(spark, f"{base}/logs").select(*_STORED_COLS)
+
+
+@register("retention_landing", _DUCK_KEPT)
+def q_retention_landing(spark, sf_dir):
+    """M1 on what the stream writes; the next batch can be written and read afterwards."""
+    base = scratch_path(spark, "retention-landing")
+    rows = fx.logs(spark, sf_dir)
+    _landed(rows.where("id % 5 <> 0"), f"{base}/landing")
+    retention.apply_retention(spark, f"{base}/landing", AS_OF, 10, f"{base}/stage")
+    late = rows.where("id % 5 = 0 AND timestamp >= TIMESTAMP_NTZ'2024-01-21 00:00:00'")
+    s_ingest.write_batch_partitions(late, f"{base}/landing", 2)
+    return spark.read.parquet(f"{base}/landing").select(*_STORED_COLS)
+
+
+@register(
+    "retention_ttl_stored",
+    fx.duck_with("logs")
+    + "SELECT id, timestamp, level, app_name FROM logs WHERE created_at > TIMESTAMP '2024-01-24 00:00:00'",
+)
+def q_retention_ttl_stored(spark, sf_dir):
+    """M3 as a job on the stored table."""
+    base = scratch_path(spark, "ttl")
+    sinks.write_logs(fx.logs(spark, sf_dir), f"{base}/logs", rewrite=True)
+    retention.apply_ttl(spark, f"{base}/logs", AS_OF, f"{base}/stage", ttl_days=7)
+    return sinks.read_logs(spark, f"{base}/logs").select(*_STORED_COLS)
+
+
+@register("delete_all_stored", fx.duck_with("logs") + "SELECT count(*) - count(*) AS rows_left, CAST(1 AS BIGINT) AS rows_after_insert FROM logs")
+def q_delete_all_stored(spark, sf_dir):
+    """M2 on the stored table: nothing is left, and it takes rows again."""
+    path = scratch_path(spark, "delete-all")
+    rows = fx.logs(spark, sf_dir)
+    sinks.write_logs(rows, path)
+    retention.delete_all_stored(spark, path)
+    left = sinks.read_logs(spark, path).agg(F.count(F.lit(1)).alias("rows_left"))
+    again = scratch_path(spark, "delete-all-left")
+    left.write.parquet(again)
+    sinks.write_logs(rows.orderBy("id").limit(1), path)
+    after = sinks.read_logs(spark, path).agg(F.count(F.lit(1)).alias("rows_after_insert"))
+    return spark.read.parquet(again).join(after, how="cross")  # one row each
+
+
+@register(
+    "schema_evolution",
+    fx.duck_with("logs")
+    + """SELECT id, app_name, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'production' ELSE environment END AS environment,
+ CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 0 ELSE status_code END AS status_code,
+ CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN '{}' ELSE metadata END AS metadata FROM logs""",
+)
+def q_schema_evolution(spark, sf_dir):
+    """Rows written before some columns existed get their defaults."""
+    path = scratch_path(spark, "evolution")
+    rows = fx.logs(spark, sf_dir)
+    old = rows.where("id % 2 = 0").select("id", "timestamp", "level", "app_name", "message")
+    sinks.write_logs(old, path)
+    sinks.write_logs(rows.where("id % 2 = 1"), path)
+    return sinks.read_logs(spark, path).select("id", "app_name", "environment", "status_code", "metadata")
+
+
+@register(
+    "stored_projects",
+    fx.duck_with("projects")
+    + f"""SELECT id, CASE WHEN id = 's1' THEN 'Renamed' ELSE name END AS name, api_key, created_at, expires_at FROM projects
+WHERE id <> 'p5' UNION ALL SELECT 'p-new', 'NEW PROJECT', 'demo_key_new_0123456789', {_AS_OF_TS}, {_AS_OF_TS} + INTERVAL 30 DAY""",
+)
+def q_stored_projects(spark, sf_dir):
+    """S3 + M4-M6: a stored project table, renamed, deleted from and inserted into, each time as
+    a new version."""
+    base = scratch_path(spark, "projects")
+    sinks.write_table(fx.projects(spark, sf_dir), f"{base}/v0")
+    now = lambda k: sinks.read_projects(spark, f"{base}/v{k}")
+    sinks.write_table(proj.rename_project(now(0), "s1", "Renamed"), f"{base}/v1")
+    sinks.write_table(proj.delete_project(now(1), "p5"), f"{base}/v2")
+    sinks.write_table(proj.insert_project(spark, now(2), "p-new", "NEW PROJECT", "demo_key_new_0123456789", AS_OF, 30), f"{base}/v3")
+    return now(3)
+
+
+@register("export_json_file", ORACLE["export_json_records"])
+def q_export_json_file(spark, sf_dir):
+    """Written as JSON Lines and read back."""
+    path = scratch_path(spark, "export-json")
+    records = export.json_records(_selected(spark, sf_dir))
+    sinks.export_json(records, path)
+    return spark.read.schema(records.schema).json(path)
+
+
+@register(
+    "export_csv_file",
+    fx.duck_with("logs") + _DUCK_SELECTED
+    + """SELECT id, level, app_name AS "appName", coalesce(message, '') AS message, metadata,
+ CASE WHEN duration_ms = 0 THEN NULL ELSE duration_ms END AS "durationMs" FROM selected""",
+)
+def q_export_csv_file(spark, sf_dir):
+    """The CSV files with their header, read back by name."""
+    path = scratch_path(spark, "export-csv")
+    sinks.export_csv(export.csv_lines(_selected(spark, sf_dir)), path, export.csv_header_line())
+    back = spark.read.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return back.select("id", "level", "appName", F.coalesce("message", F.lit("")).alias("message"), "metadata", F.col("durationMs").cast("double"))
+
+
+@register(
+    "export_lines_file",
+    ORACLE["export_lines"].replace("SELECT id, '['", "SELECT '['"),
+)
+def q_export_lines_file(spark, sf_dir):
+    """Written as text and read back."""
+    path = scratch_path(spark, "export-lines")
+    sinks.export_text(export.log_lines(_selected(spark, sf_dir)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@register(
+    "trace_lookup_bounded",
+    fx.duck_with("logs")
+    + _TRACE_CTE.format(extra="AND trace_id = 'trace-long' AND timestamp >= TIMESTAMP '2024-01-10' AND timestamp <= TIMESTAMP '2024-01-12'")
+    + "SELECT id, entry_no, truncated FROM capped",
+)
+def q_trace_lookup_bounded(spark, sf_dir):
+    """F17 on the stored table with time bounds: other months are not opened."""
+    path = scratch_path(spark, "stored-trace")
+    sinks.write_logs(fx.logs(spark, sf_dir), path, rewrite=True)
+    rows = traces.trace_timeline(sinks.read_logs(spark, path), "trace-long", time_from="2024-01-10", time_to="2024-01-12")
+    return rows.select("id", "entry_no", "truncated")

@@ -34,12 +34,15 @@ def get_session(app: str = "logsmith", master: str | None = None, shuffle_partit
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (or the context's checkpoint
-    dir). Only when neither is set (local tests) a fresh local folder is created and set."""
+    dir). It is a static setting: set it before the session starts. Only when neither is set
+    on a local master (tests) a fresh local folder is created and set; a cluster raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share before the session starts")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -31,9 +31,9 @@ SELECT CAST(event_id AS STRING) AS id,
  CASE event_id % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' ELSE 'DELETE' END AS request_method,
  concat('/api/', event_type, '/', CAST(user_id AS STRING), CASE WHEN event_id % 10 = 0 THEN concat('?page=1&Token=t', CAST(event_id AS STRING), '&x=2') ELSE '' END) AS request_path,
  CAST(CASE WHEN event_type='error' THEN 500 + event_id % 4 WHEN event_type='purchase' AND value>=100 THEN 404 WHEN event_type='view' THEN 0 ELSE 200 END AS INT) AS status_code,
- value AS duration_ms,
+ CASE event_id % 101 WHEN 0 THEN 12345678.5 WHEN 1 THEN 0.0001 ELSE value END AS duration_ms,
  concat('user_', CAST(user_id AS STRING)) AS user_id,
- CASE WHEN event_id % 3 <> 0 THEN concat('trace-', CAST(event_id - event_id % 8 AS STRING)) ELSE '' END AS trace_id,
+ CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 11 = 1 THEN 'trace-long' ELSE concat('trace-', CAST(event_id - event_id % 8 AS STRING)) END AS trace_id,
  CASE WHEN event_id % 3 <> 0 THEN concat('span-', CAST(event_id % 8 AS STRING)) ELSE '' END AS span_id,
  concat('host-', CAST(user_id % 4 AS STRING)) AS host,
  CASE user_id % 5 WHEN 0 THEN 'staging' WHEN 1 THEN 'development' WHEN 2 THEN '' ELSE 'production' END AS environment,
@@ -46,14 +46,14 @@ FROM {events}
 _PROJECTS = """
 SELECT concat('p', CAST(n_nationkey AS STRING)) AS id,
  n_name AS name,
- concat('lfdev_key_', CAST(n_nationkey AS STRING)) AS api_key,
+ concat('demo_key_', CAST(n_nationkey AS STRING)) AS api_key,
  {TS}'2023-12-01 00:00:00' AS created_at,
  CASE n_regionkey WHEN 0 THEN {TS}'2024-01-10 00:00:00' WHEN 1 THEN {TS}'2024-02-05 00:00:00' ELSE NULL END AS expires_at
 FROM {nation}
 UNION ALL
 SELECT concat('s', CAST(s_suppkey AS STRING)) AS id,
  s_name AS name,
- concat('lfdev_key_s', CAST(s_suppkey AS STRING)) AS api_key,
+ concat('demo_key_s', CAST(s_suppkey AS STRING)) AS api_key,
  {TS}'2023-12-15 00:00:00' AS created_at,
  CASE s_nationkey % 3 WHEN 0 THEN {TS}'2024-01-20 00:00:00' WHEN 1 THEN {TS}'2024-02-03 12:00:00' ELSE NULL END AS expires_at
 FROM {supplier}
@@ -62,13 +62,14 @@ FROM {supplier}
 _RAW_LOGS = """
 SELECT event_id AS raw_id,
  {TSMS_ts} AS received_at,
- concat('lfdev_key_', CAST(user_id % 30 AS STRING)) AS api_key,
+ concat('demo_key_', CAST(user_id % 30 AS STRING)) AS api_key,
  concat('10.0.0.', CAST(user_id % 250 AS STRING)) AS client_ip,
- concat('{{"level":"', CASE event_id % 7 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'warning' WHEN 2 THEN '4' WHEN 3 THEN '9' WHEN 4 THEN 'bogus' WHEN 5 THEN 'Fatal' ELSE 'info' END,
+ CASE event_id % 97 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN NULL WHEN 3 THEN 'null' WHEN 4 THEN '{{"level":' ELSE
+ concat('{{"level":"', CASE event_id % 7 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'warning' WHEN 2 THEN '4' WHEN 3 THEN '9' WHEN 4 THEN 'bogus' WHEN 5 THEN CASE event_id % 4 WHEN 0 THEN '04' WHEN 1 THEN '+4' ELSE 'Fatal' END ELSE 'info' END,
    '","message":"event ', CAST(event_id AS STRING), '","appName":"svc-', CAST(user_id % 12 AS STRING), '"',
-   CASE WHEN event_id % 2 = 0 THEN concat(',"metadata":', props) ELSE '' END,
+   CASE WHEN event_id % 26 = 13 THEN ',"metadata":"a note"' WHEN event_id % 2 = 0 THEN concat(',"metadata":', props) ELSE '' END,
    CASE WHEN event_id % 3 = 0 THEN ',"host":"h1","statusCode":200' ELSE '' END,
-   CASE WHEN event_id % 5 = 0 THEN ',"environment":"staging"' ELSE '' END, '}}') AS body
+   CASE WHEN event_id % 5 = 0 THEN ',"environment":"staging"' ELSE '' END, '}}') END AS body
 FROM {events}
 """
 
@@ -108,20 +109,11 @@ SOURCE_SCHEMAS = {
 }
 
 
-# Only the fact table is spread over the cores; dimension tables are tiny.
-SPREAD_TABLES = ("events",)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread_input: bool | None = None) -> DataFrame:
-    from logsmith.plans.parallelism import spread
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read
     if name in SOURCE_SCHEMAS:
         reader = reader.schema(SOURCE_SCHEMAS[name])
-    df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread_input is None:
-        spread_input = name in SPREAD_TABLES
-    return spread(df) if spread_input else df
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +123,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``projects``: one row per ``nation`` row (the keys used by ``raw_logs``) plus one per
-    ``supplier`` row (keys ``lfdev_key_s<n>``), so the registry grows with the data."""
+    ``supplier`` row (keys ``demo_key_s<n>``), so the registry grows with the data."""
     return spark.sql(_spark_text(_PROJECTS), nation=table(spark, sf_dir, "nation"),
                      supplier=table(spark, sf_dir, "supplier"))
 
@@ -183,23 +175,28 @@ def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``client_ip`` (smallest), ``body`` (envelope, records in id order)."""
     from pyspark.sql import functions as F
 
-    raw = raw_logs(spark, sf_dir)
+    # records that parse; every fifth block carries a null element, every seventh is empty
+    raw = raw_logs(spark, sf_dir).where("body LIKE '{%}'")
     bodies = F.transform(F.array_sort(F.collect_list(F.struct("raw_id", "body"))), lambda s: s["body"])
+    block = F.col("_blk")
+    inside = F.when(block % 7 == 2, F.lit("")).otherwise(
+        F.concat(F.array_join(bodies, ","), F.when(block % 5 == 3, F.lit(",null")).otherwise(F.lit(""))))
     return (
         raw.groupBy("api_key", F.floor(F.col("raw_id") / BATCH_BLOCK).alias("_blk"))
         .agg(
             F.min("raw_id").alias("raw_id"),
             F.max("received_at").alias("received_at"),
             F.min("client_ip").alias("client_ip"),
-            F.concat(F.lit('{"logs":['), F.array_join(bodies, ","), F.lit("]}")).alias("body"),
+            F.concat(F.lit('{"logs":['), inside, F.lit("]}")).alias("body"),
         )
         .select("raw_id", "received_at", "api_key", "client_ip", "body")
     )
 
 
 DUCK_RAW_BATCHES = f"""SELECT min(raw_id) AS raw_id, max(received_at) AS received_at, api_key, min(client_ip) AS client_ip,
- '{{"logs":[' || string_agg(body, ',' ORDER BY raw_id) || ']}}' AS body
-FROM raw_logs GROUP BY api_key, raw_id // {BATCH_BLOCK}"""
+ '{{"logs":[' || CASE WHEN raw_id // {BATCH_BLOCK} % 7 = 2 THEN '' ELSE string_agg(body, ',' ORDER BY raw_id)
+  || CASE WHEN raw_id // {BATCH_BLOCK} % 5 = 3 THEN ',null' ELSE '' END END || ']}}' AS body
+FROM raw_logs WHERE body LIKE '{{%}}' GROUP BY api_key, raw_id // {BATCH_BLOCK}"""
 
 # Project history: the base projects plus a second registration of EVERY key — later
 # than the first for region-2 nation keys and even supplier keys (the new one wins),
@@ -207,14 +204,14 @@ FROM raw_logs GROUP BY api_key, raw_id // {BATCH_BLOCK}"""
 _PROJECT_VERSIONS = """
 SELECT concat('p', CAST(n_nationkey AS STRING), '-v2') AS id,
  concat(n_name, ' (renamed)') AS name,
- concat('lfdev_key_', CAST(n_nationkey AS STRING)) AS api_key,
+ concat('demo_key_', CAST(n_nationkey AS STRING)) AS api_key,
  CASE n_regionkey WHEN 2 THEN {TS}'2024-01-15 00:00:00' ELSE {TS}'2023-11-01 00:00:00' END AS created_at,
  CAST(NULL AS TIMESTAMP_NTZ) AS expires_at
 FROM {nation}
 UNION ALL
 SELECT concat('s', CAST(s_suppkey AS STRING), '-v2') AS id,
  concat(s_name, ' (renamed)') AS name,
- concat('lfdev_key_s', CAST(s_suppkey AS STRING)) AS api_key,
+ concat('demo_key_s', CAST(s_suppkey AS STRING)) AS api_key,
  CASE s_suppkey % 2 WHEN 0 THEN {TS}'2024-01-25 00:00:00' ELSE {TS}'2023-11-01 00:00:00' END AS created_at,
  CAST(NULL AS TIMESTAMP_NTZ) AS expires_at
 FROM {supplier}
@@ -237,7 +234,7 @@ def duck_project_history() -> str:
 # (status - 496) frames so both short and long traces occur.
 _REQUESTS = """
 SELECT id, timestamp, request_method,
- CASE WHEN level = 'Trace' THEN concat('/images/', user_id, '.png') ELSE request_path END AS request_path,
+ CASE WHEN level = 'Trace' THEN concat('/images/', user_id, '.png') WHEN CAST(id AS BIGINT) % 89 = 5 THEN NULL ELSE request_path END AS request_path,
  status_code, duration_ms,
  CASE WHEN exception_type <> '' THEN concat(exception_type, ': ', exception_message,
    repeat(concat(chr(10), '   at ', source, '.Handle()'), status_code - 496)) END AS exception

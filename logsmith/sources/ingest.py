@@ -2,7 +2,8 @@
 coercions of a stored log entry (E2-E8).
 
 Parsing is ``from_json`` with a declared schema (never inferred). ``metadata`` is declared
-as STRING, so an object arrives as its compact JSON text. Bodies that do not parse are
+as STRING, so an object arrives as its compact JSON text; a JSON string, which loses its quotes
+that way, is written as JSON again. Bodies that do not parse, are blank or are no object are
 kept and flagged (``malformed``) for the quarantine output instead of failing the job.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsmith.functions.json import metadata_text
+from logsmith.functions.json import json_text, metadata_text
 from logsmith.functions.levels import parse_level
 from logsmith.functions.time import to_ms
 
@@ -47,27 +48,43 @@ BATCH_SCHEMA = T.StructType(
 _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
+def _not_an_object(body: str) -> Column:
+    """Missing, blank, or JSON that is no object (``null``, an array, a scalar)."""
+    return ~F.coalesce(F.col(body).rlike(r"^\s*\{"), F.lit(False))
+
+
 def parse_records(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Adds ``rec`` (parsed body) and ``malformed`` (unparseable or missing body)."""
+    """Adds ``rec`` (parsed body, ``metadata`` as JSON text) and ``malformed``."""
     rec = F.from_json(F.col(body), _BODY_WITH_CORRUPT, _JSON_OPTS)
-    return raw.withColumn("rec", rec).withColumn(
-        "malformed", F.col(body).isNull() | F.col(f"rec.{CORRUPT}").isNotNull()
-    )
+    kind = F.from_json(F.col(body), "metadata variant")
+    parsed = raw.withColumn("rec", rec)
+    parsed = parsed.withColumn("malformed", _not_an_object(body) | F.col("rec").isNull() | F.col(f"rec.{CORRUPT}").isNotNull())
+    text = json_text(F.col("rec.metadata"), kind["metadata"])
+    return parsed.withColumn("rec", F.when(F.col("rec").isNotNull(), F.col("rec").withField("metadata", text)))
 
 
-def parse_batches(raw: DataFrame, body: str = "body", id_col: str = "raw_id") -> DataFrame:
-    """One output row per element of ``logs``; ``id`` = ``<id_col>-<position>``. An
-    unparseable envelope yields one ``malformed`` row so it reaches the quarantine."""
+def parse_envelopes(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Adds ``_items`` (the parsed records) and ``malformed``: an envelope that does not
+    parse, or that holds a null element, fails as a whole."""
     env = F.from_json(F.col(body), BATCH_SCHEMA, _JSON_OPTS)
-    parsed = raw.withColumn("_env", env).withColumn(
-        "malformed", F.col(body).isNull() | F.col(f"_env.{CORRUPT}").isNotNull()
-    )
-    items = F.when(F.col("malformed"), F.array(F.lit(None).cast(BODY_SCHEMA))).otherwise(
-        F.coalesce(F.col("_env.logs"), F.array().cast(T.ArrayType(BODY_SCHEMA)))
-    )
-    keep = [c for c in raw.columns]
+    kinds = F.from_json(F.col(body), "logs array<struct<metadata: variant>>")
+    bad = _not_an_object(body) | F.col("_env").isNull() | F.col(f"_env.{CORRUPT}").isNotNull()
+    bad = bad | F.coalesce(F.exists("_env.logs", lambda x: x.isNull()), F.lit(False))
+    both = F.zip_with(
+        "_env.logs", "_kinds.logs", lambda r, k: r.withField("metadata", json_text(r["metadata"], k["metadata"])))
+    parsed = raw.withColumn("_env", env).withColumn("_kinds", kinds).withColumn("malformed", bad)
+    return parsed.withColumn("_items", F.when(~F.col("malformed"), both)).drop("_env", "_kinds")
+
+
+def explode_batches(classified: DataFrame, id_col: str = "raw_id") -> DataFrame:
+    """One row per record of an accepted envelope (``rec``, ``entry_id`` = ``<id_col>-<position>``);
+    a rejected envelope stays one row."""
+    none = F.array(F.lit(None).cast(BODY_SCHEMA))
+    items = F.when(F.col("reject_reason").isNotNull(), none).otherwise(
+        F.coalesce(F.col("_items"), F.array().cast(T.ArrayType(BODY_SCHEMA))))
+    keep = [c for c in classified.columns if c != "_items"]
     return (
-        parsed.select(*keep, "malformed", F.posexplode(items).alias("pos", "rec"))
+        classified.select(*keep, F.posexplode(items).alias("pos", "rec"))
         .withColumn("entry_id", F.concat(F.col(id_col).cast("string"), F.lit("-"), F.col("pos").cast("string")))
         .drop("pos")
     )

@@ -5,7 +5,8 @@ and sorted by ``(app_name, level, timestamp)`` so Parquet row-group min/max stat
 data for app / level / time predicates (the role of the reference's primary key), and
 ``trace_id`` carries a bloom filter for trace lookups. Range
 partitioning samples the keys, so a hot app is split across tasks instead of landing in
-one. Appends (streaming micro-batches) only sort within their partitions.
+one. Appends (streaming micro-batches) only sort within their partitions; ``compact_month``
+folds them, with what the stored month already holds, into the clustered layout.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ CLUSTER_KEYS = ("app_name", "level", "timestamp")
 # File sizing of the stored tables.
 MAX_RECORDS_PER_FILE = 2_000_000
 TARGET_PARTITION_BYTES = 512 * 1024 * 1024
-MAX_REWRITE_PARTITIONS = 100_000
 
 
 def with_month(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -35,7 +35,7 @@ def rewrite_partitions(df: DataFrame) -> int:
     floor_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     est = estimated_bytes(df)
     by_size = -(-est // TARGET_PARTITION_BYTES) if est else 0
-    return min(max(floor_n, int(by_size)), MAX_REWRITE_PARTITIONS)
+    return max(floor_n, int(by_size))
 
 
 def clustered(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -99,21 +99,45 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def export_text(lines: DataFrame, path: str, col: str = "line") -> None:
-    """S9/S10 writer for pre-formatted lines."""
+    """S10 writer for pre-formatted lines."""
     lines.select(col).write.mode("errorifexists").text(path)
 
 
-def compact_month(spark: SparkSession, landing_path: str, table_path: str, month: int,
-                  partitions: int | None = None) -> None:
-    """Move one closed month from the streaming landing sink (one directory per
-    micro-batch) into the stored table as a clustered rewrite of that month. Dynamic
-    partition overwrite replaces exactly ``month=<month>``, and ids are deterministic, so
-    re-running after a failure yields the same month. Drop the landing month afterwards."""
-    landing = spark.read.parquet(landing_path).where(F.col("month") == month)
-    rows = landing.drop("batch_id")
-    rows = add_missing_columns(rows, LOGS_SCHEMA, LOG_DEFAULTS)
-    rows = clustered(with_month(rows), partitions).select(*[f.name for f in LOGS_STORED_SCHEMA.fields])
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-     .option("parquet.bloom.filter.enabled#trace_id", "true")
-     .partitionBy("month").parquet(table_path))
+def export_csv(lines: DataFrame, path: str, header: str, col: str = "line") -> None:
+    """S9 writer: every part file starts with the header line, so each is a complete CSV file
+    that ``spark.read.csv(header=True)`` reads with the others (embedded newlines are escaped,
+    quotes doubled by the line format)."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition
+    line = F.when(first, F.concat(F.lit(header + "\n"), F.col(col))).otherwise(F.col(col))
+    lines.select(line.alias("line")).write.mode("errorifexists").text(path)
+
+
+def _write_month(rows: DataFrame, path: str, month: int, cluster: tuple[str, ...], partitions: int | None) -> None:
+    n = partitions or rewrite_partitions(rows)
+    (rows.repartitionByRange(n, *cluster).sortWithinPartitions(*cluster).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+     .option("parquet.bloom.filter.enabled#trace_id", "true").partitionBy("month").parquet(path))
+
+
+def compact_month(spark: SparkSession, landing_path: str, table_path: str, month: int, stage_path: str,
+                  app_logs: bool = False, partitions: int | None = None) -> None:
+    """Fold one month of the streaming landing sink into the stored table: the rows that the
+    table already holds (batch ingest, an earlier compaction) and the landing rows whose id it
+    does not hold are staged together and then replace exactly ``month=<month>``. Re-running
+    after a failure gives the same month: the landing rows are still there or already stored.
+    ``stage_path`` is a new folder for each run. Drop the landing month afterwards."""
+    schema, defaults = (APP_LOGS_SCHEMA, None) if app_logs else (LOGS_SCHEMA, LOG_DEFAULTS)
+    landing = add_missing_columns(spark.read.parquet(landing_path).where(F.col("month") == month), schema, defaults)
+    rows = landing
+    if path_exists(spark, f"{table_path}/month={month}"):
+        stored = add_missing_columns((read_app_logs if app_logs else read_logs)(spark, table_path).where(F.col("month") == month), schema, defaults)
+        rows = stored.unionByName(landing.join(stored.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti"))
+    rows.withColumn("month", F.lit(int(month))).write.parquet(stage_path)
+    staged = spark.read.parquet(stage_path)
+    _write_month(staged, table_path, month, ("timestamp",) if app_logs else CLUSTER_KEYS, partitions)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

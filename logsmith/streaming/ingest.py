@@ -1,13 +1,13 @@
 """Streaming ingest.
 
 ``readStream`` (file source; any streaming source with the raw schema works) -> stateless
-parse -> ``foreachBatch``: the micro-batch is joined with a size-checked, persisted project
-lookup that is re-read from the table once a minute (key changes are picked up within that
-period, like a refreshed key cache), each batch gets ONE
-processing-time stamp taken on the driver (T4), and the outputs are written to the
-``(month, batch_id)`` partitions with dynamic overwrite. A batch replayed after a failure
-rewrites exactly its own partitions, so the sink holds no duplicates; the checkpoint
-location makes the source offsets durable.
+parse -> ``foreachBatch``: the micro-batch is joined with a persisted project lookup that is
+re-read from the table once a minute (key changes are picked up within that period, like a
+refreshed key cache), each batch gets ONE processing-time stamp taken on the driver (T4), and
+the outputs are written below ``batch_id=<id>/``, which a replayed batch overwrites as a whole:
+it leaves no duplicates, also when its replay falls into another month. The checkpoint location
+makes the source offsets durable. ``sources.sinks.compact_month`` folds the batches of a month
+into the stored table, which bounds the number of directories.
 """
 
 from __future__ import annotations
@@ -35,18 +35,20 @@ def batch_stamp() -> dt.datetime:
 
 
 def read_raw_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None,
-                    schema=RAW_LOGS_SCHEMA) -> DataFrame:
+                    schema=RAW_LOGS_SCHEMA, max_bytes_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     return reader.load(path)
 
 
 def write_batch_partitions(df: DataFrame, path: str, batch_id: int, ts_col: str = "timestamp") -> None:
-    """Idempotent append: ``(month, batch_id)`` partitions, dynamic overwrite."""
-    (df.withColumn("month", month_key(ts_col)).withColumn("batch_id", F.lit(int(batch_id)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month", "batch_id").parquet(path))
+    """Idempotent append: the directory of the batch is overwritten, with months inside. Rows of
+    a month sit together, so a batch leaves one file per month and task that has some."""
+    (df.withColumn("month", month_key(ts_col)).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("month").parquet(f"{path}/batch_id={int(batch_id)}"))
 
 
 # The project key table is re-read at most this often (seconds).
@@ -54,7 +56,7 @@ PROJECT_REFRESH_SECONDS = 60
 
 
 class ProjectLookup:
-    """Size-checked, persisted key -> project side for the stream-static join, re-read from
+    """Persisted key -> project side for the stream-static join, re-read from
     the project table once it is older than ``refresh_seconds`` (new / expired / renamed keys
     are seen within that period). A lost cached block is recomputed from the table."""
 
@@ -97,9 +99,10 @@ def log_ingest_batch(projects_loader: Callable[[], DataFrame], logs_path: str, r
 
 def start_log_ingest(spark: SparkSession, raw_path: str, projects_loader: Callable[[], DataFrame], logs_path: str,
                      rejected_path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = False,
-                     max_files_per_trigger: int | None = None):
+                     max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None):
     """Start the ingest query; ``available_now`` drains what exists and stops."""
-    parsed = parse_records(read_raw_stream(spark, raw_path, fmt, max_files_per_trigger))
+    parsed = parse_records(
+        read_raw_stream(spark, raw_path, fmt, max_files_per_trigger, max_bytes_per_trigger=max_bytes_per_trigger))
     w = (parsed.writeStream.foreachBatch(log_ingest_batch(projects_loader, logs_path, rejected_path))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=LOG_TRIGGER)

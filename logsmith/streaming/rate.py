@@ -1,203 +1,58 @@
-"""T5 on a stream: fixed-window request counts with a watermark.
+"""T5 on a stream: the fixed-window rate audit without state.
 
-Event time must be a zoned ``TIMESTAMP`` for ``withWatermark``. The NTZ wall clock is
-turned into microseconds since the epoch (zone-free) and read as a UTC instant, so windows
-are the same wall-clock buckets as the batch audit in any session time zone. The query
-runs in update mode so state is evicted once the watermark passes a window; each
-micro-batch writes the windows it changed to its own ``batch_id`` partition, and
-``latest_counts`` keeps the newest count per window (a partial/final aggregate, not a scan
-of raw requests).
+Each micro-batch writes additive rows into its own ``batch_id`` partition: requests per window
+and second, and per distinct arrival time within the seconds that can hold request N+1 of this
+batch alone or any earlier request. Reading adds them up. A request may arrive any time late:
+its batch adds to the window it belongs to, there is no watermark and nothing is dropped. A
+replayed batch overwrites its partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsmith.functions.time import EPOCH_SQL
-from logsmith.operators.requests import RATE_POLICIES
+from logsmith.operators.requests import _audit_columns, _policy, window_start
 
-# Lateness tolerated before a window is final.
-WATERMARK_DELAY = "1 hour"
 
-
-def window_counts(requests_stream: DataFrame, policy: str = "login", ts: str = "timestamp",
-                  watermark_delay: str = WATERMARK_DELAY) -> DataFrame:
-    """Requests per fixed window. Rows later than ``watermark_delay`` behind the newest
-    event are dropped by the watermark, so the delay must cover the source's disorder."""
-    permit, minutes = RATE_POLICIES[policy]
-    wall_micros = F.expr(f"timestampdiff(MICROSECOND, {EPOCH_SQL}, `{ts}`)")
-    ev = requests_stream.withColumn("_event_time", F.timestamp_micros(wall_micros))
-    to_wall = lambda c: F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), {EPOCH_SQL})")
-    return (
-        ev.withWatermark("_event_time", watermark_delay)
-        .groupBy(F.window("_event_time", f"{minutes} minutes").alias("w"))
-        .agg(F.count(F.lit(1)).alias("requests"))
-        .select(to_wall("w.start").alias("window_start"), to_wall("w.end").alias("window_end"), "requests")
-    )
+def batch_counts(batch: DataFrame, policy: str = "login", ts: str = "timestamp", permit: int | None = None,
+                 window_minutes: int | None = None) -> DataFrame:
+    """Additive rows of a micro-batch: ``window_start, arrived_at, requests``. Arrivals up to the
+    (N+1)-th of the batch keep their time (a request that is later than N others of its own batch
+    is later than N of the window); the rest of a window is one row without a time."""
+    permit, minutes = _policy(policy, permit, window_minutes)
+    per = batch.groupBy(window_start(ts, minutes).alias("window_start"), F.col(ts).alias("arrived_at")).agg(
+        F.count(F.lit(1)).alias("requests"))
+    earlier = Window.partitionBy("window_start").orderBy("arrived_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per.withColumn("_before", F.coalesce(F.sum("requests").over(earlier), F.lit(0)))
+    kept = F.when(F.col("_before") <= permit, F.col("arrived_at"))
+    return ranked.groupBy("window_start", kept.alias("arrived_at")).agg(F.sum("requests").alias("requests"))
 
 
 def start_rate_audit(spark: SparkSession, requests_stream: DataFrame, sink_path: str, checkpoint: str,
-                     policy: str = "login", available_now: bool = False, watermark_delay: str = WATERMARK_DELAY):
+                     policy: str = "login", available_now: bool = False, permit: int | None = None,
+                     window_minutes: int | None = None):
     def run(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink_path))
+        rows = batch_counts(batch, policy, permit=permit, window_minutes=window_minutes)
+        rows.write.mode("overwrite").parquet(f"{sink_path}/batch_id={int(batch_id)}")
 
-    w = (window_counts(requests_stream, policy, watermark_delay=watermark_delay).writeStream.outputMode("update")
-         .foreachBatch(run)
-         .option("checkpointLocation", checkpoint))
+    w = requests_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def latest_counts(sink: DataFrame, policy: str = "login") -> DataFrame:
-    """Newest count per window across micro-batches, with permitted / rejected."""
-    permit, _ = RATE_POLICIES[policy]
-    last = sink.groupBy("window_start", "window_end").agg(
-        F.max_by("requests", "batch_id").alias("requests")
-    )
-    return last.select(
-        "window_start",
-        "window_end",
-        "requests",
-        F.least(F.col("requests"), F.lit(permit).cast("bigint")).alias("permitted"),
-        F.greatest(F.col("requests") - permit, F.lit(0).cast("bigint")).alias("rejected"),
-    )
-
-
-# ---------------------------------------------------------------- first rejected arrival
-
-_DAY_US = 86_400_000_000
-
-
-def _window_micros(minutes: int) -> int:
-    return minutes * 60 * 1_000_000
-
-
-def _reduce_partition(permit: int, minutes: int):
-    """Stateless pre-reduction of one input partition of a micro-batch: per window the
-    request count and the ``permit + 1`` earliest arrivals (wall-clock micros, id). A hot
-    window leaves each task as one small row, never as raw requests."""
-    import pandas as pd
-
-    keep, width = permit + 1, _window_micros(minutes)
-
-    def run(batches):
-        acc: dict[int, tuple[int, list]] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.assign(_w=(pdf["wall_us"] // width) * width)
-            for w, g in pdf.groupby("_w"):
-                n = len(g)
-                top = g
-                if n > keep:  # smallest times (ties kept), then the exact (time, id) order
-                    top = g.nsmallest(keep, "wall_us", keep="all").sort_values(["wall_us", "id"]).head(keep)
-                cnt, cand = acc.get(int(w), (0, []))
-                cand = sorted(cand + list(zip(top["wall_us"].astype("int64").tolist(), top["id"].astype(str).tolist())))
-                acc[int(w)] = (cnt + n, cand[:keep])
-        if acc:
-            keys = list(acc)
-            yield pd.DataFrame({
-                "window_us": keys,
-                "day_us": [k // _DAY_US * _DAY_US for k in keys],
-                "event_time": pd.to_datetime(keys, unit="us", utc=True),
-                "cnt": [acc[k][0] for k in keys],
-                "cand_us": [[c[0] for c in acc[k][1]] for k in keys],
-                "cand_id": [[c[1] for c in acc[k][1]] for k in keys],
-            })
-
-    return run
-
-
-def _merge_day(permit: int, minutes: int):
-    """Stateful merge per day (``applyInPandasWithState``): the state of a day holds, per
-    window of that day, the count and the ``permit + 1`` earliest arrivals (so it is bounded
-    by the windows of one day, not by traffic). Windows the watermark has closed are
-    dropped as late; the day is evicted once the watermark passes its end. Emits the
-    windows changed in the micro-batch."""
-    import json
-
-    import pandas as pd
-
-    keep, width = permit + 1, _window_micros(minutes)
-
-    def run(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        book = json.loads(state.get[0]) if state.exists else {}
-        watermark = state.getCurrentWatermarkMs()
-        touched = set()
-        for pdf in pdfs:
-            for w, c, us_list, id_list in zip(pdf["window_us"], pdf["cnt"], pdf["cand_us"], pdf["cand_id"]):
-                w = int(w)
-                if (w + width) // 1000 <= watermark:
-                    continue  # late rows for a closed window
-                cnt, cand = book.get(str(w), [0, []])
-                merged = sorted([(int(a), str(b)) for a, b in cand] + [(int(a), str(b)) for a, b in zip(us_list, id_list)])
-                book[str(w)] = [cnt + int(c), [list(x) for x in merged[:keep]]]
-                touched.add(w)
-        if not touched:
-            return
-        state.update((json.dumps(book),))
-        state.setTimeoutTimestamp((int(key[0]) + _DAY_US) // 1000)
-        ws = sorted(touched)
-        firsts = [book[str(w)][1][keep - 1][0] if len(book[str(w)][1]) >= keep else None for w in ws]
-        yield pd.DataFrame({"window_us": ws, "requests": [book[str(w)][0] for w in ws],
-                            "first_rejected_us": pd.array(firsts, dtype="Int64")})
-
-    return run
-
-
-def window_first_rejected(requests_stream: DataFrame, policy: str = "login", ts: str = "timestamp",
-                          tiebreak: str = "id", watermark_delay: str = WATERMARK_DELAY) -> DataFrame:
-    """T5 on a stream with the first rejected arrival per window (update mode). Rows later
-    than ``watermark_delay`` behind the newest event are dropped."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    permit, minutes = RATE_POLICIES[policy]
-    wall = requests_stream.select(F.expr(f"timestampdiff(MICROSECOND, {EPOCH_SQL}, `{ts}`)").alias("wall_us"),
-                                  F.col(tiebreak).cast("string").alias("id"))
-    partials = wall.mapInPandas(
-        _reduce_partition(permit, minutes),
-        "window_us long, day_us long, event_time timestamp, cnt long, cand_us array<long>, cand_id array<string>")
-    merged = (partials.withWatermark("event_time", watermark_delay).groupBy("day_us")
-              .applyInPandasWithState(_merge_day(permit, minutes),
-                                      "window_us long, requests long, first_rejected_us long",
-                                      "book string", "update", GroupStateTimeout.EventTimeTimeout))
-    to_wall = lambda c: F.expr(f"timestampadd(MICROSECOND, {c}, {EPOCH_SQL})")
-    return merged.select(
-        to_wall("window_us").alias("window_start"),
-        to_wall(f"window_us + {_window_micros(minutes)}").alias("window_end"),
-        "requests",
-        to_wall("first_rejected_us").alias("first_rejected_at"),
-    )
-
-
-def start_first_rejected_audit(spark: SparkSession, requests_stream: DataFrame, sink_path: str, checkpoint: str,
-                               policy: str = "login", available_now: bool = False,
-                               watermark_delay: str = WATERMARK_DELAY):
-    def run(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink_path))
-
-    out = window_first_rejected(requests_stream, policy, watermark_delay=watermark_delay)
-    w = out.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+def audit(sink: DataFrame, policy: str = "login", permit: int | None = None, window_minutes: int | None = None) -> DataFrame:
+    """The rate audit over all micro-batches so far: the columns of the batch audit."""
+    permit, minutes = _policy(policy, permit, window_minutes)
+    per = sink.groupBy("window_start", "arrived_at").agg(F.sum("requests").alias("n"))
+    # timed arrivals are at most N+1 and the ties of the last one, per batch and window
+    w = Window.partitionBy("window_start").orderBy(F.asc_nulls_last("arrived_at"))
+    ranked = per.withColumn("_upto", F.sum("n").over(w))
+    over = F.when(F.col("_upto") > permit, F.col("arrived_at"))
+    merged = ranked.groupBy("window_start").agg(F.sum("n").alias("requests"), F.min(over).alias("first_rejected_at"))
+    return _audit_columns(merged, permit, minutes)
 
 
-def latest_audit(sink: DataFrame, policy: str = "login") -> DataFrame:
-    """Newest row per window across micro-batches, with permitted / rejected."""
-    permit, _ = RATE_POLICIES[policy]
-    last = sink.groupBy("window_start", "window_end").agg(
-        F.max_by(F.struct("requests", "first_rejected_at"), "batch_id").alias("_last"))
-    return last.select(
-        "window_start",
-        "window_end",
-        F.col("_last.requests").alias("requests"),
-        F.least(F.col("_last.requests"), F.lit(permit).cast("bigint")).alias("permitted"),
-        F.greatest(F.col("_last.requests") - permit, F.lit(0).cast("bigint")).alias("rejected"),
-        F.col("_last.first_rejected_at").alias("first_rejected_at"),
-    )
+def counts(sink: DataFrame, policy: str = "login", permit: int | None = None, window_minutes: int | None = None) -> DataFrame:
+    """Requests per window with permitted / rejected."""
+    return audit(sink, policy, permit, window_minutes).drop("first_rejected_at")

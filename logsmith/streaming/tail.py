@@ -1,14 +1,17 @@
-"""Live tail — the log filter applied to a stream in append mode; the consumer keeps
-the newest N rows (a top-k over what the sink holds, never a full sort)."""
+"""Live tail. The log filter is applied to each micro-batch, and the sink holds the newest N
+matching rows: they and the batch's newest N are merged into the next version, a folder of its
+own (the newest finished version counts, older ones are removed). Reading it never scans more
+than N rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logsmith.operators.filters import LogFilter, filter_logs
+from logsmith.operators.retention import _drop, _fs
 from logsmith.operators.search import newest_first
 from logsmith.plans.topk import ordered_page
-from logsmith.streaming.ingest import write_batch_partitions
 
 # Rows kept by the tail view and its refresh period.
 TAIL_ROWS = 100
@@ -20,16 +23,40 @@ def tail_stream(logs_stream: DataFrame, f: LogFilter | None) -> DataFrame:
     return filter_logs(logs_stream, f)
 
 
+def _versions(spark: SparkSession, sink_path: str) -> list[int]:
+    """Finished versions (batch ids) of a tail sink, oldest first."""
+    p, fs = _fs(spark, sink_path)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    ids = [int(n.split("-", 1)[1]) for n in names if n.startswith("version-")]
+    done = lambda i: (lambda q, f: f.exists(q))(*_fs(spark, f"{sink_path}/version-{i}/_SUCCESS"))
+    return sorted(i for i in ids if done(i))
+
+
 def start_tail(spark: SparkSession, logs_stream: DataFrame, f: LogFilter | None, sink_path: str, checkpoint: str,
-               available_now: bool = False):
+               available_now: bool = False, rows: int = TAIL_ROWS):
     def run(batch: DataFrame, batch_id: int) -> None:
-        write_batch_partitions(batch, sink_path, batch_id)
+        before = [v for v in _versions(spark, sink_path) if v < batch_id]  # a replay starts from the same version
+        top = ordered_page(batch, newest_first(), 0, rows)
+        if before:
+            kept = spark.read.schema(batch.schema).parquet(f"{sink_path}/version-{before[-1]}")
+            top = top.unionByName(kept).orderBy(*newest_first()).limit(rows)
+        top.coalesce(1).write.mode("overwrite").parquet(f"{sink_path}/version-{int(batch_id)}")
+        for v in before[:-1]:  # the last one stays for readers that have just opened it
+            _drop(spark, f"{sink_path}/version-{v}")
 
     w = tail_stream(logs_stream, f).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=TAIL_TRIGGER)
     return w.start()
 
 
+def read_tail(spark: SparkSession, sink_path: str, schema) -> DataFrame:
+    """The rows of the newest finished version (none yet: no rows)."""
+    done = _versions(spark, sink_path)
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{sink_path}/version-{done[-1]}")
+
+
 def newest(sink: DataFrame, n: int = TAIL_ROWS) -> DataFrame:
-    """The tail view: newest ``n`` rows (``TakeOrderedAndProject``)."""
-    return ordered_page(sink, newest_first(), 0, n)
+    """The tail view: newest ``n`` rows of the tail sink (it holds no more than it keeps)."""
+    return sink.orderBy(*newest_first()).limit(n).select(*[F.col(c) for c in sink.columns])
