@@ -35,8 +35,7 @@ def by_input_task(buckets: int) -> Column:
 def _slice(counts: list[tuple[int, int]], offset: int, n: int) -> tuple[int, int, int]:
     """First and last key (in page order) that hold rows ``offset .. offset+n``, and the rows
     before the first of them."""
-    before, first, skipped = 0, None, 0
-    last = counts[-1][0]
+    before, first, last, skipped = 0, None, counts[-1][0], 0
     for key, count in counts:
         if first is None and before + count > offset:
             first, skipped = key, before
@@ -44,7 +43,7 @@ def _slice(counts: list[tuple[int, int]], offset: int, n: int) -> tuple[int, int
             last = key
             break
         before += count
-    return (last if first is None else first), last, (before if first is None else skipped)
+    return first, last, skipped
 
 
 def _counts(df: DataFrame, unit: str, ts: str) -> list[tuple[int, int]]:
@@ -67,7 +66,7 @@ def deep_page(df: DataFrame, order: Sequence[Column], offset: int, n: int, ts: s
     row per day, then one per second of at most the days the page starts and ends in, come to
     the driver."""
     days = _counts(df, "day", ts)
-    if not days:
+    if offset >= sum(count for _, count in days):
         return df.limit(0)
     first, last, skipped = _slice(days, offset, n)
     start, end = last * 86400, (first + 1) * 86400

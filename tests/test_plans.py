@@ -5,14 +5,16 @@ import datetime as dt
 
 import pytest
 
-from logsmith.operators import enrich, search, stats, traces
+from logsmith import registry
+from logsmith.operators import requests as reqs
+from logsmith.operators import search, stats, traces
 from logsmith.operators.filters import LogFilter
+from logsmith.operators.search import newest_first
 from logsmith.plans.inspect import plan_text
+from logsmith.plans.topk import ordered_page
 from logsmith.sources import fixtures as fx
 from logsmith.sources.sinks import read_logs, write_logs
 
-import __spark_entry__ as E
-
 SF = "/root/testdata/sf0.001"
 AS_OF = dt.datetime(2024, 1, 31)
 
@@ -39,63 +41,58 @@ def test_stats_column_pruning(spark, stored):
     assert "message" not in read_schema and "app_name" in read_schema
 
 
-def test_enrichment_broadcasts_checked_side(spark):
-    c = enrich.ingest_records(fx.raw_logs(spark, SF), fx.projects(spark, SF))
-    assert "BroadcastHashJoin" in plan_text(c)
+def test_trace_cap_is_map_side_limited(spark):
+    p = plan_text(traces.trace_timelines(fx.logs(spark, SF)))
+    assert p.count("WindowGroupLimit") >= 4 and "spark_partition_id" in p.lower()
 
 
-def test_broadcast_refused_over_bound(spark):
-    from logsmith.plans.broadcast import bounded_broadcast
-    df = spark.range(100).selectExpr("CAST(id AS STRING) AS id")
-    assert "broadcast" not in str(bounded_broadcast(df, max_rows=10)._jdf.queryExecution().logical()).lower()
+def test_no_python_in_any_registered_plan(spark):
+    for name, q in registry.QUERIES.items():
+        p = plan_text(q(spark, SF))
+        assert not any(x in p for x in ("PythonUDF", "EvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups")), name
 
 
-def test_trace_cap_is_map_side_limited(spark):
-    p = plan_text(traces.trace_timelines(fx.logs(spark, SF)))
-    assert p.count("WindowGroupLimit") >= 2 and "Partial" in p
-    tree = plan_text(traces.trace_timelines(fx.logs(spark, SF), buckets=4))
-    assert tree.count("WindowGroupLimit") >= 4 and "spark_partition_id" in tree.lower()
+def test_no_exchange_without_a_key(spark):
+    for name in ("top_apps", "log_stats", "log_search_literal", "request_log"):
+        assert "RoundRobin" not in plan_text(registry.QUERIES[name](spark, SF)), name
 
 
-def test_tree_buckets_sizing(spark):
-    df = spark.range(10).repartition(64)
-    assert traces.tree_buckets(df, 500, tasks=64) == 1
-    b = traces.tree_buckets(df, 500, budget=10_000, tasks=64)
-    assert b > 1 and 500 * 64 / b <= 10_000 * 1.01 and 500 * b <= 10_000
+def test_patterns_aggregate_by_hash(spark):
+    p = plan_text(registry.QUERIES["log_patterns"](spark, SF))
+    assert "SortAggregate" not in p and "HashAggregate" in p
 
 
-def test_no_python_in_any_registered_plan(spark):
-    for name, q in E.queries().items():
-        if name.startswith("stream_"):
-            continue
-        p = plan_text(q(spark, SF))
-        assert "PythonUDF" not in p and "EvalPython" not in p and "BatchEvalPython" not in p, name
+def test_empty_trace_ids_stay_out_of_the_join(spark):
+    p = plan_text(registry.QUERIES["error_trace_logs"](spark, SF))
+    joins = p[: p.index("Scan parquet")] if "Scan parquet" in p else p
+    assert joins and p.count("Filter") >= 2
 
 
-def test_page_tree_equals_plain(spark):
-    from logsmith.plans.topk import ordered_page
-    from logsmith.operators.search import newest_first
+def test_page_is_a_tree_and_equals_brute_force(spark):
     df = fx.logs(spark, SF).repartition(6)
-    plain = [r.id for r in ordered_page(df, newest_first(), 7, 20, buckets=1).collect()]
-    tree_df = ordered_page(df, newest_first(), 7, 20, buckets=3)
-    assert [r.id for r in tree_df.collect()] == plain
-    assert "WindowGroupLimit" in plan_text(tree_df) and "TakeOrderedAndProject" in plan_text(tree_df)
-    auto = ordered_page(df, newest_first(), 7, 20, budget=50)  # 27 x (>= 8) tasks > 50 -> tree
-    assert [r.id for r in auto.collect()] == plain and "WindowGroupLimit" in plan_text(auto)
-
-
-def test_input_tasks_is_planning_only(spark):
-    from logsmith.plans.topk import input_tasks
-    tracker = spark.sparkContext.statusTracker()
-    jobs_before = tracker.getJobIdsForGroup()
-    n = input_tasks(fx.logs(spark, SF).where("level = 'Error'").groupBy("app_name").count())
-    assert n >= 1
-    assert tracker.getJobIdsForGroup() == jobs_before
-
-
-def test_tree_only_within_group_limit_threshold(spark):
-    from logsmith.plans.topk import ordered_page
-    from logsmith.operators.search import newest_first
-    df = fx.logs(spark, SF)
-    deep = ordered_page(df, newest_first(), 1500, 10, buckets=4)  # k = 1510 > 1000
-    assert "WindowGroupLimit" not in plan_text(deep) and "TakeOrderedAndProject" in plan_text(deep)
+    rows = sorted(df.collect(), key=lambda r: (-r.timestamp.timestamp(), r.id))
+    page = ordered_page(df, newest_first(), 7, 20)
+    assert [r.id for r in page.collect()] == [r.id for r in rows[7:27]]
+    assert "WindowGroupLimit" in plan_text(page) and "TakeOrderedAndProject" in plan_text(page)
+
+
+def test_deep_pages_sort_their_own_seconds_only(spark):
+    base = dt.datetime(2024, 1, 1)
+    data = [(str(i), base + dt.timedelta(seconds=i // 4 * 977 % 300_000, microseconds=i % 4 // 2)) for i in range(4000)]
+    df = spark.createDataFrame(data, "id string, timestamp timestamp_ntz").repartition(5)
+    rows = [r[0] for r in sorted(data, key=lambda r: (-(r[1] - base).total_seconds(), r[0]))]
+    for offset, n in ((990, 20), (1500, 10), (3990, 30), (4000, 5), (0, 2000), (5000, 10), (1, 3999)):
+        got = ordered_page(df, newest_first(), offset, n)
+        assert [r.id for r in got.collect()] == rows[offset : offset + n], (offset, n)
+    deep = ordered_page(df, newest_first(), 2000, 10)
+    assert "WindowGroupLimit" not in plan_text(deep) and "timestamp" in plan_text(deep)
+    assert ordered_page(df.limit(0), newest_first(), 2000, 10).count() == 0
+
+
+def test_audit_of_any_permit_counts_before_it_ranks(spark):
+    logged = reqs.request_log(fx.requests(spark, SF))
+    for permit in (0, 5, 1000):
+        p = plan_text(reqs.rate_audit(logged, permit=permit))
+        assert "row_number" not in p and "HashAggregate" in p
+    with pytest.raises(ValueError):
+        reqs.rate_audit(logged, permit=-1)

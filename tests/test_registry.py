@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from logsmith import registry
 from tools.compare import digest, TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -27,11 +28,11 @@ def test_entry_smoke(spark):
     assert df.count() >= 0
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    oracle = E.oracle_sql().get(name)
+    oracle = registry.ORACLE.get(name)
     assert oracle is not None, f"{name} has no oracle"
     cur = duck.execute(oracle)
     ocols = [d[0] for d in cur.description]

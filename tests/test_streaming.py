@@ -46,7 +46,11 @@ def test_replayed_batch_overwrites_its_partition(spark, tmp_dir):
     for _ in range(2):
         s_ingest.write_batch_partitions(df, f"{tmp_dir}/sink", 7)
     assert spark.read.parquet(f"{tmp_dir}/sink").count() == 1
-    assert os.path.isdir(f"{tmp_dir}/sink/month=202401/batch_id=7")
+    assert os.path.isdir(f"{tmp_dir}/sink/batch_id=7/month=202401")
+    # a replay that is stamped in the next month replaces the first copy
+    later = df.withColumn("timestamp", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    s_ingest.write_batch_partitions(later, f"{tmp_dir}/sink", 7)
+    assert [r.month for r in spark.read.parquet(f"{tmp_dir}/sink").collect()] == [202402]
 
 
 def test_failed_batch_is_replayed_without_duplicates(spark, tmp_dir):
@@ -91,9 +95,9 @@ def test_compact_landing_month_into_table(spark, tmp_dir):
     q.awaitTermination()
     landing = spark.read.parquet(f"{tmp_dir}/landing")
     months = sorted(r.month for r in landing.select("month").distinct().collect())
-    for _ in range(2):  # idempotent
+    for run in range(2):  # idempotent
         for m in months:
-            compact_month(spark, f"{tmp_dir}/landing", f"{tmp_dir}/table", m)
+            compact_month(spark, f"{tmp_dir}/landing", f"{tmp_dir}/table", m, f"{tmp_dir}/stage-{run}-{m}")
     table = read_logs(spark, f"{tmp_dir}/table")
     assert table.count() == landing.count() == table.select("id").distinct().count()
     assert sorted(r.id for r in table.collect()) == sorted(r.id for r in landing.collect())
@@ -109,3 +113,53 @@ def test_stream_ingest_from_json_lines(spark, tmp_dir):
     out = spark.read.parquet(f"{tmp_dir}/logs")
     batch = enrich.to_logs(enrich.ingest_records(raw, fx.projects(spark, SF)))
     assert sorted(map(tuple, out.select(*COLS).collect())) == sorted(map(tuple, batch.select(*COLS).collect()))
+
+
+def _requests(rows):
+    return "id string, timestamp timestamp_ntz", [(str(i), t) for i, t in enumerate(rows)]
+
+
+def test_rate_audit_keeps_late_and_replayed_requests(spark, tmp_dir):
+    import datetime as dt
+
+    from logsmith.operators import requests as reqs
+    from logsmith.streaming import rate
+
+    base = dt.datetime(2024, 1, 5, 10)
+    times = [base + dt.timedelta(seconds=37 * i % 4000, milliseconds=i % 3) for i in range(400)]
+    late = [base - dt.timedelta(days=31, seconds=5 * i) for i in range(20)]
+    schema, rows = _requests(times + late + times[:50])
+    df = spark.createDataFrame(rows, schema)
+    for k in range(5):  # out of order; the last files are a month late
+        df.where(f"int(id) % 5 = {k}" if k < 4 else "int(id) % 5 = 4").coalesce(1).write.parquet(f"{tmp_dir}/in/part={k}")
+    for permit, minutes in ((5, 15), (0, 15), (1200, 60)):
+        sink = f"{tmp_dir}/sink-{permit}"
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/in/*")
+        q = rate.start_rate_audit(spark, stream, sink, f"{sink}-ckpt", available_now=True, permit=permit, window_minutes=minutes)
+        q.awaitTermination()
+        got = rate.audit(spark.read.parquet(sink), permit=permit, window_minutes=minutes)
+        want = reqs.rate_audit(df, permit=permit, window_minutes=minutes)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        windows = {}
+        for _, t in rows:
+            windows.setdefault(dt.datetime(1970, 1, 1) + (t - dt.datetime(1970, 1, 1)) // dt.timedelta(minutes=minutes) * dt.timedelta(minutes=minutes), []).append(t)
+        brute = {w: (len(ts), sorted(ts)[permit] if len(ts) > permit else None) for w, ts in windows.items()}
+        assert {r.window_start: (r.requests, r.first_rejected_at) for r in want.collect()} == brute
+        let = reqs.permitted_requests(df, permit=permit, window_minutes=minutes)
+        assert let.count() == sum(min(len(ts), permit) for ts in windows.values())
+
+
+def test_tail_sink_holds_no_more_than_it_shows(spark, tmp_dir):
+    from logsmith.schema import LOGS_SCHEMA
+    from logsmith.streaming import tail
+
+    logs = fx.logs(spark, SF)
+    logs.repartition(6).write.parquet(f"{tmp_dir}/logs")
+    stream = spark.readStream.schema(LOGS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/logs")
+    q = tail.start_tail(spark, stream, None, f"{tmp_dir}/tail", f"{tmp_dir}/ckpt", available_now=True, rows=7)
+    q.awaitTermination()
+    held = tail.read_tail(spark, f"{tmp_dir}/tail", LOGS_SCHEMA)
+    want = sorted(logs.collect(), key=lambda r: (-r.timestamp.timestamp(), r.id))[:7]
+    assert held.count() == 7 and [r.id for r in tail.newest(held).collect()] == [r.id for r in want]
+    assert len([d for d in os.listdir(f"{tmp_dir}/tail") if d.startswith("version-")]) <= 2
+    assert tail.read_tail(spark, f"{tmp_dir}/none", LOGS_SCHEMA).count() == 0

@@ -1,33 +1,33 @@
-"""Traces: the documented 8-entry timeline, the 500 cap, and a hot trace."""
+"""Traces: a short timeline, the 500 cap, and a hot trace."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from logsmith.operators import traces
 
 BASE = dt.datetime(2024, 1, 15, 10, 0, 0)
-GOLDEN = [
-    (0, "api-gateway", "Info"), (50, "auth-service", "Debug"), (120, "auth-service", "Info"),
-    (200, "order-service", "Info"), (350, "order-service", "Debug"), (500, "payment-service", "Info"),
-    (800, "payment-service", "Error"), (850, "api-gateway", "Warning"),
+STEPS = [
+    (0, "edge", "Info"), (12, "cart", "Trace"), (31, "cart", "Info"), (75, "stock", "Debug"),
+    (140, "cart", "Warning"), (333, "mailer", "Error"), (990, "edge", "Info"),
 ]
 COLS = "id string, timestamp timestamp_ntz, level string, app_name string, message string, metadata string, " \
        "exception_type string, source string, trace_id string"
 
 
-def rows(entries, trace="abc-123-def-456"):
+def rows(entries, trace="walk-1"):
     return [(f"{trace}-{i:05d}", BASE + dt.timedelta(milliseconds=ms), lvl, app, f"m{i}", "{}", "", "", trace)
             for i, (ms, app, lvl) in enumerate(entries)]
 
 
 def test_golden_timeline(spark):
-    df = spark.createDataFrame(rows(GOLDEN), COLS)
-    tl = traces.trace_timeline(df, "abc-123-def-456").orderBy("entry_no").collect()
-    assert [r.offset_ms for r in tl] == [0, 50, 120, 200, 350, 500, 800, 850]
-    s = traces.trace_summary(df, "abc-123-def-456").first()
-    assert s.total_duration_ms == 850.0 and s.entry_count == 8 and s.has_errors
-    assert s.services == "api-gateway,auth-service,order-service,payment-service" and s.service_count == 4
+    df = spark.createDataFrame(rows(STEPS), COLS)
+    tl = traces.trace_timeline(df, "walk-1").orderBy("entry_no").collect()
+    assert [r.offset_ms for r in tl] == [0, 12, 31, 75, 140, 333, 990]
+    s = traces.trace_summary(df, "walk-1").first()
+    assert s.total_duration_ms == 990.0 and s.entry_count == 7 and s.has_errors
+    assert s.services == "edge,cart,stock,mailer" and s.service_count == 4
     assert traces.trace_timeline(df, "").count() == 0
 
 
@@ -44,8 +44,13 @@ def test_cap_501(spark):
         tl = traces.trace_timelines(df.repartition(4), buckets=salt)
         assert tl.count() == 500
         assert tl.agg(F.max("offset_ms")).first()[0] == 499.0
-    s = traces.trace_summaries(df).first()
-    assert s.entry_count == 500 and s.total_duration_ms == 499.0
+        assert {r.truncated for r in tl.collect()} == {True}
+    assert not traces.trace_timelines(df, cap=501).where("truncated").count()
+    for cap in (0, 1000):
+        with pytest.raises(ValueError):
+            traces.trace_timelines(df, cap=cap)
+    s = traces.trace_summaries(df).first()  # a summary sees every entry
+    assert s.entry_count == 501 and s.total_duration_ms == 500.0
     assert s.services == "svc-0,svc-1,svc-2"
 
 
@@ -69,8 +74,8 @@ def test_hot_trace_equals_brute_force(spark):
         for n, r in enumerate(rs[:500], 1):
             expect.add((t, r[0], n, (r[1] - first) / dt.timedelta(milliseconds=1)))
     assert got == expect
-    s = {r.trace_id: r for r in traces.trace_summaries(df, cap=500).collect()}
-    assert set(s) == {"hot", "cold"} and s["hot"].entry_count == 500 and not s["hot"].has_errors
+    s = {r.trace_id: r for r in traces.trace_summaries(df).collect()}
+    assert set(s) == {"hot", "cold"} and s["hot"].entry_count == 3000 and s["hot"].has_errors
 
 
 def test_offsets_are_wall_clock_in_any_session_zone(spark):
