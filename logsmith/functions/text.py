@@ -20,9 +20,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def pattern_mask(message="message") -> Column:
-    """Cut to the first 100 characters, then replace every digit run with ``*``."""
-    return F.regexp_replace(F.substring(_col(message), 1, PATTERN_PREFIX_CHARS), "[0-9]+", "*")
+def pattern_mask(message="message", prefix_chars: int | None = PATTERN_PREFIX_CHARS) -> Column:
+    """Cut to the first ``prefix_chars`` characters (``None``: the whole message), then
+    replace every digit run with ``*``."""
+    text = _col(message) if prefix_chars is None else F.substring(_col(message), 1, prefix_chars)
+    return F.regexp_replace(text, "[0-9]+", "*")
 
 
 def contains_ci(col, needle: str) -> Column:

@@ -41,10 +41,10 @@ def guard(value: int, bounds: tuple[int, int], name: str) -> int:
     return int(value)
 
 
-def clamp_page(page: int | None, page_size: int | None) -> tuple[int, int]:
-    """Page >= 1; size clamped to 1..500 (defaults 1 / 50)."""
+def clamp_page(page: int | None, page_size: int | None, max_size: int = MAX_PAGE_SIZE) -> tuple[int, int]:
+    """Page >= 1; size clamped to 1..``max_size`` (defaults 1 / 50 / 500)."""
     p = DEFAULT_PAGE if page is None else max(int(page), 1)
-    s = DEFAULT_PAGE_SIZE if page_size is None else min(max(int(page_size), 1), MAX_PAGE_SIZE)
+    s = DEFAULT_PAGE_SIZE if page_size is None else min(max(int(page_size), 1), max_size)
     return p, s
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsmith.functions.text import pattern_mask
+from logsmith.functions.text import PATTERN_PREFIX_CHARS, pattern_mask
 from logsmith.operators.filters import (
     HOURS_RANGE,
     LIMIT_RANGE,
@@ -32,9 +32,10 @@ DEFAULT_LIMIT = 50
 
 def log_patterns(df: DataFrame, as_of, hours: int = DEFAULT_HOURS, level: str | None = None, levels=None,
                  app_name: str | None = None, min_count: int = DEFAULT_MIN_COUNT,
-                 limit: int = DEFAULT_LIMIT) -> DataFrame:
+                 limit: int = DEFAULT_LIMIT, prefix_chars: int | None = PATTERN_PREFIX_CHARS) -> DataFrame:
     """Top recurring patterns: ``pattern, cnt, level, app_name, first_seen, last_seen,
-    sample_message`` ordered by count (ties: pattern, level, app_name)."""
+    sample_message`` ordered by count (ties: pattern, level, app_name). A pattern is taken from
+    the first ``prefix_chars`` characters of a message (``None``: from all of it)."""
     hours = guard(hours, HOURS_RANGE, "hours")
     min_count = guard(min_count, MIN_COUNT_RANGE, "min_count")
     limit = guard(limit, LIMIT_RANGE, "limit")
@@ -50,7 +51,7 @@ def log_patterns(df: DataFrame, as_of, hours: int = DEFAULT_HOURS, level: str |
     if app_name:
         preds.append(F.col("app_name") == app_name)
     keys = ["pattern", "level", "app_name"]
-    rows = df.where(conjunction(preds)).select(pattern_mask("message").alias("pattern"), "level", "app_name", "timestamp", "message")
+    rows = df.where(conjunction(preds)).select(pattern_mask("message", prefix_chars).alias("pattern"), "level", "app_name", "timestamp", "message")
     order = [F.col("cnt").desc(), *keys]
     winners = (
         rows.groupBy(*keys)

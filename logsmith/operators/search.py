@@ -1,11 +1,10 @@
 """Search: filtered count (A1), page envelope (A11), log page (K3/K4), request-log page
 (K5/A12) and keyset paging for deep pages.
 
-A page is ``orderBy(timestamp desc, id).offset(o).limit(n)``, which Spark plans as one
-distributed ``TakeOrderedAndProject`` (each task keeps its top ``o+n`` rows; no full sort,
-no shuffle of the table). With very many input tasks the final merge gets a tree level
-(``plans.topk``). Deep offsets cost ``o+n`` rows per task, so ``log_page_after`` offers
-keyset paging on ``(timestamp, id)`` whose cost does not grow with the page number.
+A page is ``orderBy(timestamp desc, id).offset(o).limit(n)`` with a first level that keeps the
+top ``o+n`` rows of groups of input tasks (``plans.topk``: no full sort, no shuffle of the
+table, a bounded final merge). Deep pages are found by counts per day and second;
+``log_page_after`` offers keyset paging on ``(timestamp, id)``.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsmith.functions.time import ts_lit
-from logsmith.operators.filters import AppLogFilter, LogFilter, clamp_page, filter_app_logs, filter_logs
+from logsmith.operators.filters import MAX_PAGE_SIZE, AppLogFilter, LogFilter, clamp_page, filter_app_logs, filter_logs
 from logsmith.plans.topk import ordered_page
 from logsmith.schema import APP_LOG_PAGE_COLUMNS, LOG_PAGE_COLUMNS
 
@@ -36,9 +35,10 @@ def log_count(df: DataFrame, f: LogFilter | None = None, page_size: int | None =
 
 
 def log_page(df: DataFrame, f: LogFilter | None = None, page: int | None = 1, page_size: int | None = 50,
-             columns=LOG_PAGE_COLUMNS) -> DataFrame:
-    """K3/K4: one page, newest first (ties broken by ``id``)."""
-    p, size = clamp_page(page, page_size)
+             columns=LOG_PAGE_COLUMNS, max_size: int = MAX_PAGE_SIZE) -> DataFrame:
+    """K3/K4: one page, newest first (ties broken by ``id``); a page size over ``max_size`` is
+    cut to it."""
+    p, size = clamp_page(page, page_size, max_size)
     return ordered_page(filter_logs(df, f).select(*columns), newest_first(), (p - 1) * size, size)
 
 

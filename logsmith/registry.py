@@ -812,6 +812,12 @@ def q_dashboard_rollup(spark, sf_dir):
     return stats.dashboard(fx.logs(spark, sf_dir), AS_OF)
 
 
+@register("top_apps_from_rollup", ORACLE["top_apps"])
+def q_top_apps_from_rollup(spark, sf_dir):
+    """A6 from the dashboard's one scan."""
+    return stats.top_apps_from(stats.dashboard(fx.logs(spark, sf_dir), AS_OF)).select("app_name", "log_count", "error_count")
+
+
 @register(
     "request_log_levels",
     fx.duck_with("requests") + _DUCK_REQUEST_LOG

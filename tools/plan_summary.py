@@ -16,16 +16,19 @@ def summarize(plan: str) -> dict:
         "hash exch": len(re.findall(r"Exchange hashpartitioning", plan)),
         "range exch": len(re.findall(r"Exchange rangepartitioning", plan)),
         "rr exch": len(re.findall(r"Exchange RoundRobinPartitioning", plan)),
+        "bcast exch": len(re.findall(r"BroadcastExchange", plan)),
         "single exch": len(re.findall(r"Exchange SinglePartition", plan)),
         "BHJ": len(re.findall(r"BroadcastHashJoin", plan)),
         "SMJ": len(re.findall(r"SortMergeJoin", plan)),
         "SHJ": len(re.findall(r"ShuffledHashJoin", plan)),
         "top-k": len(re.findall(r"TakeOrderedAndProject", plan)),
         "WGL partial": len(re.findall(r"WindowGroupLimit .*Partial", plan)),
-        "partial agg": sum(1 for ln in plan.splitlines() if "Aggregate(" in ln and "partial_" in ln),
+        "hash agg": len(re.findall(r"(?<!Object)HashAggregate\(", plan)),
+        "object agg": len(re.findall(r"ObjectHashAggregate\(", plan)),
+        "sort agg": len(re.findall(r"SortAggregate\(", plan)),
         "pushed": "yes" if re.search(r"PushedFilters: \[[^\]]+\]", plan) else "",
         "partition filters": "yes" if re.search(r"PartitionFilters: \[[^\]]+\]", plan) else "",
-        "python": "YES" if re.search(r"EvalPython|PythonUDF", plan) else "",
+        "python": "YES" if re.search(r"EvalPython|PythonUDF|MapInArrow|MapInPandas", plan) else "",
     }
 
 
