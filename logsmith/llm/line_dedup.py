@@ -122,8 +122,9 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CH
     near = _neighbours(fetched)
     kept = distinct.select("h1", "h2", "place").join(near, ["h1", "h2"], "left_anti").select("place.*")
     stay = kept.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("pos")).alias("_stay"))
-    whole = docs.select(
-        F.struct("*").alias("_row"),
+    names = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    whole = docs.select(  # the text travels once, as its lines
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"),
         F.col("doc_id").alias("_id"),
         F.xxhash64(text_col).alias("_hash"),
         F.split(F.col(text_col), "\n").alias("_lines"),
@@ -134,7 +135,6 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CH
     places = joined.select("_row", "_lines", F.array_sort(F.concat(F.coalesce("_stay", F.expr("array() :: array<int>")), short)).alias("_places"))
     left = F.transform("_places", lambda i: F.get("_lines", i))
     n, m = F.coalesce(F.size("_lines"), F.lit(0)), F.coalesce(F.size("_places"), F.lit(0))
-    names = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     out = places.select(
         *(F.col(f"_row.`{c}`").alias(c) for c in names),
         F.array_join(left, "\n").alias(text_col),
