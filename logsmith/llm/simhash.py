@@ -42,7 +42,7 @@ def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(size))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], "<u8")
+    hashes = np.fromiter((digest(s, SEED) for s in shingles), "<u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -61,6 +61,14 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
 
 
+def _commit(fs: pafs.FileSystem, temporary: str, final: str) -> None:
+    """Rename into place; what an earlier attempt left there has the same bytes and gives way
+    (stores differ in whether a rename replaces)."""
+    if fs.get_file_info(final).type != pafs.FileType.NotFound:
+        fs.delete_file(final)
+    fs.move(temporary, final)
+
+
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -132,7 +140,7 @@ class ShardWriter:
     def _finish(self) -> None:
         self.stream.close()
         self.stream = None
-        self.fs.move(self.temporary, f"{self.dir}/{self.name}")
+        _commit(self.fs, self.temporary, f"{self.dir}/{self.name}")
         self.files.append({"file": self.name, "bytes": self.size, "records": self.records, "sha256": self.digest.hexdigest()})
 
     def close(self) -> list[dict]:
@@ -142,7 +150,7 @@ class ShardWriter:
         temporary = f"{self.dir}/_temporary/{self.attempt}/{name}"
         with self.fs.open_output_stream(temporary, compression=None) as out:
             out.write(json.dumps(self.files).encode())
-        self.fs.move(temporary, f"{self.dir}/{name}")
+        _commit(self.fs, temporary, f"{self.dir}/{name}")
         return self.files
 
 
