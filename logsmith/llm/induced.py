@@ -21,8 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of queued tuples in memory before they go to files.
-QUEUE_BYTES = 64 << 20
-_BLOCK = 1 << 20
+QUEUE_BYTES = 16 << 20
+_BLOCK = 1 << 19
 
 
 def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ class SuffixSorter:
         stars = np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1
         rough = stars[np.argsort(x[stars], kind="stable")]
         ranks = self._named(stars, self._induce(rough, None))
-        m, levels, step = len(stars), [ranks], 1
+        m, levels, step = len(stars), [ranks.astype(np.int32)], 1
         # two symbols a name at least; a name tells its substring up to the next S* symbol
         while 2 * step < depth + 2 and int(ranks.max()) + 1 < m:
             after = np.zeros(m, np.int64)
@@ -267,9 +267,10 @@ class SuffixSorter:
             order = np.argsort(key, kind="stable")
             ranks = np.empty(m, np.int64)
             ranks[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-            levels.append(ranks)
+            levels.append(ranks.astype(np.int32))
             step *= 2
         order = np.argsort(ranks, kind="stable")
+        del ranks
         i, j = order[:-1].copy(), order[1:].copy()
         for k in range(len(levels) - 1, -1, -1):  # as many equal names as the levels tell
             width = 1 << k

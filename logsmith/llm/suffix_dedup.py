@@ -32,7 +32,7 @@ from logsmith.llm.induced import Shard
 
 DEPTH = 400
 #: Bytes of region text that are sorted together in a task.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 #: Regions up to this number (40 bytes each) are sent to all executors to fetch their bytes;
 #: more are fetched by a shuffled join.
 BROADCAST_REGIONS = 1_000_000
@@ -224,6 +224,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, sh
     document that has any."""
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_col).alias("text_hash"), utf8(text_col).alias("data"))
     cut = rows.select("id", "text_hash", F.explode(_regions_of(F.col("data"), depth)).alias("g")).select("id", "text_hash", "g.*")
+    cut = staged(cut, "suffix-cut")  # read twice
     met = cut.groupBy("h").agg(F.count("*").alias("c"), F.max("again").alias("again")).where("c > 1 or again").select("h")
     likely = staged(cut.join(met, "h", "left_semi"), "suffix-regions")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "start")
