@@ -1,6 +1,6 @@
 """Dashboard statistics (A2-A6) and facets.
 
-The reference runs five scans per dashboard load; here the four scalars are one
+The four scalars of a dashboard load are one
 conditional aggregate over the 24-hour window (partial aggregation per task, a single tiny
 final merge), and the top-apps list is one partial/final hash aggregate followed by a
 ``TakeOrderedAndProject`` top-k. Neither shuffles raw rows, so a hot app costs nothing

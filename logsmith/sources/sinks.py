@@ -2,7 +2,7 @@
 
 Stored layout (S12): partitioned by ``month``; within a month, files are range-partitioned
 and sorted by ``(app_name, level, timestamp)`` so Parquet row-group min/max statistics skip
-data for app / level / time predicates (the role of the reference's primary key), and
+data for app / level / time predicates (the role of a clustered key), and
 ``trace_id`` carries a bloom filter for trace lookups. Range
 partitioning samples the keys, so a hot app is split across tasks instead of landing in
 one. Appends (streaming micro-batches) only sort within their partitions; ``compact_month``
