@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logsmith.llm.token_counts import Memo
 
 #: Words kept in a worker's memory (two generations of it) and the longest one kept.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 120_000
 MEMO_CHARS = 40
 #: The file's pattern for texts of ASCII and Latin letters alone, where the standard library's
 #: faster engine has the same classes.
