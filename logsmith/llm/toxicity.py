@@ -30,10 +30,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logsmith.llm.common import utf8
 
-#: Training rows at most, of each label (the first by a hash of the id).
+#: Training rows at most, of each label (the first by a hash of the id). Each stands for as many
+#: rows as its label has of them, in the shares of terms and in the fit.
 TRAINING_ROWS = 8_000
 #: A term is in at least this many toxic training rows, this share of all of them, and this share of the rows that have it
-#: is toxic (counted as if a quarter row more had it).
+#: is toxic (counted as if a quarter clean row more had it).
 MIN_TOXIC_ROWS = 4
 MIN_TOXIC_SHARE = 0.01
 MIN_SHARE = 0.9
@@ -205,14 +206,16 @@ class Scorer:
 N_FEATURES = 12
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Intercept and weights by Newton steps on the ridge-penalised likelihood."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40, counted: np.ndarray | None = None) -> np.ndarray:
+    """Intercept and weights by Newton steps on the ridge-penalised likelihood; ``counted``: how
+    often each row counts."""
     z = np.column_stack([np.ones(len(x)), x])
+    counted = np.ones(len(x)) if counted is None else counted
     penalty = np.diag([1e-6] + [ridge] * x.shape[1])
     w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((z * (counted * p * (1 - p))[:, None]).T @ z + penalty, z.T @ (counted * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -253,13 +256,15 @@ def _terms(text: Column) -> Column:
     return terms(text)
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Words and word beginnings of the training rows (text, toxic) that tell toxic ones. Terms
-    are counted in Spark; at most ``MAX_TERMS`` come back."""
+def learn_lexicon(sample: DataFrame, stands_for: dict[int, float]) -> tuple[list[str], list[str]]:
+    """Words and word beginnings of the training rows (text, toxic) that tell toxic ones, a row
+    of each label counted as the rows it stands for. Terms are counted in Spark; at most
+    ``MAX_TERMS`` come back."""
     met = sample.select("toxic", F.explode(_terms(F.col("text"))).alias("term"))
     counted = met.groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     least = max(MIN_TOXIC_ROWS, MIN_TOXIC_SHARE * sample.where("toxic = 1").count())
-    share = F.col("bad") / (F.col("n") + 0.25)
+    toxic = stands_for[1] * F.col("bad")
+    share = toxic / (toxic + stands_for[0] * (F.col("n") - F.col("bad") + 0.25))
     likely = counted.where((F.col("bad") >= least) & (share >= MIN_SHARE))
     bad = {r["term"]: r["bad"] for r in likely.orderBy(F.desc("bad"), "term").limit(MAX_TERMS).collect()}
     words = [t for t in bad if not t.endswith("*")]
@@ -273,12 +278,15 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int = TRAINING_ROWS) -> Scorer:
-    """Learn from ``labels`` (training rows only) of at most ``most`` rows of each label."""
+    """Learn from ``labels`` (training rows only) of at most ``most`` rows of each label, at the
+    shares that the labels have in all of them."""
     named = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     one = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = lambda t: one.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = _texts(docs, first(1).unionByName(first(0)), text_col)
-    words, stems = learn_lexicon(sample)
+    rows_of = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
+    stands_for = {t: max(1.0, rows_of.get(t, 0) / most) for t in (0, 1)}
+    words, stems = learn_lexicon(sample, stands_for)
     scorer = Scorer(words, stems)
 
     @F.arrow_udf("array<double>")
@@ -289,7 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int
     rows = sample.select("toxic", seen("text").alias("x")).toPandas()  # at most 2 x ``most`` rows of N_FEATURES numbers
     y = rows["toxic"].to_numpy(np.float64)
     if len(set(y.tolist())) == 2:
-        scorer.weights = fit_logistic(np.stack(rows["x"].to_list()), y)
+        counted = np.where(y == 1, stands_for[1], stands_for[0])
+        scorer.weights = fit_logistic(np.stack(rows["x"].to_list()), y, counted=counted * len(y) / counted.sum())
     return scorer
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,31 @@ def test_toxicity_without_labels(frame):
     for labels in ([], [(1, 1, 0)]):
         scorer = toxicity.train(df, frame(labels, "doc_id long, quality int, toxic int"))
         assert [r.score for r in toxicity.with_toxicity(df, scorer).collect()] == [0.0]
+
+
+def test_toxicity_keeps_the_shares_of_the_labels(frame):
+    """A bounded sample of each label does not make terms and scores of balanced rows."""
+    rng = random.Random(4)
+    plain = [f"lorem{i}" for i in range(60)]
+    docs, labels = [], []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        words = [rng.choice(plain) for _ in range(12)]
+        if toxic:
+            words += ["gribblex"] + ["dolorous"] * (i % 20 == 0)
+        elif i % 30 == 1:
+            words.append("dolorous")  # 150 toxic rows, 100 clean ones
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    df, named = frame(docs), frame(labels, "doc_id long, quality int, toxic int")
+    scorer = toxicity.train(df, named, most=200)  # 200 of 300 toxic rows, 200 of 2700 clean ones
+    assert scorer.words == ["gribblex"] and scorer.stems == []
+    scores = [r.score for r in toxicity.with_toxicity(df, scorer).collect()]
+    assert abs(sum(scores) / len(scores) - 0.1) < 0.02  # the share of toxic rows
+
+
+def test_a_row_counts_as_the_rows_it_stands_for():
+    x, y = np.array([[0.0], [0.0], [1.0], [1.0]]), np.array([0.0, 1.0, 0.0, 1.0])
+    times = np.array([3, 1, 1, 4])
+    whole = toxicity.fit_logistic(np.repeat(x, times, 0), np.repeat(y, times))
+    assert np.allclose(toxicity.fit_logistic(x, y, counted=times.astype(float)), whole)
