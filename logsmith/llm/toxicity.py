@@ -33,11 +33,12 @@ from logsmith.llm.common import utf8
 #: Training rows at most, of each label (the first by a hash of the id). Each stands for as many
 #: rows as its label has of them, in the shares of terms and in the fit.
 TRAINING_ROWS = 8_000
-#: A term is in at least this many toxic training rows, this share of all of them, and this share of the rows that have it
-#: is toxic (counted as if a quarter clean row more had it).
+#: A term is in at least this many toxic training rows, this share of the rows that have it is
+#: toxic (counted as if a quarter clean row more had it), and the lower bound of that share, so
+#: many standard errors down (Wilson), is above the share of toxic rows in the sample.
 MIN_TOXIC_ROWS = 4
-MIN_TOXIC_SHARE = 0.01
 MIN_SHARE = 0.9
+STANDARD_ERRORS = 4.0
 #: Candidate terms at most, best first, and the lengths of word beginnings that are tried.
 MAX_TERMS = 2_000
 STEM_CHARS = (4, 5, 6, 7)
@@ -262,10 +263,12 @@ def learn_lexicon(sample: DataFrame, stands_for: dict[int, float]) -> tuple[list
     ``MAX_TERMS`` come back."""
     met = sample.select("toxic", F.explode(_terms(F.col("text"))).alias("term"))
     counted = met.groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    least = max(MIN_TOXIC_ROWS, MIN_TOXIC_SHARE * sample.where("toxic = 1").count())
+    chance = sample.agg(F.avg("toxic")).first()[0] or 0.0
     toxic = stands_for[1] * F.col("bad")
     share = toxic / (toxic + stands_for[0] * (F.col("n") - F.col("bad") + 0.25))
-    likely = counted.where((F.col("bad") >= least) & (share >= MIN_SHARE))
+    n, p, z2 = F.col("n"), F.col("bad") / F.col("n"), STANDARD_ERRORS**2
+    lower = (p + z2 / (2 * n) - F.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
+    likely = counted.where((F.col("bad") >= MIN_TOXIC_ROWS) & (share >= MIN_SHARE) & (lower > chance))
     bad = {r["term"]: r["bad"] for r in likely.orderBy(F.desc("bad"), "term").limit(MAX_TERMS).collect()}
     words = [t for t in bad if not t.endswith("*")]
     stems: list[str] = []

@@ -185,3 +185,12 @@ def test_a_row_counts_as_the_rows_it_stands_for():
     times = np.array([3, 1, 1, 4])
     whole = toxicity.fit_logistic(np.repeat(x, times, 0), np.repeat(y, times))
     assert np.allclose(toxicity.fit_logistic(x, y, counted=times.astype(float)), whole)
+
+
+def test_rare_terms_are_learnt_by_evidence(spark):
+    """A word of 6 of 800 toxic rows and of no clean one is a term, however many rows there are
+    besides; where half the rows are toxic, 6 rows of one label are chance."""
+    rows = [(f"lorem ipsum {'gribblex' if i < 6 else 'dolor'}", 1) for i in range(800)]
+    for clean, terms in ((3200, ["gribblex"]), (800, [])):
+        sample = spark.createDataFrame([*rows, *[("lorem ipsum dolor", 0)] * clean], "text string, toxic int")
+        assert toxicity.learn_lexicon(sample, {0: 1.0, 1: 1.0}) == (terms, [])
