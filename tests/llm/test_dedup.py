@@ -267,6 +267,25 @@ def test_forest_tells_junk_from_prose(frame):
     assert np.mean(good) > 0.98 and not any(kept[i] for i in range(0, 600, 6))
 
 
+def test_forest_rejects_a_rare_kind_of_junk(frame):
+    """Unbroken blobs are 6 of 100 bad rows; the others differ in symbols only."""
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(700):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(30, 120))]
+        blob = i >= 600 or i % 6 == 0 and i < 36
+        if blob:
+            words = [w * 40 for w in words]
+        elif i % 6 == 0:
+            words = ["%" * len(w) if rng.random() < 0.5 else w for w in words]
+        docs.append((i, " ".join(words)))
+        if i < 600:
+            labels.append((i, int(i % 6 > 0), 0))
+    kept = {r.doc_id: r.kept for r in quality.judge(frame(docs), frame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert np.mean([kept[i] for i in range(600) if i % 6]) > 0.98
+    assert not any(kept[i] for i in range(600, 700)) and not any(kept[i] for i in range(0, 600, 6))
+
+
 def test_repeated_windows_agree_with_counting():
     rng = random.Random(9)
     for _ in range(200):
