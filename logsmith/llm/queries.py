@@ -11,6 +11,7 @@ from logsmith.llm.chat import format_conversations, read_back
 from logsmith.llm.common import shipped, table
 from logsmith.llm.decontam import find_contamination
 from logsmith.llm.line_dedup import dedup_lines
+from logsmith.llm.merkle import row_hash, verify
 from logsmith.llm.quality import COUNTS, judge
 from logsmith.llm.simhash import near_duplicates
 from logsmith.llm.suffix_dedup import remove_repeats
@@ -104,6 +105,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = row_hash("doc_id", "source", "lang", n_chars, "text")
+    return verify(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", found)
+
+
 _ALL = [
     op1_token_counts,
     op2_line_dedup,
@@ -115,6 +124,7 @@ _ALL = [
     op8_bpe,
     op9_toxicity,
     op10_decontamination,
+    op13_merkle,
 ]
 QUERIES = {query.__name__: shipped(query) for query in _ALL}
 
@@ -209,5 +219,53 @@ items AS (
 SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    # crc32 by its bits: a byte is mixed in, then eight steps of one bit
+    "op13_merkle": """
+WITH RECURSIVE d AS (
+  SELECT *, 4294967295 - list_reduce(
+    flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(0, 8), lambda i: -1::BIGINT)))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT) AS crc
+  FROM documents
+), v AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n,
+    CASE WHEN crc % 7 = 0 THEN coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') END AS n_found,
+    coalesce(strlen(text) || ':' || text, '-') AS after
+  FROM d
+), leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, sha256(before || n || after) AS leaf,
+    sha256(before || coalesce(n_found, n) || after) AS found
+  FROM v
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size
+  FROM leaves
+), built AS (
+  SELECT tree, 0 AS level, pos, leaf AS h, size FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (size + 1) // 2
+  FROM built WHERE size > 1 GROUP BY tree, level, pos // 2, size
+), top AS (
+  SELECT 0 AS level, tree AS pos, h, count(*) OVER () AS size FROM built WHERE size = 1
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (size + 1) // 2
+  FROM top WHERE size > 1 GROUP BY level, pos // 2, size
+), climb AS (
+  SELECT tree, pos AS home, 0 AS level, pos, '' AS proof, found AS f, size FROM placed
+  UNION ALL
+  SELECT c.tree, c.home, c.level + 1, c.pos // 2, c.proof || coalesce(b.h, ''),
+    sha256(CASE WHEN c.pos % 2 = 1 THEN b.h || c.f ELSE c.f || coalesce(b.h, '') END), (c.size + 1) // 2
+  FROM climb c LEFT JOIN built b ON b.tree = c.tree AND b.level = c.level AND b.pos = xor(c.pos, 1) WHERE c.size > 1
+), ascent AS (
+  SELECT tree, home, 0 AS level, tree AS pos, proof, f, (SELECT max(size) FROM top) AS size FROM climb WHERE size = 1
+  UNION ALL
+  SELECT c.tree, c.home, c.level + 1, c.pos // 2, c.proof || coalesce(b.h, ''),
+    sha256(CASE WHEN c.pos % 2 = 1 THEN b.h || c.f ELSE c.f || coalesce(b.h, '') END), (c.size + 1) // 2
+  FROM ascent c LEFT JOIN top b ON b.level = c.level AND b.pos = xor(c.pos, 1) WHERE c.size > 1
+)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(a.proof) AS proof_sha256, a.f AS folded_root, a.f = r.h AS verified
+FROM placed p JOIN ascent a ON a.tree = p.tree AND a.home = p.pos AND a.size = 1
+  JOIN built s ON s.tree = p.tree AND s.size = 1 CROSS JOIN (SELECT h FROM top WHERE size = 1) r
 """,
 }
