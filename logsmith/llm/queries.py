@@ -10,6 +10,7 @@ from logsmith.llm.bpe import with_bpe
 from logsmith.llm.chat import format_conversations, read_back
 from logsmith.llm.common import shipped, table
 from logsmith.llm.decontam import find_contamination
+from logsmith.llm.lexical import rank_documents
 from logsmith.llm.line_dedup import dedup_lines
 from logsmith.llm.merkle import row_hash, verify
 from logsmith.llm.quality import COUNTS, judge
@@ -105,6 +106,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -124,6 +129,7 @@ _ALL = [
     op8_bpe,
     op9_toxicity,
     op10_decontamination,
+    op12_lexical,
     op13_merkle,
 ]
 QUERIES = {query.__name__: shipped(query) for query in _ALL}
@@ -219,6 +225,32 @@ items AS (
 SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op12_lexical": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), s AS (SELECT count(*) AS docs, sum(len(words))::BIGINT AS terms FROM d WHERE len(words) > 0),
+m AS (
+  SELECT r, doc_id, 100 - 75 + ((75 * len(words) * (SELECT docs FROM s)) // (SELECT terms FROM s)) AS m FROM d WHERE len(words) > 0
+), i AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * (SELECT docs FROM s) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY term
+), scored AS (
+  SELECT item_id, r, sum(w * times * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r
+), ranked AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+  FROM scored JOIN m USING (r) WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
 """,
     # crc32 by its bits: a byte is mixed in, then eight steps of one bit
     "op13_merkle": """
