@@ -6,6 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logsmith.llm.ann import nearest
 from logsmith.llm.bpe import with_bpe
 from logsmith.llm.chat import format_conversations, read_back
 from logsmith.llm.common import shipped, table
@@ -106,6 +107,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20)
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -129,6 +134,7 @@ _ALL = [
     op8_bpe,
     op9_toxicity,
     op10_decontamination,
+    op11_ann,
     op12_lexical,
     op13_merkle,
 ]
