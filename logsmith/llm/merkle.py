@@ -8,7 +8,9 @@ a row that links to its parent link, the block's top node, with the siblings on
 ``stride = 1`` stores plain parents. A recursive query of Spark then climbs: all leaves ascend
 together, one link a step, and each appends the siblings that it meets to its proof and folds
 them into its own hash. The subroots of the groups are the leaves of the top tree, so that one
-climb leads from a leaf to the root of the dataset.
+climb leads from a leaf to the root of the dataset. Links of leaves stand in the table of the
+leaves, which start with them; the links above are fewer by a factor of ``2 ** stride``, and
+Spark broadcasts them or not by their size.
 
 Defined results: a null value is hashed as ``-``, so it differs from an empty one; equal group
 values, null included, are one group; rows are ordered by the order column (null first) and
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from logsmith.llm.common import staged
 
 #: Levels that one link climbs: blocks of 2 ** STRIDE nodes are built in one group.
-STRIDE = 8
+STRIDE = 10
 #: The group number of the top tree, whose leaves are the subroots.
 TOP = -1
 #: Rows of a recursive query are bounded by Spark unless this setting lifts it.
@@ -46,17 +48,13 @@ def row_hash(*cols: Column | str) -> Column:
     return F.unhex(F.sha2(F.concat(*map(encoded, cols)), 256))
 
 
-def _text(digest: str) -> str:
-    return f"lower(hex({digest}))"
-
-
 @dataclass
 class Manifest:
-    """``leaves``: the rows that were given with ``tree``, ``pos`` and ``height``. ``nodes``: rows
-    ``tree, level, pos, up_tree, up_level, up_pos, path, subroot`` (the parent link, the siblings
-    on the way as ``left`` and ``digest``, and the subroot where the link leads to one). ``root``:
-    lower-case hex, none of an empty table. ``height``: levels of the top tree. ``links``: most
-    links from a leaf to the root."""
+    """``leaves``: the rows that were given with their links, ``nodes``: the links above them. A
+    link: ``tree, level, pos`` of the node, ``up_tree, up_level, up_pos`` of the one it leads to,
+    ``path`` (the siblings on the way; null where a node is alone) and ``subroot`` (where it leads
+    to one). ``root``: lower-case hex, none of an empty table. ``height``: levels of the top tree.
+    ``links``: most links from a leaf to the root."""
 
     leaves: DataFrame
     nodes: DataFrame
@@ -108,48 +106,60 @@ def height_of(total: Column | str) -> Column:
     return F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1))).cast("int")
 
 
-def _block(members: DataFrame, level: int, stride: int) -> DataFrame:
-    """One row per node of ``members`` (``tree, pos, height, digest``, all at ``level``): its link
-    ``steps`` levels up, the siblings on the way and the digest of the node it links to."""
+def _links(members: DataFrame, level: int, stride: int) -> DataFrame:
+    """Nodes (``tree, pos, height, digest`` and what else they carry, all at ``level``) with their
+    links ``steps`` levels up and ``up_digest``, the digest of the node that the link leads to."""
     # digests are hashed as hex text; lv0 is the block in order, lv<i> the level i above it
-    steps = F.least(F.lit(stride), F.col("height") - level)
+    carried = [c for c in members.columns if c not in ("tree", "height")]
     out = members.groupBy("tree", "height", F.shiftright("pos", stride).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.lower(F.hex("digest")).alias("h")))).alias("m")
+        F.array_sort(F.collect_list(F.struct(*carried))).alias("m")  # pos comes first
     )
-    out = out.withColumn("steps", steps).withColumn("lv0", F.expr("transform(m, x -> x.h)"))
+    steps = F.least(F.lit(stride), F.col("height") - level)
+    out = out.withColumn("steps", steps).withColumn("lv0", F.expr("transform(m, x -> lower(hex(x.digest)))"))
     for i in range(1, stride + 1):
-        up = f"transform(sequence(0, (size(lv{i - 1}) - 1) div 2), k -> sha2(concat(lv{i - 1}[2 * k], coalesce(get(lv{i - 1}, int(2 * k + 1)), '')), 256))"
+        pairs = f"sequence(0, (size(lv{i - 1}) - 1) div 2)"
+        up = f"transform({pairs}, k -> sha2(concat(lv{i - 1}[2 * k], coalesce(get(lv{i - 1}, int(2 * k + 1)), '')), 256))"
         out = out.withColumn(f"lv{i}", F.expr(f"if(steps >= {i}, {up}, cast(array() as array<string>))"))
     levels = ", ".join(f"lv{i}" for i in range(stride))
-    path = (
-        "transform(slice(levels, 1, steps), (lv, i) -> struct("
-        "(shiftright(j, i) & 1) = 1 as left, unhex(get(lv, int(shiftright(j, i) ^ 1))) as digest))"
-    )
+    path = "transform(slice(levels, 1, steps), (lv, i) -> unhex(get(lv, int(shiftright(j, i) ^ 1))))"
     out = out.withColumns({"levels": F.expr(f"array({levels})"), "top": F.expr(f"array({levels}, lv{stride})[steps][0]")})
+    out = out.select(
+        "tree", "height", (F.lit(level) + F.col("steps")).alias("up_level"), "block", F.unhex("top").alias("up_digest"),
+        F.expr(f"explode(transform(m, (x, j) -> struct(x as node, {path} as path)))").alias("x"),
+    )
+    at_top = F.col("up_level") == F.col("height")
+    inner = (F.col("tree") != TOP) & at_top  # the link leads to a subroot, a leaf of the top tree
     return out.select(
         "tree",
+        F.lit(level).alias("level"),
+        *(F.col(f"x.node.{c}").alias(c) for c in carried),
+        F.when(inner, F.lit(TOP).cast("long")).otherwise(F.col("tree")).alias("up_tree"),
+        F.when(inner, 0).otherwise(F.col("up_level")).alias("up_level"),
+        F.when(inner, F.col("tree")).otherwise(F.col("block")).alias("up_pos"),
         "height",
-        (F.lit(level) + F.col("steps")).alias("up_level"),
-        F.col("block").alias("_block"),
-        "steps",
-        F.unhex("top").alias("up_digest"),
-        F.expr(f"explode(transform(m, (x, j) -> struct(x.pos as pos, {path} as path)))").alias("x"),
-    ).select("tree", "height", F.col("x.pos").alias("pos"), F.col("x.path").alias("path"), "up_level", "_block", "up_digest")
+        at_top.alias("at_top"),
+        "up_digest",
+        F.col("x.path").alias("path"),
+        F.when(inner, F.col("up_digest")).alias("subroot"),
+    )
 
 
-def _build(members: DataFrame, most: int, stride: int, lone: bool) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Links of every node of the levels 0, stride, ... and the tops of the trees, by rounds.
-    ``lone``: a tree of one leaf gets a link, too (to itself as the top)."""
+def _tops(links: DataFrame, stride: int) -> DataFrame:
+    """What the links lead to, each node once."""
+    once = links.where(F.col("pos") % (1 << stride) == 0)
+    return once.select("tree", F.shiftright("pos", stride).alias("pos"), "height", F.col("up_digest").alias("digest"), "at_top")
+
+
+def _build(members: DataFrame, height: int, stride: int) -> tuple[list[DataFrame], DataFrame]:
+    """Links of all levels, bottom first, and the tops of the trees."""
     links, tops, level = [], [], 0
-    while level < max(most, 1):
-        todo = members if level == 0 and lone else members.where(F.col("height") > level)
-        made = staged(_block(todo, level, stride), "merkle-links")
-        links.append(made.withColumn("level", F.lit(level)))
-        ups = made.where(F.col("pos") % (1 << stride) == 0)  # one row of each block
-        tops.append(ups.where("up_level = height").select("tree", F.col("up_digest").alias("digest")))
-        members = ups.where("up_level < height").select("tree", F.col("_block").alias("pos"), "height", F.col("up_digest").alias("digest"))
+    while not links or level < height:
+        links.append(staged(_links(members, level, stride), "merkle-links"))
+        made = _tops(links[-1], stride)
+        tops.append(made.where("at_top").select("tree", "digest"))
+        members = made.where("not at_top").select("tree", "pos", "height", "digest")
         level += stride
-    return links, tops
+    return links, _union(tops)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -159,80 +169,64 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+_LINK = ["tree", "level", "pos", "up_tree", "up_level", "up_pos", "path", "subroot"]
+
+
 def build_manifest(leaves: DataFrame, group: str, order: str, digest: str = "leaf", stride: int = STRIDE) -> Manifest:
-    """Build all trees over ``leaves`` (one row per leaf; ``digest`` is its binary hash)."""
-    spark = leaves.sparkSession
-    placed = numbered(leaves, group, order, digest)
-    placed = staged(placed.withColumn("height", height_of("total")).drop("total"), "merkle-leaves")
+    """Build all trees over ``leaves`` (one row per leaf; ``digest`` is its binary hash, the other
+    columns have to be orderable; names of links and ``height`` are taken)."""
+    placed = numbered(leaves, group, order, digest).withColumn("height", height_of("total")).drop("total", group)
+    placed = staged(placed.withColumnRenamed(digest, "digest"), "merkle-leaves")
+    placed = placed.select("tree", "height", "pos", *[c for c in placed.columns if c not in ("tree", "height", "pos")])
     shape = placed.agg(F.max("height"), F.max("tree")).first()
-    most, groups = shape[0] or 0, (shape[1] + 1 if shape[1] is not None else 0)
-    links, tops = _build(placed.select("tree", "pos", "height", F.col(digest).alias("digest")), most, stride, lone=True)
-    at_top = F.col("up_level") == F.col("height")
-    nodes = [
-        part.select(
-            "tree",
-            "level",
-            "pos",
-            F.when(at_top, F.lit(TOP).cast("long")).otherwise(F.col("tree")).alias("up_tree"),
-            F.when(at_top, 0).otherwise(F.col("up_level")).alias("up_level"),
-            F.when(at_top, F.col("tree")).otherwise(F.col("_block")).alias("up_pos"),
-            "path",
-            F.when(at_top, F.col("up_digest")).alias("subroot"),
-        )
-        for part in links
-    ]
-    height = max(groups - 1, 0).bit_length()
-    subroots = _union(tops).select(
-        F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(height).alias("height"), "digest"
+    trees = 0 if shape[1] is None else shape[1] + 1
+    (bottom, *upper), subroots = _build(placed, shape[0] or 0, stride)
+    height = max(trees - 1, 0).bit_length()
+    top = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(height).alias("height"), "digest")
+    top_links, top = _build(top, height, stride) if height else ([], top)
+    root = top.select(F.lower(F.hex("digest"))).first()
+    nodes = [x.select(_LINK) for x in upper + top_links] or [bottom.select(_LINK).where(F.lit(False))]
+    leaves = bottom.drop("height", "at_top", "up_digest").withColumnRenamed("digest", digest)
+    return Manifest(leaves, _union(nodes), root[0] if root else None, height, len(nodes) + 1)
+
+
+def _climbed(path: str, pos: str, proof: str, folded: str) -> str:
+    """The proof with the siblings of a path, and the hash folded with them, as SQL."""
+    step = (
+        "CASE WHEN x IS NULL THEN hex(a.h) WHEN a.p & 1 = 1 THEN concat(hex(x), hex(a.h)) ELSE concat(hex(a.h), hex(x)) END"
     )
-    top_links, top_tops = _build(subroots, height, stride, lone=False) if height else ([], [])
-    nodes += [
-        part.select(
-            "tree", "level", "pos", F.col("tree").alias("up_tree"), "up_level", F.col("_block").alias("up_pos"), "path",
-            F.lit(None).cast("binary").alias("subroot"),
-        )
-        for part in top_links
-    ]
-    root = _union(top_tops or [subroots]).select(F.lower(F.hex("digest"))).first()
-    return Manifest(placed, staged(_union(nodes), "merkle-nodes"), root[0] if root else None, height, len(links) + len(top_links))
+    return f"""aggregate({path}, {proof}, (p, x) -> concat(p, coalesce(x, X''))),
+    aggregate({path}, struct({folded} AS h, {pos} AS p),
+      (a, x) -> struct(unhex(sha2(lower({step}), 256)) AS h, shiftright(a.p, 1) AS p), a -> a.h)"""
 
 
 _CLIMB = f"""
 WITH RECURSIVE climb(row, tree, level, pos, subroot, proof, folded) MAX RECURSION LEVEL {{most}} AS (
-  SELECT row, tree, level, pos, CAST(NULL AS BINARY), CAST('' AS BINARY), folded FROM {{leaves}}
+  SELECT row, up_tree, up_level, up_pos, subroot, {_climbed('path', 'pos', "X''", 'found')} FROM {{leaves}}
   UNION ALL
-  SELECT c.row, n.up_tree, n.up_level, n.up_pos, coalesce(c.subroot, n.subroot),
-    aggregate(n.path, c.proof, (p, x) -> concat(p, coalesce(x.digest, CAST('' AS BINARY)))),
-    aggregate(n.path, c.folded, (h, x) -> CASE
-      WHEN x.digest IS NULL THEN sha2(h, 256)
-      WHEN x.left THEN sha2(concat({_text('x.digest')}, h), 256)
-      ELSE sha2(concat(h, {_text('x.digest')}), 256) END)
+  SELECT c.row, n.up_tree, n.up_level, n.up_pos, coalesce(c.subroot, n.subroot), {_climbed('n.path', 'c.pos', 'c.proof', 'c.folded')}
   FROM climb c JOIN {{nodes}} n ON c.tree = n.tree AND c.level = n.level AND c.pos = n.pos
 )
 SELECT row, subroot, proof, folded FROM climb WHERE tree = {TOP} AND level = {{height}}
 """
 
 
-def _lifted(spark: SparkSession, key: str, value: str):
-    """Set a session setting and return what undoes it."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    return (lambda: spark.conf.unset(key)) if before is None else (lambda: spark.conf.set(key, before))
-
-
-def climb(manifest: Manifest, starts: DataFrame) -> DataFrame:
-    """Let rows ascend to the root. ``starts``: ``row`` (an id that is carried along), the leaf
-    that it stands for (``tree``, ``pos``) and ``folded``, the hash to start with as hex text.
-    Returns ``row, subroot, proof`` (binary, the siblings in order) and ``folded``."""
-    spark = starts.sparkSession
+def climb(manifest: Manifest, row: Column, found: Column, *results: Column) -> DataFrame:
+    """Let the leaves ascend to the root: ``found`` is the binary hash that a leaf starts with,
+    ``row`` what it carries along. Returns ``row``, ``subroot``, ``proof`` (the siblings in order)
+    and ``folded``, all binary, or the given ``results`` made of them."""
+    spark = manifest.leaves.sparkSession
     names = {"leaves": "_merkle_leaves", "nodes": "_merkle_nodes"}
-    starts.select("row", "tree", F.lit(0).alias("level"), "pos", "folded").createOrReplaceTempView(names["leaves"])
+    link = [c for c in _LINK if c not in ("tree", "level")]
+    manifest.leaves.select(*link, row.alias("row"), found.alias("found")).createOrReplaceTempView(names["leaves"])
     manifest.nodes.createOrReplaceTempView(names["nodes"])
-    undo = _lifted(spark, _ROW_LIMIT, "-1")
+    before = spark.conf.get(_ROW_LIMIT, None)
+    spark.conf.set(_ROW_LIMIT, "-1")
     try:  # the steps run here, while the limit is lifted; what is returned reads their result
-        return staged(spark.sql(_CLIMB.format(height=manifest.height, most=manifest.links + 1, **names)), "merkle-climb")
+        out = spark.sql(_CLIMB.format(height=manifest.height, most=manifest.links + 1, **names))
+        return staged(out.select(*results) if results else out, "merkle-climb")
     finally:
-        undo()
+        spark.conf.unset(_ROW_LIMIT) if before is None else spark.conf.set(_ROW_LIMIT, before)
         for name in names.values():
             spark.catalog.dropTempView(name)
 
@@ -245,18 +239,17 @@ def verify(docs: DataFrame, cols: list[str], group: str, order: str, tampered: C
         F.col(group).alias("_by"), F.col(order).alias("_order"), row_hash(*cols).alias("leaf"), tampered.alias("_found")
     )
     manifest = build_manifest(rows, "_by", "_order", stride=stride)
-    # a leaf's tree and place name it: the climb carries nothing else of it
-    at = F.struct("tree", "pos").alias("row")
-    climbed = climb(manifest, manifest.leaves.select(at, "tree", "pos", F.lower(F.hex("_found")).alias("folded")))
-    c = climbed.select("row.tree", "row.pos", "subroot", "proof", "folded")
-    joined = manifest.leaves.join(c, ["tree", "pos"])
     root = F.lit(manifest.root)
-    return joined.select(
-        F.col("_order").alias(order),
-        F.lower(F.hex("leaf")).alias("leaf"),
+    folded = F.lower(F.hex("folded"))
+    return climb(
+        manifest,
+        F.struct("_order", "leaf"),
+        F.col("_found"),
+        F.col("row._order").alias(order),
+        F.lower(F.hex("row.leaf")).alias("leaf"),
         F.lower(F.hex("subroot")).alias("subroot"),
         root.alias("root"),
         F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"),
-        F.col("folded").alias("folded_root"),
-        (F.col("folded") == root).alias("verified"),
+        folded.alias("folded_root"),
+        (folded == root).alias("verified"),
     )
