@@ -53,13 +53,19 @@ def _not_an_object(body: str) -> Column:
     return ~F.coalesce(F.col(body).rlike(r"^\s*\{"), F.lit(False))
 
 
+def _may_hold_text(body: str) -> Column:
+    """Whether the body can hold a ``metadata`` that is a JSON string: only then is its kind
+    worth a second look at the body (an escaped name, as ``met\\u0061data``, counts as one)."""
+    return F.col(body).rlike(r'"metadata"\s*:\s*"|\\u')
+
+
 def parse_records(raw: DataFrame, body: str = "body") -> DataFrame:
     """Adds ``rec`` (parsed body, ``metadata`` as JSON text) and ``malformed``."""
     rec = F.from_json(F.col(body), _BODY_WITH_CORRUPT, _JSON_OPTS)
     kind = F.from_json(F.col(body), "metadata variant")
     parsed = raw.withColumn("rec", rec)
     parsed = parsed.withColumn("malformed", _not_an_object(body) | F.col("rec").isNull() | F.col(f"rec.{CORRUPT}").isNotNull())
-    text = json_text(F.col("rec.metadata"), kind["metadata"])
+    text = F.when(_may_hold_text(body), json_text(F.col("rec.metadata"), kind["metadata"])).otherwise(F.col("rec.metadata"))
     return parsed.withColumn("rec", F.when(F.col("rec").isNotNull(), F.col("rec").withField("metadata", text)))
 
 
@@ -72,8 +78,9 @@ def parse_envelopes(raw: DataFrame, body: str = "body") -> DataFrame:
     bad = bad | F.coalesce(F.exists("_env.logs", lambda x: x.isNull()), F.lit(False))
     both = F.zip_with(
         "_env.logs", "_kinds.logs", lambda r, k: r.withField("metadata", json_text(r["metadata"], k["metadata"])))
-    parsed = raw.withColumn("_env", env).withColumn("_kinds", kinds).withColumn("malformed", bad)
-    return parsed.withColumn("_items", F.when(~F.col("malformed"), both)).drop("_env", "_kinds")
+    parsed = raw.withColumn("_env", env).withColumn("_kinds", F.when(_may_hold_text(body), kinds)).withColumn("malformed", bad)
+    items = F.when(F.col("_kinds").isNotNull(), both).otherwise(F.col("_env.logs"))
+    return parsed.withColumn("_items", F.when(~F.col("malformed"), items)).drop("_env", "_kinds")
 
 
 def explode_batches(classified: DataFrame, id_col: str = "raw_id") -> DataFrame:

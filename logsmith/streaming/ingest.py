@@ -7,7 +7,8 @@ refreshed key cache), each batch gets ONE processing-time stamp taken on the dri
 the outputs are written below ``batch_id=<id>/``, which a replayed batch overwrites as a whole:
 it leaves no duplicates, also when its replay falls into another month. The checkpoint location
 makes the source offsets durable. ``sources.sinks.compact_month`` folds the batches of a month
-into the stored table, which bounds the number of directories.
+into the stored table, which bounds the number of directories. A table under a manifest takes a
+batch in one commit instead, and ``compact`` works beside the stream.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from logsmith.functions.time import fmt_ts, month_key
 from logsmith.operators import enrich, requests
 from logsmith.schema import RAW_LOGS_SCHEMA, LOGS_SCHEMA
-from logsmith.sources.ingest import parse_records
+from logsmith.sources.ingest import explode_batches, parse_envelopes, parse_records
+from logsmith.sources.manifest import ManifestTable
 
 # Micro-batch cadence of the two ingest queues (seconds).
 LOG_TRIGGER = "1 second"
@@ -79,32 +81,44 @@ class ProjectLookup:
         return self._df
 
 
-def log_ingest_batch(projects_loader: Callable[[], DataFrame], logs_path: str, rejected_path: str,
-                     refresh_seconds: float = PROJECT_REFRESH_SECONDS):
-    """The ``foreachBatch`` body of T1."""
+def log_ingest_batch(projects_loader: Callable[[], DataFrame], logs: str | ManifestTable, rejected: str | ManifestTable,
+                     refresh_seconds: float = PROJECT_REFRESH_SECONDS, envelopes: bool = False, writer: str = "ingest"):
+    """The ``foreachBatch`` body of T1. Sinks are landing folders or tables under a manifest, which
+    take a batch in one commit, once. ``envelopes``: the batch holds parsed batch bodies (S5), each
+    of which is accepted with all its records or rejected as a whole."""
     lookup = ProjectLookup(projects_loader, refresh_seconds)
 
+    def write(rows: DataFrame, sink: str | ManifestTable, batch_id: int, ts_col: str) -> None:
+        if isinstance(sink, ManifestTable):
+            sink.append(rows, (writer, int(batch_id)))
+        else:
+            write_batch_partitions(rows, sink, batch_id, ts_col=ts_col)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         stamp = F.lit(fmt_ts(batch_stamp())).cast("timestamp_ntz")
-        classified = enrich.classify(batch.withColumn("_stamp", stamp), lookup=lookup.get()).persist()
+        classified = enrich.classify(batch.withColumn("_stamp", stamp), lookup=lookup.get())
+        classified = (explode_batches(classified) if envelopes else classified).persist()
         try:
-            accepted = enrich.to_logs(classified, at="_stamp").select(*[f.name for f in LOGS_SCHEMA.fields])
-            write_batch_partitions(accepted, logs_path, batch_id)
-            write_batch_partitions(enrich.rejected(classified), rejected_path, batch_id, ts_col="received_at")
+            accepted = enrich.to_logs(classified, "entry_id" if envelopes else "raw_id", at="_stamp")
+            write(accepted.select(*[f.name for f in LOGS_SCHEMA.fields]), logs, batch_id, "timestamp")
+            write(enrich.rejected(classified), rejected, batch_id, "received_at")
         finally:
             classified.unpersist()
 
     return run
 
 
-def start_log_ingest(spark: SparkSession, raw_path: str, projects_loader: Callable[[], DataFrame], logs_path: str,
-                     rejected_path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = False,
-                     max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None):
-    """Start the ingest query; ``available_now`` drains what exists and stops."""
-    parsed = parse_records(
-        read_raw_stream(spark, raw_path, fmt, max_files_per_trigger, max_bytes_per_trigger=max_bytes_per_trigger))
-    w = (parsed.writeStream.foreachBatch(log_ingest_batch(projects_loader, logs_path, rejected_path))
-         .option("checkpointLocation", checkpoint))
+def start_log_ingest(spark: SparkSession, raw_path: str, projects_loader: Callable[[], DataFrame],
+                     logs_path: str | ManifestTable, rejected_path: str | ManifestTable, checkpoint: str, fmt: str = "parquet",
+                     available_now: bool = False, max_files_per_trigger: int | None = None,
+                     max_bytes_per_trigger: int | None = None, envelopes: bool = False):
+    """Start the ingest query over single records (S4) or batch bodies (``envelopes``, S5);
+    ``available_now`` drains what exists and stops. With tables under a manifest, the checkpoint's
+    name is the writer whose batches count once."""
+    raw = read_raw_stream(spark, raw_path, fmt, max_files_per_trigger, max_bytes_per_trigger=max_bytes_per_trigger)
+    parsed = parse_envelopes(raw) if envelopes else parse_records(raw)
+    body = log_ingest_batch(projects_loader, logs_path, rejected_path, envelopes=envelopes, writer=checkpoint)
+    w = parsed.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=LOG_TRIGGER)
     return w.start()
 
