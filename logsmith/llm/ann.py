@@ -54,6 +54,8 @@ TARGET = 0.95
 #: Vectors of a block, and queries that a task handles at a time.
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
+#: Queries whose nearest a task holds before it lets them go.
+HELD_QUERIES = 50_000
 #: A vector that has more than one query in so many is joined with its results by broadcast.
 HOT_SHARE = 1000
 _SEED = 42
@@ -167,18 +169,17 @@ def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (vectors * query).sum(axis=1)
 
 
-def _nearest(query: np.ndarray, rough: np.ndarray, vectors: np.ndarray, first: np.ndarray, k: int) -> list[tuple[float, int]]:
-    """The ``k`` nearest of a block by (score, smallest id); ``rough`` are the products as the
-    matrix multiplication rounds them."""
+def _nearest(query: np.ndarray, rough: np.ndarray, vectors: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and places of the ``k`` nearest by (score, smallest id); ``rough`` are the products
+    as the matrix multiplication rounds them."""
+    picked = np.arange(len(rough))
     if len(rough) > k:
         least = np.partition(rough, len(rough) - k)[len(rough) - k]
         slack = 1e-9 * max(1.0, float(np.abs(rough).max()))
         picked = np.flatnonzero(rough >= least - slack)
-    else:
-        picked = np.arange(len(rough))
     scores = exact_scores(query, vectors[picked])
     order = np.lexsort((first[picked], -scores))[:k]
-    return [(float(scores[o]), int(picked[o])) for o in order]
+    return scores[order], picked[order]
 
 
 def _usable(vector: Column) -> Column:
@@ -350,22 +351,55 @@ class Block:
         groups = np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1)
         self.of_leaf = {int(leaf[g[0]]): g for g in groups}
 
-    def nearest(self, vectors: np.ndarray, leaves: list[list[int]], k: int) -> Iterator[tuple[int, int, float]]:
-        """(query, place, score) of the ``k`` nearest among the wanted leaves of each query."""
+    def search(self, queries: np.ndarray, vectors: np.ndarray, leaves: list[list[int]], best: "Best") -> None:
+        """Offer the nearest among the wanted leaves of each query."""
         rough = vectors @ self.vectors.T
         for i, wanted in enumerate(leaves):
             parts = [self.of_leaf[x] for x in wanted if x in self.of_leaf]
             if parts:
                 here = np.concatenate(parts)
-                for score, j in _nearest(vectors[i], rough[i, here], self.vectors[here], self.first[here], k):
-                    yield i, int(here[j]), score
+                scores, picked = _nearest(vectors[i], rough[i, here], self.vectors[here], self.first[here], best.k)
+                here = here[picked]
+                best.offer(int(queries[i]), scores, self.first[here], self.point[here])
+
+
+class Best:
+    """The ``k`` nearest points of each query over all blocks that a task has searched."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def offer(self, query: int, scores: np.ndarray, first: np.ndarray, point: np.ndarray) -> None:
+        if (known := self.of.get(query)) is not None:
+            if len(known[0]) == self.k:
+                able = scores >= known[0][-1]
+                if not able.any():
+                    return
+                scores, first, point = scores[able], first[able], point[able]
+            new = ~np.isin(point, known[2])  # other trees find the same points
+            scores, first, point = (np.concatenate([a, b[new]]) for a, b in zip(known, (scores, first, point)))
+        order = np.lexsort((point, first, -scores))[: self.k]
+        self.of[query] = scores[order], first[order], point[order]
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        """All that is held, some queries a batch; nothing is held afterwards."""
+        held, self.of = list(self.of.items()), {}
+        for a in range(0, len(held), QUERY_ROWS):
+            part = held[a : a + QUERY_ROWS]
+            q = np.repeat(np.array([x for x, _ in part], np.int64), [len(x[0]) for _, x in part])
+            scores, first, point = (np.concatenate([x[c] for _, x in part]) for c in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q), pa.array(point), pa.array(first), pa.array(scores)], names=["q", "point", "first", "score"]
+            )
 
 
 def _searched(k: int):
-    """Rows sorted by (block, kind): the points of a block are held, its queries stream by."""
+    """Rows sorted by (block, kind): the points of a block are held, its queries stream by. What
+    a query finds in the blocks of one task is combined before it leaves the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, parts, block = None, [], None
+        number, parts, block, best = None, [], None, Best(k)
         for batch in batches:
             numbers, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
             cuts = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(kinds) != 0)) + 1
@@ -379,12 +413,10 @@ def _searched(k: int):
                         parts.append((point, rows.column("first").to_numpy(), vectors, leaves.flatten().to_numpy()))
                     elif parts or block:
                         block, parts = block or Block(parts), []
-                        found = list(block.nearest(vectors, leaves.to_pylist(), k))
-                        i, place, score = (np.array(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(point[i]), pa.array(block.point[place]), pa.array(block.first[place]), pa.array(score, pa.float64())],
-                            names=["q", "point", "first", "score"],
-                        )
+                        block.search(point, vectors, leaves.to_pylist(), best)
+                        if len(best.of) >= HELD_QUERIES:
+                            yield from best.taken()
+        yield from best.taken()
 
     return run
 
@@ -411,10 +443,10 @@ def nearest(rows: DataFrame, every: int, k: int = K, id_col: str = "vec_id", vec
     sent = points.select("point", "first", "vec", "leaves", "asked").mapInArrow(
         _sent_rows(shared, placement, visits), _SENT.format(kind=kind)
     )
-    tasks = min(blocks, 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    tasks = min(blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     dealt = sent.repartition(tasks, "block").sortWithinPartitions("block", "kind")
     found = dealt.mapInArrow(_searched(k + 1), "q bigint, point bigint, first bigint, score double")
-    # at most k + 1 points of each block; a point that several trees found has one score
+    # at most k + 1 points of each task; a point that several trees found has one score
     by_point = Window.partitionBy("q").orderBy(F.desc("score"), "first", "point")
     found = found.withColumn("_n", F.dense_rank().over(by_point)).where(F.col("_n") <= k + 1).dropDuplicates(["q", "point"])
     single = found.join(points.select("point", "ids"), "point").select(
