@@ -7,12 +7,13 @@ symbols are no longer the ones it was made for is stale and skipped. Decoding co
 vocabulary strings of the ids, with the one blank between two tokens that the file's missing
 decoder stands for.
 
-White space never reaches a word, and words are merged independently of each other, so the
-results of frequent words are kept in a bounded memo per worker.
+White space never reaches a word, and words are merged independently of each other, so the ids
+of frequent words are kept in a memo per worker that is bounded in bytes. Texts are decoded from
+their ids alone.
 
 Defined results: null and empty texts have no ids and decode to the empty string; texts of any
 length are taken whole; ties, repeated rows and extra columns pass through; columns with the
-names of the results are replaced.
+names of the results (``n_tokens``, ``token_ids``, ``decoded_text``) are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -27,13 +28,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logsmith.llm.common import fresh
 from logsmith.llm.token_counts import Memo
 
-#: Words kept in a worker's memory (two generations of it) and the longest one kept.
-MEMO_WORDS = 120_000
+#: Bytes of merged words kept in a worker's memory (twice that at most) and the longest one kept.
+MEMO_BYTES = 24 << 20
 MEMO_CHARS = 40
-#: The file's pattern for texts of ASCII and Latin letters alone, where the standard library's
-#: faster engine has the same classes.
+#: Texts of an output batch: ids are longer than texts.
+OUT_ROWS = 256
+#: A word pattern, and what it is for texts of ASCII and Latin letters alone, where the standard
+#: library's faster engine has the same classes. Files with another pattern use their own.
+_KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NOT_LATIN = re.compile("[^\\x00-\\x7fÀ-ÖØ-öø-ɏ]")
 _LATIN_WORDS = re.compile(
     r"[A-Za-zÀ-ÖØ-öø-ɏ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r A-Za-z0-9À-ÖØ-öø-ɏ]+"
@@ -70,8 +75,10 @@ class WordBpe:
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.fast = _LATIN_WORDS if split["pattern"]["Regex"] == _KNOWN_PATTERN else self.words
         self.bytes = _byte_symbols()
-        self.memo = Memo(MEMO_WORDS)
+        self.shown = {str(i): t for i, t in self.tokens.items()}
+        self.memo = Memo(MEMO_BYTES)
 
     def word_ids(self, word: str) -> list[int]:
         """Merge one normalised word, lowest rank first and leftmost among equal ranks."""
@@ -111,44 +118,37 @@ class WordBpe:
 
     def _split(self, piece: str) -> list[str]:
         piece = self._normal(piece)
-        return (self.words if _NOT_LATIN.search(piece) else _LATIN_WORDS).findall(piece)
-
-    def _word(self, word: str) -> tuple[int, str, str]:
-        ids = self.word_ids(word)
-        found = len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
-        if len(word) <= MEMO_CHARS:
-            self.memo[word] = found
-        return found
-
-    def _pieces(self, text: str) -> list[tuple[int, str, str]]:
-        memo, make = self.memo, self._word
-        old, known = memo.old, memo.get
-
-        def met(word: str) -> tuple[int, str, str]:
-            if found := old.get(word):
-                memo[word] = found
-                return found
-            return make(word)
-
+        return (self.words if _NOT_LATIN.search(piece) else self.fast).findall(piece)
+
+    def _word(self, word: str) -> str:
+        """The ids of a word that the young generation of the memo does not know."""
+        try:
+            return self.memo[word]
+        except KeyError:
+            ids = " ".join(map(str, self.word_ids(word)))
+            if len(word) <= MEMO_CHARS:
+                self.memo.keep(word, ids, len(word) + len(ids))
+            return ids
+
+    def encode(self, text: str) -> str:
+        """The ids of a text as decimals joined by blanks."""
+        known, meet = self.memo.get, self._word
         at, parts = 0, []
         for m in self.special.finditer(text) if self.special and "<" in text else ():
-            parts += [known(w) or met(w) for w in self._split(text[at : m.start()])]
-            parts.append((1, str(self.added[m[0]]), m[0]))
+            parts += [known(w) or meet(w) for w in self._split(text[at : m.start()])]
+            parts.append(str(self.added[m[0]]))
             at = m.end()
-        parts += [known(w) or met(w) for w in self._split(text[at:] if at else text)]
-        return parts
+        parts += [known(w) or meet(w) for w in self._split(text[at:] if at else text)]
+        return " ".join(filter(None, parts))
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids as decimals joined by blanks, and their decoded text."""
-        self.memo.turn()
-        parts = self._pieces(text)
-        n = sum([p[0] for p in parts])
-        if any(not p[0] for p in parts):
-            parts = [p for p in parts if p[0]]
-        return n, " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+    def decode(self, ids: str) -> str:
+        """The vocabulary strings of ids (decimals joined by blanks), joined by blanks; unknown
+        ids have none."""
+        parts = ids.split(" ") if ids else []
+        try:
+            return " ".join(map(self.shown.__getitem__, parts))
+        except KeyError:
+            return " ".join(self.shown[i] for i in parts if i in self.shown)
 
 
 def model(path: str) -> WordBpe:
@@ -158,6 +158,10 @@ def model(path: str) -> WordBpe:
     return _MODELS[path]
 
 
+def _n_ids(ids: str) -> int:
+    return ids.count(" ") + 1 if ids else 0
+
+
 def bpe_encode(text: Column, path: str) -> Column:
     """``struct<n_tokens long, ids array<int>>`` of each whole text."""
 
@@ -165,12 +169,9 @@ def bpe_encode(text: Column, path: str) -> Column:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = model(path)
         for batch in batches:
-            n, ids = [], []
-            for x in batch:
-                k, s, _ = bpe.encode(x.as_py() or "")
-                n.append(k)
-                ids.append([int(i) for i in s.split()])
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["n_tokens", "ids"])
+            ids = [[int(i) for i in bpe.encode(x.as_py() or "").split()] for x in batch]
+            n = pa.array([len(x) for x in ids], pa.int64())
+            yield pa.StructArray.from_arrays([n, pa.array(ids, pa.list_(pa.int32()))], ["n_tokens", "ids"])
 
     return encoded(text)
 
@@ -182,32 +183,33 @@ def bpe_decode(ids: Column, path: str) -> Column:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = model(path)
         for batch in batches:
-            yield pa.array([bpe.decode(x.as_py() or []) for x in batch], pa.string())
+            yield pa.array([bpe.decode(" ".join(map(str, x.as_py() or []))) for x in batch], pa.string())
 
     return decoded(ids)
 
 
 def bpe_round_trip(text: Column, path: str) -> Column:
     """``struct<n_tokens long, ids string, decoded string>``: the ids as decimals joined by
-    blanks and what they decode to, in one pass."""
+    blanks, and what these ids decode to."""
 
     @F.arrow_udf("struct<n_tokens: bigint, ids: string, decoded: string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = model(path)
         for batch in batches:
-            for at in range(0, len(batch), 256):  # small output batches: ids are longer than texts
-                n, ids, decoded = zip(*(bpe.encode(x.as_py() or "") for x in batch.slice(at, 256)))
-                yield pa.StructArray.from_arrays(
-                    [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                    ["n_tokens", "ids", "decoded"],
-                )
+            for at in range(0, len(batch), OUT_ROWS):
+                ids = [bpe.encode(x.as_py() or "") for x in batch.slice(at, OUT_ROWS)]
+                columns = [
+                    pa.array(map(_n_ids, ids), pa.int64()),
+                    pa.array(ids, pa.string()),
+                    pa.array(map(bpe.decode, ids), pa.string()),
+                ]
+                yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids", "decoded"])
 
     return both(text)
 
 
 def with_bpe(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Adds ``n_tokens``, ``token_ids`` (decimals joined by blanks) and ``decoded_text``."""
-    out = df.withColumn("_bpe", bpe_round_trip(F.col(text_col), path))
-    return out.withColumns(
-        {"n_tokens": F.col("_bpe.n_tokens"), "token_ids": F.col("_bpe.ids"), "decoded_text": F.col("_bpe.decoded")}
-    ).drop("_bpe")
+    made = fresh(df, "bpe")
+    results = {"n_tokens": F.col(f"{made}.n_tokens"), "token_ids": F.col(f"{made}.ids"), "decoded_text": F.col(f"{made}.decoded")}
+    return df.withColumn(made, bpe_round_trip(F.col(text_col), path)).withColumns(results).drop(made)

@@ -22,9 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that Python gets, where the session leaves Spark's default: whole texts are
+#: long, and a batch and what is made of it have to fit a worker several times.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package (once per context), for clusters and working folders
-    where it is not installed."""
+    where it is not installed, and keep batches of whole texts small."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     sc = spark.sparkContext
     if not getattr(sc, "_logsmith_shipped", False):
         root = Path(__file__).resolve().parents[2]
@@ -66,13 +74,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def by_bytes(texts: Iterable, most: int) -> Iterator[list]:
-    """Group a stream of texts (or byte strings) into lists of at most ``most`` units each; a
-    longer one comes alone."""
+    """Group a stream of texts (or byte strings) into lists of at most ``most`` UTF-8 bytes each;
+    a longer one comes alone."""
     group: list = []
     held = 0
     for t in texts:
-        n = len(t) if t is not None else 0
+        n = 0 if t is None else len(t) if isinstance(t, bytes) or t.isascii() else len(t.encode())
         if group and held + n > most:
             yield group
             group, held = [], 0

@@ -1,8 +1,8 @@
 """Line dedup within one edit, by a deletion-neighbourhood join in DataFrame functions.
 
 A line is a duplicate if an earlier line of the corpus, in the order (doc_id, line number), is
-equal to it or one inserted, deleted or substituted code point away from it. Duplicates go, the
-earliest stays.
+equal to it or, from ``min_chars`` code points on, one inserted, deleted or substituted code
+point away from it. Duplicates go, the earliest stays.
 
 Equal lines are met first, by a 128-bit hash. Then the deletion neighbourhoods: each line emits
 every variant with one code point deleted, and for the other side of an insertion the line
@@ -14,8 +14,8 @@ Most lines have no neighbour. A line of which no half is anybody else's half can
 one edit of another, nor can two lines that differ in more than one of some blocks; so variants
 are emitted only inside blocks whose two surroundings are shared. Both steps are exact.
 
-Defined results: lines shorter than ``min_chars`` code points always stay (and are nobody's
-duplicate), so empty lines and texts stay as they are; a null text has no lines and stays null;
+Defined results: blank lines (ASCII white space) always stay, so empty texts stay as they are;
+lines shorter than ``min_chars`` code points are the duplicates of equal lines only; a null text has no lines and stays null;
 null ids come last in the order; rows with equal id and text are one document, written as often
 as they occur; lines of any length are taken whole; other columns pass through.
 """
@@ -37,25 +37,29 @@ def _hash(*parts: Column) -> list[Column]:
     return [F.xxhash64(*parts), F.xxhash64(F.lit("\x02"), *parts)]
 
 
-def _lines(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """A row per line of at least ``min_chars``: hash, place and text."""
+def _blank(line: str) -> str:
+    return rf"not rlike({line}, '[^\\x20\\x09-\\x0D]')"
+
+
+def _lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """A row per line that is not blank: hash, place and text."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col(text_col).alias("text"))
     cut = rows.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    ).where(F.length("line") >= min_chars)
+    ).where(f"not ({_blank('line')})")
     h1, h2 = _hash(F.col("line"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "pos")
     return cut.select(h1.alias("h1"), h2.alias("h2"), place.alias("place"), "line")
 
 
-def _half_keys() -> Column:
+def _half_keys(min_chars: int) -> Column:
     """Hashes of the first and last L code points, L at least a quarter and at most half of the
-    line; of two lines within one edit, one of these is shared."""
+    line; of two lines within one edit, one of these is shared. Short lines have none."""
     keys = []
     for half in ("length(line) div 2", "(length(line) - 1) div 2"):
         size = f"shiftleft(1, int(floor(log2({half} + 0.5))))"  # the largest power of two in a half
         keys += [F.expr(f"xxhash64(0, {size}, left(line, {size}))"), F.expr(f"xxhash64(1, {size}, right(line, {size}))")]
-    return F.array_distinct(F.array(*keys))
+    return F.when(F.length("line") >= min_chars, F.array_distinct(F.array(*keys))).otherwise(F.expr("array() :: array<bigint>"))
 
 
 def _shared(keyed: DataFrame, *keys: str) -> DataFrame:
@@ -107,9 +111,9 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CH
     """``docs`` without duplicate lines, with ``n_lines`` and ``n_removed`` (long; columns of
     these names are replaced)."""
     with_checkpoint_dir(docs.sparkSession)
-    lines = _lines(docs, text_col, min_chars)
+    lines = _lines(docs, text_col)
     distinct = (
-        lines.select("h1", "h2", "place", _half_keys().alias("halves"))
+        lines.select("h1", "h2", "place", _half_keys(min_chars).alias("halves"))
         .groupBy("h1", "h2", "halves")
         .agg(F.min("place").alias("place"))
         .checkpoint()
@@ -131,8 +135,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CH
     )
     stay = stay.select(F.col("doc_id").alias("_sid"), F.col("text_hash").alias("_shash"), "_stay")
     joined = whole.join(stay, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_hash") == F.col("_shash")), "left")
-    short = F.expr(f"filter(transform(_lines, (x, i) -> if(length(x) < {int(min_chars)}, i, -1)), i -> i >= 0)")
-    places = joined.select("_row", "_lines", F.array_sort(F.concat(F.coalesce("_stay", F.expr("array() :: array<int>")), short)).alias("_places"))
+    blank = F.expr(f"filter(transform(_lines, (x, i) -> if({_blank('x')}, i, -1)), i -> i >= 0)")
+    places = joined.select("_row", "_lines", F.array_sort(F.concat(F.coalesce("_stay", F.expr("array() :: array<int>")), blank)).alias("_places"))
     left = F.transform("_places", lambda i: F.get("_lines", i))
     n, m = F.coalesce(F.size("_lines"), F.lit(0)), F.coalesce(F.size("_places"), F.lit(0))
     out = places.select(

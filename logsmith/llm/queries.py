@@ -141,19 +141,19 @@ _ALL = [
 QUERIES = {query.__name__: shipped(query) for query in _ALL}
 
 ORACLE: dict[str, str] = {
-    # lines of 20 characters or more; neighbours share the first or the last half of the shorter one
-    "op2_line_dedup": """
+    # equal lines, and from 20 characters on those at one edit: they share the first or the last half of the shorter one
+    "op2_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, pos, string_split(text, chr(10))[pos] AS line
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)
-), long AS (SELECT doc_id, pos, line, length(line) AS n FROM l WHERE length(line) >= 20),
+), said AS (SELECT doc_id, pos, line, length(line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 d AS (
-  SELECT line, n, doc_id, pos FROM long
+  SELECT line, n, doc_id, pos FROM said
   QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1
 ), k AS (
   SELECT line, n, doc_id, pos, m, side,
     CASE side WHEN 0 THEN left(line, (m // 2)::INT) ELSE right(line, (m - m // 2)::INT) END AS half
-  FROM d, (VALUES (0), (1)) s(side), (VALUES (0), (1)) j(less), LATERAL (SELECT n - less AS m)
+  FROM d, (VALUES (0), (1)) s(side), (VALUES (0), (1)) j(less), LATERAL (SELECT n - less AS m) WHERE n >= 20
 ), pairs AS (
   SELECT DISTINCT a.line, b.line AS earlier, a.n, b.n AS bn
   FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND (b.doc_id, b.pos) < (a.doc_id, a.pos)
@@ -168,7 +168,7 @@ d AS (
     WHEN n > bn THEN substr(line, p + 2) = substr(earlier, p + 1) ELSE substr(line, p + 1) = substr(earlier, p + 2) END
 ), kept AS (
   SELECT l.doc_id, l.pos, l.line,
-    length(l.line) < 20 OR (d.line IS NOT NULL AND d.line NOT IN (SELECT line FROM near)) AS keep
+    NOT regexp_matches(l.line, '[^\x20\x09-\x0D]') OR (d.line IS NOT NULL AND d.line NOT IN (SELECT line FROM near)) AS keep
   FROM l LEFT JOIN d ON d.line = l.line AND d.doc_id = l.doc_id AND d.pos = l.pos
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_removed,

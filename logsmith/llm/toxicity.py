@@ -238,7 +238,8 @@ def _texts(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
             yield pa.array(out, pa.int64())
 
     met = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(rows), "doc_id")
-    return met.withColumn("least", least_shingle(utf8("text"))).dropDuplicates(["least", "toxic"]).select("text", "toxic")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")  # the same one in every run
+    return met.groupBy(least_shingle(utf8("text")).alias("least"), "toxic").agg(one).select("one.text", "toxic")
 
 
 def _terms(text: Column) -> Column:
@@ -298,6 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int
             yield pa.array([scorer.features(x.as_py() or "") for x in batch], pa.list_(pa.float64()))
 
     rows = sample.select("toxic", seen("text").alias("x")).toPandas()  # at most 2 x ``most`` rows of N_FEATURES numbers
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["toxic"][i], tuple(rows["x"][i])))]  # sums in one order
     y = rows["toxic"].to_numpy(np.float64)
     if len(set(y.tolist())) == 2:
         counted = np.where(y == 1, stands_for[1], stands_for[0])

@@ -24,19 +24,22 @@ def edit_at_most_one(a: str, b: str) -> bool:
 
 def dedup_lines(rows, min_chars=20):
     """rows: (doc_id, text) with distinct ids -> {doc_id: (text, n_lines, n_removed)}."""
-    seen, out = [], {}
+    seen, equal, out = [], set(), {}
     for doc, text in sorted(rows, key=lambda r: r[0]):
         if text is None:
             out[doc] = None, 0, 0
             continue
         lines, kept = text.split("\n"), []
         for line in lines:
-            if len(line) < min_chars:
+            if not re.search(r"[^\x20\x09-\x0D]", line):  # blank
                 kept.append(line)
                 continue
-            if not any(edit_at_most_one(line, s) for s in seen):
+            long = len(line) >= min_chars
+            if line not in equal and not (long and any(edit_at_most_one(line, s) for s in seen)):
                 kept.append(line)
-            seen.append(line)
+            equal.add(line)
+            if long:
+                seen.append(line)
         out[doc] = "\n".join(kept), len(lines), len(lines) - len(kept)
     return out
 

@@ -49,6 +49,12 @@ def test_line_ties_and_null_ids(frame):
     assert line_dedup.dedup_lines(frame([])).count() == 0
 
 
+def test_short_and_blank_lines(frame):
+    docs = [(1, "ab\n\nab\n \t\nabc"), (2, "abc\n\n \t\nabd\nThe end."), (3, "The end.\nthe end.\n\x1c\n\x1c"), (4, "ab")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(docs)).collect()}
+    assert got == brute.dedup_lines(docs) and got[1] == ("ab\n\n \t\nabc", 5, 1) and got[4] == ("", 1, 1)
+
+
 def test_line_dedup_has_no_python_in_its_plan(frame):
     plan = line_dedup.dedup_lines(frame(_line_docs(1, 5)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

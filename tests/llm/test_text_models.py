@@ -52,15 +52,74 @@ def test_encode_then_decode_columns(frame):
         assert r.d == library.decode(ids, skip_special_tokens=False)
 
 
-def test_memo_keeps_two_generations():
-    memo = token_counts.Memo(2)
-    memo.update(a=1, b=2, c=3)
-    memo.turn()
-    assert len(memo) == 0 and memo["a"] == 1 and "a" in memo
+def test_memo_is_bounded_by_bytes_and_keeps_what_is_asked_for():
+    entry = token_counts.ENTRY_BYTES
+    memo = token_counts.Memo(3 * (entry + 1))
+    for key in "abc":
+        memo.keep(key, key.upper(), 1)
+    assert memo.old == {} and len(memo) == 3
+    memo.keep("d", "D", 1)  # the three become the old generation
+    assert dict(memo) == {"d": "D"} and memo["a"] == "A" and "a" in memo
+    for i in range(100):
+        memo.keep(str(i), i, 1)
+        assert memo["d" if i == 0 else str(i)] and memo.held <= memo.most
+        assert len(memo) + len(memo.old) <= 6
     with pytest.raises(KeyError):
         memo["z"]
 
 
+ODD_LETTERS = [
+    "Σ", "İ", ",", ".", "a", "B", "é", "ı", "ß", "ſ", "'s", "'", "t", "1", "²", "<|endoftext|>", "<|", "|>", " ", "\n", "　", "\x1c",
+    "\u0307", "\u0301", "e", "漢", "😀", "ﬁ", "Ǆ", "ŉ", "ʼ", "n't", "_", "-", "ό", "Ά", "ᾳ", "\u200d", "ﷺ", "ģ", "ʰ", "x", "Y",
+]
+
+
+def test_random_strings_have_the_counts_and_ids_of_the_library():
+    library = Tokenizer.from_file(WORD_BPE)
+    rng = random.Random(1)
+    texts = ["Σ İ,", "a <|x|> İSTANBULİ."] + ["".join(rng.choices(ODD_LETTERS, k=rng.randint(1, 14))) for _ in range(40_000)]
+    wanted = library.encode_batch(texts, add_special_tokens=False)
+    counted = [n for at in range(0, len(texts), 500) for n in token_counts._count_group(texts[at : at + 500], WORD_BPE)]
+    assert [(t, n) for t, n, e in zip(texts, counted, wanted) if n != len(e)] == []
+    coder = bpe.model(WORD_BPE)
+    for text, e in zip(texts, wanted):
+        ids = coder.encode(text)
+        assert ids == " ".join(map(str, e.ids)), text
+        assert coder.decode(ids) == library.decode(e.ids, skip_special_tokens=False), text
+
+
+def test_a_small_memo_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 500)
+    small, library = bpe.WordBpe(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    text = " ".join(f"word{i % 37} x{i}" for i in range(3000))  # one text that would fill any memo
+    assert small.encode(text) == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+    assert small.memo.held <= 500
+
+
+def test_another_word_pattern_is_the_files_own(tmp_path):
+    import json
+
+    with open(WORD_BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    text = "it's 1984!! don't a1b2"
+    assert bpe.WordBpe(str(path)).encode(text) == " ".join(map(str, Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids))
+
+
+def test_batches_are_balanced_by_bytes():
+    from logsmith.llm.common import by_bytes
+
+    assert [len(g) for g in by_bytes(["漢" * 10] * 6, 60)] == [2, 2, 2]
+    assert [len(g) for g in by_bytes(["a" * 10, None, "b" * 100, b"c"], 60)] == [2, 1, 1]
+
+
+def test_input_columns_with_inner_names_stay(frame):
+    df = frame([(1, "a b", "kept")], "doc_id long, text string, bpe string")
+    assert bpe.with_bpe(df, WORD_BPE).first().bpe == "kept"
+
+
 def test_counts_of_an_empty_table(frame):
     assert token_counts.with_token_counts(frame([]), WORD_BPE).count() == 0
     assert bpe.with_bpe(frame([]), WORD_BPE).count() == 0
