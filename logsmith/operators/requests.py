@@ -93,18 +93,27 @@ def _second(col: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, {EPOCH_SQL}, `{col}`)")
 
 
-def _running(b: DataFrame) -> DataFrame:
-    """Requests per window and second of ``b`` (window_start, _ts) with those before them."""
+def _limits(b: DataFrame, permit: int) -> DataFrame:
+    """A row per window of ``b`` (window_start, _ts): its ``requests`` and, if there are more than
+    ``permit``, the second in which request N+1 falls (``_limit_s``) and its rank there (``_k``).
+    The running sum is over the seconds of a window, each a count by then."""
     per = b.groupBy("window_start", _second("_ts").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("window_start").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
+    running = per.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
+    here = (F.col("_before") <= permit) & (F.col("_before") + F.col("_n") > permit)
+    return running.groupBy("window_start").agg(
+        F.sum("_n").alias("requests"),
+        F.max(F.when(here, F.col("_s"))).alias("_limit_s"),
+        F.max(F.when(here, F.lit(permit) + 1 - F.col("_before"))).alias("_k"),
+    )
 
 
-def _limit_second(running: DataFrame, permit: int) -> DataFrame:
-    """(window_start, _limit_s, _k): the second in which request N+1 of a window falls, and its
-    rank there."""
-    return running.where((F.col("_before") <= permit) & (F.col("_before") + F.col("_n") > permit)).select(
-        "window_start", F.col("_s").alias("_limit_s"), (F.lit(permit) + 1 - F.col("_before")).alias("_k"))
+def _in_limit_second(b: DataFrame, limits: DataFrame) -> DataFrame:
+    """Arrival times in the limit seconds with their counts (``_n``): equal arrivals count
+    together, so a second has at most a million rows, however many requests."""
+    hit = limits.where(F.col("_limit_s").isNotNull()).withColumnRenamed("window_start", "_w")
+    rows = b.join(hit, (F.col("window_start") == F.col("_w")) & (_second("_ts") == F.col("_limit_s")))
+    return rows.groupBy("window_start", "requests", "_k", "_ts").agg(F.count(F.lit(1)).alias("_n"))
 
 
 def rate_audit(requests: DataFrame, policy: str = "login", permit: int | None = None,
@@ -114,16 +123,13 @@ def rate_audit(requests: DataFrame, policy: str = "login", permit: int | None =
     limit, the (N+1)-th by time)."""
     permit, minutes = _policy(policy, permit, window_minutes)
     b = requests.select(window_start(ts, minutes).alias("window_start"), F.col(ts).alias("_ts"))
-    running = _running(b)
-    counts = running.groupBy("window_start").agg(F.sum("_n").alias("requests"))
-    limit = _limit_second(running, permit).withColumnRenamed("window_start", "_w")
-    in_second = b.join(limit, (F.col("window_start") == F.col("_w")) & (_second("_ts") == F.col("_limit_s")))
-    # equal arrivals count together, so a burst of one instant is one row here
-    at = in_second.groupBy("window_start", "_ts", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    limits = _limits(b, permit)
     upto = F.sum("_n").over(Window.partitionBy("window_start").orderBy("_ts"))
-    first = at.withColumn("_upto", upto).where(F.col("_upto") >= F.col("_k")).groupBy("window_start").agg(
-        F.min("_ts").alias("first_rejected_at"))
-    return _audit_columns(counts.join(first, "window_start", "left"), permit, minutes)
+    over = _in_limit_second(b, limits).withColumn("_upto", upto).where(F.col("_upto") >= F.col("_k"))
+    over = over.groupBy("window_start", "requests").agg(F.min("_ts").alias("first_rejected_at"))
+    within = limits.where(F.col("_limit_s").isNull()).select(
+        "window_start", "requests", F.lit(None).cast("timestamp_ntz").alias("first_rejected_at"))
+    return _audit_columns(over.unionByName(within), permit, minutes)
 
 
 def _audit_columns(merged: DataFrame, permit: int, minutes: int) -> DataFrame:
@@ -144,9 +150,11 @@ def permitted_requests(requests: DataFrame, policy: str = "login", ts: str = "ti
     of that second."""
     permit, minutes = _policy(policy, permit, window_minutes)
     rows = requests.withColumn("_w", window_start(ts, minutes)).withColumn("_s", _second(ts))
-    limit = _limit_second(_running(rows.select(F.col("_w").alias("window_start"), F.col(ts).alias("_ts"))), permit)
-    placed = rows.join(limit, F.col("_w") == F.col("window_start"), "left")
+    limits = _limits(rows.select(F.col("_w").alias("window_start"), F.col(ts).alias("_ts")), permit)
+    placed = rows.join(limits.where(F.col("_limit_s").isNotNull()), F.col("_w") == F.col("window_start"), "left")
     before = placed.where(F.col("_limit_s").isNull() | (F.col("_s") < F.col("_limit_s")))
+    # a rank below _k is at most ``permit``: the literal bound lets every task keep its first ones only
     order = Window.partitionBy("_w").orderBy(ts, tiebreak)
     at_limit = placed.where(F.col("_s") == F.col("_limit_s")).withColumn("_rn", F.row_number().over(order))
-    return before.select(requests.columns).unionByName(at_limit.where(F.col("_rn") < F.col("_k")).select(requests.columns))
+    at_limit = at_limit.where((F.col("_rn") <= permit) & (F.col("_rn") < F.col("_k")))
+    return before.select(requests.columns).unionByName(at_limit.select(requests.columns))

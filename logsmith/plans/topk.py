@@ -8,8 +8,9 @@ top-k reads at most ``k x B`` rows. The bucket is the input task index, which a
 reproduces.
 
 A page that ends beyond the map-side limit's threshold is found by ranks instead: counts per
-day, then per second of the day it starts in, tell which seconds hold it and how many rows
-come before them; only the rows of these seconds are sorted.
+day, then per second, millisecond and microsecond where that holds many rows, and at last per
+range of ids (a whole ingest batch shares one instant) tell which rows hold it and how many come
+before them; only these rows are sorted.
 """
 
 from __future__ import annotations
@@ -32,57 +33,131 @@ def by_input_task(buckets: int) -> Column:
     return F.pmod(F.spark_partition_id(), F.lit(buckets))
 
 
-def _slice(counts: list[tuple[int, int]], offset: int, n: int) -> tuple[int, int, int]:
-    """First and last key (in page order) that hold rows ``offset .. offset+n``, and the rows
-    before the first of them."""
-    before, first, last, skipped = 0, None, counts[-1][0], 0
-    for key, count in counts:
-        if first is None and before + count > offset:
-            first, skipped = key, before
-        if before + count >= offset + n:
-            last = key
-            break
-        before += count
-    return first, last, skipped
+# Units of time that a page is narrowed by (microseconds of a day, second,
+# millisecond, microsecond), rows that are sorted without narrowing them further, and ids that
+# part the rows of one instant.
+UNITS = (86_400_000_000, 1_000_000, 1_000, 1)
+SORTED_ROWS = 20_000
+PIVOTS = 1_000
 
 
-def _counts(df: DataFrame, unit: str, ts: str) -> list[tuple[int, int]]:
-    key = F.expr(f"floor(timestampdiff(SECOND, {EPOCH_SQL}, `{ts}`) / {86400 if unit == 'day' else 1})")
-    rows = df.groupBy(key.cast("bigint").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return sorted(((r["k"], r["n"]) for r in rows), reverse=True)
+def _micros(ts: str) -> Column:
+    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH_SQL}, `{ts}`)")
 
 
-def _at(seconds: int) -> dt.datetime:
-    return dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds)
+def _at(micros: int) -> dt.datetime:
+    return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)
 
 
 def _between(df: DataFrame, ts: str, start: int, end: int) -> DataFrame:
-    """Rows of the seconds ``start .. end-1`` (plain comparisons, so scans prune)."""
+    """Rows of the microseconds ``start .. end-1`` (plain comparisons, so scans prune)."""
     return df.where((F.col(ts) >= ts_lit(_at(start))) & (F.col(ts) < ts_lit(_at(end))))
 
 
-def deep_page(df: DataFrame, order: Sequence[Column], offset: int, n: int, ts: str = "timestamp") -> DataFrame:
-    """Rows ``offset .. offset+n`` of ``df`` in ``order`` (newest ``ts`` first) by counting: a
-    row per day, then one per second of at most the days the page starts and ends in, come to
-    the driver."""
-    days = _counts(df, "day", ts)
-    if offset >= sum(count for _, count in days):
-        return df.limit(0)
-    first, last, skipped = _slice(days, offset, n)
-    start, end = last * 86400, (first + 1) * 86400
-    for day in sorted({first, last}, reverse=True):
-        seconds = _counts(_between(df, ts, day * 86400, (day + 1) * 86400), "second", ts)
-        if day == first:
-            high, low, before = _slice(seconds, offset - skipped, n)
-            end = high + 1
-            skipped += before
-            if first == last:
-                start = low
+def _counts(df: DataFrame, unit: int, ts: str) -> list[tuple[int, int]]:
+    """(unit of time, rows), newest first; rows without a time are not counted."""
+    key = F.floor(_micros(ts) / unit).cast("bigint")
+    rows = df.where(F.col(ts).isNotNull()).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return sorted(((r["k"], r["n"]) for r in rows), reverse=True)
+
+
+def _locate(counts: list[tuple[int, int]], rank: int) -> tuple[int, int, int]:
+    """The key that holds row ``rank``, the rows before that key and the rows in it."""
+    before = 0
+    for key, n in counts:
+        if before + n > rank:
+            return key, before, n
+        before += n
+    raise IndexError(rank)
+
+
+def _span(df: DataFrame, ts: str, days: list[tuple[int, int]], rank: int) -> tuple[int, int, int, int]:
+    """Time span [start, end) that holds row ``rank`` (newest first), the rows that are newer
+    than it and the rows in it: a day, then units within it while it holds too many rows to sort."""
+    key, before, n = _locate(days, rank)
+    start, end = key * UNITS[0], (key + 1) * UNITS[0]
+    for unit in UNITS[1:]:
+        if n <= SORTED_ROWS:
+            break
+        key, more, n = _locate(_counts(_between(df, ts, start, end), unit, ts), rank - before)
+        start, end, before = key * unit, (key + 1) * unit, before + more
+    return start, end, before, n
+
+
+def _ids_between(df: DataFrame, tie: str, low: str | None, high: str | None) -> DataFrame:
+    """Rows of the ids [low, high); null ids come before all others."""
+    df = df.where(F.col(tie) >= low) if low is not None else df
+    return df.where((F.col(tie) < high) | F.col(tie).isNull()) if high is not None else df
+
+
+def _id_range(df: DataFrame, tie: str, first: int, last: int) -> tuple[str | None, str | None, int]:
+    """For rows of one instant in the order of ``tie``: bounds [low, high) of the ids that hold
+    the rows ``first .. last``, and the rows before ``low``. The ids are parted by pivots (the
+    first by a hash), counted per part, and the parts of the page are parted again while they
+    hold too many rows. Any pivots give the same rows."""
+    low = high = None
+    skipped = 0
+    while True:
+        here = _ids_between(df, tie, low, high)
+        some = here.where(F.col(tie).isNotNull()).orderBy(F.xxhash64(tie), tie).select(tie).limit(PIVOTS)
+        pivots = sorted({r[0] for r in some.collect()})[1:]
+        if not pivots:
+            return low, high, skipped
+        part = F.coalesce(F.aggregate(F.array(*map(F.lit, pivots)), F.lit(0), lambda n, p: n + (F.col(tie) >= p).cast("int")), F.lit(0))
+        counts = sorted((r["k"], r["n"]) for r in here.groupBy(part.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect())
+        a, before, _ = _locate(counts, first - skipped)
+        b, _, _ = _locate(counts, last - skipped)
+        bounds = (pivots[a - 1] if a else low), (pivots[b] if b < len(pivots) else high)
+        skipped += before
+        held = sum(n for k, n in counts if a <= k <= b)
+        if bounds == (low, high) or held <= SORTED_ROWS + last - first:
+            return *bounds, skipped
+        low, high = bounds
+
+
+def deep_page(df: DataFrame, order: Sequence[Column], offset: int, n: int, ts: str = "timestamp", tie: str = "id") -> DataFrame:
+    """Rows ``offset .. offset+n`` of ``df`` in ``order`` (newest ``ts`` first, then ``tie``, rows
+    without a time last) by counting: the driver sees a row per day, then of the spans that hold
+    the page's ends at most one per second of a day, millisecond or microsecond, and then per
+    range of ids of one instant. Only the rows of the narrowed spans are sorted."""
+    days = _counts(df, UNITS[0], ts)
+    dated = sum(c for _, c in days)
+    parts, skip = [], offset
+    if offset < dated:
+        start, end, newer, held = _span(df, ts, days, offset)
+        last = min(offset + n, dated) - 1
+        low_start, low_end, low_newer, low_held = (
+            (start, end, newer, held) if last < newer + held else _span(df, ts, days, last))
+        skip = offset - newer
+        if (low_start, low_end) == (start, end):
+            rows, more = _instant(_between(df, ts, start, end), tie, offset - newer, last - newer, held)
+            parts, skip = [rows], skip - more
         else:
-            in_days_before = sum(c for k, c in days if k > day)
-            start = _slice(seconds, 0, max(1, offset + n - in_days_before))[1]
-    q = _between(df, ts, start, end).orderBy(*order)
-    return (q.offset(offset - skipped) if offset > skipped else q).limit(n)
+            first_rows, more = _instant(_between(df, ts, start, end), tie, offset - newer, held - 1, held)
+            last_rows, _ = _instant(_between(df, ts, low_start, low_end), tie, 0, last - low_newer, low_held)
+            parts, skip = [first_rows, _between(df, ts, low_end, start), last_rows], skip - more
+    if offset + n > dated:  # the page reaches the rows without a time
+        undated = df.where(F.col(ts).isNull())
+        if offset >= dated:
+            if offset >= dated + (held := undated.count()):
+                return df.limit(0)
+            undated, more = _instant(undated, tie, offset - dated, min(offset + n - dated, held) - 1, held)
+            skip = offset - dated - more
+        parts.append(undated)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    q = rows.orderBy(*order)
+    return (q.offset(skip) if skip else q).limit(n)
+
+
+def _instant(rows: DataFrame, tie: str, first: int, last: int, held: int) -> tuple[DataFrame, int]:
+    """``rows`` of one span narrowed to the ids of the places ``first .. last`` if it holds too
+    many (then it is one instant), and the rows before these."""
+    if held <= SORTED_ROWS:
+        return rows, 0
+    low, high, skipped = _id_range(rows, tie, first, last)
+    return _ids_between(rows, tie, low, high), skipped
 
 
 def ordered_page(df: DataFrame, order: Sequence[Column], offset: int, n: int, ts: str = "timestamp") -> DataFrame:
