@@ -11,7 +11,7 @@ when its measured size allows and splits a hot key otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsmith.schema import LOGS_SCHEMA
@@ -44,15 +44,37 @@ def key_lookup(projects: DataFrame) -> DataFrame:
     )
 
 
-def classify(records: DataFrame, projects: DataFrame | None = None, key: str = "api_key", at: str = "received_at",
-             lookup: DataFrame | None = None, id_col: str = "raw_id") -> DataFrame:
-    """Adds ``project_id``, ``project_name`` and ``reject_reason`` (null = accepted).
-    Pass ``lookup`` (from ``key_lookup``) to reuse a project side."""
-    p = (lookup if lookup is not None else key_lookup(projects)).where(F.coalesce(F.col("_pkey"), F.lit("")) != "")
+def key_intervals(history: DataFrame) -> DataFrame:
+    """Which project a key belonged to, and when: a row per version of a key (``created_at`` is
+    when it was registered, renamed or given another expiry; of versions of one time the last id
+    counts) with the span ``_from <= t < _to`` in which it was the latest. A key's versions are
+    few, so a window over them is."""
+    one = history.groupBy("api_key", "created_at").agg(F.max(F.struct("id", "name", "expires_at")).alias("_v"))
+    following = F.lead("created_at").over(Window.partitionBy("api_key").orderBy("created_at"))
+    return one.select(
+        F.col("api_key").alias("_pkey"),
+        F.col("_v.id").alias("project_id"),
+        F.col("_v.name").alias("project_name"),
+        F.col("_v.expires_at").alias("_expires"),
+        F.col("created_at").alias("_from"),
+        following.alias("_to"),
+    )
+
+
+def classify_as_of(records: DataFrame, history: DataFrame, key: str = "api_key", at: str = "received_at",
+                   id_col: str = "raw_id") -> DataFrame:
+    """J1/J2 as of the receive time: a record meets the version of its key that was valid when it
+    was received, so a replay after a rename, a new expiry or another registration classifies it
+    as the first run did. A key without a version by then is unknown. Versions added later with
+    a later ``created_at`` change nothing for earlier records."""
+    p = key_intervals(history).where(F.coalesce(F.col("_pkey"), F.lit("")) != "")
     blank = F.coalesce(F.col(key), F.lit("")) == ""
-    # a key that no project has, different for each row, in place of a missing one
     join_key = F.when(blank, F.concat(F.lit("\u0000"), F.col(id_col).cast("string"))).otherwise(F.col(key))
-    joined = records.join(p, join_key == F.col("_pkey"), "left")
+    valid = (F.col(at) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(at) < F.col("_to")))
+    return _reasons(records.join(p, (join_key == F.col("_pkey")) & valid, "left"), blank, at).drop("_from", "_to")
+
+
+def _reasons(joined: DataFrame, blank: Column, at: str) -> DataFrame:
     reason = (
         F.when(blank, F.lit("missing_key"))
         .when(F.col("_pkey").isNull(), F.lit("unknown_key"))
@@ -62,6 +84,17 @@ def classify(records: DataFrame, projects: DataFrame | None = None, key: str = "
     return joined.withColumn("reject_reason", reason).drop("_pkey", "_expires")
 
 
+def classify(records: DataFrame, projects: DataFrame | None = None, key: str = "api_key", at: str = "received_at",
+             lookup: DataFrame | None = None, id_col: str = "raw_id") -> DataFrame:
+    """Adds ``project_id``, ``project_name`` and ``reject_reason`` (null = accepted).
+    Pass ``lookup`` (from ``key_lookup``) to reuse a project side."""
+    p = (lookup if lookup is not None else key_lookup(projects)).where(F.coalesce(F.col("_pkey"), F.lit("")) != "")
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    # a key that no project has, different for each row, in place of a missing one
+    join_key = F.when(blank, F.concat(F.lit("\u0000"), F.col(id_col).cast("string"))).otherwise(F.col(key))
+    return _reasons(records.join(p, join_key == F.col("_pkey"), "left"), blank, at)
+
+
 def to_logs(classified: DataFrame, id_col: str = "raw_id", at: str = "received_at",
             client_ip: str = "client_ip") -> DataFrame:
     """Accepted rows in the stored ``logs`` layout."""
@@ -91,6 +124,11 @@ def ingest_records(raw: DataFrame, projects: DataFrame) -> DataFrame:
     return classify(parse_records(raw), projects)
 
 
+def ingest_records_as_of(raw: DataFrame, history: DataFrame) -> DataFrame:
+    """S4 + J1/J2 by the key history at the receive time."""
+    return classify_as_of(parse_records(raw), history)
+
+
 def ingest_batches(raw: DataFrame, projects: DataFrame) -> DataFrame:
     """S5 + J1/J2: classified batch ingest: a row per element of an accepted envelope, one row
     for a rejected envelope (also an empty one)."""

@@ -11,9 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsmith.functions.time import fmt_ts, preset_range
-from logsmith.operators import enrich, export, patterns, retention, search, stats, traces
+from logsmith.operators import enrich, export, patterns, retention, rollup, search, stats, traces
 from logsmith.operators.batch_ingest import run_batch_ingest
 from logsmith.operators import projects as proj
 from logsmith.operators import requests as reqs
@@ -22,6 +23,8 @@ from logsmith.schema import APP_LOG_PAGE_COLUMNS, LEVELS, LOG_PAGE_COLUMNS, LOGS
 from logsmith.session import scratch_path
 from logsmith.sources import fixtures as fx
 from logsmith.sources import sinks
+from logsmith.sources.file_index import MESSAGE_INDEX, TRACE_INDEX, grams
+from logsmith.sources.manifest import ManifestTable, logs_table, rejections_table
 from logsmith.sources.fixtures import AS_OF
 from logsmith.streaming import ingest as s_ingest
 from logsmith.streaming import rate as s_rate
@@ -1085,3 +1088,187 @@ def q_trace_lookup_bounded(spark, sf_dir):
     sinks.write_logs(fx.logs(spark, sf_dir), path, rewrite=True)
     rows = traces.trace_timeline(sinks.read_logs(spark, path), "trace-long", time_from="2024-01-10", time_to="2024-01-12")
     return rows.select("id", "entry_no", "truncated")
+
+
+# ---------------------------------------------------------------- tables under a manifest
+# Jobs that die half-way, writers beside each other and repeated steps, on the whole log table.
+
+
+def _appended(rows: DataFrame, table: ManifestTable, parts: int = 3) -> ManifestTable:
+    for k in range(parts):
+        table.append(rows.where(F.col("id").cast("bigint") % parts == k), ("load", k))
+    return table
+
+
+@register(
+    "stream_ingest_batch",
+    ORACLE["ingest_batch"].replace("SELECT CAST(r.raw_id", f"SELECT {_cols(_INGEST_COLS)} FROM (SELECT CAST(r.raw_id", 1) + ")",
+)
+def q_stream_ingest_batch(spark, sf_dir):
+    """T1 for S5: batch bodies on the stream, each accepted or rejected as a whole, into a table
+    under a manifest."""
+    base = scratch_path(spark, "stream-ingest-batch")
+    _stage_input(fx.raw_batches(spark, sf_dir), f"{base}/raw")
+    logs = logs_table(spark, f"{base}/logs")
+    _await(s_ingest.start_log_ingest(
+        spark, f"{base}/raw", lambda: fx.projects(spark, sf_dir), logs, rejections_table(spark, f"{base}/rejected"),
+        f"{base}/_checkpoint", available_now=True, max_bytes_per_trigger=4 * STREAM_TRIGGER, envelopes=True,
+    ))
+    return logs.read().select(*_INGEST_COLS)
+
+
+@register("stream_ingest_table", ORACLE["stream_ingest"])
+def q_stream_ingest_table(spark, sf_dir):
+    """T1 into a table under a manifest, compacted while it is read and once more afterwards."""
+    base = scratch_path(spark, "stream-ingest-table")
+    _stage_input(fx.raw_logs(spark, sf_dir), f"{base}/raw")
+    logs = logs_table(spark, f"{base}/logs")
+    _await(s_ingest.start_log_ingest(
+        spark, f"{base}/raw", lambda: fx.projects(spark, sf_dir), logs, rejections_table(spark, f"{base}/rejected"),
+        f"{base}/_checkpoint", available_now=True, max_bytes_per_trigger=4 * STREAM_TRIGGER,
+    ))
+    logs.compact()
+    return logs.read().select(*_INGEST_COLS)
+
+
+@register(
+    "table_ttl_after_stopped_delete",
+    fx.duck_with("logs") + f"SELECT {_cols(_STORED_COLS)} FROM logs WHERE created_at > TIMESTAMP '2024-01-24 00:00:00'",
+)
+def q_table_ttl_after_stopped_delete(spark, sf_dir):
+    """M1 that dies before its commit, rows that arrive then, and M3: every row is judged once."""
+    rows = fx.logs(spark, sf_dir)
+    table = _appended(rows.where("id % 5 <> 0"), logs_table(spark, scratch_path(spark, "table-ttl")))
+    table.write_files(table.read().where("timestamp >= TIMESTAMP_NTZ'2024-01-21 00:00:00'"), 1)  # and no commit
+    table.append(rows.where("id % 5 = 0"))
+    table.expire(AS_OF, 7)
+    return table.read().select(*_STORED_COLS)
+
+
+@register(
+    "table_delete_all_after_stopped_delete",
+    fx.duck_with("logs") + f"SELECT {_cols(_STORED_COLS)} FROM logs WHERE CAST(id AS BIGINT) % 5 = 0 AND timestamp >= TIMESTAMP '2024-01-21 00:00:00'",
+)
+def q_table_delete_all_after_stopped_delete(spark, sf_dir):
+    """M2 after an M1 that died: nothing comes back, and what is appended next is kept by M1."""
+    rows = fx.logs(spark, sf_dir)
+    table = _appended(rows.where("id % 5 <> 0"), logs_table(spark, scratch_path(spark, "table-delete-all")))
+    table.write_files(table.read().where("timestamp >= TIMESTAMP_NTZ'2024-01-21 00:00:00'"), 1)  # and no commit
+    table.delete_all()
+    table.append(rows.where("id % 5 = 0"))
+    table.delete_older_than(AS_OF, 10)
+    return table.read().select(*_STORED_COLS)
+
+
+@register("table_compact_while_arriving", fx.duck_with("logs") + f"SELECT {_cols(_STORED_COLS)} FROM logs")
+def q_table_compact_while_arriving(spark, sf_dir):
+    """S12 beside a writer: the files that a compaction has read make way for its own, a batch
+    that is committed in between stays, and a repeated batch counts once."""
+    rows = fx.logs(spark, sf_dir)
+    table = _appended(rows.where("id % 4 <> 3"), logs_table(spark, scratch_path(spark, "table-compact")))
+    read = table.snapshot()
+    merged = table.write_files(table.scan(list(read.files)), 2)
+    for _ in range(2):
+        table.append(rows.where("id % 4 = 3"), ("stream", 0))  # arrives meanwhile, twice
+    table.commit(read, merged, list(read.files))
+    return table.read().select(*_STORED_COLS)
+
+
+@register(
+    "table_earlier_version",
+    fx.duck_with("logs") + """SELECT count(*) FILTER (WHERE CAST(id AS BIGINT) % 3 <= 1) AS before, count(*) AS whole,
+ count(*) FILTER (WHERE timestamp >= TIMESTAMP '2024-01-21 00:00:00') AS after FROM logs""",
+)
+def q_table_earlier_version(spark, sf_dir):
+    """Readers of earlier versions see them as they were, also after deletes and a vacuum that
+    keeps them."""
+    table = _appended(fx.logs(spark, sf_dir), logs_table(spark, scratch_path(spark, "table-versions")))
+    table.compact()
+    table.delete_older_than(AS_OF, 10)
+    table.vacuum(orphan_seconds=0)
+    n = lambda v: table.read(table.snapshot(v)).agg(F.count(F.lit(1)).alias("n"))
+    at = [n(v).withColumn("v", F.lit(v)) for v in (2, 3, 5)]
+    one = lambda v, name: F.sum(F.when(F.col("v") == v, F.col("n"))).alias(name)
+    return at[0].unionByName(at[1]).unionByName(at[2]).agg(one(2, "before"), one(3, "whole"), one(5, "after"))
+
+
+def _with_rollup(spark, sf_dir, name: str) -> tuple[ManifestTable, ManifestTable]:
+    base = scratch_path(spark, name)
+    logs, counts = logs_table(spark, f"{base}/logs"), rollup.rollup_table(spark, f"{base}/minutes")
+    for k in (0, 1, 1, 2):  # one step twice
+        rollup.append_with_rollup(logs, counts, fx.logs(spark, sf_dir).where(F.col("id").cast("bigint") % 3 == k), ("load", k))
+    rollup.fold(counts)
+    return logs, counts
+
+
+@register("log_stats_maintained", ORACLE["log_stats"])
+def q_log_stats_maintained(spark, sf_dir):
+    """A2-A5 from minute counts that ingest maintains, and the log rows of two minutes."""
+    return rollup.log_stats(*_with_rollup(spark, sf_dir, "stats-maintained"), AS_OF)
+
+
+@register("top_apps_maintained", ORACLE["top_apps"])
+def q_top_apps_maintained(spark, sf_dir):
+    """A6 from the maintained minute counts."""
+    return rollup.top_apps(*_with_rollup(spark, sf_dir, "apps-maintained"), AS_OF)
+
+
+@register("trace_lookup_indexed", ORACLE["trace_lookup"])
+def q_trace_lookup_indexed(spark, sf_dir):
+    """F17 without time bounds: the index tells the files of a trace, no other is opened."""
+    table = _appended(fx.logs(spark, sf_dir), logs_table(spark, scratch_path(spark, "trace-index"), (TRACE_INDEX,)))
+    return traces.trace_timeline(table.read_holding(TRACE_INDEX, [LOOKUP_TRACE]), LOOKUP_TRACE)
+
+
+@register("log_search_indexed", ORACLE["log_search_literal"])
+def q_log_search_indexed(spark, sf_dir):
+    """files without all three-character parts of the search text are not opened."""
+    rows = fx.logs(spark, sf_dir).repartitionByRange(8, "level", "id")
+    table = logs_table(spark, scratch_path(spark, "message-index"), (MESSAGE_INDEX,))
+    table.append(rows)
+    found = table.read_holding(MESSAGE_INDEX, grams("100%_OK"))
+    return search.filter_logs(found, LogFilter(search="100%_OK")).select("id", "timestamp", "message")
+
+
+TAILS = {
+    "errors": LogFilter(levels="Error,Fatal"),
+    "svc-3": TAIL_FILTER,
+    "slow posts": LogFilter(request_method="POST", status_min=400),
+    "nobody": LogFilter(app_name="none such"),
+}
+_TAIL_SQL = {
+    "errors": "level IN ('Error', 'Fatal')",
+    "svc-3": "level IN ('Warning', 'Error', 'Fatal') AND app_name = 'svc-3'",
+    "slow posts": "request_method = 'POST' AND status_code >= 400",
+}
+
+
+@register(
+    "stream_tails",
+    fx.duck_with("logs") + " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{name}' AS tail, id, timestamp, level FROM logs WHERE {cond} ORDER BY timestamp DESC, id LIMIT 100)"
+        for name, cond in _TAIL_SQL.items()),
+)
+def q_stream_tails(spark, sf_dir):
+    """T3 for many viewers: all filters in one pass over each micro-batch."""
+    base = scratch_path(spark, "stream-tails")
+    _stage_input(fx.logs(spark, sf_dir), f"{base}/logs")
+    stream = _stream(spark, LOGS_SCHEMA, f"{base}/logs")
+    _await(s_tail.start_tails(spark, stream, TAILS, f"{base}/tails", f"{base}/_checkpoint", available_now=True))
+    schema = T.StructType([*LOGS_SCHEMA.fields, T.StructField("tail", T.StringType())])
+    return s_tail.read_tail(spark, f"{base}/tails", schema).select("tail", "id", "timestamp", "level")
+
+
+@register(
+    "ingest_as_of",
+    fx.duck_with("raw_logs", "project_history")
+    + f""", ok AS (SELECT * FROM raw_logs WHERE {_DUCK_OBJECT}), dated AS (
+ SELECT r.raw_id, h.id, h.name, h.expires_at, row_number() OVER (PARTITION BY r.raw_id ORDER BY h.created_at DESC, h.id DESC) AS rn
+ FROM ok r JOIN project_history h ON r.api_key = h.api_key AND h.created_at <= r.received_at)
+SELECT CAST(r.raw_id AS VARCHAR) AS id, r.received_at AS timestamp, p.id AS project_id, p.name AS project_name
+FROM ok r JOIN dated p ON r.raw_id = p.raw_id AND p.rn = 1 WHERE {_DUCK_VALID}""",
+)
+def q_ingest_as_of(spark, sf_dir):
+    """J1/J2 by the key history: a record meets the project that its key had when it was received."""
+    classified = enrich.ingest_records_as_of(fx.raw_logs(spark, sf_dir), fx.project_history(spark, sf_dir))
+    return enrich.to_logs(classified).select("id", "timestamp", "project_id", "project_name")

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from logsmith.functions.time import as_datetime, month_key, ts_lit
 from logsmith.schema import APP_LOGS_SCHEMA, LOG_DEFAULTS, LOGS_SCHEMA, add_missing_columns
+from logsmith.sources.file_index import FileIndex, files_holding, write_index
 from logsmith.sources.sinks import CLUSTER_KEYS, MAX_RECORDS_PER_FILE
 
 # A version with the whole list every so many versions; attempts of a mutation
@@ -76,9 +77,10 @@ class Snapshot:
 
 class ManifestTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType = LOGS_SCHEMA, defaults: dict | None = None,
-                 ts: str = "timestamp", inserted: str = "created_at", cluster: tuple[str, ...] = CLUSTER_KEYS):
+                 ts: str = "timestamp", inserted: str = "created_at", cluster: tuple[str, ...] = CLUSTER_KEYS,
+                 indexes: tuple[FileIndex, ...] = ()):
         self.spark, self.path, self.schema, self.defaults = spark, path.rstrip("/"), schema, defaults
-        self.ts, self.inserted, self.cluster = ts, inserted, cluster
+        self.ts, self.inserted, self.cluster, self.indexes = ts, inserted, cluster, indexes
 
     # ---------------------------------------------------------------- the versions
 
@@ -195,6 +197,10 @@ class ManifestTable:
         ]
         return self.scan(files)
 
+    def read_holding(self, index: FileIndex, texts: list[str], snapshot: Snapshot | None = None) -> DataFrame:
+        """The rows of the files that can hold all of ``texts`` (F17, F4; filter as usual)."""
+        return self.scan(files_holding(self, snapshot or self.snapshot(), index, texts))
+
     # ---------------------------------------------------------------- writing
 
     def write_files(self, rows: DataFrame, clustered: int = 0) -> list[DataFile]:
@@ -217,6 +223,8 @@ class ManifestTable:
             return []
         inserted = F.coalesce(F.col(self.inserted), F.lit(_BEGINNING).cast("timestamp_ntz"))
         rows = self.spark.read.schema(self.stored_schema).option("basePath", target).parquet(*(s.getPath().toString() for s in found))
+        for index in self.indexes:
+            write_index(rows, index, self.path, commit)
         files = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), "month").agg(
             F.count(F.lit(1)).alias("rows"),
             F.min(self.ts).alias("first"), F.max(self.ts).alias("last"), F.min(inserted).alias("oldest"), F.max(inserted).alias("newest"),
@@ -302,10 +310,15 @@ class ManifestTable:
             for part in self._list(commit.getPath().toString()):
                 for file in self._list(part.getPath().toString()) if part.isDirectory() else [part]:
                     path = file.getPath()
-                    below = path.toString().split("/data/", 1)[1] if part.isDirectory() else None
+                    below = path.toString().rsplit("/data/", 1)[1] if part.isDirectory() else None
                     if below not in named and file.getModificationTime() < before:
                         self._fs(path.toString())[1].delete(path, False)
                         removed += below is not None
+        commits = {path.split("/", 1)[0] for path in named}
+        for index in self._list(f"{self.path}/index"):
+            for commit in self._list(index.getPath().toString()):
+                if commit.getPath().getName() not in commits and commit.getModificationTime() < before:
+                    self._fs(commit.getPath().toString())[1].delete(commit.getPath(), True)
         base = max((v for v in known if v <= (kept[0] if kept else 0) and self._load(v)["whole"]), default=0)
         for v in known:
             if v < base:
@@ -323,8 +336,8 @@ def _text(t: dt.datetime) -> str:
     return t.isoformat(sep=" ", timespec="microseconds")
 
 
-def logs_table(spark: SparkSession, path: str) -> ManifestTable:
-    return ManifestTable(spark, path, LOGS_SCHEMA, LOG_DEFAULTS)
+def logs_table(spark: SparkSession, path: str, indexes: tuple[FileIndex, ...] = ()) -> ManifestTable:
+    return ManifestTable(spark, path, LOGS_SCHEMA, LOG_DEFAULTS, indexes=indexes)
 
 
 def app_logs_table(spark: SparkSession, path: str) -> ManifestTable:
