@@ -1213,6 +1213,19 @@ def q_top_apps_maintained(spark, sf_dir):
     return rollup.top_apps(*_with_rollup(spark, sf_dir, "apps-maintained"), AS_OF)
 
 
+@register("log_patterns_maintained", ORACLE["log_patterns"])
+def q_log_patterns_maintained(spark, sf_dir):
+    """A7 from pattern counts per hour that ingest maintains, and the log rows of one hour."""
+    base = scratch_path(spark, "patterns-maintained")
+    logs, hours = logs_table(spark, f"{base}/logs"), rollup.pattern_table(spark, f"{base}/hours")
+    minutes = rollup.rollup_table(spark, f"{base}/minutes")
+    for k in range(3):
+        rows = fx.logs(spark, sf_dir).where(F.col("id").cast("bigint") % 3 == k)
+        rollup.append_with_rollup(logs, minutes, rows, ("load", k), hours)
+    rollup.fold(hours)
+    return rollup.log_patterns(logs, hours, AS_OF, hours=720, min_count=2, limit=50)
+
+
 @register("trace_lookup_indexed", ORACLE["trace_lookup"])
 def q_trace_lookup_indexed(spark, sf_dir):
     """F17 without time bounds: the index tells the files of a trace, no other is opened."""

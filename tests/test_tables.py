@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from logsmith.operators import enrich, rollup, stats, traces
+from logsmith.operators.patterns import log_patterns
 from logsmith.operators.filters import LogFilter, filter_logs
 from logsmith.plans.topk import ordered_page
 from logsmith.operators.search import newest_first
@@ -122,6 +123,22 @@ def test_few_rows_are_read_for_maintained_figures(spark, tmp_dir):
     assert rollup.log_stats(logs, counts, "2024-01-30 12:00:30").collect() == stats.log_stats(busy, "2024-01-30 12:00:30").collect()
 
 
+def test_maintained_patterns_are_those_of_a_scan(spark, tmp_dir):
+    rng = random.Random(8)
+    as_of = dt.datetime(2024, 1, 31, 10, 30, 17)
+    made = [(f"{i:04}", as_of - dt.timedelta(seconds=rng.choice([86_400, 86_399, rng.randint(0, 200_000)])),
+             rng.choice(["Error", "Info"]), f"app{i % 3}", f"took {rng.randint(1, 999)} ms in {rng.choice('xyz')}", "") for i in range(800)]
+    logs, hours = logs_table(spark, f"{tmp_dir}/logs"), rollup.pattern_table(spark, f"{tmp_dir}/hours")
+    minutes = rollup.rollup_table(spark, f"{tmp_dir}/minutes")
+    for k in (0, 1, 1):
+        rollup.append_with_rollup(logs, minutes, rows(spark, made[k::2]), ("w", k), hours)
+    whole = rows(spark, made)
+    assert rollup.log_patterns(logs, hours, as_of).collect() == log_patterns(whole, as_of).collect()
+    rollup.fold(hours)
+    for args in ({"hours": 3, "levels": "Error"}, {"min_count": 20, "limit": 4}, {"app_name": "app1", "hours": 48}):
+        assert rollup.log_patterns(logs, hours, as_of, **args).collect() == log_patterns(whole, as_of, **args).collect()
+
+
 # ---------------------------------------------------------------- envelopes on the stream
 
 
