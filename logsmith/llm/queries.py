@@ -207,6 +207,28 @@ SELECT page_id, n AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM f
+""",
+    # strings of 400 bytes by their start and hash; covered runs, and what lies between them
+    "op7_suffix_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents
+), w AS (
+  SELECT r, p, md5(b[p:p + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d WHERE octet_length(b) >= 400)
+), hit AS (
+  SELECT r, p FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1
+), island AS (
+  SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS i
+  FROM (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 1 ELSE 0 END AS fresh FROM hit)
+), run AS (SELECT r, min(p) AS a, max(p) + 400 AS e FROM island GROUP BY r, i),
+gap AS (
+  SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 1) AS a, a - 1 AS e FROM run
+  UNION ALL SELECT r, max(e), octet_length(any_value(b)) FROM run JOIN d USING (r) GROUP BY r
+), kept AS (
+  SELECT r, list_reduce(list(b[a:e] ORDER BY a), lambda x, y: x || y) AS k FROM gap JOIN d USING (r) WHERE a <= e GROUP BY r
+), total AS (SELECT r, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM run GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE coalesce(k, ''::BLOB) END) AS kept_sha256
+FROM d LEFT JOIN total USING (r) LEFT JOIN kept USING (r)
 """,
     "op10_decontamination": r"""
 WITH w AS (
