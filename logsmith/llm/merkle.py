@@ -23,6 +23,7 @@ table of their own.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -216,7 +217,7 @@ def climb(manifest: Manifest, row: Column, found: Column, *results: Column) -> D
     ``row`` what it carries along. Returns ``row``, ``subroot``, ``proof`` (the siblings in order)
     and ``folded``, all binary, or the given ``results`` made of them."""
     spark = manifest.leaves.sparkSession
-    names = {"leaves": "_merkle_leaves", "nodes": "_merkle_nodes"}
+    names = {k: f"_merkle_{k}_{uuid.uuid4().hex}" for k in ("leaves", "nodes")}
     link = [c for c in _LINK if c not in ("tree", "level")]
     manifest.leaves.select(*link, row.alias("row"), found.alias("found")).createOrReplaceTempView(names["leaves"])
     manifest.nodes.createOrReplaceTempView(names["nodes"])
