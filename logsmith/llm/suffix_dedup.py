@@ -9,8 +9,10 @@ runs of starts with one least hash) of the same hash. Regions whose hash occurs
 repeat and go no further; equal regions are counted, and the distinct regions of a hash are
 gathered in shards, where external induced sorting (``induced``) puts their suffixes in order
 and tells which starts share ``depth`` bytes with a neighbour. A hash with more regions than a
-shard holds (text around a very common passage) is not gathered in one task: the starts of its
-regions are compared by 128-bit hashes of their strings, counted across the cluster.
+shard holds (text around a very common passage) is not gathered in one task: its regions are cut
+again by longer grams, which tell apart what surrounds the passage, and go through the same
+steps, round by round until every group fits. The last grams are whole strings of ``depth`` bytes,
+where equal regions are all that is left of a group.
 
 Defined results: null and empty texts have nothing to remove; a text shorter than ``depth``
 never repeats; rows with equal id and text are different places, so both lose what they share;
@@ -33,13 +35,13 @@ from logsmith.llm.induced import Shard
 DEPTH = 400
 #: Bytes of region text that are sorted together in a task.
 SHARD_BYTES = 3 << 20
-#: Regions up to this number (40 bytes each) are sent to all executors to fetch their bytes;
-#: more are fetched by a shuffled join.
-BROADCAST_REGIONS = 1_000_000
+#: Regions up to this number (about 150 bytes each in a hash table) are sent to all executors to
+#: fetch their bytes; more are fetched by a shuffled join.
+BROADCAST_REGIONS = 250_000
 #: Bytes of a text whose grams are hashed at a time.
 CHUNK_BYTES = 1 << 20
 
-_TABLE = np.random.default_rng(5).integers(0, 2**64, (2, 256), dtype=np.uint64)
+_TABLE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -54,11 +56,11 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def gram_hashes(data: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` bytes."""
     up, down = _powers()
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[salt][data] * up[: len(data)], out=sums[1:])
+    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
     h = (sums[size:] - sums[:-size]) * down[: len(data) - size + 1]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -74,19 +76,21 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def _gram(depth: int) -> int:
-    return max(1, depth // 6)
+def _grams(depth: int) -> list[int]:
+    """Gram lengths of the rounds."""
+    return sorted({max(1, n) for n in (depth // 6, depth // 2, depth * 3 // 4, depth - depth // 16, depth)})
 
 
-def regions(text: bytes, depth: int) -> Iterator[tuple[int, int, int, bool]]:
+def regions(text: bytes, depth: int, gram: int | None = None) -> Iterator[tuple[int, int, int, bool]]:
     """(least hash, first start, number of starts, whether the hash is met again nearby) of each
-    region of a text. Only where it is met again can a region repeat a string in itself."""
-    gram = _gram(depth)
+    region of a text. Only where it is met again can a region repeat a string in itself. With
+    grams of the whole depth every start is a region."""
+    gram = gram or _grams(depth)[0]
     for begin in range(0, len(text) - depth + 1, CHUNK_BYTES):
         data = np.frombuffer(text, np.uint8, min(len(text) - begin, CHUNK_BYTES + depth - 1), begin)
         hashes = gram_hashes(data, gram)
         least = sliding_least(hashes, depth - gram + 1)
-        first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        first = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (gram == depth)))
         count = np.diff(np.append(first, len(least)))
         # grams that are the least of some string: by 16 bits first, then all of them
         maybe = np.zeros(1 << 16, bool)
@@ -100,7 +104,7 @@ def regions(text: bytes, depth: int) -> Iterator[tuple[int, int, int, bool]]:
 _REGION = pa.struct([("h", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("again", pa.bool_())])
 
 
-def _regions_of(data: Column, depth: int) -> Column:
+def _regions_of(data: Column, depth: int, gram: int) -> Column:
     """All regions of a text, with a 128-bit hash of their bytes."""
 
     @F.arrow_udf("array<struct<h: bigint, r1: bigint, r2: bigint, start: bigint, n: bigint, again: boolean>>")
@@ -110,7 +114,7 @@ def _regions_of(data: Column, depth: int) -> Column:
             digests = bytearray()
             for x in batch:
                 text = x.as_py()
-                for h, start, n, again in regions(text, depth):
+                for h, start, n, again in regions(text, depth, gram):
                     for column, value in zip(columns, (h, start, n, again)):
                         column.append(value)
                     digests += xxhash.xxh3_128_digest(text[start : start + n + depth - 1])
@@ -162,35 +166,6 @@ def _sort_shards(depth: int, shard_bytes: int):
     return sort
 
 
-def _window_keys(data: Column, depth: int) -> Column:
-    """128 bits of hash for each start of a region."""
-
-    @F.arrow_udf("array<struct<w1: bigint, w2: bigint>>")
-    def keyed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())]))
-        for batch in batches:
-            rows = []
-            for x in batch:
-                text, out = x.as_py(), []
-                for begin in range(0, len(text) - depth + 1, CHUNK_BYTES):
-                    part = np.frombuffer(text, np.uint8, min(len(text) - begin, CHUNK_BYTES + depth - 1), begin)
-                    pair = (gram_hashes(part, depth, salt).view(np.int64).tolist() for salt in (0, 1))
-                    out += [{"w1": a, "w2": b} for a, b in zip(*pair)]
-                rows.append(out)
-            yield pa.array(rows, kind)
-
-    return keyed(data)
-
-
-def _compare_hot(hot: DataFrame, depth: int) -> DataFrame:
-    """(h, r1, r2, runs) of groups too large for a shard, by counting hashes of their strings."""
-    starts = hot.select("h", "r1", "r2", F.posexplode(_window_keys(F.col("data"), depth)).alias("a", "w"))
-    starts = starts.select("h", "r1", "r2", F.col("a").cast("long").alias("a"), "w.w1", "w.w2")
-    twice = starts.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    runs = F.collect_list(F.struct(F.col("a"), (F.col("a") + 1).alias("b")))
-    return starts.join(twice, ["w1", "w2"], "left_semi").groupBy("h", "r1", "r2").agg(runs.alias("runs"))
-
-
 def _cut(data: Column, spans: Column) -> Column:
     """``struct<kept: binary, n_removed, n_spans>``: the text without the spans, which may
     overlap."""
@@ -219,14 +194,13 @@ def _cut(data: Column, spans: Column) -> Column:
     return cut(data, spans)
 
 
-def find_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(id, text_hash, spans): the spans [a, b) of bytes to remove, which may overlap, of each
-    document that has any."""
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_col).alias("text_hash"), utf8(text_col).alias("data"))
-    cut = rows.select("id", "text_hash", F.explode(_regions_of(F.col("data"), depth)).alias("g")).select("id", "text_hash", "g.*")
+def _spans(rows: DataFrame, depth: int, grams: list[int], shard_bytes: int) -> DataFrame:
+    """(id, text_hash, spans) of ``rows`` (id, text_hash, data), cut by the first of ``grams``."""
+    cut = rows.select("id", "text_hash", F.explode(_regions_of(F.col("data"), depth, grams[0])).alias("g")).select("id", "text_hash", "g.*")
     cut = staged(cut, "suffix-cut")  # read twice
+    # the sides by hash are staged, too: a join of two plain shuffles can split a hot hash
     met = cut.groupBy("h").agg(F.count("*").alias("c"), F.max("again").alias("again")).where("c > 1 or again").select("h")
-    likely = staged(cut.join(met, "h", "left_semi"), "suffix-regions")
+    likely = staged(cut.join(staged(met, "suffix-met"), "h", "left_semi"), "suffix-regions")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "start")
     distinct = staged(
         likely.groupBy("h", "r1", "r2", "n").agg(F.count("*").alias("times"), F.max("again").alias("again"), F.min(place).alias("at")), "suffix-distinct"
@@ -234,22 +208,27 @@ def find_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, sh
     # groups in which some region occurs once but is not alone, or meets its gram again
     size = F.sum(F.col("n") + depth)
     counts = [F.count("*").alias("k"), F.min("times").alias("least"), F.max("again").alias("again"), size.alias("size")]
-    groups = distinct.groupBy("h").agg(*counts).where("(k > 1 or again) and least = 1")
+    groups = staged(distinct.groupBy("h").agg(*counts).where("(k > 1 or again) and least = 1").select("h", "size"), "suffix-groups")
     wanted = staged(
-        distinct.join(groups.select("h", "size"), "h").select("h", "r1", "r2", "n", "size", "at.id", "at.text_hash", "at.start"),
+        distinct.join(groups, "h").select("h", "r1", "r2", "n", "size", "at.id", "at.text_hash", "at.start"),
         "suffix-wanted",
     )
-    total, held = wanted.agg(F.count("*"), F.coalesce(F.sum(F.col("n") + depth), F.lit(0))).first()
+    held, largest = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     asked = wanted.withColumnsRenamed({"id": "id_", "text_hash": "hash_"})
-    side = F.broadcast(asked) if total <= BROADCAST_REGIONS else asked
+    side = F.broadcast(asked) if wanted.count() <= BROADCAST_REGIONS else asked
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
     region = F.expr(f"substring(data, int(start) + 1, int(n) + {depth - 1})")
     fetched = rows.join(side, same).select("h", "r1", "r2", "size", region.alias("data"))
-    cold, hot = fetched.where(F.col("size") <= shard_bytes), fetched.where(F.col("size") > shard_bytes)
+    again = largest > shard_bytes and len(grams) > 1
+    if again:
+        fetched = staged(fetched, "suffix-fetched")
+    cold = fetched.where(F.col("size") <= shard_bytes) if again else fetched
     shards = max(1, -(-int(held) // shard_bytes))
     runs = cold.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(_sort_shards(depth, shard_bytes), _SORTED)
-    if wanted.where(F.col("size") > shard_bytes).limit(1).count():
-        runs = runs.unionByName(_compare_hot(hot, depth))
+    if again:
+        hot = fetched.where(F.col("size") > shard_bytes).select(F.struct("h", "r1", "r2").alias("id"), F.col("r1").alias("text_hash"), "data")
+        found = F.transform("spans", lambda s: F.struct(s["a"].alias("a"), (s["b"] - (depth - 1)).alias("b")))
+        runs = runs.unionByName(_spans(hot, depth, grams[1:], shard_bytes).select("id.*", found.alias("runs")))
     all_starts = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
     whole = distinct.where("times > 1").select("h", "r1", "r2", all_starts.alias("runs"))
     marked = runs.where(F.size("runs") > 0).unionByName(whole)
@@ -258,6 +237,13 @@ def find_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, sh
     return spans.select("id", "text_hash", span.alias("span")).groupBy("id", "text_hash").agg(F.collect_list("span").alias("spans"))
 
 
+def find_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(id, text_hash, spans): the spans [a, b) of bytes to remove, which may overlap, of each
+    document that has any."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_col).alias("text_hash"), utf8(text_col).alias("data"))
+    return _spans(rows, depth, _grams(depth), shard_bytes)
+
+
 def remove_repeats(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with ``kept`` (bytes), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal
     removed runs)."""

@@ -148,6 +148,20 @@ def test_repeated_bytes(frame, monkeypatch, shard_bytes, most, chunk):
     assert got == brute.repeated_bytes(docs, 24)
 
 
+def test_groups_larger_than_a_shard_are_cut_again(frame, monkeypatch):
+    rounds = []
+    spans = suffix_dedup._spans
+    monkeypatch.setattr(suffix_dedup, "_spans", lambda rows, depth, grams, size: rounds.append(grams[0]) or spans(rows, depth, grams, size))
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefg") for _ in range(n))
+    passage, tail = make(22), make(10)
+    docs = [(i, make(20) + passage + (tail if i % 5 == 0 else make(rng.randint(0, 9)))) for i in range(300)]
+    docs += [(1000 + i, make(i % 7) + "z" * (30 + i)) for i in range(40)]
+    got = suffix_dedup.remove_repeats(frame(docs), depth=24, shard_bytes=600)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()} == brute.repeated_bytes(docs, 24)
+    assert rounds == [4, 12, 18, 23, 24]
+
+
 def test_repeated_rows_and_empty_tables_of_substrings(frame):
     text = "abcdefghij" + "klmnopqrst" * 3
     rows = frame([(1, text), (1, text), (None, "0123456789" + text[:30]), (None, "0123456789")])
