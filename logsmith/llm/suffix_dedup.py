@@ -35,9 +35,6 @@ from logsmith.llm.induced import Shard
 DEPTH = 400
 #: Bytes of region text that are sorted together in a task.
 SHARD_BYTES = 3 << 20
-#: Regions up to this number (about 150 bytes each in a hash table) are sent to all executors to
-#: fetch their bytes; more are fetched by a shuffled join.
-BROADCAST_REGIONS = 250_000
 #: Bytes of a text whose grams are hashed at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -215,10 +212,9 @@ def _spans(rows: DataFrame, depth: int, grams: list[int], shard_bytes: int) -> D
     )
     held, largest = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     asked = wanted.withColumnsRenamed({"id": "id_", "text_hash": "hash_"})
-    side = F.broadcast(asked) if wanted.count() <= BROADCAST_REGIONS else asked
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
     region = F.expr(f"substring(data, int(start) + 1, int(n) + {depth - 1})")
-    fetched = rows.join(side, same).select("h", "r1", "r2", "size", region.alias("data"))
+    fetched = rows.join(asked, same).select("h", "r1", "r2", "size", region.alias("data"))
     again = largest > shard_bytes and len(grams) > 1
     if again:
         fetched = staged(fetched, "suffix-fetched")
