@@ -310,3 +310,35 @@ def test_repeated_windows_agree_with_counting():
     for _ in range(200):
         words = [rng.choice([b"a", b"b"]) for _ in range(rng.randint(0, 40))]
         assert quality.repeated_words(words) == brute.quality_counts(" ".join(w.decode() for w in words))[4]
+
+
+def test_forest_counts_every_labelled_row(frame, monkeypatch):
+    """Every good row is in a cell of every tree or among the rows of the threshold, however many
+    there are; the threshold is the one of an exhaustive search."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(40)) for _ in range(300)]
+    labels = [(i, int(i % 5 > 0), 0) for i in range(300)]
+    grown, held = [], []
+    count, calibrate = quality._counted, quality.calibrate
+    monkeypatch.setattr(quality, "_counted", lambda rows, f: grown.append(count(rows, f)) or grown[-1])
+    monkeypatch.setattr(quality, "calibrate", lambda scores: held.extend(scores.collect()) or calibrate(scores))
+    forest = quality.fit_forest(frame(list(enumerate(texts))), frame(labels, "doc_id long, quality int, toxic int"))
+    passed = [i for i, t in enumerate(texts) if 100 * brute.quality_counts(t)[4] <= 30 * brute.quality_counts(t)[0]]
+    per_tree = set(grown[0].sum(1).tolist())
+    assert len(per_tree) == 1 and per_tree.pop() + len(held) == len(passed)
+    good, bad = ([r.score for r in held if r.good == g] for g in (1, 0))
+    found = []
+    for edge in sorted({r.score for r in held}):
+        lost = sum(s > edge for s in good)
+        if lost <= (1 - quality.KEEP_GOOD) * len(good):
+            found.append((sum(s > edge for s in bad) / len(bad) - lost / len(good), edge))
+    best = max(found)[1]
+    assert best <= forest.limit < min([s for s in good + bad if s > best], default=np.inf)
+
+
+def test_path_ends_at_a_node_with_one_row():
+    counts = np.zeros((1, 1 << quality.DEPTH), np.int64)
+    counts[0, 0], counts[0, -1] = 5, 1
+    path = quality.path_lengths(counts)[0]
+    assert path[0] == quality.DEPTH + quality._expected(5) and path[-1] == 1 and path[1] == quality.DEPTH
+    assert path[(1 << quality.DEPTH) // 2 - 1] == 2
