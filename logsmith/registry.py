@@ -658,18 +658,18 @@ def q_log_display(spark, sf_dir):
 # Processing-time stamps are dropped from the result (they differ per run).
 
 
-# A micro-batch takes about this much, and one file at least.
+# A micro-batch takes about this much, and one file at least; more of a large backlog.
 STREAM_TRIGGER = 256 * 1024
 
 
-def _stage_input(df: DataFrame, path: str) -> None:
+def _stage_input(df: DataFrame, path: str, dealt: bool = True) -> None:
     """Write the derived input: as many files as shuffle partitions, each a random share of the
-    rows, so micro-batches are out of order."""
-    df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+    rows, so micro-batches are out of order. ``dealt``: the view's events are shared out already."""
+    (df if dealt else fx.shares(df)).write.parquet(path)
 
 
 def _stream(spark: SparkSession, schema, path: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", STREAM_TRIGGER).parquet(path)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", s_ingest.drain_trigger(spark, path, STREAM_TRIGGER)).parquet(path)
 
 
 def _await(q) -> None:
@@ -692,10 +692,10 @@ WHERE {_DUCK_VALID})""",
 )
 def q_stream_ingest(spark, sf_dir):
     base = scratch_path(spark, "stream-ingest")
-    _stage_input(fx.raw_logs(spark, sf_dir), f"{base}/raw")
+    _stage_input(fx.raw_logs(spark, sf_dir, spread=True), f"{base}/raw")
     q = s_ingest.start_log_ingest(
         spark, f"{base}/raw", lambda: fx.projects(spark, sf_dir), f"{base}/logs", f"{base}/rejected",
-        f"{base}/_checkpoint", available_now=True, max_bytes_per_trigger=STREAM_TRIGGER,
+        f"{base}/_checkpoint", available_now=True, max_bytes_per_trigger=s_ingest.drain_trigger(spark, f"{base}/raw", STREAM_TRIGGER),
     )
     _await(q)
     return spark.read.parquet(f"{base}/logs").select(*_INGEST_COLS)
@@ -711,7 +711,7 @@ _APP_COLS_NO_STAMP = [c for c in ("id", "timestamp", "level", "category", "messa
 )
 def q_stream_app_logs(spark, sf_dir):
     base = scratch_path(spark, "stream-app-logs")
-    src = fx.requests(spark, sf_dir)
+    src = fx.requests(spark, sf_dir, spread=True)
     _stage_input(src, f"{base}/requests")
     stream = _stream(spark, src.schema, f"{base}/requests")
     _await(s_ingest.start_request_ingest(spark, stream, f"{base}/app_logs", f"{base}/_checkpoint",
@@ -730,7 +730,7 @@ ORDER BY timestamp DESC, id LIMIT 100""",
 )
 def q_stream_tail(spark, sf_dir):
     base = scratch_path(spark, "stream-tail")
-    _stage_input(fx.logs(spark, sf_dir), f"{base}/logs")
+    _stage_input(fx.logs(spark, sf_dir, spread=True), f"{base}/logs")
     stream = _stream(spark, LOGS_SCHEMA, f"{base}/logs")
     _await(s_tail.start_tail(spark, stream, TAIL_FILTER, f"{base}/tail", f"{base}/_checkpoint", available_now=True))
     return s_tail.newest(s_tail.read_tail(spark, f"{base}/tail", LOGS_SCHEMA).select(*LOG_PAGE_COLUMNS), 100)
@@ -746,7 +746,7 @@ FROM b GROUP BY window_start""",
 )
 def q_stream_rate_audit(spark, sf_dir):
     base = scratch_path(spark, "stream-rate")
-    src = reqs.request_log(fx.requests(spark, sf_dir))
+    src = reqs.request_log(fx.requests(spark, sf_dir, spread=True))
     _stage_input(src, f"{base}/app_logs")
     _await(s_rate.start_rate_audit(spark, _stream(spark, src.schema, f"{base}/app_logs"), f"{base}/counts",
                                    f"{base}/_checkpoint", available_now=True))
@@ -858,7 +858,7 @@ def q_ingest_to_table(spark, sf_dir):
 def q_stream_rate_audit_first_rejected(spark, sf_dir):
     """T5 on a stream with the first rejected arrival, drained in out-of-order micro-batches."""
     base = scratch_path(spark, "stream-rate-first")
-    src = reqs.request_log(fx.requests(spark, sf_dir))
+    src = reqs.request_log(fx.requests(spark, sf_dir, spread=True))
     _stage_input(src, f"{base}/app_logs")
     _await(s_rate.start_rate_audit(spark, _stream(spark, src.schema, f"{base}/app_logs"), f"{base}/audit",
                                    f"{base}/_checkpoint", available_now=True))
@@ -1096,7 +1096,7 @@ def q_trace_lookup_bounded(spark, sf_dir):
 
 def _appended(rows: DataFrame, table: ManifestTable, parts: int = 3) -> ManifestTable:
     for k in range(parts):
-        table.append(rows.where(F.col("id").cast("bigint") % parts == k), ("load", k))
+        table.append(rows.where(F.col("id").cast("bigint") % parts == k), ("load", k), spread=True)
     return table
 
 
@@ -1108,11 +1108,12 @@ def q_stream_ingest_batch(spark, sf_dir):
     """T1 for S5: batch bodies on the stream, each accepted or rejected as a whole, into a table
     under a manifest."""
     base = scratch_path(spark, "stream-ingest-batch")
-    _stage_input(fx.raw_batches(spark, sf_dir), f"{base}/raw")
+    _stage_input(fx.raw_batches(spark, sf_dir, spread=True), f"{base}/raw", dealt=False)
     logs = logs_table(spark, f"{base}/logs")
     _await(s_ingest.start_log_ingest(
         spark, f"{base}/raw", lambda: fx.projects(spark, sf_dir), logs, rejections_table(spark, f"{base}/rejected"),
-        f"{base}/_checkpoint", available_now=True, max_bytes_per_trigger=4 * STREAM_TRIGGER, envelopes=True,
+        f"{base}/_checkpoint", available_now=True, envelopes=True,
+        max_bytes_per_trigger=s_ingest.drain_trigger(spark, f"{base}/raw", 4 * STREAM_TRIGGER),
     ))
     return logs.read().select(*_INGEST_COLS)
 
@@ -1121,11 +1122,11 @@ def q_stream_ingest_batch(spark, sf_dir):
 def q_stream_ingest_table(spark, sf_dir):
     """T1 into a table under a manifest, compacted while it is read and once more afterwards."""
     base = scratch_path(spark, "stream-ingest-table")
-    _stage_input(fx.raw_logs(spark, sf_dir), f"{base}/raw")
+    _stage_input(fx.raw_logs(spark, sf_dir, spread=True), f"{base}/raw")
     logs = logs_table(spark, f"{base}/logs")
     _await(s_ingest.start_log_ingest(
         spark, f"{base}/raw", lambda: fx.projects(spark, sf_dir), logs, rejections_table(spark, f"{base}/rejected"),
-        f"{base}/_checkpoint", available_now=True, max_bytes_per_trigger=4 * STREAM_TRIGGER,
+        f"{base}/_checkpoint", available_now=True, max_bytes_per_trigger=s_ingest.drain_trigger(spark, f"{base}/raw", 4 * STREAM_TRIGGER),
     ))
     logs.compact()
     return logs.read().select(*_INGEST_COLS)
@@ -1140,7 +1141,7 @@ def q_table_ttl_after_stopped_delete(spark, sf_dir):
     rows = fx.logs(spark, sf_dir)
     table = _appended(rows.where("id % 5 <> 0"), logs_table(spark, scratch_path(spark, "table-ttl")))
     table.write_files(table.read().where("timestamp >= TIMESTAMP_NTZ'2024-01-21 00:00:00'"), 1)  # and no commit
-    table.append(rows.where("id % 5 = 0"))
+    table.append(rows.where("id % 5 = 0"), spread=True)
     table.expire(AS_OF, 7)
     return table.read().select(*_STORED_COLS)
 
@@ -1155,7 +1156,7 @@ def q_table_delete_all_after_stopped_delete(spark, sf_dir):
     table = _appended(rows.where("id % 5 <> 0"), logs_table(spark, scratch_path(spark, "table-delete-all")))
     table.write_files(table.read().where("timestamp >= TIMESTAMP_NTZ'2024-01-21 00:00:00'"), 1)  # and no commit
     table.delete_all()
-    table.append(rows.where("id % 5 = 0"))
+    table.append(rows.where("id % 5 = 0"), spread=True)
     table.delete_older_than(AS_OF, 10)
     return table.read().select(*_STORED_COLS)
 
@@ -1169,7 +1170,7 @@ def q_table_compact_while_arriving(spark, sf_dir):
     read = table.snapshot()
     merged = table.write_files(table.scan(list(read.files)), 2)
     for _ in range(2):
-        table.append(rows.where("id % 4 = 3"), ("stream", 0))  # arrives meanwhile, twice
+        table.append(rows.where("id % 4 = 3"), ("stream", 0), spread=True)  # arrives meanwhile, twice
     table.commit(read, merged, list(read.files))
     return table.read().select(*_STORED_COLS)
 
@@ -1265,7 +1266,7 @@ _TAIL_SQL = {
 def q_stream_tails(spark, sf_dir):
     """T3 for many viewers: all filters in one pass over each micro-batch."""
     base = scratch_path(spark, "stream-tails")
-    _stage_input(fx.logs(spark, sf_dir), f"{base}/logs")
+    _stage_input(fx.logs(spark, sf_dir, spread=True), f"{base}/logs")
     stream = _stream(spark, LOGS_SCHEMA, f"{base}/logs")
     _await(s_tail.start_tails(spark, stream, TAILS, f"{base}/tails", f"{base}/_checkpoint", available_now=True))
     schema = T.StructType([*LOGS_SCHEMA.fields, T.StructField("tail", T.StringType())])

@@ -8,6 +8,7 @@ given table, so the work of each query grows with the data.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The reference time of every relative-time fixture query.
 AS_OF = "2024-01-31 00:00:00"
@@ -116,9 +117,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shares(df: DataFrame) -> DataFrame:
+    """As many partitions as shuffle partitions, each a random share of the rows: by a hash of the
+    whole row, which needs no sort and is the same in every attempt of a task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*df.columns))
+
+
+def _events(spark: SparkSession, sf_dir: str, spread: bool) -> DataFrame:
+    """``spread``: dealt out before a view computes anything, however few the splits of the file."""
+    events = table(spark, sf_dir, "events")
+    return shares(events) if spread else events
+
+
+def logs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``logs`` (one row per ``events`` row)."""
-    return spark.sql(_spark_text(_LOGS), events=table(spark, sf_dir, "events"))
+    return spark.sql(_spark_text(_LOGS), events=_events(spark, sf_dir, spread))
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +142,9 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
                      supplier=table(spark, sf_dir, "supplier"))
 
 
-def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_logs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``raw_logs`` ingest input (one JSON body per ``events`` row)."""
-    return spark.sql(_spark_text(_RAW_LOGS), events=table(spark, sf_dir, "events"))
+    return spark.sql(_spark_text(_RAW_LOGS), events=_events(spark, sf_dir, spread))
 
 
 def app_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,13 +184,11 @@ def duck_with(*names: str) -> str:
 BATCH_BLOCK = 256
 
 
-def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_batches(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``raw_batches``: ``raw_id`` (first id of the batch), ``received_at`` (last), ``api_key``,
     ``client_ip`` (smallest), ``body`` (envelope, records in id order)."""
-    from pyspark.sql import functions as F
-
     # records that parse; every fifth block carries a null element, every seventh is empty
-    raw = raw_logs(spark, sf_dir).where("body LIKE '{%}'")
+    raw = raw_logs(spark, sf_dir, spread).where("body LIKE '{%}'")
     bodies = F.transform(F.array_sort(F.collect_list(F.struct("raw_id", "body"))), lambda s: s["body"])
     block = F.col("_blk")
     inside = F.when(block % 7 == 2, F.lit("")).otherwise(
@@ -242,8 +254,8 @@ FROM {logs}
 """
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_spark_text(_REQUESTS), logs=logs(spark, sf_dir))
+def requests(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return spark.sql(_spark_text(_REQUESTS), logs=logs(spark, sf_dir, spread))
 
 
 def duck_requests() -> str:

@@ -15,13 +15,15 @@ by age and TTL open only the files that they concern.
 A writer that may be repeated names its ``step`` (writer, number): a step up to the last one
 committed by that writer changes nothing.
 
-The rename has to be atomic and to refuse an existing name, as on HDFS and local disks.
+The rename has to be atomic and to refuse an existing name, as on HDFS; on a local disk, where
+Hadoop's rename may replace a version that has just come, a hard link does it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsmith.functions.time import as_datetime, month_key, ts_lit
+from logsmith.plans.broadcast import estimated_bytes
 from logsmith.schema import APP_LOGS_SCHEMA, LOG_DEFAULTS, LOGS_SCHEMA, add_missing_columns
 from logsmith.sources.file_index import FileIndex, files_holding, write_index
 from logsmith.sources.sinks import CLUSTER_KEYS, MAX_RECORDS_PER_FILE
@@ -42,8 +45,9 @@ WHOLE_EVERY = 20
 ATTEMPTS = 5
 KEEP_VERSIONS = 20
 ORPHAN_SECONDS = 24 * 3600
-# Fixed value: size of the files that a rewrite aims at.
-FILE_BYTES = 256 * 1024 * 1024
+# Fixed value: stored bytes that one task of a rewrite sorts (about eleven times as much in memory)
+# and writes into a file of each month.
+SORT_BYTES = 32 * 1024 * 1024
 
 _BEGINNING = "0001-01-01 00:00:00"  # rows without an insert time are as old as can be
 
@@ -138,6 +142,14 @@ class ManifestTable:
         out = fs.create(draft, False)
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
+        if fs.getUri().getScheme() == "file":  # Hadoop's rename there looks first and renames then
+            try:
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                fs.delete(draft, False)
         hadoop = sc._jvm.org.apache.hadoop.fs
         mode = getattr(hadoop, "Options$Rename")
         refuse = sc._gateway.new_array(mode, 1)
@@ -165,7 +177,8 @@ class ManifestTable:
             version, steps = now.version + 1, {step[0]: step[1]} if step else {}
             whole = version % WHOLE_EVERY == 0
             if whole:
-                kept = [f for f in now.files if f.path not in set(gone)]
+                left = set(gone)
+                kept = [f for f in now.files if f.path not in left]
                 content = {"whole": True, "add": [asdict(f) for f in [*kept, *add]], "remove": [], "steps": now.steps | steps}
             else:
                 content = {"whole": False, "add": [asdict(f) for f in add], "remove": gone, "steps": steps}
@@ -203,13 +216,18 @@ class ManifestTable:
 
     # ---------------------------------------------------------------- writing
 
-    def write_files(self, rows: DataFrame, clustered: int = 0) -> list[DataFile]:
+    def write_files(self, rows: DataFrame, clustered: int = 0, spread: bool = False) -> list[DataFile]:
         """Write rows into new files that no version names yet. ``clustered``: range-partitioned
-        into so many tasks by month and the cluster keys; else each task sorts its own rows."""
+        by month and the cluster keys into so many tasks, or more by the bytes that are read; else
+        each task sorts its own rows. ``spread``: for a load of any size, dealt by a hash first, so
+        that what a task sorts does not grow with the rows, however few the splits of its input."""
+        by_size = -(-(estimated_bytes(rows) or 0) // SORT_BYTES)
         rows = add_missing_columns(rows, self.schema, self.defaults).withColumn("month", month_key(self.ts))
         keys = ("month", *self.cluster)
         if clustered:
-            rows = rows.repartitionByRange(clustered, *keys)
+            rows = rows.repartitionByRange(max(clustered, by_size), *keys)
+        elif spread:
+            rows = rows.repartition(F.xxhash64(*rows.columns))
         commit = uuid.uuid4().hex
         target = f"{self.path}/data/commit={commit}"
         (rows.sortWithinPartitions(*keys).write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
@@ -235,12 +253,12 @@ class ManifestTable:
             for r in files.collect()
         ]
 
-    def append(self, rows: DataFrame, step: tuple[str, int] | None = None) -> int:
-        """Add rows; returns the version that holds them."""
+    def append(self, rows: DataFrame, step: tuple[str, int] | None = None, spread: bool = False) -> int:
+        """Add rows; returns the version that holds them. ``spread`` as in ``write_files``."""
         read = self.snapshot()
         if step and read.steps.get(step[0], -1) >= step[1]:
             return read.version
-        return self.commit(read, self.write_files(rows), [], step)
+        return self.commit(read, self.write_files(rows, spread=spread), [], step)
 
     def _repeated(self, change: Callable[[Snapshot], int]) -> int:
         for left in range(ATTEMPTS, 0, -1):
@@ -328,7 +346,7 @@ class ManifestTable:
 
 
 def _tasks(files: list[DataFile]) -> int:
-    return max(1, -(-sum(f.bytes for f in files) // FILE_BYTES))
+    return max(1, -(-sum(f.bytes for f in files) // SORT_BYTES))
 
 
 def _text(t: dt.datetime) -> str:

@@ -46,6 +46,19 @@ def read_raw_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_fi
     return reader.load(path)
 
 
+# Fixed value: micro-batches of a drain, about.
+DRAIN_BATCHES = 32
+
+
+def drain_trigger(spark: SparkSession, path: str, least: int) -> int:
+    """Bytes of a micro-batch when a backlog is drained: ``least``, or a fixed share of what waits
+    if that is more. What a micro-batch costs whatever its size (planning, commits, files) is
+    paid a bounded number of times then, and a batch has files for many tasks."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max(least, -(-fs.getContentSummary(p).getLength() // DRAIN_BATCHES))
+
+
 def write_batch_partitions(df: DataFrame, path: str, batch_id: int, ts_col: str = "timestamp") -> None:
     """Idempotent append: the directory of the batch is overwritten, with months inside. Rows of
     a month sit together, so a batch leaves one file per month and task that has some."""

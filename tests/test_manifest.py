@@ -226,3 +226,29 @@ def test_a_stopped_deletion_is_finished_without_an_edge_month(spark, tmp_dir):
     _stopped_retention(spark, path, f"{tmp_dir}/stopped")
     retention.apply_retention(spark, path, dt.datetime(2024, 1, 2), 30, f"{tmp_dir}/stage")  # the cutoff lies in December
     assert ids(read_logs(spark, path)) == ["a"] and retention._pending(spark, path) is None
+
+
+def test_tasks_of_a_rewrite_follow_the_bytes(spark, tmp_dir, monkeypatch):
+    """A rewrite into one task becomes several when there is more than a task should sort."""
+    from logsmith.sources import manifest
+
+    t = logs_table(spark, f"{tmp_dir}/t")
+    t.append(rows(spark, *((f"r{i}", day(1, 1 + i % 28)) for i in range(200))))
+    stored = sum(f.bytes for f in t.snapshot().files)
+    assert len(t.write_files(t.read(), 1)) == 1
+    monkeypatch.setattr(manifest, "SORT_BYTES", stored // 4)
+    assert len(t.write_files(t.read(), 1)) >= 4
+    t.append(rows(spark, ("more", day(1, 1))))
+    t.compact()
+    assert len(t.snapshot().files) >= 4 and len(ids(t.read())) == 201
+
+
+def test_a_version_is_made_once(spark, tmp_dir):
+    t = logs_table(spark, f"{tmp_dir}/t")
+    t.append(rows(spark, ("a", day(1, 1))))
+    made = []
+    threads = [threading.Thread(target=lambda k=k: made.append(t._publish(2, {"whole": False, "add": [], "remove": [], "steps": {str(k): k}})))
+               for k in range(24)]
+    [x.start() for x in threads]
+    [x.join() for x in threads]
+    assert sum(made) == 1 and len(made) == 24 and t.versions() == [1, 2] and len(t._load(2)["steps"]) == 1

@@ -163,3 +163,24 @@ def test_tail_sink_holds_no_more_than_it_shows(spark, tmp_dir):
     assert held.count() == 7 and [r.id for r in tail.newest(held).collect()] == [r.id for r in want]
     assert len([d for d in os.listdir(f"{tmp_dir}/tail") if d.startswith("version-")]) <= 2
     assert tail.read_tail(spark, f"{tmp_dir}/none", LOGS_SCHEMA).count() == 0
+
+
+def test_a_drain_takes_larger_batches_of_a_larger_backlog(spark, tmp_dir, monkeypatch):
+    import pytest
+
+    from logsmith import registry
+
+    spark.range(2000).write.parquet(f"{tmp_dir}/in")
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(f"{tmp_dir}/in") for f in names if not f.endswith(".crc"))
+    assert s_ingest.drain_trigger(spark, f"{tmp_dir}/in", 10 * size) == 10 * size
+    assert s_ingest.drain_trigger(spark, f"{tmp_dir}/in", 1) == pytest.approx(size / s_ingest.DRAIN_BATCHES, abs=1)
+    # files of at least the least trigger: still a bounded number of batches, and all rows
+    monkeypatch.setattr(registry, "STREAM_TRIGGER", 1)
+    monkeypatch.setattr(s_ingest, "DRAIN_BATCHES", 2)
+    registry._stage_input(fx.logs(spark, SF, spread=True), f"{tmp_dir}/logs")
+    batches = []
+    registry._await(registry._stream(spark, fx.logs(spark, SF).schema, f"{tmp_dir}/logs").writeStream
+                    .foreachBatch(lambda b, i: batches.append(b.count())).option("checkpointLocation", f"{tmp_dir}/c")
+                    .trigger(availableNow=True).start())
+    files = [f for f in os.listdir(f"{tmp_dir}/logs") if f.endswith(".parquet")]
+    assert len(files) == 8 and len(batches) <= 3 and sum(batches) == fx.logs(spark, SF).count()
