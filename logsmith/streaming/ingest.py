@@ -46,8 +46,8 @@ def read_raw_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_fi
     return reader.load(path)
 
 
-# Fixed value: micro-batches of a drain, about.
-DRAIN_BATCHES = 32
+# Fixed value: micro-batches of a drain, about. With few, a batch has files for many tasks.
+DRAIN_BATCHES = 8
 
 
 def drain_trigger(spark: SparkSession, path: str, least: int) -> int:

@@ -184,3 +184,13 @@ def test_a_drain_takes_larger_batches_of_a_larger_backlog(spark, tmp_dir, monkey
                     .trigger(availableNow=True).start())
     files = [f for f in os.listdir(f"{tmp_dir}/logs") if f.endswith(".parquet")]
     assert len(files) == 8 and len(batches) <= 3 and sum(batches) == fx.logs(spark, SF).count()
+
+
+def test_a_drained_backlog_of_many_files_has_few_batches(spark, tmp_dir):
+    spark.range(6400).repartition(64).write.parquet(f"{tmp_dir}/in")
+    least = s_ingest.drain_trigger(spark, f"{tmp_dir}/in", 1)
+    batches = []
+    stream = s_ingest.read_raw_stream(spark, f"{tmp_dir}/in", schema="id BIGINT", max_bytes_per_trigger=least)
+    (stream.writeStream.foreachBatch(lambda b, i: batches.append(b.count())).option("checkpointLocation", f"{tmp_dir}/c")
+     .trigger(availableNow=True).start().awaitTermination())
+    assert sum(batches) == 6400 and 2 <= len(batches) <= 10
