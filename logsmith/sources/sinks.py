@@ -23,6 +23,13 @@ MAX_RECORDS_PER_FILE = 2_000_000
 TARGET_PARTITION_BYTES = 512 * 1024 * 1024
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """Rows dealt by a hash of the whole row into tasks of the size that Spark advises
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``): a few rows make one file, and what a
+    task sorts does not grow with the rows, whatever the number of shuffle partitions."""
+    return df.hint("rebalance", *df.columns)
+
+
 def with_month(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     return df.withColumn("month", month_key(ts))
 

@@ -24,6 +24,7 @@ from logsmith.operators import enrich, requests
 from logsmith.schema import RAW_LOGS_SCHEMA, LOGS_SCHEMA
 from logsmith.sources.ingest import explode_batches, parse_envelopes, parse_records
 from logsmith.sources.manifest import ManifestTable
+from logsmith.sources.sinks import packed
 
 # Micro-batch cadence of the two ingest queues (seconds).
 LOG_TRIGGER = "1 second"
@@ -102,6 +103,7 @@ def log_ingest_batch(projects_loader: Callable[[], DataFrame], logs: str | Manif
     lookup = ProjectLookup(projects_loader, refresh_seconds)
 
     def write(rows: DataFrame, sink: str | ManifestTable, batch_id: int, ts_col: str) -> None:
+        rows = packed(rows)  # the cached join has shuffle partitions, however small the batch
         if isinstance(sink, ManifestTable):
             sink.append(rows, (writer, int(batch_id)))
         else:

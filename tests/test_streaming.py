@@ -194,3 +194,32 @@ def test_a_drained_backlog_of_many_files_has_few_batches(spark, tmp_dir):
     (stream.writeStream.foreachBatch(lambda b, i: batches.append(b.count())).option("checkpointLocation", f"{tmp_dir}/c")
      .trigger(availableNow=True).start().awaitTermination())
     assert sum(batches) == 6400 and 2 <= len(batches) <= 10
+
+
+def _files(top):
+    return [f for _, _, names in os.walk(top) for f in names if f.endswith(".parquet")]
+
+
+def test_a_small_batch_leaves_one_file_for_each_output(spark, tmp_dir):
+    """Also if its join is shuffled: the files follow the rows, not the shuffle partitions."""
+    from logsmith.sources.ingest import parse_records
+    from logsmith.sources.manifest import logs_table, rejections_table
+
+    raw = fx.raw_logs(spark, SF)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        loader = lambda: fx.projects(spark, SF)
+        s_ingest.log_ingest_batch(loader, f"{tmp_dir}/logs", f"{tmp_dir}/rej")(parse_records(raw), 0)
+        logs, rejected = logs_table(spark, f"{tmp_dir}/t"), rejections_table(spark, f"{tmp_dir}/r")
+        s_ingest.log_ingest_batch(loader, logs, rejected)(parse_records(raw), 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    months = rejected.read().select("month").distinct().count()
+    assert len(_files(f"{tmp_dir}/logs")) == 1 and len(logs.snapshot().files) == 1
+    assert len(_files(f"{tmp_dir}/rej")) == months and len(rejected.snapshot().files) == months
+    assert logs.snapshot().rows + rejected.snapshot().rows == raw.count()
+    assert spark.read.parquet(f"{tmp_dir}/logs").count() == logs.snapshot().rows
