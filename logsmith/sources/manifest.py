@@ -37,7 +37,7 @@ from logsmith.functions.time import as_datetime, month_key, ts_lit
 from logsmith.plans.broadcast import estimated_bytes
 from logsmith.schema import APP_LOGS_SCHEMA, LOG_DEFAULTS, LOGS_SCHEMA, add_missing_columns
 from logsmith.sources.file_index import FileIndex, files_holding, write_index
-from logsmith.sources.sinks import CLUSTER_KEYS, MAX_RECORDS_PER_FILE
+from logsmith.sources.sinks import CLUSTER_KEYS, MAX_RECORDS_PER_FILE, packed
 
 # A version with the whole list every so many versions; attempts of a mutation
 # that meets others; versions that stay readable and the age of files no version names.
@@ -221,13 +221,13 @@ class ManifestTable:
         by month and the cluster keys into so many tasks, or more by the bytes that are read; else
         each task sorts its own rows. ``spread``: for a load of any size, dealt by a hash first, so
         that what a task sorts does not grow with the rows, however few the splits of its input."""
-        by_size = -(-(estimated_bytes(rows) or 0) // SORT_BYTES)
+        by_size = -(-(estimated_bytes(rows) or 0) // SORT_BYTES) if clustered else 0
         rows = add_missing_columns(rows, self.schema, self.defaults).withColumn("month", month_key(self.ts))
         keys = ("month", *self.cluster)
         if clustered:
             rows = rows.repartitionByRange(max(clustered, by_size), *keys)
         elif spread:
-            rows = rows.repartition(F.xxhash64(*rows.columns))
+            rows = packed(rows)
         commit = uuid.uuid4().hex
         target = f"{self.path}/data/commit={commit}"
         (rows.sortWithinPartitions(*keys).write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)

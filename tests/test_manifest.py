@@ -252,3 +252,22 @@ def test_a_version_is_made_once(spark, tmp_dir):
     [x.start() for x in threads]
     [x.join() for x in threads]
     assert sum(made) == 1 and len(made) == 24 and t.versions() == [1, 2] and len(t._load(2)["steps"]) == 1
+
+
+def test_a_spread_load_sorts_in_tasks_of_the_advised_size(spark, tmp_dir):
+    """Few rows make one file a month; many are split further than the shuffle partitions are."""
+    t = logs_table(spark, f"{tmp_dir}/t")
+    t.append(fx.logs(spark, SF), spread=True)
+    assert len(t.snapshot().files) == t.read().select("month").distinct().count()
+    keys = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    many = fx.logs(spark, "/root/testdata/sf0.01").repartition(12, "id")
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        t.append(many, spread=True)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = [f for f in t.snapshot().files if f.rows > 0]
+    assert len(files) > 3 and t.snapshot().rows == fx.logs(spark, SF).count() + many.count()
