@@ -74,7 +74,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         .where("at < 0 or (shiftrightunsigned(key, at) & 1) = 0")
         .select("u", "half", F.expr("if(at < 0, key, key | shiftleft(1L, at)) AS key"), (F.col("at") < 0).alias("same"))
     )
-    met = probes.join(stored.withColumnRenamed("fp", "v"), ["half", "key"])
+    # a broadcast would be chosen by the size of the file, which knows nothing of what explode adds
+    met = probes.hint("merge").join(stored.withColumnRenamed("fp", "v"), ["half", "key"])
     return met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).where("u <> v and (not same or u < v)").select("u", "v")
 
 
@@ -95,7 +96,9 @@ def group_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame
 def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = staged(docs.select("doc_id", simhash(F.col(text_col), size).alias("fp")), "simhash-docs")
-    return prints.join(group_fingerprints(prints, max_bits).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    groups = group_fingerprints(prints, max_bits).select("fp", "component_id")
+    # both sides grow with the documents, and repeated fingerprints make a file far smaller than its rows
+    return prints.hint("merge").join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, text_col: str = "text", size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logsmith.llm import components, decontam, induced, line_dedup, quality, simhash, suffix_dedup, warc
+from logsmith.llm import common, components, decontam, induced, line_dedup, quality, simhash, suffix_dedup, warc
 
 
 def _edited(rng, line):
@@ -120,6 +120,20 @@ def test_simhash_links_are_exact(spark):
         simhash.links(df, 4)
 
 
+def test_simhash_joins_broadcast_nothing_that_grows_with_the_documents(spark, frame):
+    """However small the files look: what explode adds to them is in no estimate."""
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    prints = common.staged(spark.range(3000).select(F.xxhash64("id").alias("fp")), "test-prints")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        linked, grouped = planned(simhash.links(prints)), planned(simhash.near_duplicates(frame(_near_docs(6))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in linked and "Broadcast" not in linked
+    assert "SortMergeJoin" in grouped and "Broadcast" not in grouped
+
+
 def test_simhash_representatives(frame):
     docs = [*_near_docs(9), (701, ""), (None, "only here"), (None, "only here"), (0, _near_docs(9)[0][1])]
     want = brute.simhash_components(dict(d for d in docs if d[0] is not None).items())
