@@ -1120,14 +1120,16 @@ def q_stream_ingest_batch(spark, sf_dir):
 
 @register("stream_ingest_table", ORACLE["stream_ingest"])
 def q_stream_ingest_table(spark, sf_dir):
-    """T1 into a table under a manifest, compacted while it is read and once more afterwards."""
+    """T1 into a table under a manifest, compacted while the stream is read and once more afterwards."""
     base = scratch_path(spark, "stream-ingest-table")
     _stage_input(fx.raw_logs(spark, sf_dir, spread=True), f"{base}/raw")
     logs = logs_table(spark, f"{base}/logs")
-    _await(s_ingest.start_log_ingest(
+    q = s_ingest.start_log_ingest(
         spark, f"{base}/raw", lambda: fx.projects(spark, sf_dir), logs, rejections_table(spark, f"{base}/rejected"),
         f"{base}/_checkpoint", available_now=True, max_bytes_per_trigger=s_ingest.drain_trigger(spark, f"{base}/raw", 4 * STREAM_TRIGGER),
-    ))
+    )
+    s_ingest.compact_beside(q, logs)
+    _await(q)
     logs.compact()
     return logs.read().select(*_INGEST_COLS)
 

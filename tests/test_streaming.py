@@ -223,3 +223,27 @@ def test_a_small_batch_leaves_one_file_for_each_output(spark, tmp_dir):
     assert len(_files(f"{tmp_dir}/rej")) == months and len(rejected.snapshot().files) == months
     assert logs.snapshot().rows + rejected.snapshot().rows == raw.count()
     assert spark.read.parquet(f"{tmp_dir}/logs").count() == logs.snapshot().rows
+
+
+def test_a_table_is_compacted_while_its_stream_is_read(spark, monkeypatch):
+    from logsmith import registry
+    from logsmith.sources.manifest import ManifestTable
+
+    compact, seen = ManifestTable.compact, []
+
+    def watched(table, *args, **kw):
+        before = table.snapshot()
+        running = len(spark.streams.active)
+        version = compact(table, *args, **kw)
+        now = table.snapshot()
+        seen.append((running, len(before.files), len(before.files) - len({f.path for f in now.files} & {f.path for f in before.files}), now.rows))
+        return version
+
+    monkeypatch.setattr(ManifestTable, "compact", watched)
+    monkeypatch.setattr(registry, "STREAM_TRIGGER", 1)
+    out = registry.QUERIES["stream_ingest_table"](spark, SF)
+    (running, files, left, _), (at_end, _, _, rows) = seen
+    assert running == 1 and files > 1 and left == files  # beside the stream: what had come was compacted
+    assert at_end == 0 and rows == out.count()  # and the rest once it had ended
+    batch = enrich.to_logs(enrich.ingest_records(fx.raw_logs(spark, SF), fx.projects(spark, SF)))
+    assert sorted(map(tuple, out.select(*COLS).collect())) == sorted(map(tuple, batch.select(*COLS).collect()))
