@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from logsmith.llm import queries
+from logsmith.llm import queries, simhash
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -37,6 +37,28 @@ def test_pipeline_is_its_stages(spark):
         assert stage(spark, docs, SF_SMALL).columns == columns, name
 
 
+def test_near_duplicate_stage_broadcasts_no_probes(spark, monkeypatch):
+    plans, links = [], simhash.links
+
+    def planned(*args):
+        found = links(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(simhash, "links", planned)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, f"a text of some words {i // 2}", "en", "s", 3) for i in range(40)], schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        left = corpus_pipeline.near_duplicate_stage(spark, docs, SF_SMALL).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    groups = brute.simhash_components([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(r.doc_id for r in left) == sorted({c for _, c in groups.values()}) and len(left) <= 20
+    assert plans and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_stages_take_nulls_and_empty_tables(spark, tmp_dir):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for table, kind in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
